@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op02_token_counts, op05_sharding, op07_byte_bpe, op09_chat, op10_licenses
+from loxodrome.llm import op02_token_counts, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_token_files.packed_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,6 +46,7 @@ def op10_licenses_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses_scan,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op02_token_counts, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
+from loxodrome.llm import op02_token_counts, op03_minhash, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=85)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -45,6 +49,7 @@ def op10_licenses_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_minhash": op3_minhash,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,

@@ -47,3 +47,21 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
         stop = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
         yield texts.slice(at, stop - at)
         at = stop
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Runs of equal keys of a sorted stream; whoever sorts the stream bounds the runs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if held and held[-1].column(key)[0] != part.column(key)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

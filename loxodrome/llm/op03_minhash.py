@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.components import connected_components
-from loxodrome.llm.frames import narrow, per_batch, slices
+from loxodrome.llm.frames import grouped, narrow, per_batch, slices
 from loxodrome.llm.text_arrays import SPACED, mix, shingle_sets, words_of
 from loxodrome.llm.workspace import Workspace
 
@@ -136,24 +136,6 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(used, 1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted stream; a run has at most what one node or two blocks hold."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            part = batch.slice(a, b - a)
-            if held and held[-1].column(key)[0] != part.column(key)[0]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
 
@@ -218,7 +200,7 @@ def _second_pass(rows: DataFrame, least: float, ratio: float, block: int) -> Dat
     d = d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 0):
+        for t in grouped(batches, 0):
             ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
             sketch = _matrix(t.column(3))
             left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))

@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op02_token_counts, op03_minhash, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
+from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_ego_join.embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -48,6 +52,7 @@ def op10_licenses_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
     "op5_sharding": op5_sharding,

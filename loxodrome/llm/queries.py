@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op05_sharding, op06_token_files, op07_byte_bpe, op09_chat, op10_licenses
+from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op04_decontamination, op05_sharding, op06_token_files, op07_byte_bpe, op08_toxicity, op09_chat, op10_licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,21 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=85)
 
 
+def op4_decontamination_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op04_decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, one_in=20)
+    joined = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op08_toxicity.score(docs, op08_toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
@@ -55,9 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
+    "op4_decontamination": op4_decontamination_digest,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_toxicity": op8_toxicity_scores,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses_scan,
 }

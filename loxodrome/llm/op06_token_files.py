@@ -23,6 +23,7 @@ other columns are ignored; a very long text is a block of its own; an empty tabl
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ from loxodrome.llm.workspace import Workspace
 MAGIC, _HEAD, _FOOT = b"LXPK", struct.Struct("<4sHHQQQ"), struct.Struct("<Q4s")
 #: ASCII punctuation but the apostrophe, which begins contractions.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of one call of the library.
+_AT_ONCE = 1000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -65,6 +68,11 @@ def unpack(data: bytes, bits: int, n: int, skip: int = 0) -> np.ndarray:
     return ((((raw[at >> 3] >> (at & 7)) & 1).astype(np.uint32)) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+def _settled(word: str) -> bool:
+    """Whether the model's normaliser leaves letters of a word letters."""
+    return word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+
+
 class PackedWriter:
     """Streams documents into one file. Only the index is held in memory."""
 
@@ -138,7 +146,7 @@ class WordEncoder:
     those of its words; only words that a bounded memo lacks go through the library, many in a call.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -146,7 +154,10 @@ class WordEncoder:
         self.model.no_padding()
         self.vocabulary = self.model.get_vocab_size(with_added_tokens=True)
         self.words = Memo(lambda w: self._ids([w])[0], memo)
-        self._parts = Memo(lambda p: self._ids([p])[0], memo)
+        self._parts = Memo(lambda p: self._ids([p])[0], memo // 2)
+        self._ends = np.zeros(self.vocabulary, bool)  # tokens that end a match
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self._ends[i] = token.endswith("</w>")
         self._marks = [t.content for t in self.model.get_added_tokens_decoder().values()]
 
     @classmethod
@@ -161,7 +172,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(m in t for m in self._marks) else t.replace("\n", " ").split(" ") for t in texts]
         known, recall = self.words, self.words.recall
-        new = {w for ws in split if ws for w in ws if w not in known}
+        new = set().union(*filter(None, split)).difference(known)
         self._learn([w for w in new if recall(w) is None])
         out = [self._ids([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
         known.trim()
@@ -176,11 +187,20 @@ class WordEncoder:
             stem = x.rstrip(_PUNCTUATION)
             cut.append((stem, x[len(stem) :]) if stem and len(stem) < len(x) and stem[-1].lower()[-1].isalnum() else (x,))
         new = [p for p in {p for ps in cut for p in ps} if parts.recall(p) is None]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            parts.update(zip(part, self._together(part), strict=True))
+        plain = [p for p in new if p.isalpha() and (p.isascii() or _settled(p))]
+        for kind, encode in ((plain, self._plain), (list(set(new).difference(plain)), self._together)):
+            for lo in range(0, len(kind), _AT_ONCE):
+                part = kind[lo : lo + _AT_ONCE]
+                parts.update(zip(part, encode(part), strict=True))
         self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in zip(words, cut, strict=True))
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Words of letters are one match each, so a word ends with each token that ends a match."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *((np.nonzero(self._ends[ids])[0] + 1) * 4).tolist()]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _together(self, words: list[str]) -> list[bytes]:
         """One call for many words, joined by spaces: a token belongs to the word that its place lies in."""
         joined = " ".join(words)
@@ -247,11 +267,11 @@ def read_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Data
     return spread.mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
 
-def packed_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, write, and read back. The number of files follows the bytes of text."""
+def packed_tokens(df: DataFrame, tokenizer: str, end_id: int, file_rows: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode, write, and read back. The number of files follows the number of rows; a file is streamed, not held."""
     spark: SparkSession = df.sparkSession
     work = Workspace(spark)
     folder = work.path("tokens")
-    size = narrow(df, text_col).agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    manifest = work.save(write_files(df, tokenizer, end_id, folder, max(1, -(-size // file_bytes)), id_col, text_col), "manifest")
+    files = max(1, -(-df.count() // file_rows))
+    manifest = work.save(write_files(df, tokenizer, end_id, folder, files, id_col, text_col), "manifest")
     return read_files(manifest, folder, id_col)

@@ -30,7 +30,7 @@ from loxodrome.llm.text_arrays import ALNUM, Words, byte_class, hash_spans, word
 #: Leading bytes of a word that are features besides the whole word.
 PREFIXES = (4, 5, 6)
 #: Labelled rows of each label that training takes, and the longest text among them.
-MAX_SAMPLE, MAX_SAMPLE_BYTES = 4000, 1 << 16
+MAX_SAMPLE, MAX_SAMPLE_BYTES = 3000, 1 << 14
 #: A sentence is cut after so many words, so that text without sentence ends has sentences too.
 SENTENCE_WORDS = 24
 _ENDS = byte_class(b".!?\n")
@@ -100,40 +100,61 @@ def _score(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return -np.expm1(-clean), heads, 1 / (1 + np.exp(-logit))
 
 
-def select(features: np.ndarray, text: np.ndarray, labels: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
-    """Features that are in more toxic documents than chance would put there, by ``least_z`` standard deviations."""
-    order = np.lexsort((np.repeat(text, features.shape[1]), features.ravel()))
-    f, t = features.ravel()[order], np.repeat(text, features.shape[1])[order]
+def _counts(features: np.ndarray, text: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features with the numbers of documents, and of toxic ones, that have them."""
+    f, t = features.ravel(), np.repeat(text, features.shape[1])
+    order = np.lexsort((t, f))
+    f, t = f[order], t[order]
     once = np.ones(len(f), bool)
     once[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
-    f, t = f[once], t[once]
+    return _summed(f[once], np.ones(once.sum(), np.int32), (labels[t[once]] == 1).astype(np.int32))
+
+
+def _summed(f: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, first = np.unique(f, return_index=True)
-    docs = np.diff(np.append(first, len(f)))
-    toxic = np.add.reduceat((labels[t] == 1).astype(np.int64), first)
+    return (keys, np.add.reduceat(docs, first), np.add.reduceat(toxic, first)) if len(keys) else (f, docs, toxic)
+
+
+def select(texts: pa.Array, labels: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
+    """Features that are in more toxic documents than chance would put there, by ``least_z`` standard deviations.
+
+    Counted slice by slice; only the counts of distinct features are held.
+    """
+    total, at = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)), 0
+    for part in slices(texts, SLICE_BYTES):
+        words = words_of(part, ALNUM)
+        more = _counts(_features(words), words.text, labels[at : at + len(part)])
+        at += len(part)
+        joined = [np.concatenate(x) for x in zip(total, more, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        total = _summed(*(x[order] for x in joined))
+    keys, docs, toxic = total
     share = (labels == 1).mean()
-    z = (toxic - docs * share) / np.sqrt(docs * share * (1 - share))
+    z = (toxic - docs * share) / np.sqrt(np.maximum(docs * share * (1 - share), 1e-12))
     return keys[(docs >= least_docs) & (z >= least_z) & (keys != 0)]
 
 
 def train(texts: pa.Array, labels: np.ndarray, steps: int = 3500, rate: float = 0.3, decay: float = 1e-4, batch: int = 64, least_docs: int = 3, least_z: float = 6.0, seed: int = 5) -> Model:
     """Adaptive gradient steps on the bags' likelihood, both labels with equal weight in sum."""
     none = np.zeros(0, np.uint64)
-    if len(set(labels.tolist())) < 2:
-        return Model.of(none, np.zeros(0), -np.inf)
-    words = words_of(texts, ALNUM)
-    hashes, heads = _features(words), _sentences(words)
-    keys = select(hashes, words.text, labels, least_docs, least_z) if len(heads) else none
+    keys = select(texts, labels, least_docs, least_z) if len(set(labels.tolist())) == 2 else none
     if not len(keys):
         return Model.of(none, np.zeros(0), -np.inf)
-    features = Model.of(keys, np.zeros(len(keys)), 0.0).find(hashes)
-    of_text = words.text[heads]
+    empty = Model.of(keys, np.zeros(len(keys)), 0.0)
+    of_text, sentence, number, at, n = [], [], [], 0, 0
     # a sentence is a row of counts over the kept features; most have none and differ only in the bias
-    row, column = np.nonzero(features)
-    sentence = np.zeros(len(features), np.int64)
-    sentence[heads] = 1
-    sentence = (np.cumsum(sentence) - 1)[row]
-    number = features[row, column].astype(np.int64)
-    start = np.searchsorted(sentence, np.arange(len(heads) + 1))
+    for part in slices(texts, SLICE_BYTES):
+        words = words_of(part, ALNUM)
+        heads, found = _sentences(words), empty.find(_features(words))
+        row, column = np.nonzero(found)
+        mark = np.zeros(len(found), np.int64)
+        mark[heads] = 1
+        of_text.append(words.text[heads] + at)
+        sentence.append((np.cumsum(mark) - 1)[row] + n)
+        number.append(found[row, column].astype(np.int64))
+        at, n = at + len(part), n + len(heads)
+    of_text, sentence, number = map(np.concatenate, (of_text, sentence, number))
+    start = np.searchsorted(sentence, np.arange(n + 1))
     first = np.searchsorted(of_text, np.arange(len(labels) + 1))
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     weights = np.zeros(len(keys) + 2)  # the bias first; then the kept features; the last is unused

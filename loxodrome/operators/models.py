@@ -11,6 +11,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,31 +78,23 @@ def fit_logistic(df: DataFrame, columns: list[str], label: str, groups: list[Col
     Minimises C times the weighted log loss plus half the squared coefficients; the intercept is free. Newton's
     method with halved steps where the loss would rise. Classes weigh the same with ``balanced``.
     """
-    df = df.cache()
-    d, models = len(columns), _moments(df, columns, groups)
-    counts = df.agg(*[F.sum(F.when(g, F.col(label).cast("long"))).alias(str(k)) for k, g in enumerate(groups)]).first()
+    d, n_groups = len(columns), len(groups)
+    rows = df.select(*[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)], F.col(label).cast("double").alias("y"), *[g.alias(f"g{k}") for k, g in enumerate(groups)]).cache()
+    inside = [F.col(f"g{k}") for k in range(n_groups)]
+    models = _moments(rows, [f"x{i}" for i in range(d)], inside)
+    counts = rows.agg(*[F.sum(F.when(g, F.col("y"))).alias(str(k)) for k, g in enumerate(inside)]).first()
     for k, m in enumerate(models):
         pos = counts[str(k)] or 0
         m |= {"beta": np.zeros(d + 1), "pos": pos, "done": not 0 < pos < m["n"], "loss": math.inf, "tried": np.zeros(d + 1), "size": 1.0}
         m["w"] = (m["n"] / (2.0 * pos), m["n"] / (2.0 * (m["n"] - pos))) if balanced and 0 < pos < m["n"] else (1.0, 1.0)
+    lower = np.tril_indices(d + 1)
     for _ in range(steps):
-        todo = [k for k, m in enumerate(models) if not m["done"]]
+        todo = {k: (m["mean"], m["std"], m["tried"], m["w"]) for k, m in enumerate(models) if not m["done"]}
         if not todo:
             break
-        aggs = []
-        for k in todo:
-            m, x = models[k], [F.lit(1.0), *_scaled(columns, models[k])]
-            z = sum((F.lit(float(b)) * v for b, v in zip(m["tried"], x, strict=True)), F.lit(0.0))
-            p = 1.0 / (1.0 + F.exp(-z))
-            y = F.col(label).cast("double")
-            w = F.when(F.col(label) == 1, F.lit(float(m["w"][0]))).otherwise(F.lit(float(m["w"][1])))
-            on = lambda v, g=groups[k]: F.coalesce(F.sum(F.when(g, v)), F.lit(0.0))
-            loss = w * (F.when(z > 0, z + F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z))) - y * z)
-            parts = [on(loss), *[on(w * (p - y) * v) for v in x], *[on(w * p * (1.0 - p) * x[i] * x[j]) for i in range(d + 1) for j in range(i + 1)]]
-            aggs.append(F.array(*parts).alias(str(k)))
-        row = df.agg(*aggs).first()
+        sums = _newton_sums(rows, todo, d)
         for k in todo:
-            m, v = models[k], np.array(row[str(k)], float)
+            m, v = models[k], sums[k]
             penalty = m["tried"].copy()
             penalty[0] = 0.0
             loss = c * v[0] + 0.5 * penalty @ penalty
@@ -111,14 +104,40 @@ def fit_logistic(df: DataFrame, columns: list[str], label: str, groups: list[Col
                 continue
             m["beta"], m["loss"] = m["tried"], loss
             hessian = np.zeros((d + 1, d + 1))
-            hessian[np.tril_indices(d + 1)] = c * v[d + 2 :]
+            hessian[lower] = c * v[d + 2 :]
             hessian = hessian + np.tril(hessian, -1).T + np.diag([1e-12, *[1.0] * d])
             m["step"], m["size"] = -np.linalg.solve(hessian, c * v[1 : d + 2] + penalty), 1.0
             m["done"] = bool(np.abs(m["step"]).max() < tol)
             m["tried"] = m["beta"] + m["step"]
+    rows.unpersist()
     return [{"mean": m["mean"], "std": m["std"], "intercept": float(m["beta"][0]), "coef": m["beta"][1:], "n": m["n"]} for m in models]
 
 
+def _newton_sums(rows: DataFrame, todo: dict, d: int) -> dict[int, np.ndarray]:
+    """Loss, gradient and lower half of the Hessian of each model: a partial sum a task, added up by Spark."""
+    size = 1 + (d + 1) + (d + 1) * (d + 2) // 2
+
+    def run(batches):
+        total = {k: np.zeros(size) for k in todo}
+        lower = np.tril_indices(d + 1)
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for k, (mean, std, beta, (w1, w0)) in todo.items():
+                mask = columns[d + 1 + k].astype(bool)
+                x = np.column_stack([np.ones(mask.sum()), *[(columns[i][mask] - mean[i]) / std[i] for i in range(d)]])
+                y, z = columns[d][mask], x @ beta
+                p, w = 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.where(y == 1, w1, w0)
+                hessian = (x * (w * p * (1 - p))[:, None]).T @ x
+                total[k] += np.concatenate([[(w * (np.logaddexp(0, z) - y * z)).sum()], x.T @ (w * (p - y)), hessian[lower]])
+        k = np.repeat(list(total), size)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.tile(np.arange(size), len(total))), pa.array(np.concatenate(list(total.values())))], names=["k", "i", "v"])
+
+    out = {k: np.zeros(size) for k in todo}
+    for r in rows.mapInArrow(run, "k long, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]][r["i"]] = r["v"]
+    return out
+
+
 def probability(columns: list[str], model: dict) -> Column:
     """The model's probability; unknown values count as 0 before scaling only if the caller filled them so."""
     z = sum((F.lit(float(b)) * v for b, v in zip(model["coef"], _scaled(columns, model), strict=True)), F.lit(model["intercept"]))
@@ -170,13 +189,7 @@ def linear(columns: list[str], model: dict) -> Column:
 def _by_score(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
     """Distinct scores of each group with their counts and what stands above and below them."""
     counts = df.groupBy(F.col(by).alias("g"), F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("long")).alias("tp"))
-    parts = []
-    for r in counts.select("g").distinct().orderBy("g").collect():  # folds: a handful
-        parts.append(ranking.running(counts.filter(F.col("g").eqNullSafe(F.lit(r["g"]))), "s", {"c": "below", "tp": "tp_below"}, buckets=16))
-    out = parts[0] if parts else counts.withColumns({"below": F.lit(0), "tp_below": F.lit(0)})
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ranking.running(counts, "s", {"c": "below", "tp": "tp_below"}, by=("g",))
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
@@ -289,7 +302,8 @@ def ablation(df: DataFrame, sets: dict[str, list[str]] | None = None, label: str
     """``feature_set`` with each metric's mean and population deviation over folds. ``null`` learns shuffled labels."""
     out = None
     sets = sets or feature_sets()
-    filled = ranking.median_filled(df, sorted({c for s in sets.values() for c in s})).cache()
+    used = sorted({c for s in sets.values() for c in s})
+    filled = ranking.median_filled(df.select(*dict.fromkeys([key, label, "lat_centre", *used])).cache(), used).cache()
     for name, columns in sets.items():
         d = resample.permuted(filled, label, key, seed) if name == "null" else filled
         rows, _ = cross_validated(d, columns, label)
@@ -307,7 +321,7 @@ def variability(table: DataFrame) -> DataFrame:
 def leakage_audit(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", corr_limit: float = CORRELATION_LIMIT, coef_limit: float = COEFFICIENT_LIMIT) -> DataFrame:
     """Per feature: where it comes from, both correlations with the label, its coefficient, and why it is suspect."""
     columns = list(columns)
-    rows = []
+    rows, df = [], df.select(label, *columns).cache()
     filled = ranking.median_filled(df, columns)
     model = fit_logistic(filled.select(label, *columns), columns, label, [F.lit(True)])[0]
     for c, b in zip(columns, model["coef"], strict=True):  # a few features
@@ -318,7 +332,7 @@ def leakage_audit(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", c
         rho = ranking.spearman(d, "x", "y").first()["rho"] if usable else None
         why = ["target-derived by construction"] * (c in TARGET_DERIVED)
         why += [f"|r|={abs(r):.2f} ≥ {corr_limit}"] * (r is not None and abs(r) >= corr_limit)
-        why += [f"|coef|={abs(b):.2f} ≥ {coef_limit}"] * (abs(b) >= coef_limit)
+        why += [f"|coef|={abs(b):.2f} ≥ {coef_limit}"] * bool(abs(b) >= coef_limit)
         origin = "target-derived (from hotspot catalogue)" if c in TARGET_DERIVED else "analytical proxy (not observed)" if c in ANALYTICAL else "observed / external"
         rows.append((c, origin, r, rho, float(b), abs(float(b)), bool(why), "; ".join(why)))
     kinds = "feature string, derivation_source string, pearson_r double, spearman_r double, lr_coef double, abs_coef double, suspected_leakage boolean, flag_reason string"

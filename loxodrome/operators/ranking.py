@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, key: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
-    """Totals of ``sums[column]`` over all rows with a smaller ``key``, as columns named by the values.
+def running(df: DataFrame, key: str, sums: dict[str, str], buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals of ``sums[column]`` over all rows (of the same ``by``) with a smaller ``key``, as columns named by the values.
 
     Keys must be distinct. They are cut into ranges at approximate quantiles: a row's total is that of the ranges
     before its own plus the rows before it in its range, so the ordered windows run side by side.
@@ -15,12 +15,15 @@ def running(df: DataFrame, key: str, sums: dict[str, str], buckets: int = 64) ->
     cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001))) if buckets > 1 else []
     bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
     d = df.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col(key))))
-    total = d.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
-    total = total.select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    inside = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(F.broadcast(total), "_r")
-    return d.withColumns({o: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, o in sums.items()}).drop("_r", *[f"_b_{c}" for c in sums])
+    total = d.groupBy(*by, "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    total = total.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_r").alias("_g_r"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_r") == F.col("_g_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    d = d.join(total, same).withColumns({o: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, o in sums.items()})
+    return d.drop("_r", "_g_r", *[f"_g_{c}" for c in by], *[f"_b_{c}" for c in sums])
 
 
 def midranks(df: DataFrame, column: str, out: str, buckets: int = 64) -> DataFrame:

@@ -196,18 +196,26 @@ def _second_pass(rows: DataFrame, least: float, ratio: float, block: int) -> Dat
     up = F.when(F.col("isfew"), F.transform(F.sequence(F.col("own"), F.col("nf") + F.col("nm") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
     down = F.when((~F.col("isfew")) | (F.col("own") > 0), F.transform(F.sequence(F.lit(0), F.least(F.col("own"), F.col("nf")) - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
     none = F.array().cast("array<struct<i:int,j:int>>")
-    d = d.select("node", "id", "n", "sketch", "component", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
-    d = d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"))
+    d = d.select("node", "id", "n", "sketch", "component", "nodes", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
+    d = d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0):
             ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
             sketch = _matrix(t.column(3))
             left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
+            node, seats = t.column(7)[0].as_py(), [np.array(x, np.int64) for x in t.column(8).to_pylist()]
             a, b = [], []
+            same = bool(len(left) and len(right) and left[0] == right[0])  # a block with itself: each pair once
             for x in left.tolist():
-                y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) >= ratio * np.maximum(n[right], n[x]))]
+                y = right[right > x] if same else right
+                y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= ratio * np.maximum(n[y], n[x]))]
                 y = y[_estimate(sketch[y], sketch[x]) >= least]
+                earlier = seats[x][seats[x] < node]
+                if len(y) and len(earlier):
+                    flat = np.isin(np.concatenate([seats[k] for k in y.tolist()]), earlier)
+                    sizes = np.fromiter((len(seats[k]) for k in y.tolist()), np.int64, len(y))
+                    y = y[np.add.reduceat(flat, np.cumsum(sizes) - sizes, dtype=np.int64) == 0]
                 if len(y):
                     a.append(np.minimum(ids[x], ids[y]))
                     b.append(np.maximum(ids[x], ids[y]))
@@ -226,7 +234,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 4, limit: int = 128, block: int = 512, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 4, limit: int = 512, block: int = 512, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept for every row. ``threshold``: percent."""
     if not 1 <= trees <= TOKENS:
@@ -245,8 +253,10 @@ def near_duplicates(
     pairs = work.save(_first_pass(placed, least, ratio).distinct(), "pairs1")
     component = connected_components(_links(df, pairs, k, threshold, work, id_col, text_col), work)
     component = work.save(component, "components1")
-    marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    again = work.save(_second_pass(marked, least, ratio, block).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs2")
+    # a pair that meets in several nodes is compared in each, but told by the least of them only
+    seats = placed.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(seats, "id")
+    again = work.save(_second_pass(marked, least, ratio, block).join(pairs, ["a", "b"], "left_anti"), "pairs2")
     if again.limit(1).count():
         more = _links(df, again, k, threshold, work, id_col, text_col)
         known = component.filter("id != component").select(F.col("id").alias("u"), F.col("component").alias("v"))

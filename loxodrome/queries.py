@@ -540,7 +540,7 @@ _SC = "sc AS (SELECT doc_id, lang, n_chars / (n_chars + 1000.0::DOUBLE) AS score
 @query(
     f"WITH {_SC}, r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS mr FROM sc), a AS (SELECT lang, sum(quality) AS p, count(*) AS n, sum(CASE WHEN quality = 1 THEN mr END) AS s FROM r GROUP BY 1), "
     "g AS (SELECT lang, score, sum(quality) AS tp, count(*) AS c FROM sc GROUP BY 1, 2), w AS (SELECT *, sum(tp) OVER o AS ctp, sum(c) OVER o AS cc, sum(tp) OVER (PARTITION BY lang) AS p FROM g WINDOW o AS (PARTITION BY lang ORDER BY score DESC)), ap AS (SELECT lang, sum(tp / p::DOUBLE * ctp / cc) AS v FROM w GROUP BY 1) "
-    "SELECT lang, round((s - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p))::DOUBLE, 6) AS auc_roc, round(v, 6) AS pr_auc FROM a JOIN ap USING (lang)"
+    "SELECT lang, CASE WHEN p > 0 AND n > p THEN round((s - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p))::DOUBLE, 6) END AS auc_roc, CASE WHEN p > 0 AND n > p THEN round(v, 6) END AS pr_auc FROM a JOIN ap USING (lang)"
 )
 def ranking_metrics(s, d):
     return rounded(models.ranking_metrics(scored(s, d), "score", "quality", "lang"))

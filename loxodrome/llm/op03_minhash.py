@@ -7,7 +7,8 @@ and a one-permutation sketch.
 Each of ``trees`` independent trees sends a class down one chosen minwise token; nodes with more than ``limit``
 classes branch again, by two further tokens chosen by the node, down to ``depth`` levels. Two sets with similarity J
 share a token with probability J, so at the threshold they part in every tree with probability (1 - J)**trees at
-the first level and little more below it (:func:`miss_probability`).
+the first level and little more below it (:func:`miss_probability`). A node that keeps most of its parent's classes
+is a crowd of near copies that tokens don't part; it branches no further and is compared as it is.
 
 Nodes are compared exhaustively on sketches, whose estimate leaves a margin of five standard deviations; what
 passes is confirmed on full sets. The first pass confirms each node's classes against one of them, chosen by a
@@ -37,6 +38,8 @@ from loxodrome.llm.workspace import Workspace
 
 TOKENS = 32  # minwise tokens of a class
 BINS = 256  # of the sketch, a byte each
+#: A node with this share of its parent's classes is a crowd.
+CROWD = 0.5
 #: Up to so many ids are sent to all tasks to pick documents by; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -112,20 +115,21 @@ def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: st
 def _nodes(classes: DataFrame, trees: int, depth: int, limit: int, work: Workspace) -> DataFrame:
     """``node, id, size`` of all nodes with two classes or more that branch no further."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("tokens", t + 1)))
-    rows = classes.select("id", F.explode(roots).alias("node"))
+    rows = classes.select("id", F.explode(roots).alias("node"), F.lit(1 << 62).alias("parent"))
     out = None
     for level in range(1, depth + 1):
         rows = work.save(rows, f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = work.save(rows.join(sizes, "node"), f"nodes{level}")
-        large = F.col("size") > limit if level < depth else F.lit(False)
-        out = sized.filter(~large) if out is None else out.unionByName(sized.filter(~large))
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).filter("size > 1")
+        sized = work.save(rows.drop("parent").join(sizes, "node"), f"nodes{level}")
+        large = (F.col("size") > limit) & (F.col("size") < CROWD * F.col("parent")) if level < depth else F.lit(False)
+        final = sized.filter(~large).select("id", "node", "size")
+        out = final if out is None else out.unionByName(final)
         if level == depth or not sized.filter(large).limit(1).count():
             return out
         which = F.transform(F.array(F.lit(0), F.lit(1)), lambda s: F.xxhash64("node", s))
         child = F.transform(which, lambda h: F.xxhash64(h, F.element_at("tokens", F.pmod(h, F.lit(TOKENS)).cast("int") + 1)))
-        deeper = sized.filter(large).select("id", "node").join(classes.select("id", "tokens"), "id")
-        rows = deeper.select("id", F.explode(child).alias("node"))
+        deeper = sized.filter(large).select("id", "node", F.col("size").alias("parent")).join(classes.select("id", "tokens"), "id")
+        rows = deeper.select("id", F.explode(child).alias("node"), "parent")
     return out
 
 

@@ -207,11 +207,21 @@ def _joined(classes: DataFrame, dim: int, cosine: float, interval: int, leading:
     # boxes of intervals, and pairs of intervals within reach of each other
     span = F.array(*[F.struct(F.min(F.col("x")[i]).alias("lo"), F.max(F.col("x")[i]).alias("hi")) for i in range(dim)])
     boxes = work.save(seated.groupBy("label", "seq").agg(span.alias("box")), "boxes")
+    # boxes meet by an equi-join on the grid cells that they touch in the first directions, one side widened by a cell
+    lead = min(3, dim)
+    touched = lambda d, k: F.explode(F.sequence(F.floor(F.col("box")[k]["lo"] / float(width)) - d, F.floor(F.col("box")[k]["hi"] / float(width)) + d)).alias(f"g{k}")
+    sides = []
+    for name, widen in (("a", 1), ("b", 0)):
+        t = boxes
+        for k in range(lead):
+            t = t.select("label", "seq", "box", *[f"g{j}" for j in range(k)], touched(widen, k))
+        sides.append(t.select("label", F.col("seq").alias(f"seq_{name}"), *[f"g{j}" for j in range(lead)]))
+    near = sides[0].join(sides[1], ["label", *[f"g{j}" for j in range(lead)]]).filter("seq_a <= seq_b").select("label", "seq_a", "seq_b").distinct()
     a, b = (boxes.select("label", F.col("seq").alias(f"seq_{s}"), F.col("box").alias(f"box_{s}")) for s in "ab")
     gap = F.aggregate(
         F.zip_with("box_a", "box_b", lambda p, q: F.greatest(F.lit(0.0), p["lo"] - q["hi"], q["lo"] - p["hi"])), F.lit(0.0), lambda s, g: s + g * g
     )
-    met = a.join(b, "label").filter(F.col("seq_a") <= F.col("seq_b")).filter(gap <= float(width * width))
+    met = near.join(a, ["label", "seq_a"]).join(b, ["label", "seq_b"]).filter(gap <= float(width * width))
     met = work.save(met.select("label", "seq_a", "seq_b"), "met")
     sides = met.select("label", F.col("seq_a").alias("seq"), "seq_a", "seq_b").unionByName(met.filter("seq_a < seq_b").select("label", F.col("seq_b").alias("seq"), "seq_a", "seq_b"))
     cellmates = seated.join(sides, ["label", "seq"]).select(F.xxhash64("label", "seq_a", "seq_b").alias("pair"), "place", (F.col("seq") == F.col("seq_a")).alias("first"), (F.col("seq_a") == F.col("seq_b")).alias("same"), "key", "rep", "weight", "x", "raw")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op04_decontamination, op05_sharding, op06_token_files, op07_byte_bpe, op08_toxicity, op09_chat, op10_licenses
+from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op04_decontamination, op05_sharding, op06_token_files, op07_byte_bpe, op08_toxicity, op09_chat, op10_licenses, oracles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses_scan,
 }
 
-ORACLES: dict[str, str] = {
-    "op10_licenses": op10_licenses.oracle_sql(),
-}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -9,8 +9,8 @@ _REACH = "reach(u, v) AS (SELECT id, id FROM ids UNION SELECT r.u, l.v FROM reac
 
 EGO_JOIN = f"""
 WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
-vec AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
 links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
 {_REACH}
@@ -19,8 +19,8 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, compone
 
 MINHASH = f"""
 WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
-w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+w AS (SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS sh FROM w),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM c JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * k >= 85 * (len(a.sh) + len(b.sh) - k)),
@@ -28,14 +28,14 @@ links AS (SELECT u, v FROM c JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v W
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp ON id = doc_id
 """
 
-_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_WORDS = f"[x FOR x IN string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"
 
 DECONTAMINATION = f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
 wins AS (SELECT DISTINCT item, least(13, len(ws)) AS n, array_to_string(ws[a : a + least(13, len(ws)) - 1], ' ') AS win FROM iw, range(1, 100000) t(a) WHERE len(ws) > 0 AND a <= len(ws) - least(13, len(ws)) + 1),
 dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-at AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS a FROM dw),
-met AS (SELECT doc_id, item, a, n FROM (SELECT doc_id, a, n, array_to_string(ws[a : a + n - 1], ' ') AS win FROM at, (SELECT DISTINCT n FROM wins) WHERE a + n - 1 <= len(ws)) JOIN wins USING (n, win)),
+spot AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS a FROM dw),
+met AS (SELECT doc_id, item, a, n FROM (SELECT doc_id, a, n, array_to_string(ws[a : a + n - 1], ' ') AS win FROM spot, (SELECT DISTINCT n FROM wins) WHERE a + n - 1 <= len(ws)) JOIN wins USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM met) GROUP BY 1),
 its AS (SELECT doc_id, count(DISTINCT item) AS k, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(ws) AS contaminated

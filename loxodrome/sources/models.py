@@ -20,10 +20,10 @@ class FluxModel:
 
 
 REGISTRY: dict[str, FluxModel] = {
-    "synthetic_proxy": FluxModel("Analytic proxy cos²(lon)·cos²(lat) + 0.3·sin²(lat), without calibration; a placeholder for development", "None: formula", "available", "csv", "data/raw/io_tidal_heating_flux.csv"),
+    "synthetic_proxy": FluxModel("Analytic proxy cos²(lon)·cos²(lat) + 0.3·sin²(lat), without calibration; a placeholder for development", "None: formula", "available", "csv", "data/flux/synthetic_proxy.csv"),
     "uniform": FluxModel("Spatially uniform null, flux 1 everywhere, which any structured model should beat", "None: generated", "available", "generated"),
-    "M3": FluxModel("Asthenosphere-dominated dissipation with maxima at the sub- and anti-planet points of the equator", "Segatz et al. (1988), Icarus 75, 187-206", "not_available", "csv", "data/external/tidal_models/segatz_M3.csv"),
-    "M4": FluxModel("Deep-mantle-dominated dissipation with maxima at the poles", "Segatz et al. (1988), Icarus 75, 187-206", "not_available", "csv", "data/external/tidal_models/segatz_M4.csv"),
+    "M3": FluxModel("Asthenosphere-dominated dissipation with maxima at the sub- and anti-planet points of the equator", "Segatz et al. (1988), Icarus 75, 187-206", "not_available", "csv", "data/flux/M3.csv"),
+    "M4": FluxModel("Deep-mantle-dominated dissipation with maxima at the poles", "Segatz et al. (1988), Icarus 75, 187-206", "not_available", "csv", "data/flux/M4.csv"),
 }
 
 

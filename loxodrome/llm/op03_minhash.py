@@ -12,9 +12,10 @@ is a crowd of near copies that tokens don't part; it branches no further and is
 
 Nodes are compared exhaustively on sketches, whose estimate leaves a margin of five standard deviations; what
 passes is confirmed on full sets. The first pass confirms each node's classes against one of them, chosen by a
-seeded hash, and joins what links into components. The second pass confirms all remaining pairs of a node that are
-in different components, so that a group of thousands of mutual near copies doesn't list its pairs. Nodes that
-stay large are split into blocks for that, block against block: no cap, no candidate is dropped.
+seeded hash, and joins what links into components. The second pass compares all remaining pairs of a node that are
+in different components, and confirms those that sketches allow on full sets, inside a task that returns only
+links that join components: a crowd of thousands of near copies lists no pairs. Nodes that stay large are split
+into blocks for that, block against block: no cap, no candidate is dropped.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; a shorter text than ``k``
 words is one shingle; repeated rows each get a row, and rows with one id are one vertex; a null id is kept, without
@@ -92,8 +93,8 @@ def _sketch(texts: pa.Array, k: int):
     return n, d1, d2, tokens, sketch
 
 
-def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    """``id, set`` (sorted 64-bit shingle hashes) of the documents that ``ids`` names."""
+def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: str, text_col: str, signed: bool = False) -> DataFrame:
+    """``id, set`` (64-bit shingle hashes) of the documents that ``ids`` names; ``signed``: sorted as Spark's longs are."""
 
     def make():
         def work_(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,7 +110,8 @@ def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: st
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     docs = narrow(df, id_col, text_col).join(picked.withColumnRenamed("id", id_col), id_col, "left_semi")
     sets = work.save(per_batch(docs, "id long, set array<long>", make), "sets")
-    return sets.dropDuplicates(["id"])
+    sets = sets.dropDuplicates(["id"])
+    return sets.withColumn("set", F.array_sort("set")) if signed else sets
 
 
 def _nodes(classes: DataFrame, trees: int, depth: int, limit: int, work: Workspace) -> DataFrame:
@@ -180,10 +182,10 @@ def _first_pass(rows: DataFrame, least: float, ratio: float) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def _second_pass(rows: DataFrame, least: float, ratio: float, block: int) -> DataFrame:
-    """All pairs of a node across components, where sketches and sizes allow a link.
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Nodes with several components as cells of two blocks, ``left`` and ``right``, whose pairs are to be compared.
 
-    The classes outside a node's most frequent component meet all others of the node, in blocks.
+    The classes outside a node's most frequent component meet all others of the node.
     """
     sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
     # a struct's maximum is its first field's; ties by component
@@ -202,31 +204,70 @@ def _second_pass(rows: DataFrame, least: float, ratio: float, block: int) -> Dat
     none = F.array().cast("array<struct<i:int,j:int>>")
     d = d.select("node", "id", "n", "sketch", "component", "nodes", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
     d = d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node", "nodes")
+    return d
+
+
+def _allowed(x: int, right: np.ndarray, same: bool, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float, ratio: float) -> np.ndarray:
+    """Partners of ``x`` in another component whose sketches and sizes allow a link; a block with itself: each pair once."""
+    y = right[right > x] if same else right
+    y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= ratio * np.maximum(n[y], n[x]))]
+    return y[_estimate(sketch[y], sketch[x]) >= least]
+
+
+def _suspects(cells: DataFrame, least: float, ratio: float) -> DataFrame:
+    """The rows of a cell that have a partner which sketches allow. A pair of several nodes counts in the least one only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0):
-            ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
+            n, comp = (t.column(i).to_numpy() for i in (2, 4))
             sketch = _matrix(t.column(3))
             left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
             node, seats = t.column(7)[0].as_py(), [np.array(x, np.int64) for x in t.column(8).to_pylist()]
-            a, b = [], []
-            same = bool(len(left) and len(right) and left[0] == right[0])  # a block with itself: each pair once
+            same, marked = bool(len(left) and len(right) and left[0] == right[0]), np.zeros(len(n), bool)
             for x in left.tolist():
-                y = right[right > x] if same else right
-                y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= ratio * np.maximum(n[y], n[x]))]
-                y = y[_estimate(sketch[y], sketch[x]) >= least]
+                y = _allowed(x, right, same, comp, n, sketch, least, ratio)
                 earlier = seats[x][seats[x] < node]
                 if len(y) and len(earlier):
                     flat = np.isin(np.concatenate([seats[k] for k in y.tolist()]), earlier)
                     sizes = np.fromiter((len(seats[k]) for k in y.tolist()), np.int64, len(y))
                     y = y[np.add.reduceat(flat, np.cumsum(sizes) - sizes, dtype=np.int64) == 0]
                 if len(y):
-                    a.append(np.minimum(ids[x], ids[y]))
-                    b.append(np.maximum(ids[x], ids[y]))
-            if a:
-                yield _pairs_schema(a, b)
+                    marked[y] = marked[x] = True
+            if marked.any():
+                yield from t.select(list(range(7))).take(np.nonzero(marked)[0]).combine_chunks().to_batches()
+
+    kinds = "cell long, id long, n long, sketch binary, component long, left boolean, right boolean"
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, kinds)
+
 
-    return d.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, least: float, ratio: float) -> DataFrame:
+    """Links on full sets that join the components of each cell; what a cell has joined already isn't compared again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 0):
+            ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
+            comp, sketch = comp.copy(), _matrix(t.column(3))
+            left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
+            full = [np.array(x, np.int64) for x in t.column(7).to_pylist()]
+            same, u, v = bool(len(left) and len(right) and left[0] == right[0]), [], []
+            for x in left.tolist():
+                y = _allowed(x, right, same, comp, n, sketch, least, ratio)
+                if not len(y):
+                    continue
+                flat = np.concatenate([full[k] for k in y.tolist()])
+                at = np.minimum(np.searchsorted(full[x], flat), len(full[x]) - 1)
+                both = np.add.reduceat(full[x][at] == flat, np.cumsum(n[y]) - n[y], dtype=np.int64)
+                for k in y[100 * both >= threshold * (n[x] + n[y] - both)].tolist():
+                    if comp[k] != comp[x]:
+                        u.append(ids[x])
+                        v.append(ids[k])
+                        comp[comp == comp[k]] = comp[x]
+            if u:
+                yield _pairs_schema([np.array(u)], [np.array(v)])
+
+    rows = suspects.join(sets, "id").select("cell", "id", "n", "sketch", "component", "left", "right", "set")
+    links = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -238,7 +279,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 4, limit: int = 512, block: int = 512, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 4, limit: int = 512, block: int = 256, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept for every row. ``threshold``: percent."""
     if not 1 <= trees <= TOKENS:
@@ -260,9 +301,10 @@ def near_duplicates(
     # a pair that meets in several nodes is compared in each, but told by the least of them only
     seats = placed.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(seats, "id")
-    again = work.save(_second_pass(marked, least, ratio, block).join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    if again.limit(1).count():
-        more = _links(df, again, k, threshold, work, id_col, text_col)
+    suspects = work.save(_suspects(_cells(marked, block), least, ratio), "suspects")
+    if suspects.limit(1).count():
+        sets = full_sets(df, suspects.select("id"), k, work, id_col, text_col, signed=True)
+        more = _spanning_links(suspects, sets, threshold, least, ratio)
         known = component.filter("id != component").select(F.col("id").alias("u"), F.col("component").alias("v"))
         component = work.save(connected_components(known.unionByName(more), work), "components2")
     out = members.join(component.withColumnRenamed("id", "rep"), "rep", "left")

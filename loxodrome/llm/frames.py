@@ -39,6 +39,11 @@ def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
+def known_texts(column: pa.Array) -> pa.Array:
+    """A column of texts with empty ones for null; without nulls the column itself, not a copy."""
+    return pc.fill_null(column, "") if column.null_count else column
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Cut a column of texts into runs of about ``size`` bytes; a longer text makes a run of its own."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))

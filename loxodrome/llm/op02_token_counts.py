@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loxodrome.llm.bpe_dp import Vocabulary
-from loxodrome.llm.frames import SLICE_BYTES, narrow, per_batch, slices
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
 from loxodrome.llm.transducer import CountingTransducer
 
 _SPACE = "▁"
@@ -48,7 +48,7 @@ def token_counts(df: DataFrame, model_file: str, limit: int, id_col: str = "doc_
         counter = piece_counter(model_file)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = pc.fill_null(batch.column(1), "")
+            texts = known_texts(batch.column(1))
             counts = []
             for part in slices(texts, SLICE_BYTES * 4):
                 marked = [t.replace(" ", _SPACE) for t in part.to_pylist()]

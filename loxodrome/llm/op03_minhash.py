@@ -28,12 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.components import connected_components
-from loxodrome.llm.frames import grouped, narrow, per_batch, slices
+from loxodrome.llm.frames import grouped, known_texts, narrow, per_batch, slices
 from loxodrome.llm.text_arrays import SPACED, mix, shingle_sets, words_of
 from loxodrome.llm.workspace import Workspace
 
@@ -60,7 +59,7 @@ def _sketches(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [_sketch(part, k) for part in slices(pc.fill_null(batch.column(1), ""))]
+            parts = [_sketch(part, k) for part in slices(known_texts(batch.column(1)))]
             n, d1, d2, tokens, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
             flat = pa.array(tokens.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), flat)
@@ -98,7 +97,7 @@ def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: st
 
     def make():
         def work_(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [shingle_sets(words_of(p, SPACED), k) for p in slices(pc.fill_null(batch.column(1), ""))]
+            parts = [shingle_sets(words_of(p, SPACED), k) for p in slices(known_texts(batch.column(1)))]
             flat = np.concatenate([h for h, _ in parts])
             sizes = np.concatenate([np.diff(f) for _, f in parts])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))

@@ -25,11 +25,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loxodrome.llm.frames import SLICE_BYTES, narrow, per_batch, slices
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
 from loxodrome.llm.text_arrays import ALNUM, Words, shingle_hashes, words_of
 
 #: Bytes of benchmark text in a block; an index is some thirty times as large.
@@ -151,7 +150,7 @@ def _counted(docs: DataFrame, vocab: dict[int, np.ndarray]) -> dict[int, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(len(v), np.int64) for k, v in vocab.items()}
         for batch in batches:
-            for part in slices(pc.fill_null(batch.column(0), ""), SLICE_BYTES):
+            for part in slices(known_texts(batch.column(0)), SLICE_BYTES):
                 words = words_of(part, ALNUM)
                 for k, v in vocab.items():
                     i, at = _met(shingle_hashes(words.hashes, k), v, flags[k])
@@ -210,7 +209,7 @@ def _joined(d: DataFrame, w: Windows, probes: list[Probes], id_col: str, spans:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES):
+            for part in slices(known_texts(batch.column(1)), SLICE_BYTES):
                 words = words_of(part, ALNUM)
                 hit, owners = find(words, w, probes)
                 n = len(part)
@@ -250,7 +249,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             clean = []
-            for part in slices(pc.fill_null(batch.column(place), ""), SLICE_BYTES):
+            for part in slices(known_texts(batch.column(place)), SLICE_BYTES):
                 words = words_of(part, ALNUM)
                 hits = np.bincount(words.text[find(words, w, probes)[0]], minlength=len(part))
                 clean.append((hits == 0) | (one_in * hits < words.counts))

@@ -30,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loxodrome.llm.frames import SLICE_BYTES, narrow, slices
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, slices
 from loxodrome.llm.memo import Memo
 from loxodrome.llm.workspace import Workspace
 
@@ -229,7 +228,7 @@ def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str, files:
         fs = writer = None
         for batch in batches:
             at = 0
-            for part in slices(pc.fill_null(batch.column(1), ""), 4 * SLICE_BYTES):
+            for part in slices(known_texts(batch.column(1)), 4 * SLICE_BYTES):
                 ids = batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
                 if writer is None:

@@ -20,11 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loxodrome.llm.bpe_dp import PrefixTable, SideBySide, Vocabulary, encode
-from loxodrome.llm.frames import SLICE_BYTES, narrow, per_batch, slices
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
 from loxodrome.llm.memo import Memo
 
 _CUT = re.compile(r" (?=\S)")
@@ -48,9 +47,9 @@ class ByteBpe:
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self._together = SideBySide(self.vocabulary)
-        self._pieces = Memo(self._piece, 50_000)
-        self._inner = Memo(lambda word: self._matches(" " + word), 300_000)
-        self._first = Memo(self._matches, 20_000)
+        self._pieces = Memo(self._piece, 30_000)
+        self._inner = Memo(lambda word: self._matches(" " + word), 100_000)
+        self._first = Memo(self._matches, 10_000)
         # tokens that merges never make; only as a whole match are they found
         odd = [r for r in ranks.values() if self.vocabulary.halves(r) is None]
         self._whole = {self.vocabulary.token[r].decode(errors="replace"): r.to_bytes(4, "little") for r in odd}
@@ -171,7 +170,7 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, digests, decoded, kept = [], [], [], []
-            for part in slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES * 4):
+            for part in slices(known_texts(batch.column(1)), SLICE_BYTES * 4):
                 texts = part.to_pylist()
                 codec.learn(texts)
                 for ids in map(codec.encode, texts):

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loxodrome.llm.frames import SLICE_BYTES, narrow, per_batch, slices
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
 from loxodrome.llm.text_arrays import ALNUM, Words, byte_class, hash_spans, words_of
 
 #: Leading bytes of a word that are features besides the whole word.
@@ -205,7 +205,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """``id_col``, held_out, score, predicted for every row."""
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [_score(words_of(p, ALNUM), model)[0] for p in slices(pc.fill_null(batch.column(1), ""), SLICE_BYTES)]
+            parts = [_score(words_of(p, ALNUM), model)[0] for p in slices(known_texts(batch.column(1)), SLICE_BYTES)]
             p = np.clip(np.concatenate(parts), 0, 1)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
 
@@ -221,7 +221,7 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: f
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = pc.fill_null(batch.column(place), "")
+            texts = known_texts(batch.column(place))
             scores = np.concatenate([_score(words_of(p, ALNUM), model)[0] for p in slices(texts, SLICE_BYTES)])
             return batch.filter(pa.array(scores < threshold))
 

@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
@@ -186,20 +186,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     Contaminated: at least one word in ``one_in`` is hit.
     """
     d = narrow(docs, id_col, text_col)
-    found, blocks = None, 0
-    for w, probes, blocks in _blocks(d.select(text_col), benchmark, window, text_col, item_col):
-        hits = _joined(d, w, probes, id_col, spans=blocks > 1)
+    met = list(_blocks(d.select(text_col), benchmark, window, text_col, item_col))
+    if len(met) == 1:
+        ((w, probes, _),) = met
+        out = _joined(d, w, probes, id_col, spans=False).drop("spans", "copy")
+    else:
+        each = _united(d, met, id_col).withColumn("_each", F.explode(F.sequence(F.lit(1), "_times")))
+        out = each.select(id_col, "n_words", "n_hit", "items")
+    return out.withColumn("contaminated", _enough(one_in))
+
+
+def _enough(one_in: int) -> Column:
+    return (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))
+
+
+def _united(d: DataFrame, met: list[tuple[Windows, list[Probes], int]], id_col: str) -> DataFrame:
+    """``id_col``, copy, n_words, items, _times, n_hit: one row for all equal documents, their hits of all blocks united word by word."""
+    found = None
+    for w, probes, _ in met:
+        hits = _joined(d, w, probes, id_col, spans=True)
         found = hits if found is None else found.unionByName(hits)
-    if blocks == 1:
-        out = found.drop("spans", "copy")
-    else:  # rows of one document from each block; hits are united word by word
-        place = found.select(id_col, "copy", F.explode("spans").alias("s")).select(id_col, "copy", F.explode(F.sequence("s.a", F.col("s.b") - 1)).alias("w"))
-        place = place.distinct().groupBy(F.col(id_col).alias("_id"), F.col("copy").alias("_copy")).agg(F.count(F.lit(1)).alias("n_hit"))
-        once = found.groupBy(id_col, "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("_times"))
-        out = once.join(place, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
-        out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("_each", F.explode(F.sequence(F.lit(1), "_times")))
-        out = out.select(id_col, "n_words", "n_hit", "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+    place = found.select(id_col, "copy", F.explode("spans").alias("s")).select(id_col, "copy", F.explode(F.sequence("s.a", F.col("s.b") - 1)).alias("w"))
+    place = place.distinct().groupBy(F.col(id_col).alias("_id"), F.col("copy").alias("_copy")).agg(F.count(F.lit(1)).alias("n_hit"))
+    once = found.groupBy(id_col, "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(met)).cast("int").alias("_times"))
+    out = once.join(place, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left").drop("_id", "_copy")
+    return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
 
 
 def _joined(d: DataFrame, w: Windows, probes: list[Probes], id_col: str, spans: bool) -> DataFrame:
@@ -237,12 +248,13 @@ def _joined(d: DataFrame, w: Windows, probes: list[Probes], id_col: str, spans:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows that aren't contaminated, with all their columns; a pass for the counts, one for the join.
 
-    A benchmark of several blocks is met by :func:`contamination` and a join of the rows with its result.
+    Rows are judged by their own texts. A benchmark of several blocks is met by a join with the contaminated rows on
+    id and digest of the text, so rows that share an id, or have none, don't fall together.
     """
     met = list(_blocks(docs.select(text_col), benchmark, window, text_col, item_col))
     if len(met) > 1:
-        found = contamination(docs, benchmark, window, one_in, id_col, text_col, item_col).filter("contaminated")
-        return docs.join(found.select(F.col(id_col).alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        gone = _united(narrow(docs, id_col, text_col), met, id_col).filter(_enough(one_in)).select(F.col(id_col).alias("_id"), F.col("copy").alias("_copy"))
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_copy"]), "left_anti")
     ((w, probes, _),) = met
     place = docs.columns.index(text_col)
 

@@ -256,6 +256,19 @@ def test_decontamination(spark, docs, monkeypatch, block_bytes):
     assert op04_decontamination.contamination(nothing(docs), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_decontamination_judges_rows_not_ids(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(op04_decontamination, "BLOCK_BYTES", block_bytes)
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(13))) for i in range(6)]
+    bad, good = items[0][1], "nothing of the benchmark"
+    rows = [(None, bad), (None, good), (None, None), (1, items[3][1]), (1, good), (1, good), (2, bad), (2, bad), (3, good)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
+    clean = op04_decontamination.keep_clean(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == d.columns
+    want = [(None, good), (None, None), (1, good), (1, good), (3, good)]
+    assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=str) == sorted(want, key=str)
+
+
 def test_sharding(spark, docs):
     out = op05_sharding.stratified_shards(docs, 4, bucket_rows=3).collect()
     assert len(out) == len(awkward_texts())

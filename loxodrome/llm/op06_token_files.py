@@ -5,7 +5,8 @@ ascending id order, in blocks of whole documents that begin on a byte:
 
 ========  =======================================================================================
 payload   blocks of packed ids, least significant bit first
-index     documents' doc_id i64, their lengths u64, blocks' first documents u64, their byte offsets u64
+index     documents' doc_id i64 (0 for null), their lengths u64, blocks' first documents u64, their byte offsets
+          u64, documents' null flags u8 (1 for a null doc_id)
 header    magic ``LXPK``, version u16, bits u16, documents u64, ids u64, blocks u64
 footer    offset of the index u64, magic ``LXPK``
 ========  =======================================================================================
@@ -16,7 +17,7 @@ Files are written from the executors into the shared folder under names that no
 written by Spark's own commit protocol, names those that count. Lost executors and repeated attempts leave at most
 files that nothing refers to.
 
-Defined cases: a null text is empty (only the end id); repeated doc_ids stand next to each other, ordered by text;
+Defined cases: a null text is empty (only the end id); null doc_ids are kept as such and stand before all others; repeated doc_ids stand next to each other, ordered by text;
 other columns are ignored; a very long text is a block of its own; an empty table gives no files.
 """
 
@@ -38,7 +39,7 @@ from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, slices
 from loxodrome.llm.memo import Memo
 from loxodrome.llm.workspace import Workspace
 
-MAGIC, _HEAD, _FOOT = b"LXPK", struct.Struct("<4sHHQQQ"), struct.Struct("<Q4s")
+MAGIC, VERSION, _HEAD, _FOOT = b"LXPK", 2, struct.Struct("<4sHHQQQ"), struct.Struct("<Q4s")
 #: ASCII punctuation but the apostrophe, which begins contractions.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of one call of the library.
@@ -80,7 +81,7 @@ class PackedWriter:
         self._docs, self._lengths, self._firsts, self._offsets = [], [], [], []
         self._open, self._held, self._at, self.ids = [], 0, 0, 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         if not self._open:
             self._firsts.append(len(self._docs))
             self._offsets.append(self._at)
@@ -101,9 +102,10 @@ class PackedWriter:
     def close(self) -> None:
         if self._open:
             self._flush()
-        for column, kind in ((self._docs, "<i8"), (self._lengths, "<u8"), (self._firsts, "<u8"), (self._offsets, "<u8")):
+        docs, nulls = [0 if i is None else i for i in self._docs], [i is None for i in self._docs]
+        for column, kind in ((docs, "<i8"), (self._lengths, "<u8"), (self._firsts, "<u8"), (self._offsets, "<u8"), (nulls, "u1")):
             self._sink.write(np.array(column, kind).tobytes())
-        self._sink.write(_HEAD.pack(MAGIC, 1, self.bits, len(self._docs), self.ids, len(self._firsts)))
+        self._sink.write(_HEAD.pack(MAGIC, VERSION, self.bits, len(self._docs), self.ids, len(self._firsts)))
         self._sink.write(_FOOT.pack(self._at, MAGIC))
         self._sink.close()
 
@@ -115,14 +117,15 @@ class PackedReader:
         self._source, size = source, source.size()
         source.seek(size - _FOOT.size - _HEAD.size)
         tail = source.read(_FOOT.size + _HEAD.size)
-        magic, _, self.bits, docs, self.ids, blocks = _HEAD.unpack_from(tail)
+        magic, version, self.bits, docs, self.ids, blocks = _HEAD.unpack_from(tail)
         self._index, end = _FOOT.unpack_from(tail, _HEAD.size)
-        if magic != MAGIC or end != MAGIC:
+        if magic != MAGIC or end != MAGIC or version != VERSION:
             raise ValueError("not a packed token file")
         source.seek(self._index)
         read = lambda kind, n: np.frombuffer(source.read(8 * n), kind)
         self.docs, self.lengths = read("<i8", docs), read("<u8", docs).astype(np.int64)
         self._firsts, self._offsets = read("<u8", blocks).astype(np.int64), read("<u8", blocks).astype(np.int64)
+        self.nulls = np.frombuffer(source.read(docs), "u1").astype(bool)
         self._starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self._block, self._data = -1, b""
 
@@ -260,7 +263,7 @@ def read_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Data
                     reader = PackedReader(source)
                     crc = [zlib.crc32(reader[i].astype("<u4").tobytes()) for i in range(len(reader))]
                     first = start + np.cumsum(reader.lengths) - reader.lengths
-                    yield pa.RecordBatch.from_arrays([pa.array(reader.docs), pa.array(first), pa.array(reader.lengths), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(reader.docs, mask=reader.nulls), pa.array(first), pa.array(reader.lengths), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     spread = starts.select("file", "start").repartition("file")
     return spread.mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")

@@ -125,6 +125,18 @@ def test_token_files(spark, docs):
     assert op06_token_files.packed_tokens(nothing(docs), path, 2).count() == 0
 
 
+def test_token_files_keep_null_ids(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    model = tokenizers.Tokenizer.from_file(path)
+    out = op06_token_files.packed_tokens(docs, path, 2, file_rows=5).orderBy("start").collect()
+    at = 0
+    for (i, t), r in zip(sorted(awkward_texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), out, strict=True):
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(r) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 32])
 def test_packing_round_trip(bits):
     rng = np.random.default_rng(bits)

@@ -314,6 +314,18 @@ def power_by_unit(s, d):
     return _money(rates.power_by_unit(fm, power_cells(s, d)))
 
 
+@query(
+    f"WITH {_power_sql()}, fu AS (SELECT cell_id AS c2, p_type AS geology_unit FROM cells LEFT JOIN part ON p_partkey = cell_id % (SELECT count(*) FROM part)) "
+    f"SELECT coalesce(geology_unit, 'nan') AS geology_unit, {_SUMS}, {_SHARE} AS fraction_total_power FROM obs LEFT JOIN fu ON c2 = cell_id GROUP BY 1"
+)
+def power_by_unit_all_cells(s, d):
+    """All cells, with units from all rows of the parts."""
+    parts = _t(s, d, "part")
+    units = parts.select(F.col("p_partkey").alias("_k"), F.col("p_type").alias("geology_unit"))
+    fm = gridding.base_grid(s, COARSE).withColumn("_k", F.col("cell_id") % parts.count()).join(units, "_k", "left")
+    return _money(rates.power_by_unit(fm, power_cells(s, d)))
+
+
 @query(
     f"WITH {_power_sql()}, th(t) AS (VALUES (55), (60), (65)), q AS (SELECT t, count(CASE WHEN abs(lat_centre) >= t THEN 1 END) AS a, count(CASE WHEN abs(lat_centre) < t THEN 1 END) AS b, sum(CASE WHEN abs(lat_centre) >= t THEN sum_power_gw ELSE 0.0 END) AS ps, sum(CASE WHEN abs(lat_centre) < t THEN sum_power_gw ELSE 0.0 END) AS ns, "
     "avg(CASE WHEN abs(lat_centre) >= t THEN primary_power_gw END) AS pm, avg(CASE WHEN abs(lat_centre) < t THEN primary_power_gw END) AS nm FROM th, obs GROUP BY t) "

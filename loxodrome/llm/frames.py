@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,27 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch that are worked on at a time, by bytes of text; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session doesn't name a bound of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_held: dict = {}
+
+
+def resident(key: Hashable, make: Callable):
+    """``make()``, kept for the tasks to come. A process keeps one such object: another one takes its place."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what :func:`resident` keeps, and give the memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -26,17 +50,39 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
-def per_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` of ``make()(batch)``, where ``make`` runs once a task."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes. Unless ``run`` uses a resident object (``keeps``), workers drop theirs."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        return run(batches)
+
+    return df.mapInArrow(run if keeps else released, schema)
+
+
+def per_slice(
+    df: DataFrame, schema: str | StructType, text_col: str, make: Callable[[], Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]], size: int = SLICE_BYTES, keeps: bool = False
+) -> DataFrame:
+    """``make()(rows, texts)`` for each run of rows with about ``size`` bytes of text, an output batch for each.
+
+    ``make`` runs once a task; ``texts`` is the rows' text column, with empty texts for null.
+    """
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            if batch.num_rows:
-                work = work or make()
-                yield work(batch)
+            if not batch.num_rows:
+                continue
+            work, at = work or make(), 0
+            for part in slices(known_texts(batch.column(place)), size):
+                yield work(batch.slice(at, len(part)), part)
+                at += len(part)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema, keeps)
 
 
 def known_texts(column: pa.Array) -> pa.Array:
@@ -46,7 +92,7 @@ def known_texts(column: pa.Array) -> pa.Array:
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Cut a column of texts into runs of about ``size`` bytes; a longer text makes a run of its own."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0
@@ -55,6 +101,14 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = stop
 
 
+def long_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A column of lists; of large ones where 32-bit offsets wouldn't do."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    if ends[-1] < 1 << 31:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
     """Runs of equal keys of a sorted stream; whoever sorts the stream bounds the runs."""
     held: list[pa.RecordBatch] = []

@@ -17,8 +17,8 @@ Files are written from the executors into the shared folder under names that no
 written by Spark's own commit protocol, names those that count. Lost executors and repeated attempts leave at most
 files that nothing refers to.
 
-Defined cases: a null text is empty (only the end id); null doc_ids are kept as such and stand before all others; repeated doc_ids stand next to each other, ordered by text;
-other columns are ignored; a very long text is a block of its own; an empty table gives no files.
+Defined cases: a null text is empty (only the end id); null doc_ids are kept as such and stand before all others; repeated doc_ids stand next to each
+other, ordered by a digest of the text; other columns are ignored; a very long text is a block of its own; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -31,20 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, slices
-from loxodrome.llm.memo import Memo
+from loxodrome.llm.frames import SLICE_BYTES, known_texts, map_batches, narrow, resident, slices
+from loxodrome.llm.memo import Memo, Ragged, pieces
+from loxodrome.llm.text_arrays import KIND, LOWER, OTHER, column_bytes
 from loxodrome.llm.workspace import Workspace
 
 MAGIC, VERSION, _HEAD, _FOOT = b"LXPK", 2, struct.Struct("<4sHHQQQ"), struct.Struct("<Q4s")
-#: ASCII punctuation but the apostrophe, which begins contractions.
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Kinds of bytes as in text_arrays, and gaps that the model drops.
+_GAP = 3
+_KINDS = KIND.copy()
+_KINDS[list(b" \n")] = _GAP
 #: Words of one call of the library.
-_AT_ONCE = 1000
-_encoders: dict[str, WordEncoder] = {}
+_AT_ONCE = 4000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -82,16 +85,25 @@ class PackedWriter:
         self._open, self._held, self._at, self.ids = [], 0, 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if not self._open:
-            self._firsts.append(len(self._docs))
-            self._offsets.append(self._at)
-        self._docs.append(doc_id)
-        self._lengths.append(len(ids))
-        self._open.append(ids)
-        self._held += len(ids)
-        self.ids += len(ids)
-        if self._held >= self._limit:
-            self._flush()
+        self.extend([doc_id], Ragged(ids, np.array([len(ids)], np.int64)))
+
+    def extend(self, doc_ids: list[int | None], ids: Ragged) -> None:
+        """Many documents at once; blocks end where they would if added one by one."""
+        ends, sizes, at = np.cumsum(ids.sizes), ids.sizes.tolist(), 0
+        while at < len(doc_ids):
+            if not self._open:
+                self._firsts.append(len(self._docs))
+                self._offsets.append(self._at)
+            base = int(ends[at - 1]) if at else 0
+            stop = min(len(doc_ids), int(np.searchsorted(ends, base + self._limit - self._held)) + 1)
+            self._docs += doc_ids[at:stop]
+            self._lengths += sizes[at:stop]
+            self._open.append(ids.flat[base : int(ends[stop - 1])])
+            self._held += int(ends[stop - 1]) - base
+            at = stop
+            if self._held >= self._limit:
+                self._flush()
+        self.ids += len(ids.flat)
 
     def _flush(self) -> None:
         data = pack(np.concatenate(self._open), self.bits)
@@ -124,7 +136,7 @@ class PackedReader:
         source.seek(self._index)
         read = lambda kind, n: np.frombuffer(source.read(8 * n), kind)
         self.docs, self.lengths = read("<i8", docs), read("<u8", docs).astype(np.int64)
-        self._firsts, self._offsets = read("<u8", blocks).astype(np.int64), read("<u8", blocks).astype(np.int64)
+        self.firsts, self._offsets = read("<u8", blocks).astype(np.int64), read("<u8", blocks).astype(np.int64)
         self.nulls = np.frombuffer(source.read(docs), "u1").astype(bool)
         self._starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self._block, self._data = -1, b""
@@ -132,31 +144,38 @@ class PackedReader:
     def __len__(self) -> int:
         return len(self.docs)
 
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of block after block, the documents' lengths and all their ids."""
+        for first, stop in zip(self.firsts.tolist(), [*self.firsts[1:].tolist(), len(self)], strict=True):
+            self[first]
+            yield self.lengths[first:stop], unpack(self._data, self.bits, int(self._starts[stop] - self._starts[first]))
+
     def __getitem__(self, i: int) -> np.ndarray:
-        block = int(np.searchsorted(self._firsts, i, "right")) - 1
+        block = int(np.searchsorted(self.firsts, i, "right")) - 1
         if block != self._block:
             stop = self._offsets[block + 1] if block + 1 < len(self._offsets) else self._index
             self._source.seek(int(self._offsets[block]))
             self._block, self._data = block, self._source.read(int(stop - self._offsets[block]))
-        return unpack(self._data, self.bits, int(self.lengths[i]), int(self._starts[i] - self._starts[self._firsts[block]]))
+        return unpack(self._data, self.bits, int(self.lengths[i]), int(self._starts[i] - self._starts[self.firsts[block]]))
 
 
 class WordEncoder:
-    """A tokenizers model that drops white space, fed word by word.
+    """A tokenizers model that drops white space, fed part by part.
 
-    Normalisation, splitting and merges of such a model never cross a space or line end, so a text's ids are
-    those of its words; only words that a bounded memo lacks go through the library, many in a call.
+    Normalisation, splitting and merges of such a model never cross a space or line end, nor a place where an ASCII
+    letter or digit meets ASCII punctuation (the apostrophe, which begins contractions, apart). So a text's ids are
+    those of the parts between such places. A column of texts is cut in numpy, and only distinct parts that a bounded
+    memo lacks go through the library, many in a call.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.vocabulary = self.model.get_vocab_size(with_added_tokens=True)
-        self.words = Memo(lambda w: self._ids([w])[0], memo)
-        self._parts = Memo(lambda p: self._ids([p])[0], memo // 2)
+        self._memo = Memo(self._learn, "<u4", limit=64 << 20)
         self._ends = np.zeros(self.vocabulary, bool)  # tokens that end a match
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self._ends[i] = token.endswith("</w>")
@@ -164,55 +183,68 @@ class WordEncoder:
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(m in t for m in self._marks) else t.replace("\n", " ").split(" ") for t in texts]
-        known, recall = self.words, self.words.recall
-        new = set().union(*filter(None, split)).difference(known)
-        self._learn([w for w in new if recall(w) is None])
-        out = [self._ids([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
-        known.trim()
-        self._parts.trim()
-        return [np.frombuffer(b, "<u4") for b in out]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words are parts in lower case: where punctuation follows a letter or digit, the model always cuts."""
-        cut, parts = [], self._parts
-        for w in words:
-            x = w.lower() if w.isascii() else w
-            stem = x.rstrip(_PUNCTUATION)
-            cut.append((stem, x[len(stem) :]) if stem and len(stem) < len(x) and stem[-1].lower()[-1].isalnum() else (x,))
-        new = [p for p in {p for ps in cut for p in ps} if parts.recall(p) is None]
-        plain = [p for p in new if p.isalpha() and (p.isascii() or _settled(p))]
-        for kind, encode in ((plain, self._plain), (list(set(new).difference(plain)), self._together)):
-            for lo in range(0, len(kind), _AT_ONCE):
-                part = kind[lo : lo + _AT_ONCE]
-                parts.update(zip(part, encode(part), strict=True))
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in zip(words, cut, strict=True))
-
-    def _plain(self, words: list[str]) -> list[bytes]:
+        return resident(("words", path), lambda: cls(path))
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        """The ids of each text. A text that holds a special token's string goes through the library as it is."""
+        marked = np.zeros(len(texts), bool)
+        for m in self._marks:
+            marked |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        data, offsets = column_bytes(texts)
+        parts, first = _parts(data, offsets)
+        ids = self._memo.rows(parts)
+        ends = np.concatenate([[0], np.cumsum(ids.sizes)])
+        sizes = ends[first[1:]] - ends[first[:-1]]
+        if not marked.any():
+            return Ragged(ids.flat, sizes)
+        starts = ends[first[:-1]]
+        rows = [ids.flat[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        for i in np.nonzero(marked)[0].tolist():
+            rows[i] = np.array(self.model.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return Ragged(np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def _learn(self, parts: list[bytes]) -> Ragged:
+        words = [p.decode() for p in parts]
+        plain = np.fromiter((w.isalpha() and (w.isascii() or _settled(w)) for w in words), bool, len(words))
+        order, found = [], []
+        for kind, encode in ((plain, self._plain), (~plain, self._together)):
+            (which,) = np.nonzero(kind)
+            for lo in range(0, len(which), _AT_ONCE):
+                part = which[lo : lo + _AT_ONCE]
+                order.append(part)
+                found.append(encode([words[i] for i in part.tolist()]))
+        return Ragged.joined(found).take(np.argsort(np.concatenate(order), kind="stable"))
+
+    def _plain(self, words: list[str]) -> Ragged:
         """Words of letters are one match each, so a word ends with each token that ends a match."""
         ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [0, *((np.nonzero(self._ends[ids])[0] + 1) * 4).tolist()]
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return Ragged(ids, np.diff(np.concatenate([[0], np.nonzero(self._ends[ids])[0] + 1])))
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str]) -> Ragged:
         """One call for many words, joined by spaces: a token belongs to the word that its place lies in."""
-        joined = " ".join(words)
-        e = self.model.encode(joined, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
+        e = self.model.encode(" ".join(words), add_special_tokens=False)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
-        cuts = (np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)])) * 4).tolist()
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+        return Ragged(np.array(e.ids, "<u4"), np.diff(np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))))
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Parts of the texts, those of ASCII in lower case, and the number of each text's first one (one more at the end)."""
+    kind = _KINDS[data]
+    inside = kind != _GAP
+    (kept,) = np.nonzero(inside)
+    kind, data = kind[kept], data[kept]
+    new = np.ones(len(kept), bool)
+    if len(kept):
+        new[1:] = (kept[1:] != kept[:-1] + 1) | ((kind[1:] != kind[:-1]) & (kind[1:] < OTHER) & (kind[:-1] < OTHER))
+    edges = np.searchsorted(kept, offsets)
+    new[edges[edges < len(kept)]] = True
+    bounds = np.append(np.nonzero(new)[0], len(kept))
+    if len(kept):
+        # lower-casing letter by letter is left to the model where letters beyond ASCII stand by
+        ascii_ = np.logical_and.reduceat(data < 128, bounds[:-1])
+        data = np.where(np.repeat(ascii_, np.diff(bounds)), LOWER[data], data)
+    return pieces(data, bounds), np.searchsorted(bounds[:-1], edges)
 
 
 def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str, files: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,15 +252,15 @@ def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str, files:
 
     The manifest: part (the range's number), file, documents, ids.
     """
-    d = narrow(df, id_col, text_col)
-    ordered = d.repartitionByRange(files, id_col).sortWithinPartitions(id_col, text_col)
+    d = narrow(df, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    ordered = d.repartitionByRange(files, "id", "digest").sortWithinPartitions("id", "digest").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = WordEncoder.load(tokenizer)
-        bits, end = bits_for(max(encoder.vocabulary, end_id + 1)), np.array([end_id], "<u4")
-        fs = writer = None
+        bits = bits_for(max(encoder.vocabulary, end_id + 1))
+        writer = None
         for batch in batches:
             at = 0
             for part in slices(known_texts(batch.column(1)), 4 * SLICE_BYTES):
@@ -239,34 +271,45 @@ def write_files(df: DataFrame, tokenizer: str, end_id: int, folder: str, files:
                     fs.create_dir(root, recursive=True)
                     name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
                     writer = PackedWriter(fs.open_output_stream(f"{root}/{name}"), bits)
-                for doc_id, tokens in zip(ids, encoder.encode(part.to_pylist()), strict=True):
-                    writer.add(doc_id, np.concatenate([tokens, end]))
+                tokens = encoder.encode(part)
+                ended = np.insert(tokens.flat, np.cumsum(tokens.sizes), np.uint32(end_id))
+                writer.extend(ids, Ragged(ended, tokens.sizes + 1))
         if writer is not None:
             writer.close()
             rows = [[TaskContext.get().partitionId()], [name], [len(writer._docs)], [writer.ids]]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["part", "file", "documents", "ids"])
 
-    return ordered.mapInArrow(run, "part long, file string, documents long, ids long")
+    return map_batches(ordered, run, "part long, file string, documents long, ids long", keeps=True)
+
+
+def _starts(manifest: DataFrame, run: int = 1024) -> DataFrame:
+    """``file, start``: the ids before each file, summed up within runs of parts and over the runs."""
+    m = manifest.withColumn("run", F.expr(f"part div {run}"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = m.groupBy("run").agg(F.sum("ids").alias("n"))  # a row for each thousand files
+    runs = runs.select("run", F.coalesce(F.sum("n").over(before([], "run")), F.lit(0)).alias("before"))
+    inside = m.withColumn("inside", F.coalesce(F.sum("ids").over(before(["run"], "part")), F.lit(0)))
+    return inside.join(runs, "run").select("file", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def read_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))  # a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as source:
-                    reader = PackedReader(source)
-                    crc = [zlib.crc32(reader[i].astype("<u4").tobytes()) for i in range(len(reader))]
+                    reader, crc = PackedReader(source), []
+                    for sizes, ids in reader.blocks():
+                        raw, ends = memoryview(ids.astype("<u4").tobytes()), (np.cumsum(sizes) * 4).tolist()
+                        crc += [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     first = start + np.cumsum(reader.lengths) - reader.lengths
                     yield pa.RecordBatch.from_arrays([pa.array(reader.docs, mask=reader.nulls), pa.array(first), pa.array(reader.lengths), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    spread = starts.select("file", "start").repartition("file")
-    return spread.mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    files = _starts(manifest).repartition("file")
+    return map_batches(files, run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_tokens(df: DataFrame, tokenizer: str, end_id: int, file_rows: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

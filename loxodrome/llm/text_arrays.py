@@ -15,8 +15,13 @@ _P = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
 _CHUNK = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes are ASCII letters and digits, ASCII punctuation but the apostrophe (which begins contractions), or others.
+ALNUM_BYTE, PUNCTUATION, OTHER = range(3)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = ALNUM_BYTE
+KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = PUNCTUATION
 
 
 def byte_class(members) -> np.ndarray:
@@ -80,7 +85,7 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: pa.Array, member: np.ndarray, lower: bool = True) -> Words:
     data, offsets = column_bytes(texts)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = member[data]
     before = np.empty_like(inside)
     before[:1] = False

@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from loxodrome.llm.frames import narrow
 from loxodrome.llm.workspace import Workspace
 
-_TOP = float(1 << 53)
+_TOP = float(1 << 52)
 
 
 def _uniform(*columns) -> F.Column:
-    """A seeded hash as a double in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(_TOP)
+    """A seeded hash as a double in [0, 1): the first 52 bits of MD5, so that other engines draw alike."""
+    text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(_TOP)
 
 
 def _numbered(df: DataFrame, keys: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
@@ -64,10 +65,10 @@ def stratified_shards(df: DataFrame, shards: int, seed: int = 17, bucket_rows: i
     rows = work.save(rows, "rows")
     total = rows.count()
     buckets = min(max_buckets, max(1, -(-total // bucket_rows)))
-    rows = rows.withColumn("h", _uniform(F.lit(seed), "id", "crc", "src"))
+    rows = rows.withColumn("h", _uniform(F.lit(seed), F.col("id"), F.col("crc"), F.col("src")))
     rows = rows.withColumn("b", F.floor(F.col("h") * buckets))
     ranked = _numbered(rows, ["src"], "b", ["h", "id", "bytes", "crc"], "rank")
-    start = _uniform(F.lit(seed + 1), "src")
+    start = _uniform(F.lit(seed + 1), F.col("src"))
     ranked = ranked.withColumn("fraction", (F.col("rank") + start) / F.col("rank_of"))
     ranked = ranked.withColumn("part", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
     ranked = work.save(ranked.select("id", "bytes", "crc", "src", "source", "h", "fraction", "part").withColumn("all", F.lit(0)), "ranked")

@@ -2,16 +2,18 @@
 
 A document is a bag of sentences. A sentence's logit is a bias plus the weights of its words and of their leading
 letters, of those that training keeps; a document is toxic unless all its sentences are not:
-``P = 1 - prod(1 - sigmoid(s_i))``. Training maximises the likelihood of document labels under this, so a toxic
-document blames the sentences that explain it, and :func:`offending_sentences` finds them.
-
-The model is fit on a bounded sample of labelled rows (``MAX_SAMPLE`` of each label, texts up to
-``MAX_SAMPLE_BYTES``), picked by a seeded hash of the id. Scoring is one pass over all rows without a shuffle.
-Only the text is an input of a score.
-
-Defined cases: a null, empty or wordless text has the score of no sentence, 0; repeated rows each get a row;
-labels that are null are ignored, contradictory ones count as toxic; without labels of both kinds all scores
-are 0; an empty table gives no rows; other columns are ignored.
+``P = 1 - prod(1 - sigmoid(s_i))``. A sentence without any kept feature says nothing and has the probability 0, so
+that no text gets a score by its length alone. Training maximises the likelihood of document labels under this, so a
+toxic document blames the sentences that explain it, and :func:`offending_sentences` finds them.
+
+The model is fit on a bounded sample of labelled rows (``MAX_SAMPLE`` of each label, of any length), picked by a
+seeded hash of the id. Executors count their features and list the kept ones by sentence; texts don't reach the
+driver. Scoring is one pass over all rows without a shuffle. Only the text is an input of a score.
+
+Defined cases: a null, empty or wordless text has the score of no sentence, 0; repeated rows each get a row (and are
+learnt from once); a null id is never learnt from and isn't held out; labels that are null are ignored, contradictory
+ones count as toxic; without labels of both kinds, or without rows, all scores are 0; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
+from loxodrome.llm.frames import known_texts, long_lists, map_batches, narrow, per_slice, slices
 from loxodrome.llm.text_arrays import ALNUM, Words, byte_class, hash_spans, words_of
+from loxodrome.llm.workspace import Workspace
 
 #: Leading bytes of a word that are features besides the whole word.
 PREFIXES = (4, 5, 6)
-#: Labelled rows of each label that training takes, and the longest text among them.
-MAX_SAMPLE, MAX_SAMPLE_BYTES = 3000, 1 << 14
+#: Labelled rows of each label that training takes.
+MAX_SAMPLE = 4000
 #: A sentence is cut after so many words, so that text without sentence ends has sentences too.
 SENTENCE_WORDS = 24
 _ENDS = byte_class(b".!?\n")
@@ -94,66 +96,79 @@ def _score(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
     heads, n = _sentences(words), len(words.first) - 1
     if not len(heads):
         return np.zeros(n), heads, np.zeros(0)
-    weights = np.concatenate([[0.0], model.weights])
-    logit = np.add.reduceat(weights[model.find(_features(words))].sum(axis=1), heads) + model.bias
-    clean = np.bincount(words.text[heads], np.logaddexp(0, logit), minlength=n)  # -log of the chance that no sentence is toxic
-    return -np.expm1(-clean), heads, 1 / (1 + np.exp(-logit))
+    found = model.find(_features(words))
+    says = np.maximum.reduceat(found.max(axis=1), heads) > 0
+    logit = np.add.reduceat(np.concatenate([[0.0], model.weights])[found].sum(axis=1), heads) + model.bias
+    # -log of the chance that no sentence is toxic
+    clean = np.bincount(words.text[heads], np.where(says, np.logaddexp(0, logit), 0.0), minlength=n)
+    return np.clip(-np.expm1(-clean), 0, 1), heads, np.where(says, 1 / (1 + np.exp(-logit)), 0.0)
 
 
-def _counts(features: np.ndarray, text: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features with the numbers of documents, and of toxic ones, that have them."""
-    f, t = features.ravel(), np.repeat(text, features.shape[1])
-    order = np.lexsort((t, f))
-    f, t = f[order], t[order]
-    once = np.ones(len(f), bool)
-    once[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
-    return _summed(f[once], np.ones(once.sum(), np.int32), (labels[t[once]] == 1).astype(np.int32))
+def _counted(rows: DataFrame) -> DataFrame:
+    """``feature, docs, toxic``: in how many documents, and toxic ones, each feature stands."""
+
+    def make():
+        def work(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            words, y = words_of(texts, ALNUM), batch.column(1).to_numpy()
+            features = _features(words)
+            f, t = features.ravel(), np.repeat(words.text, features.shape[1])
+            order = np.lexsort((t, f))
+            f, t = f[order], t[order]
+            once = np.ones(len(f), bool)
+            once[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
+            f, t = f[once], t[once]
+            keys, first = np.unique(f, return_index=True)
+            docs = np.diff(np.append(first, len(f)))
+            toxic = np.add.reduceat(y[t], first) if len(f) else docs
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["feature", "docs", "toxic"])
 
+        return work
 
-def _summed(f: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, first = np.unique(f, return_index=True)
-    return (keys, np.add.reduceat(docs, first), np.add.reduceat(toxic, first)) if len(keys) else (f, docs, toxic)
+    each = per_slice(rows, "feature long, docs long, toxic long", "text", make)
+    return each.groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")).filter("feature <> 0")
 
 
-def select(texts: pa.Array, labels: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
-    """Features that are in more toxic documents than chance would put there, by ``least_z`` standard deviations.
+def select(rows: DataFrame, least_docs: int, least_z: float) -> np.ndarray:
+    """Features that are in more toxic documents than chance would put there, by ``least_z`` standard deviations."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
+    if not n["n"] or not 0 < n["toxic"] < n["n"]:
+        return np.zeros(0, np.uint64)
+    share = n["toxic"] / n["n"]
+    z = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * share * (1 - share))
+    kept = _counted(rows).filter((F.col("docs") >= least_docs) & (z >= least_z)).select("feature").orderBy("feature")
+    return np.sort(kept.toArrow().column(0).to_numpy().view(np.uint64))
 
-    Counted slice by slice; only the counts of distinct features are held.
-    """
-    total, at = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)), 0
-    for part in slices(texts, SLICE_BYTES):
-        words = words_of(part, ALNUM)
-        more = _counts(_features(words), words.text, labels[at : at + len(part)])
-        at += len(part)
-        joined = [np.concatenate(x) for x in zip(total, more, strict=True)]
-        order = np.argsort(joined[0], kind="stable")
-        total = _summed(*(x[order] for x in joined))
-    keys, docs, toxic = total
-    share = (labels == 1).mean()
-    z = (toxic - docs * share) / np.sqrt(np.maximum(docs * share * (1 - share), 1e-12))
-    return keys[(docs >= least_docs) & (z >= least_z) & (keys != 0)]
-
-
-def train(texts: pa.Array, labels: np.ndarray, steps: int = 3500, rate: float = 0.3, decay: float = 1e-4, batch: int = 64, least_docs: int = 3, least_z: float = 6.0, seed: int = 5) -> Model:
-    """Adaptive gradient steps on the bags' likelihood, both labels with equal weight in sum."""
-    none = np.zeros(0, np.uint64)
-    keys = select(texts, labels, least_docs, least_z) if len(set(labels.tolist())) == 2 else none
-    if not len(keys):
-        return Model.of(none, np.zeros(0), -np.inf)
+
+def _listed(rows: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Of each row its label, and its kept features: numbers from 1, and the sentence of each."""
     empty = Model.of(keys, np.zeros(len(keys)), 0.0)
-    of_text, sentence, number, at, n = [], [], [], 0, 0
-    # a sentence is a row of counts over the kept features; most have none and differ only in the bias
-    for part in slices(texts, SLICE_BYTES):
-        words = words_of(part, ALNUM)
-        heads, found = _sentences(words), empty.find(_features(words))
-        row, column = np.nonzero(found)
-        mark = np.zeros(len(found), np.int64)
-        mark[heads] = 1
-        of_text.append(words.text[heads] + at)
-        sentence.append((np.cumsum(mark) - 1)[row] + n)
-        number.append(found[row, column].astype(np.int64))
-        at, n = at + len(part), n + len(heads)
-    of_text, sentence, number = map(np.concatenate, (of_text, sentence, number))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in slices(known_texts(batch.column(3))):
+                words, n = words_of(part, ALNUM), len(part)
+                found = empty.find(_features(words))
+                row, column = np.nonzero(found)
+                heads = _sentences(words)
+                mark = np.zeros(len(found), np.int64)
+                mark[heads] = 1
+                sizes = np.bincount(words.text[row], minlength=n)
+                sentence = (np.cumsum(mark) - 1)[row] - np.searchsorted(words.text[heads], words.text[row])
+                lists = [long_lists(x.astype(np.int32), sizes) for x in (sentence, found[row, column])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in range(3)), *lists], names=["id", "h", "y", "sentence", "feature"])
+                at += n
+
+    return map_batches(rows.select("id", "h", "y", "text"), run, "id long, h long, y int, sentence array<int>, feature array<int>")
+
+
+def train(labels: np.ndarray, of_text: np.ndarray, sentence: np.ndarray, number: np.ndarray, keys: np.ndarray, steps: int = 3500, rate: float = 0.3, decay: float = 1e-4, batch: int = 64, seed: int = 5) -> Model:
+    """Adaptive gradient steps on the bags' likelihood, both labels with equal weight in sum.
+
+    ``of_text`` has each sentence's document, in rising order; ``sentence`` and ``number`` each kept feature's sentence
+    (rising) and number from 1.
+    """
+    n = len(of_text)
     start = np.searchsorted(sentence, np.arange(n + 1))
     first = np.searchsorted(of_text, np.arange(len(labels) + 1))
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
@@ -183,51 +198,60 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = 3500, rate: float =
     return Model.of(keys, weights[1:-1], float(weights[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least_docs: int = 3, least_z: float = 6.0, seed: int = 5
+) -> Model:
     """Train on a bounded sample of the labelled rows that aren't held out."""
-    known = narrow(labels, id_col, label_col).filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(id_col).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
-    pick = F.xxhash64(F.lit(seed), id_col)
+    work = Workspace(docs.sparkSession)
+    known = narrow(labels, id_col, label_col).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
+    pick = F.xxhash64(F.lit(seed), "id")
     sample = None
     for y in (0, 1):  # at most 2 * MAX_SAMPLE small rows are broadcast
-        part = known.filter(F.col("_y") == y).orderBy(pick, id_col).limit(MAX_SAMPLE)
+        part = known.filter(F.col("y") == y).orderBy(pick, "id").limit(MAX_SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    short = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= MAX_SAMPLE_BYTES
-    rows = narrow(docs, id_col, text_col).filter(short).join(F.broadcast(sample), id_col)
-    # copies of a document share an id at most; twice the sample bounds what reaches the driver
-    table = rows.orderBy(pick, id_col, text_col).limit(2 * MAX_SAMPLE).select(text_col, "_y").toArrow()
-    texts = pc.fill_null(table.column(0), "").combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    return train(texts.cast(pa.string()), table.column(1).to_numpy(), seed=seed)
+    texts = narrow(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    rows = work.save(rows.select("text", "y", "id", "h"), "sample")
+    # many texts of one id: so many rows are learnt from as there may be ids
+    chosen = rows.select("id", "h").orderBy(pick, "id", "h").limit(2 * MAX_SAMPLE)
+    rows = rows.join(F.broadcast(chosen), ["id", "h"]).select("text", "y", "id", "h")
+    none = np.zeros(0, np.uint64)
+    keys = select(rows, least_docs, least_z)
+    if not len(keys):
+        work.drop(work.saved[0])
+        return Model.of(none, np.zeros(0), 0.0)
+    table = _listed(rows, keys).orderBy(pick, "id", "h").select("y", "sentence", "feature").toArrow()
+    work.drop(work.saved[0])
+    y = table.column("y").to_numpy()
+    sizes = np.concatenate([[0], np.cumsum(table.column("sentence").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
+    sentence, number = (table.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("sentence", "feature"))
+    doc = np.repeat(np.arange(len(y)), np.diff(sizes))
+    new = np.ones(len(doc), bool)  # sentences are numbered over all documents, those without a kept feature left out
+    new[1:] = (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])
+    return train(y, doc[new], np.cumsum(new) - 1, number, keys, seed=seed)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``id_col``, held_out, score, predicted for every row."""
+
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [_score(words_of(p, ALNUM), model)[0] for p in slices(known_texts(batch.column(1)), SLICE_BYTES)]
-            p = np.clip(np.concatenate(parts), 0, 1)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
+        def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(words_of(texts, ALNUM), model)[0])], names=[id_col, "score"])
 
         return work
 
-    scored = per_batch(narrow(df, id_col, text_col), f"{id_col} long, score double", make)
+    scored = per_slice(narrow(df, id_col, text_col), f"{id_col} long, score double", text_col, make)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows whose score is below ``threshold``, with all their columns; one pass."""
-    place = df.columns.index(text_col)
 
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = known_texts(batch.column(place))
-            scores = np.concatenate([_score(words_of(p, ALNUM), model)[0] for p in slices(texts, SLICE_BYTES)])
-            return batch.filter(pa.array(scores < threshold))
-
-        return work
+        return lambda rows, texts: rows.filter(pa.array(_score(words_of(texts, ALNUM), model)[0] < threshold))
 
-    return per_batch(df, df.schema, make)
+    return per_slice(df, df.schema, text_col, make)
 
 
 def offending_sentences(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int, float]]:

@@ -75,9 +75,12 @@ def render(messages: DataFrame, run: int = 512) -> DataFrame:
 
     ``mask[i]`` has ``start``, counted from the turn's start mark, and ``length`` (0: no loss), in characters.
     """
-    m = messages.select("conv_id", "seq", "message_id", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("learn"))
+    m = messages.select("conv_id", "seq", "message_id", "role", "text")
     m = m.withColumn("run", F.coalesce(F.floor(F.col("seq") / run).cast("long"), F.lit(-(1 << 63))))
-    runs = m.groupBy("conv_id", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "message_id", "role", "text", "learn"))).alias("turns"))
+    runs = m.groupBy("conv_id", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "message_id", "role", "text"))).alias("turns"))
+    # ties are sorted as the texts came; only then are marks in them escaped
+    escaped = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("learn")))
+    runs = runs.withColumn("turns", escaped)
     runs = runs.select(
         "conv_id",
         "run",

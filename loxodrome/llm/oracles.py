@@ -52,7 +52,19 @@ CAST(sum(length('<|im_start|>' || er || chr(10) || et || '<|im_end|>' || chr(10)
 FROM esc GROUP BY conv_id
 """
 
+# crc32 by its table of 256 remainders, byte by byte
+SHARDING = """
+WITH rem AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id AS id, coalesce(strlen(text), 0) AS n, coalesce('s' || source, '-') AS src, source,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, rem),
+h AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(id::VARCHAR, 'null') || ':' || crc || ':' || src), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS h, ('0x' || substr(md5('18:' || src), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS start FROM d),
+r AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY h, id NULLS FIRST, n, crc) - 1 + start) / (count(*) OVER (PARTITION BY src))::DOUBLE AS fraction, count(*) OVER () AS total FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, src, h, id NULLS FIRST, n, crc) - 1 AS place FROM r)
+SELECT id AS doc_id, n + 1 AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard, place - ((place * 8 // total) * total + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p
+"""
+
 ORACLES = {
+    "op5_sharding": SHARDING,
     "op1_ego_join": EGO_JOIN,
     "op3_minhash": MINHASH,
     "op4_decontamination": DECONTAMINATION,

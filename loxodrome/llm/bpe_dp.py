@@ -17,6 +17,7 @@ from collections import deque
 import numpy as np
 
 from loxodrome.llm.int_table import IntTable
+from loxodrome.llm.memo import Ragged
 
 _NEVER = 1 << 60
 #: Stands for an atom outside the vocabulary: nothing merges with it.
@@ -275,10 +276,10 @@ class SideBySide:
                 left, at, stop = left[bad], at[bad] + 1, stop[bad]
         return order, sizes, last
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers, read off the tables from their ends."""
+    def encode(self, words: list[bytes]) -> Ragged:
+        """The ids of each word, read off the tables from their ends."""
         if not words:
-            return []
+            return Ragged(np.zeros(0, "<u4"), np.zeros(0, np.int64))
         order, sizes, last = self.last_tokens(words)
         at, lane, found = sizes - 1, np.arange(len(words)), []
         n = np.zeros(len(words), np.int64)
@@ -293,7 +294,4 @@ class SideBySide:
         flat = np.empty(int(ends[-1]), "<u4")
         for k, (lane, t) in enumerate(found):
             flat[ends[lane] - 1 - k] = t
-        joined, out = flat.tobytes(), [b""] * len(words)
-        for i, a, b in zip(order.tolist(), ((ends - n) * 4).tolist(), (ends * 4).tolist(), strict=True):
-            out[i] = joined[a:b]
-        return out
+        return Ragged(flat, n).take(np.argsort(order, kind="stable"))

@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct ``k``-word shingles. Documents with equal sets form a class, and one row
-stands for it from then on. Every class carries minwise tokens (the least values of its set under seeded hashes)
-and a one-permutation sketch.
+A document is the set of its distinct ``k``-word shingles. Documents with equal sets (by a 128-bit digest and the
+size) form a class, and one row stands for it from then on. Every class carries minwise tokens (the least values of
+its set under seeded hashes) and a one-permutation sketch.
 
 Each of ``trees`` independent trees sends a class down one chosen minwise token; nodes with more than ``limit``
 classes branch again, by two further tokens chosen by the node, down to ``depth`` levels. Two sets with similarity J
@@ -10,38 +10,50 @@ share a token with probability J, so at the threshold they part in every tree wi
 the first level and little more below it (:func:`miss_probability`). A node that keeps most of its parent's classes
 is a crowd of near copies that tokens don't part; it branches no further and is compared as it is.
 
-Nodes are compared exhaustively on sketches, whose estimate leaves a margin of five standard deviations; what
-passes is confirmed on full sets. The first pass confirms each node's classes against one of them, chosen by a
-seeded hash, and joins what links into components. The second pass compares all remaining pairs of a node that are
-in different components, and confirms those that sketches allow on full sets, inside a task that returns only
-links that join components: a crowd of thousands of near copies lists no pairs. Nodes that stay large are split
-into blocks for that, block against block: no cap, no candidate is dropped.
-
-Defined cases: null, empty and wordless texts have empty sets and link with nothing; a shorter text than ``k``
-words is one shingle; repeated rows each get a row, and rows with one id are one vertex; a null id is kept, without
-a component; an empty table gives no rows; other columns are ignored.
+Nodes are compared exhaustively on sketches, whose estimate leaves a margin below the threshold
+(:func:`sketch_miss`); what passes is confirmed on full sets. The first pass compares each node's classes with one of
+them, the first by a seeded hash, by cells of at most ``limit`` rows (and the cells' first ones again, so that no task
+sees a whole crowd), and joins what links into components. The second pass compares all remaining pairs of a node
+that are in different components, and confirms those that sketches allow on full sets, inside a task that returns only
+links that join components: a crowd of thousands of near copies lists no pairs. Nodes that stay large are split into
+blocks bounded by rows and by shingles for that, block against block: no cap, no candidate is dropped.
+
+Full sets go to a task as one block and a stream, or as two blocks; a first one is sent once for each 256 of its
+partners, not once a pair.
+
+Defined cases of :func:`near_duplicates`: null, empty and wordless texts have empty sets and link with nothing; a
+shorter text than ``k`` words is one shingle; repeated rows each get a row; rows with one id are one vertex, with the
+links of all their texts; a null id is kept, without a component and without a part in others' components; an empty
+table gives no rows; other columns are ignored. :func:`near_groups` judges rows by their texts alone, whatever their
+ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm.components import connected_components
-from loxodrome.llm.frames import grouped, known_texts, narrow, per_batch, slices
+from loxodrome.llm.frames import grouped, map_batches, narrow, per_slice
 from loxodrome.llm.text_arrays import SPACED, mix, shingle_sets, words_of
 from loxodrome.llm.workspace import Workspace
 
 TOKENS = 32  # minwise tokens of a class
 BINS = 256  # of the sketch, a byte each
 #: A node with this share of its parent's classes is a crowd.
-CROWD = 0.5
+CROWD = 0.7
 #: Up to so many ids are sent to all tasks to pick documents by; beyond, documents are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
+#: Shingles that weigh as much as a row when blocks are cut.
+HEAVY = 8192
+#: Partners that one copy of a set serves.
+SHARED = 256
 
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -54,22 +66,31 @@ def miss_probability(j: float, trees: int, depth: int) -> float:
     return (1 - j * meet) ** trees
 
 
+def sketch_miss(j: float, least: float) -> float:
+    """That a pair of similarity ``j`` has a sketch estimate below ``least``, if its bins are independent and all used."""
+    return sum(math.exp(math.lgamma(BINS + 1) - math.lgamma(k + 1) - math.lgamma(BINS - k + 1) + k * math.log(j) + (BINS - k) * math.log1p(-j)) for k in range(math.ceil(least * BINS)))
+
+
 def _sketches(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, d1, d2, tokens, sketch`` of every row; d1, d2: a digest of the set."""
+    """``id, h, n, d1, d2, tokens, sketch`` of every row; h: a hash of the text; d1, d2: a digest of the set."""
 
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [_sketch(part, k) for part in slices(known_texts(batch.column(1)))]
-            n, d1, d2, tokens, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            n, d1, d2, tokens, sketch = _sketch(texts, k)
             flat = pa.array(tokens.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), flat)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(n), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
-            arrays = [batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, raw]
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "d1", "d2", "tokens", "sketch"])
+            arrays = [rows.column(0), rows.column(1), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, raw]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n", "d1", "d2", "tokens", "sketch"])
 
         return work
 
-    return per_batch(narrow(df, id_col, text_col), "id long, n long, d1 long, d2 long, tokens array<long>, sketch binary", make)
+    return per_slice(_hashed(df, id_col, text_col), "id long, h long, n long, d1 long, d2 long, tokens array<long>, sketch binary", "text", make)
+
+
+def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d = narrow(df, id_col, text_col)
+    return d.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
 def _sketch(texts: pa.Array, k: int):
@@ -92,25 +113,23 @@ def _sketch(texts: pa.Array, k: int):
     return n, d1, d2, tokens, sketch
 
 
-def full_sets(df: DataFrame, ids: DataFrame, k: int, work: Workspace, id_col: str, text_col: str, signed: bool = False) -> DataFrame:
-    """``id, set`` (64-bit shingle hashes) of the documents that ``ids`` names; ``signed``: sorted as Spark's longs are."""
+def _full_sets(df: DataFrame, wanted: DataFrame, k: int, work: Workspace, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """``id, set`` of the classes ``id`` with representing rows (``rid``, ``rh``); a set is its sorted 64-bit shingle hashes, as bytes."""
 
     def make():
-        def work_(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [shingle_sets(words_of(p, SPACED), k) for p in slices(known_texts(batch.column(1)))]
-            flat = np.concatenate([h for h, _ in parts])
-            sizes = np.concatenate([np.diff(f) for _, f in parts])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-            return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "set"])
+        def work_(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            flat, first = shingle_sets(words_of(texts, SPACED), k)
+            ends = first.astype(np.int64) * 8
+            sets = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays([rows.column(0), sets.cast(pa.binary())], names=["id", "set"])
 
         return work_
 
-    ids = work.save(ids.distinct(), "ids")
-    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    docs = narrow(df, id_col, text_col).join(picked.withColumnRenamed("id", id_col), id_col, "left_semi")
-    sets = work.save(per_batch(docs, "id long, set array<long>", make), "sets")
-    sets = sets.dropDuplicates(["id"])
-    return sets.withColumn("set", F.array_sort("set")) if signed else sets
+    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    docs = _hashed(df, id_col, text_col).withColumnRenamed("id", "own")
+    docs = docs.join(picked, docs["own"].eqNullSafe(picked["rid"]) & (docs["h"] == picked["rh"])).select(picked["id"], "text")
+    sets = work.save(per_slice(docs, "id long, set binary", "text", make), "sets")
+    return sets.dropDuplicates(["id"]) if repeated else sets  # rows equal in id and text give one set several times
 
 
 def _nodes(classes: DataFrame, trees: int, depth: int, limit: int, work: Workspace) -> DataFrame:
@@ -120,8 +139,10 @@ def _nodes(classes: DataFrame, trees: int, depth: int, limit: int, work: Workspa
     out = None
     for level in range(1, depth + 1):
         rows = work.save(rows, f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).filter("size > 1")
+        # written before the join, so that both of its sides are shuffles that adaptive execution may split
+        sizes = work.save(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).filter("size > 1"), f"sizes{level}")
         sized = work.save(rows.drop("parent").join(sizes, "node"), f"nodes{level}")
+        work.drop(rows)
         large = (F.col("size") > limit) & (F.col("size") < CROWD * F.col("parent")) if level < depth else F.lit(False)
         final = sized.filter(~large).select("id", "node", "size")
         out = final if out is None else out.unionByName(final)
@@ -141,57 +162,115 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(used, 1)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
+def _bytes_of(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of bytes, one row after another, and where each row begins (one more at the end)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    column, width = column.cast(pa.large_binary()), np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return raw.view(kind), (ends - ends[0]) // width
+
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _bytes_of(column, "u1")[0].reshape(-1, BINS)
 
-def _pairs_schema(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
+def _pairs(a: np.ndarray, b: np.ndarray, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=list(names))
 
-def _first_pass(rows: DataFrame, least: float, ratio: float) -> DataFrame:
-    """Each class of a node with the node's first one by a seeded hash, where sketches and sizes allow a link."""
+
+def _first_pass(placed: DataFrame, least: float, ratio: float, limit: int, work: Workspace) -> DataFrame:
+    """``a, b``: the first class of a cell of a node with others of it, where sketches and sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None  # node, id, n, sketch
+        held = None  # the open cell, and its first row
         for batch in batches:
-            node, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cell, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             sketch = _matrix(batch.column(3))
-            heads = np.concatenate([[True], node[1:] != node[:-1]])
-            if pivot is not None and node[0] == pivot[0]:
-                heads[0] = False
-                at = np.cumsum(heads)
-            else:
-                at = np.cumsum(heads) - 1
-                pivot = None
+            heads = np.concatenate([[held is None or cell[0] != held[0]], cell[1:] != cell[:-1]])
             (first,) = np.nonzero(heads)
-            p_ids, p_n, p_sketch = ids[first], n[first], sketch[first]
-            if pivot is not None:
-                p_ids, p_n, p_sketch = np.concatenate([[pivot[1]], p_ids]), np.concatenate([[pivot[2]], p_n]), np.concatenate([pivot[3][None], p_sketch])
-            good = (ids != p_ids[at]) & (np.minimum(n, p_n[at]) >= ratio * np.maximum(n, p_n[at]))
-            (i,) = np.nonzero(good)
+            again = batch.take(pa.array(first)).filter(pa.compute.greater(batch.take(pa.array(first)).column(5), 1))
+            if again.num_rows:  # the first ones of a node's cells meet again
+                yield pa.RecordBatch.from_arrays([pa.nulls(again.num_rows, pa.int64()), *(again.column(k) for k in (1, 2, 3, 4, 5))], names=["a", "b", "n", "sketch", "node", "size"])
+            p_ids, p_n, p_sketch, at = ids[first], n[first], sketch[first], np.cumsum(heads) - 1
+            if not heads[0]:
+                p_ids, p_n, p_sketch, at = np.append(held[1], p_ids), np.append(held[2], p_n), np.concatenate([held[3][None], p_sketch]), at + 1
+            (i,) = np.nonzero((ids != p_ids[at]) & (np.minimum(n, p_n[at]) >= ratio * np.maximum(n, p_n[at])))
             i = i[_estimate(sketch[i], p_sketch[at[i]]) >= least]
             if len(i):
-                a, b = ids[i], p_ids[at[i]]
-                yield _pairs_schema([np.minimum(a, b)], [np.maximum(a, b)])
-            pivot = (node[-1], p_ids[at[-1]], p_n[at[-1]], p_sketch[at[-1]])
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(p_ids[at[i]]), pa.array(ids[i]), none, pa.nulls(len(i), pa.binary()), none, none], names=["a", "b", "n", "sketch", "node", "size"])
+            held = (cell[-1], p_ids[at[-1]], p_n[at[-1]], p_sketch[at[-1]].copy())
+
+    rows, found = placed.select("node", "id", "n", "sketch", "size"), None
+    while True:
+        cells = F.ceil(F.col("size") / limit).cast("long")
+        own = F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(3)), cells))
+        d = rows.select(own.alias("cell"), "id", "n", "sketch", "node", cells.alias("cells"), F.xxhash64("id").alias("order"))
+        d = d.repartition("cell").sortWithinPartitions("cell", "order", "id").drop("order")
+        out = work.save(map_batches(d, run, "a long, b long, n long, sketch binary, node long, size long"), "pass1")
+        pairs = out.filter("a is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = out.filter("a is null").select("node", F.col("b").alias("id"), "n", "sketch", "size")
+        if not rows.limit(1).count():
+            return found.distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, work: Workspace) -> DataFrame:
+    """``u, v``: the pairs whose full sets' similarity is ``threshold`` percent or more.
+
+    A set ``a`` meets its partners in cells of some ``SHARED`` of them, as the first row of the cell's stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_, head, own = None, None, 0
+        for batch in batches:
+            cell, ids, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            flat, at = _bytes_of(batch.column(3), "<u8")
+            cuts = [0, *(np.nonzero(cell[1:] != cell[:-1])[0] + 1).tolist(), len(cell)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if cell[lo] != cell_:
+                    cell_, head, own = cell[lo], flat[at[lo] : at[lo + 1]].copy(), ids[lo]
+                    assert first[lo]
+                    lo += 1
+                if lo == hi:
+                    continue
+                part, sizes = flat[at[lo] : at[hi]], np.diff(at[lo : hi + 1])
+                both = np.add.reduceat(_among(part, head), at[lo:hi] - at[lo], dtype=np.int64)
+                good = 100 * both >= threshold * (len(head) + sizes - both)
+                if good.any():
+                    yield _pairs(np.full(good.sum(), own), ids[lo:hi][good], ("u", "v"))
 
-    order = F.xxhash64("node", "id")
-    sorted_ = rows.select("node", "id", "n", "sketch").repartition("node").sortWithinPartitions("node", order, "id")
-    return sorted_.mapInArrow(run, "a long, b long")
+    per = work.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("long").alias("cells")), "partners")
+    cell = lambda of: F.xxhash64("a", of)
+    others = pairs.join(per, "a").select(cell(F.pmod(F.xxhash64("b"), F.col("cells"))).alias("cell"), F.col("b").alias("id"), F.lit(False).alias("first"))
+    firsts = per.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("c"))
+    firsts = firsts.select(cell(F.col("c")).alias("cell"), F.col("a").alias("id"), F.lit(True).alias("first"))
+    rows = others.unionByName(firsts).join(sets, "id").select("cell", "id", "first", "set")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("first").desc(), "id")
+    return map_batches(rows, run, "u long, v long")
 
 
-def _cells(rows: DataFrame, block: int) -> DataFrame:
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_, values)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == values
+
+
+def _cells(rows: DataFrame, block: int, work: Workspace) -> DataFrame:
     """Nodes with several components as cells of two blocks, ``left`` and ``right``, whose pairs are to be compared.
 
-    The classes outside a node's most frequent component meet all others of the node.
+    The classes outside a node's heaviest component meet all others of the node.
     """
-    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+    weight = 1 + F.floor(F.col("n") / HEAVY)
+    sizes = rows.groupBy("node", "component").agg(F.sum(weight).alias("c"))
     # a struct's maximum is its first field's; ties by component
     main = sizes.groupBy("node").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # a component that doesn't dominate its node isn't special: all meet all
-    main = main.select("node", F.when(F.col("main.c") > block, F.col("main.component")).alias("main"), F.when(F.col("main.c") > block, F.col("all") - F.col("main.c")).otherwise(F.col("all")).alias("few"), F.when(F.col("main.c") > block, F.col("main.c")).otherwise(0).alias("many"))
-    d = rows.join(main, "node")
+    heavy = F.col("main.c") > block
+    main = main.select("node", F.when(heavy, F.col("main.component")).alias("main"), F.when(heavy, F.col("all") - F.col("main.c")).otherwise(F.col("all")).alias("few"), F.when(heavy, F.col("main.c")).otherwise(0).alias("many"))
+    d = rows.join(work.save(main, "mains"), "node")
     few = ~F.coalesce(F.col("component") == F.col("main"), F.lit(False))
     nf, nm = F.ceil(F.col("few") / block).cast("int"), F.ceil(F.col("many") / block).cast("int")
     spread = F.xxhash64("id", F.lit(7))
@@ -202,8 +281,7 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
     down = F.when((~F.col("isfew")) | (F.col("own") > 0), F.transform(F.sequence(F.lit(0), F.least(F.col("own"), F.col("nf")) - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
     none = F.array().cast("array<struct<i:int,j:int>>")
     d = d.select("node", "id", "n", "sketch", "component", "nodes", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
-    d = d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node", "nodes")
-    return d
+    return d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node", "nodes")
 
 
 def _allowed(x: int, right: np.ndarray, same: bool, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float, ratio: float) -> np.ndarray:
@@ -236,7 +314,7 @@ def _suspects(cells: DataFrame, least: float, ratio: float) -> DataFrame:
                 yield from t.select(list(range(7))).take(np.nonzero(marked)[0]).combine_chunks().to_batches()
 
     kinds = "cell long, id long, n long, sketch binary, component long, left boolean, right boolean"
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, kinds)
+    return map_batches(cells.repartition("cell").sortWithinPartitions("cell"), run, kinds)
 
 
 def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, least: float, ratio: float) -> DataFrame:
@@ -247,71 +325,122 @@ def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, least:
             ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
             comp, sketch = comp.copy(), _matrix(t.column(3))
             left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
-            full = [np.array(x, np.int64) for x in t.column(7).to_pylist()]
+            flat, at = _bytes_of(t.column(7), "<u8")
             same, u, v = bool(len(left) and len(right) and left[0] == right[0]), [], []
             for x in left.tolist():
                 y = _allowed(x, right, same, comp, n, sketch, least, ratio)
                 if not len(y):
                     continue
-                flat = np.concatenate([full[k] for k in y.tolist()])
-                at = np.minimum(np.searchsorted(full[x], flat), len(full[x]) - 1)
-                both = np.add.reduceat(full[x][at] == flat, np.cumsum(n[y]) - n[y], dtype=np.int64)
+                own = flat[at[x] : at[x + 1]]
+                both = np.fromiter((np.count_nonzero(_among(flat[at[k] : at[k + 1]], own)) for k in y.tolist()), np.int64, len(y))
                 for k in y[100 * both >= threshold * (n[x] + n[y] - both)].tolist():
                     if comp[k] != comp[x]:
                         u.append(ids[x])
                         v.append(ids[k])
                         comp[comp == comp[k]] = comp[x]
             if u:
-                yield _pairs_schema([np.array(u)], [np.array(v)])
+                yield _pairs(np.array(u), np.array(v), ("u", "v"))
 
     rows = suspects.join(sets, "id").select("cell", "id", "n", "sketch", "component", "left", "right", "set")
-    links = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
-    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose full sets' similarity is ``threshold`` percent or more."""
-    a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    d = pairs.join(a, "a").join(b, "b")
-    d = d.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    return d.filter(100 * F.col("both") >= threshold * (F.size("set_a") + F.size("set_b") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return map_batches(rows.repartition("cell").sortWithinPartitions("cell"), run, "u long, v long")
+
+
+class _Found:
+    """What a run leaves in the shared folder: ``rows`` (id, h, n, row, class), ``classes`` (id, rep) and ``links`` (u, v) between classes."""
+
+    def __init__(self, df: DataFrame, nulls: bool, k: int, threshold: int, trees: int, depth: int, limit: int, block: int, margin: float, id_col: str, text_col: str):
+        if not 1 <= trees <= TOKENS:
+            raise ValueError(f"trees must be from 1 to {TOKENS}")
+        self.work = work = Workspace(df.sparkSession)
+        least, ratio = threshold / 100 - margin, threshold / 100
+        # a row's number is written with it, so it never changes
+        sketches = work.save(_sketches(df, k, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        digest = ["n", "d1", "d2"]
+        sound = (F.col("n") > 0) if nulls else (F.col("n") > 0) & F.col("id").isNotNull()
+        stands = work.save(sketches.filter(sound).groupBy(*digest).agg(F.min("id").alias("rep"), F.min("row").alias("class")), "stands")
+        # a class of very many rows is split by adaptive execution, as both sides are plain shuffles
+        rows = sketches.select("id", "h", "row", *digest).join(stands.select(*digest, "class"), digest, "left")
+        self.rows = work.save(rows.select("id", "h", "n", "row", F.when(sound, F.col("class")).alias("class")), "rows")
+        self.classes = stands.select(F.col("class").alias("id"), "rep")
+        first = sketches.select("row", F.col("id").alias("rid"), F.col("h").alias("rh"), "n", "tokens", "sketch")
+        classes = work.save(first.join(stands.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "id"), "classes")
+        work.drop(sketches)
+        repeated = bool(self.rows.groupBy("id", "h").count().filter("count > 1").limit(1).count())
+        sets_of = lambda ids: _full_sets(df, ids.distinct().join(classes.select("id", "rid", "rh"), "id"), k, work, id_col, text_col, repeated)
+
+        nodes = _nodes(classes, trees, depth, limit, work)
+        placed = work.save(nodes.join(classes.select("id", "n", "sketch"), "id"), "placed")
+        pairs = work.save(_first_pass(placed, least, ratio, limit, work), "pairs1")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        links = work.save(_confirmed(pairs, sets, threshold, work), "links1")
+        component = work.save(connected_components(links, work), "components1")
+        # a pair that meets in several nodes is compared in each, but told by the least of them only
+        seats = placed.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+        marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(seats, "id")
+        suspects = work.save(_suspects(_cells(marked, block, work), least, ratio), "suspects")
+        self.links = component.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+        self.more = bool(suspects.limit(1).count())
+        if self.more:
+            found = work.save(_spanning_links(suspects, sets_of(suspects.select("id")), threshold, least, ratio), "links2")
+            self.links = self.links.unionByName(found)
+        self.component = component
+
+    def components(self, more: DataFrame | None = None) -> DataFrame:
+        """``id, component`` of classes that have links, those of ``more`` included."""
+        if more is None and not self.more:
+            return self.component
+        return self.work.save(connected_components(self.links if more is None else self.links.unionByName(more), self.work), "components2")
 
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 4, limit: int = 512, block: int = 256, margin: float = 0.12, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 256, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept for every row. ``threshold``: percent."""
-    if not 1 <= trees <= TOKENS:
-        raise ValueError(f"trees must be from 1 to {TOKENS}")
-    work = Workspace(df.sparkSession)
-    least, ratio = threshold / 100 - margin, threshold / 100
-    rows = work.save(_sketches(df, k, id_col, text_col), "sketches")
-    digest = ["n", "d1", "d2"]
-    stands = rows.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep"))
-    members = work.save(rows.select("id", *digest).join(stands, digest, "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "members")
-    classes = rows.filter("n > 0").join(stands, digest).filter(F.col("id") == F.col("rep")).select("id", "n", "tokens", "sketch").dropDuplicates(["id"])
-    classes = work.save(classes, "classes")
-    nodes = _nodes(classes, trees, depth, limit, work)
-    placed = work.save(nodes.join(classes.select("id", "n", "sketch"), "id"), "placed")
-
-    pairs = work.save(_first_pass(placed, least, ratio).distinct(), "pairs1")
-    component = connected_components(_links(df, pairs, k, threshold, work, id_col, text_col), work)
-    component = work.save(component, "components1")
-    # a pair that meets in several nodes is compared in each, but told by the least of them only
-    seats = placed.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(seats, "id")
-    suspects = work.save(_suspects(_cells(marked, block), least, ratio), "suspects")
-    if suspects.limit(1).count():
-        sets = full_sets(df, suspects.select("id"), k, work, id_col, text_col, signed=True)
-        more = _spanning_links(suspects, sets, threshold, least, ratio)
-        known = component.filter("id != component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-        component = work.save(connected_components(known.unionByName(more), work), "components2")
-    out = members.join(component.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "rep"))
+    f = _Found(df, False, k, threshold, trees, depth, limit, block, margin, id_col, text_col)
+    again = f.work.save(f.rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("least"), F.max("class").alias("most")).filter("c > 1"), "again")
+    several = bool(again.limit(1).count())
+    # texts of one id are joined through it
+    of_id = f.rows.join(again.filter("least < most").select("id", "least"), "id").select(F.col("class").alias("u"), F.col("least").alias("v")).filter("u is not null")
+    component = f.components(of_id if several else None).withColumnRenamed("id", "class")
+    known = f.classes.withColumnRenamed("id", "class").join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = f.work.save(known.groupBy("component").agg(F.min("rep").alias("component_id")), "least_ids")
+    known = f.work.save(known.join(least, "component").select("class", "component_id"), "class_components")
+    out = f.rows.join(known, "class", "left")
+    if several:  # a wordless text of an id that has others
+        joined = out.filter("class is not null").select("id", F.col("component_id").alias("_of_id")).distinct().join(again.select("id"), "id")
+        out = out.join(joined, "id", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("id").isNotNull(), F.col("_of_id"))))
+    out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(df: DataFrame, pairs: DataFrame, k: int, threshold: int, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = full_sets(df, ids, k, work, id_col, text_col)
-    return confirmed(pairs, sets, threshold)
+def near_groups(
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 256, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id_col``, text_hash, group for every row that has words: rows of one group are near copies of one another's."""
+    f = _Found(df, True, k, threshold, trees, depth, limit, block, margin, id_col, text_col)
+    component = f.components().withColumnRenamed("id", "class")
+    out = f.rows.filter("class is not null").join(component, "class", "left")
+    return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.coalesce("component", "class").alias("group"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each group of near copies one row stays, with all its columns: that of the least id (nulls last).
+
+    Rows without words all stay. Rows that equal in id are told apart by their texts, and of rows equal in both one stays.
+    """
+    work = Workspace(df.sparkSession)
+    groups = work.save(near_groups(df, id_col=id_col, text_col=text_col, **options), "groups")
+    key = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))
+    first = work.save(groups.groupBy("group").agg(F.min(key).alias("first")), "firsts")
+    d = groups.join(first, "group").withColumn("stays", key.eqNullSafe(F.col("first")))
+    gone = work.save(d.filter(~F.col("stays")).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = lambda t: df[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(df[text_col]) == t["_hash"])
+    kept = df.join(gone, same(gone), "left_anti")
+    copies = work.save(d.filter("stays").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).count().filter("count > 1").drop("count"), "copies")
+    if not copies.limit(1).count():
+        return kept
+    # rows equal in id and text: the one whose other columns have the least digest
+    rows = df.join(copies, same(copies), "left_semi").withColumns({"_id": df[id_col], "_hash": F.xxhash64(df[text_col])})
+    row = F.struct(*[F.col(c) for c in df.columns])
+    one = rows.groupBy("_id", "_hash").agg(F.min_by(row, F.xxhash64(*df.columns)).alias("_row")).select("_row.*")
+    return kept.join(copies, same(copies), "left_anti").select(*df.columns).unionByName(one)

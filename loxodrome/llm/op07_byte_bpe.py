@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by prefix dynamic programming.
 
 A text is cut by the vocabulary's pattern; each match is encoded through the table of last tokens of its
-prefixes (:mod:`loxodrome.llm.bpe_dp`). Before that, the text is cut before every space that a non-space
-follows: the pattern never matches across such a place, so these segments are encoded on their own, and a
-bounded memo serves the frequent ones. No shuffle: one pass.
+prefixes (:mod:`loxodrome.llm.bpe_dp`). Before that, a column of texts is cut in numpy before every space that a
+non-space follows, and, if the pattern keeps them apart, where an ASCII letter or digit meets ASCII punctuation (but
+for the apostrophe): the pattern never matches across such a place, so these segments are encoded on their own, and
+only distinct ones that a bounded memo lacks. No shuffle: one pass.
 
-:class:`ByteBpe` also keeps a document's tables (:meth:`ByteBpe.open`), for exact appends and for encoding
-anew only near an edit.
+The matches of new segments fill their tables side by side; matches of more than ``LONG_PIECE`` bytes do so one at a
+time, which only spares the memory of a table as wide as the longest match. Both are the same recurrence.
+
+:class:`ByteBpe` also keeps a document's tables (:meth:`ByteBpe.open`), for exact appends and for cutting and
+encoding anew only near an edit.
 
 Defined cases: a null text is empty (no ids, decoded to no bytes); every row is encoded, repeated ones too;
 other columns are ignored; texts of any length are encoded whole.
@@ -16,21 +20,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loxodrome.llm.bpe_dp import PrefixTable, SideBySide, Vocabulary, encode
-from loxodrome.llm.frames import SLICE_BYTES, known_texts, narrow, per_batch, slices
-from loxodrome.llm.memo import Memo
+from loxodrome.llm.frames import SLICE_BYTES, narrow, per_slice, resident
+from loxodrome.llm.memo import Memo, Ragged, pieces
+from loxodrome.llm.text_arrays import KIND, OTHER, PUNCTUATION, byte_class, column_bytes
 
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?!\S)")
+#: Bytes after which a space may stand inside a match: ASCII white space and separators, and bytes that begin a space beyond ASCII.
+_STAY = byte_class([*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 #: Longer matches are encoded one at a time.
 LONG_PIECE = 96
-_codecs: dict[tuple[str, str], ByteBpe] = {}
+#: A match may depend on so many characters after it: the pattern's longest literal alternative, and one to look ahead.
+_AHEAD = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +45,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """Ids are little-endian unsigned 32-bit integers in a ``bytes``."""
+    """Ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -47,113 +53,128 @@ class ByteBpe:
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self._together = SideBySide(self.vocabulary)
-        self._pieces = Memo(self._piece, 30_000)
-        self._inner = Memo(lambda word: self._matches(" " + word), 100_000)
-        self._first = Memo(self._matches, 10_000)
+        self._memo = Memo(self._learn, "<u4", limit=64 << 20)
+        marks, found = [chr(c) for c in range(128) if KIND[c] == PUNCTUATION], self.pattern.findall
+        self._apart = all(found(a + p) == [a, p] and found(p + a) == [p, a] for a in "a1" for p in marks)
         # tokens that merges never make; only as a whole match are they found
         odd = [r for r in ranks.values() if self.vocabulary.halves(r) is None]
-        self._whole = {self.vocabulary.token[r].decode(errors="replace"): r.to_bytes(4, "little") for r in odd}
+        self._whole = {self.vocabulary.token[r]: r for r in odd}
         lengths = np.zeros(self.vocabulary.size, np.int64)
         for t, r in ranks.items():
             lengths[r] = len(t)
-        self._starts = np.concatenate([[0], np.cumsum(lengths)])
-        self._lengths = lengths
-        self._bytes = np.frombuffer(b"".join(self.vocabulary.token.get(r, b"") for r in range(self.vocabulary.size)), np.uint8)
+        self._tokens = Ragged(np.frombuffer(b"".join(self.vocabulary.token.get(r, b"") for r in range(self.vocabulary.size)), np.uint8), lengths)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
-        """One for each process."""
-        if (path, pattern) not in _codecs:
-            _codecs[path, pattern] = cls(read_ranks(path), pattern)
-        return _codecs[path, pattern]
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([r.to_bytes(4, "little") for r in encode(self.vocabulary, piece.encode())])
-
-    def _matches(self, segment: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(segment)))
+        return resident(("bytes", path, pattern), lambda: cls(read_ranks(path), pattern))
+
+    def encode_column(self, texts: pa.Array) -> Ragged:
+        """The ids of each text."""
+        data, offsets = column_bytes(texts)
+        space = np.nonzero(data[:-1] == 0x20)[0]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[space[~_STAY[data[space + 1]]]] = True
+        if self._apart and len(data):
+            kind = KIND[data]
+            cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] < OTHER) & (kind[:-1] < OTHER)
+        cut[offsets] = True
+        bounds = np.nonzero(cut)[0] if len(data) else np.zeros(1, np.int64)
+        if not len(data):
+            return Ragged(np.zeros(0, "<u4"), np.zeros(len(texts), np.int64))
+        ids = self._memo.rows(pieces(data, bounds))
+        ends = np.concatenate([[0], np.cumsum(ids.sizes)])[np.searchsorted(bounds, offsets)]
+        return Ragged(ids.flat, np.diff(ends))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text) is None:
-            first, *rest = text.split(" ")
-            return (self._first[first] if first else b"") + b"".join(map(self._inner.__getitem__, rest))
-        first, *rest = _CUT.split(text)
-        return (self._first[first] if first else b"") + b"".join(map(self._inner.__getitem__, rest))
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the segments of a batch that aren't known yet, all at once.
-
-        Joined by spaces they are a text again, whose matches begin with a space just where a segment begins.
-        """
-        known, recall = self._inner, self._inner.recall
-        words = {w for t in texts for w in t.split(" ") if w not in known}
-        words = [w for w in words if w and len(w) <= LONG_PIECE and not w[0].isspace() and recall(w) is None]
-        if not words:
-            return
-        matches = self.pattern.findall(" " + " ".join(words))
-        number = {p: i for i, p in enumerate(dict.fromkeys(matches))}
-        ids = self._together.encode([p.encode() for p in number])
-        for i, p in enumerate(number) if self._whole else ():
-            ids[i] = self._whole.get(p, ids[i])
-        at = list(map(number.__getitem__, matches))
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[at])
-        (heads,) = np.nonzero(np.fromiter((p[0] == " " for p in matches), bool, len(matches)))
-        flat = b"".join(map(ids.__getitem__, at))
-        cuts = [*(ends[heads - 1] * (heads > 0)).tolist(), len(flat)]
-        known.update((w, flat[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
-
-    def trim(self) -> None:
-        for memo in (self._pieces, self._inner, self._first):
-            memo.trim()
+        return self.encode_column(pa.array([text], pa.string())).flat.tobytes()
+
+    def _learn(self, segments: list[bytes]) -> Ragged:
+        """Cut segments into matches, and fill the tables of the distinct matches side by side."""
+        find = self.pattern.findall
+        matches, counts = [], np.zeros(len(segments), np.int64)
+        for i, s in enumerate(segments):
+            found = find(s.decode())
+            counts[i] = len(found)
+            matches += found
+        coded = pa.array(matches, pa.large_string()).cast(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        rows = self._pieces(distinct).take(coded.indices.to_numpy().astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(rows.sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return Ragged(rows.flat, np.diff(ends))
+
+    def _pieces(self, matches: list[bytes]) -> Ragged:
+        long = np.fromiter((len(m) > LONG_PIECE or m in self._whole for m in matches), bool, len(matches))
+        (short,), (rest,) = np.nonzero(~long), np.nonzero(long)
+        alone = [np.array(encode(self.vocabulary, matches[i]), "<u4") for i in rest.tolist()]
+        parts = [self._together.encode([matches[i] for i in short.tolist()])] + [Ragged(a, np.array([len(a)])) for a in alone]
+        return Ragged.joined(parts).take(np.argsort(np.concatenate([short, rest]), kind="stable"))
+
+    def decode_column(self, ids: Ragged) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all rows of ids, gathered at once from the vocabulary's concatenated bytes, and each row's number of bytes."""
+        out = self._tokens.take(ids.flat)
+        ends = np.concatenate([[0], np.cumsum(out.sizes)])[np.concatenate([[0], np.cumsum(ids.sizes)])]
+        return out.flat, np.diff(ends)
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids, gathered at once from the vocabulary's concatenated bytes."""
-        r = np.frombuffer(ids, "<u4")
-        n = self._lengths[r]
-        if not len(n):
-            return b""
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self._starts[r] - (ends - n), n)
-        return self._bytes[at].tobytes()
+        return self._tokens.take(np.frombuffer(ids, "<u4")).flat.tobytes()
 
     def open(self, text: str) -> OpenText:
         return OpenText(self, text)
 
 
 class OpenText:
-    """A text with the table of each match; appends and edits encode only what they touch."""
+    """A text with the table of each match; appends and edits cut and encode only what they touch."""
 
     def __init__(self, codec: ByteBpe, text: str):
         self.codec, self.text = codec, ""
-        self._matches: list[str] = []
+        self._starts: list[int] = []  # of matches, in characters
         self._tables: list[PrefixTable] = []
         self.replace(0, 0, text)
 
     def append(self, more: str) -> None:
         self.replace(len(self.text), len(self.text), more)
 
-    def replace(self, start: int, stop: int, new: str) -> None:
-        """Matches and tables before and after the edit stay; a match that grew at its end keeps its table."""
+    def replace(self, start: int, stop: int, new: str) -> int:
+        """Put ``new`` for ``text[start:stop]``; returns how many matches were cut anew.
+
+        Cutting begins at the first match that could depend on the edit, and ends where a match begins at an old
+        place behind the edit: from there on the pattern sees what it saw before.
+        """
+        old, shift = self._starts, len(new) - (stop - start)
         text = self.text[:start] + new + self.text[stop:]
-        matches = self.codec.pattern.findall(text)
-        old, lo = self._matches, 0
-        while lo < min(len(old), len(matches)) and old[lo] == matches[lo]:
-            lo += 1
-        hi = 0
-        while hi < min(len(old), len(matches)) - lo and old[-1 - hi] == matches[-1 - hi]:
-            hi += 1
-        middle = []
-        for k, m in enumerate(matches[lo : len(matches) - hi]):
-            if k == 0 and lo < len(old) - hi and m.startswith(old[lo]):
-                table = self._tables[lo]
-                table.append(m[len(old[lo]) :].encode())
-            else:
-                table = PrefixTable(self.codec.vocabulary, m.encode())
-            middle.append(table)
-        self._tables = self._tables[:lo] + middle + self._tables[len(old) - hi :]
-        self.text, self._matches = text, matches
+        # the matches before `lo` end at least _AHEAD characters before the edit; a match ends where the next begins
+        lo = max(0, bisect_right(old, start - _AHEAD) - 1)
+        begin = old[lo] if old else 0
+        starts, found, hi = [], [], len(old)
+        for m in self.codec.pattern.finditer(text, begin):
+            at = m.start()
+            if at >= start + len(new):
+                k = bisect_left(old, at - shift, lo)
+                if k < len(old) and old[k] == at - shift:
+                    hi = k
+                    break
+            starts.append(at)
+            found.append(m.group().encode())
+        if len(found) == 1 and hi - lo == 1:
+            self._edit(self._tables[lo], found[0])
+            tables = [self._tables[lo]]
+        elif found and hi > lo and found[0].startswith(self._tables[lo].s):
+            self._tables[lo].append(found[0][len(self._tables[lo].s) :])
+            tables = [self._tables[lo]] + [PrefixTable(self.codec.vocabulary, f) for f in found[1:]]
+        else:
+            tables = [PrefixTable(self.codec.vocabulary, f) for f in found]
+        self._tables = self._tables[:lo] + tables + self._tables[hi:]
+        self._starts = old[:lo] + starts + [s + shift for s in old[hi:]]
+        self.text = text
+        return len(found)
+
+    @staticmethod
+    def _edit(table: PrefixTable, new: bytes) -> None:
+        """The table follows to ``new``: only entries from the first difference on, until it agrees again."""
+        old, most = table.s, min(len(table.s), len(new))
+        a = next((i for i in range(most) if old[i] != new[i]), most)
+        b = next((i for i in range(most - a) if old[-1 - i] != new[-1 - i]), most - a)
+        table.edit(a, len(old) - b, new[a : len(new) - b])
 
     def ids(self) -> list[int]:
         whole = self.codec.vocabulary.ranks
@@ -166,23 +187,20 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
 
     def make():
         codec = ByteBpe.load(ranks_file, pattern)
-        sha = hashlib.sha256
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, digests, decoded, kept = [], [], [], []
-            for part in slices(known_texts(batch.column(1)), SLICE_BYTES * 4):
-                texts = part.to_pylist()
-                codec.learn(texts)
-                for ids in map(codec.encode, texts):
-                    n.append(len(ids) // 4)
-                    digests.append(sha(ids).hexdigest())
-                    decoded.append(sha(codec.decode(ids)).hexdigest())
-                    if keep_ids:
-                        kept.append(ids)
-                codec.trim()
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=[c.split()[0] for c in schema.split(", ")])
+
+        def spans(data: bytes, ends: np.ndarray) -> list[memoryview]:
+            view, stops = memoryview(data), ends.tolist()
+            return [view[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+        def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            ids = codec.encode_column(texts)
+            data, sizes = codec.decode_column(ids)
+            each = spans(ids.flat.astype("<u4").tobytes(), np.cumsum(ids.sizes) * 4)
+            digests, decoded = ([hashlib.sha256(x).hexdigest() for x in views] for views in (each, spans(data.tobytes(), np.cumsum(sizes))))
+            arrays = [rows.column(0), pa.array(ids.sizes), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            kept = [pa.array([bytes(x) for x in each], pa.binary())] * keep_ids
+            return pa.RecordBatch.from_arrays(arrays + kept, names=[c.split()[0] for c in schema.split(", ")])
 
         return work
 
-    return per_batch(narrow(df, id_col, text_col), schema, make)
+    return per_slice(narrow(df, id_col, text_col), schema, text_col, make, 4 * SLICE_BYTES, keeps=True)

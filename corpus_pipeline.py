@@ -3,14 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and
 read again as the next stage's ``docs``. All but the last keep the columns of ``documents``.
 
-Rows whose ``doc_id`` is null pass the toxicity stage by their text alone and are their own group in the second.
+Rows are judged by their texts, whatever their ids: rows whose ``doc_id`` is null or stands several times are filtered as
+all others are, and of near copies the row of the least id stays, a null id last. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loxodrome.llm import op03_minhash, op04_decontamination, op07_byte_bpe, op08_toxicity
 from loxodrome.llm.workspace import Workspace
@@ -27,15 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document of the least id stays."""
-    marks = op03_minhash.near_duplicates(docs, k=NEAR_WORDS, threshold=NEAR_PERCENT)
-    gone = marks.filter(~F.col("kept") & F.col("component_id").isNotNull()).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # rows of one id are one document; ids are seldom repeated, and only then are rows shuffled for it
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    return op03_minhash.keep_first(docs, k=NEAR_WORDS, threshold=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

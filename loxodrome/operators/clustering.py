@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +20,27 @@ def _identified(points: DataFrame) -> DataFrame:
     return points if "id" in points.columns else resample.numbered(points.select("longitude", "latitude")).withColumnRenamed("row_seq", "id")
 
 
-def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), radius: float = RADIUS_KM) -> DataFrame:
-    """``keys, radius_km, pairs``: ordered pairs up to each radius. Each pair is counted once, at its least radius."""
+def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys, radius_km, pairs``: ordered pairs up to each radius. Each pair is counted once, at its least radius.
+
+    Up to ``broadcast_rows`` points of one key are met as blocks, whose tasks return counts; more meet by cubes.
+    """
     steps = F.array(*[F.lit(float(r)) for r in radii])
-    d = neighbours.pairs_within(points, max(radii), keys, radius=radius)
-    first = F.array_min(F.filter(steps, lambda r: r >= F.col("d")))
-    counts = d.groupBy(*keys, first.alias("radius_km")).agg(F.count(F.lit(1)).alias("c"))
+    most = _most(points, keys)
+    if most <= broadcast_rows:
+        edges = np.sort(np.array(radii, float))
+
+        def work(i, lat1, lon1, j, lat2, lon2, same):
+            d = neighbours.haversine_matrix(lat1, lon1, lat2, lon2, radius)
+            d = d[np.triu_indices(len(i), 1)] if same else d.ravel()
+            c = 2 * np.bincount(np.searchsorted(edges, d, "left"), minlength=len(edges) + 1)[:-1]
+            return {"radius_km": edges[c > 0], "c": c[c > 0]}
+
+        counts = neighbours.in_blocks(points, keys, most, work, "radius_km double, c long").groupBy(*keys, "radius_km").agg(F.sum("c").alias("c"))
+    else:
+        d = neighbours.pairs_within(points, max(radii), keys, radius=radius)
+        first = F.array_min(F.filter(steps, lambda r: r >= F.col("d")))
+        counts = d.groupBy(*keys, first.alias("radius_km")).agg(F.count(F.lit(1)).alias("c"))
     every = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
     every = every.select(*keys, F.explode(steps).alias("radius_km"))
     mine = counts.withColumnRenamed("radius_km", "_r")
@@ -33,6 +49,13 @@ def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), r
     return every.join(summed, [*keys, "radius_km"], "left").na.fill(0, ["pairs"])
 
 
+def _most(points: DataFrame, keys: tuple[str, ...]) -> int:
+    """The number of points of the key that has most."""
+    if not keys:
+        return points.count()
+    return points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def _area(radius: float) -> float:
     return 4.0 * math.pi * radius * radius
 
@@ -54,11 +77,24 @@ def pair_correlation(k: DataFrame, radius: float = RADIUS_KM) -> DataFrame:
     return d.withColumn("g_observed", F.when(length > 0, F.col("_slope") / length)).drop("_slope")
 
 
-def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM) -> DataFrame:
+def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``radius_km, nn_cdf_observed, nn_cdf_csr``."""
     p = _identified(points).cache()
     n = p.count()
-    near = neighbours.pairs_within(p, max(radii), radius=radius).groupBy("i").agg(F.min("d").alias("d"))
+    if n <= broadcast_rows:
+
+        def work(i, lat1, lon1, j, lat2, lon2, same):
+            d = neighbours.haversine_matrix(lat1, lon1, lat2, lon2, radius)
+            if same:
+                np.fill_diagonal(d, np.inf)
+            if not d.size:
+                return {"i": i[:0], "d": np.zeros(0)}
+            return {"i": np.concatenate([i, j]), "d": np.concatenate([d.min(axis=1), d.min(axis=0)])}
+
+        kind = p.schema["id"].dataType.simpleString()
+        near = neighbours.in_blocks(p, (), n, work, f"i {kind}, d double").groupBy("i").agg(F.min("d").alias("d")).filter(F.col("d") <= max(radii))
+    else:
+        near = neighbours.pairs_within(p, max(radii), radius=radius).groupBy("i").agg(F.min("d").alias("d"))
     steps = F.array(*[F.lit(float(r)) for r in radii])
     counts = near.select(F.explode(F.filter(steps, lambda r: r >= F.col("d"))).alias("radius_km")).groupBy("radius_km").agg(F.count(F.lit(1)).alias("c"))
     every = p.sparkSession.range(1).select(F.explode(steps).alias("radius_km"))

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loxodrome.config import ANALYTICAL, COEFFICIENT_LIMIT, CORRELATION_LIMIT, CV_BANDS, FEATURES, SEED, TARGET_DERIVED
@@ -20,6 +20,7 @@ from loxodrome.functions import geo, special
 from loxodrome.functions.checks import require_columns
 from loxodrome.operators import ranking, resample
 from loxodrome.operators.rates import band_label
+from loxodrome.sources import sinks
 
 
 class LatitudeBands:
@@ -405,13 +406,14 @@ def power_regression(fm: DataFrame, power: DataFrame, columns=None, model_type:
 
 
 def save_model(model: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()}, f, indent=2)
+    """As JSON, wherever Spark's file systems reach."""
+    text = json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()}, indent=2)
+    sinks.text_file(SparkSession.active(), text, str(path))
 
 
 def load_model(path: str) -> dict:
-    with open(path) as f:
-        return {k: np.array(v) if k in ("mean", "std", "coef") else v for k, v in json.load(f).items()}
+    read = json.loads(sinks.read_text(SparkSession.active(), str(path)))
+    return {k: np.array(v) if k in ("mean", "std", "coef") else v for k, v in read.items()}
 
 
 def score_surface(df: DataFrame, model: dict, out: str = "probability") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ def _cells(lon: Column, lat: Column, width: float) -> Column:
     return F.struct(*[F.floor(c / width).cast("int").alias(n) for n, c in zip("xyz", geo.xyz(lon, lat), strict=True)])
 
 
+def _half_around(cell: Column) -> Column:
+    """A cube and the 13 of its neighbours that follow it."""
+    after = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", s, strict=True)]) for s in after])
+    return F.transform(steps, lambda s: F.struct(*[(cell[n] + s[n]).alias(n) for n in "xyz"]))
+
+
 def _around(cell: Column) -> Column:
     """A cube and its 26 neighbours."""
     steps = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
@@ -67,14 +76,50 @@ def distance_to_stress_maxima(cells: DataFrame, maxima=STRESS_MAXIMA, out: str =
 def pairs_within(points: DataFrame, r_max: float, keys: tuple[str, ...] = (), id_col: str = "id", radius: float = RADIUS_KM) -> DataFrame:
     """All ordered pairs (i, j), i != j, of points of the same ``keys`` up to ``r_max`` apart, with their distance.
 
-    Points meet by an equi-join on cubes as wide as the chord of ``r_max``, never by a cross join.
+    Points meet by an equi-join on cubes as wide as the chord of ``r_max``, never by a cross join. A point is sent to
+    its own cube and half of the neighbours, so each pair is found once and then given in both orders.
     """
     width = min(2.0, max(1e-9, 2.0 * math.sin(min(r_max / radius, math.pi) / 2.0)) * (1 + 1e-9))
     lon, lat = F.col("longitude"), F.col("latitude")
     a = points.select(*keys, F.col(id_col).alias("i"), lat.alias("_lat1"), lon.alias("_lon1"), _cells(lon, lat, width).alias("_cube"))
-    b = points.select(*keys, F.col(id_col).alias("j"), lat.alias("_lat2"), lon.alias("_lon2"), F.explode(_around(_cells(lon, lat, width))).alias("_cube"))
-    d = a.join(b, [*keys, "_cube"]).filter("i != j").withColumn("d", geo.haversine_km("_lat1", "_lon1", "_lat2", "_lon2", radius))
-    return d.filter(F.col("d") <= r_max).select(*keys, "i", "j", "d")
+    b = points.select(*keys, F.col(id_col).alias("j"), lat.alias("_lat2"), lon.alias("_lon2"), _cells(lon, lat, width).alias("_own"))
+    b = b.withColumn("_cube", F.explode(_half_around(F.col("_own"))))
+    met = (F.col("_cube") != F.col("_own")) | (F.col("i") < F.col("j"))
+    d = a.join(b, [*keys, "_cube"]).filter(met).withColumn("d", geo.haversine_km("_lat1", "_lon1", "_lat2", "_lon2", radius))
+    d = d.filter(F.col("d") <= r_max)
+    both = F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
+    return d.select(*keys, "d", both.alias("_p")).select(*keys, F.col("_p.a").alias("i"), F.col("_p.b").alias("j"), "d")
+
+
+def haversine_matrix(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, radius: float = RADIUS_KM) -> np.ndarray:
+    """Great-circle distances of all pairs of two small sets of points in degrees."""
+    a, b, c, d = (np.radians(x) for x in (lat1, lon1, lat2, lon2))
+    s, t = np.sin((c[None] - a[:, None]) / 2.0), np.sin((d[None] - b[:, None]) / 2.0)
+    return 2.0 * radius * np.arcsin(np.sqrt(np.clip(s * s + np.cos(a)[:, None] * np.cos(c)[None] * t * t, 0.0, 1.0)))
+
+
+def in_blocks(points: DataFrame, keys: tuple[str, ...], n: int, work, schema: str, block: int = 1000, id_col: str = "id") -> DataFrame:
+    """``work(keys, ids, lat, lon, ids2, lat2, lon2, same)`` for all pairs of blocks of points of the same ``keys``.
+
+    For points of which all pairs count: blocks are matrices, a task has one pair of them, and each pair of points
+    stands in one pair of blocks. ``work`` gives a dictionary of columns.
+    """
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("_own")).alias("a"), F.greatest(o, F.col("_own")).alias("b")))
+    d = points.select(*keys, F.col(id_col).alias("_id"), F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon"), own.alias("_own"))
+    d = d.withColumn("_cell", F.explode(meet)).select(*keys, "_id", "_lat", "_lon", "_own", F.col("_cell.a").alias("_a"), F.col("_cell.b").alias("_b"))
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, lat, lon, mine, a, b = (t.column(c).to_numpy() for c in ("_id", "_lat", "_lon", "_own", "_a", "_b"))
+        left, right = mine == a[0], mine == b[0]
+        key = [t.column(k)[0].as_py() for k in keys]
+        out = work(ids[left], lat[left], lon[left], ids[right], lat[right], lon[right], bool(a[0] == b[0]))
+        rows = len(next(iter(out.values())))
+        return pa.table({k: pa.array([v] * rows, t.schema.field(k).type) for k, v in zip(keys, key, strict=True)} | {k: pa.array(v) for k, v in out.items()})
+
+    kinds = ", ".join([f"{k} {points.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    return d.groupBy(*keys, "_a", "_b").applyInArrow(run, kinds)
 
 
 def nearest_planar(cells: DataFrame, source: DataFrame, value: str, out: str | None = None, bucket: float = 1.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

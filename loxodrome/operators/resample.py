@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.config import SEED, Grid
 from loxodrome.functions import stats
-from loxodrome.operators import asymmetry, ranking, rates
+from loxodrome.operators import asymmetry, rates
 from loxodrome.operators.grid import cell_of
 
 
@@ -54,15 +54,26 @@ def without_replacement(points: DataFrame, fractions: tuple[float, ...], replica
 
 
 def permuted(df: DataFrame, column: str, key: str, seed: int = SEED) -> DataFrame:
-    """``column`` shuffled over all rows: values in one seeded order meet rows in another."""
+    """``column`` shuffled over all rows: values in one seeded order meet rows in another. Keys must be distinct."""
+    if df.groupBy(key).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"{key} isn't distinct")
     h = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), F.col(key).cast("string")).cast("binary"))
-    uniform = lambda salt: F.conv(F.substring(h(salt), 1, 13), 16, 10).cast("double")
-    base = df.select(key, column, uniform("a").alias("_a"), uniform("b").alias("_b"), F.lit(1).cast("long").alias("_one"))
-    values = ranking.running(base.groupBy("_a").agg(F.min(column).alias("_value"), F.sum("_one").alias("_one")), "_a", {"_one": "_place"}).select("_value", "_place")
-    places = ranking.running(base.groupBy("_b").agg(F.min(key).alias(key), F.sum("_one").alias("_one")), "_b", {"_one": "_place"}).select(key, "_place")
+    base = df.select(key, column, h("a").alias("_a"), h("b").alias("_b"))
+    values = _placed(base, "_a", key).select(F.col(column).alias("_value"), "_place")
+    places = _placed(base, "_b", key).select(key, "_place")
     return df.drop(column).join(places.join(values, "_place").select(key, F.col("_value").alias(column)), key)
 
 
+def _placed(df: DataFrame, h: str, key: str) -> DataFrame:
+    """Rows with ``_place``, from 0, in the order of a hash (and the key): by ranges of its first three digits, side by side."""
+    d = df.withColumn("_range", F.substring(h, 1, 3))
+    sizes = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # 4096 at most
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(h, key)) - 1
+    return d.withColumn("_inside", inside).join(offsets, "_range").withColumn("_place", F.col("_before") + F.col("_inside"))
+
+
 def sphere_points(spark: SparkSession, n: int, replicates: int, seed: int = SEED) -> DataFrame:
     """``rep, id, latitude, longitude``: points uniform on the sphere."""
     part = lambda a: F.conv(F.substring(F.col("_h"), a, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -28,6 +28,21 @@ def null_report(df: DataFrame) -> DataFrame:
     return r.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*df.columns))).alias("column", "n_null"))
 
 
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, count, mean, std, min, q25, q50, q75, max`` of numeric columns, exact, in one pass."""
+    of = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, **{f"q{p}": (lambda c, p=p: F.percentile(c, p / 100)) for p in (25, 50, 75)}, "max": F.max}
+    x = [F.col(c).cast("double") for c in columns]
+    r = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(x) for n, f in of.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in of]) for i, c in enumerate(columns)])
+    return r.select(F.inline(rows))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Each value with its number of rows and share, the most frequent first; null is a value."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return counts.withColumn("share", F.col("count") / F.lit(max(df.count(), 1))).orderBy(F.col("count").desc(), column)
+
+
 def overview(df: DataFrame, label: str = "has_hotspot") -> DataFrame:
     """Rows, positives and their share."""
     return df.agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col(label).cast("long")).alias("n_positive"), F.avg(F.col(label).cast("double")).alias("positive_share"))

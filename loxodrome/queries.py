@@ -25,7 +25,6 @@ ORACLES: dict[str, str] = {}
 
 COARSE = Grid(5.0)
 MIDDLE = Grid(2.0)
-RADII = tuple(250.0 * (i + 1) for i in range(10))
 
 
 def query(sql: str | None = None):
@@ -307,18 +306,11 @@ def power_by_latitude(s, d):
     return _money(rates.power_by_latitude(power_cells(s, d)))
 
 
-@query(f"WITH {_power_sql()}, fu AS (SELECT cell_id AS c2, p_type AS geology_unit FROM cells JOIN part ON p_partkey = cell_id % 400 WHERE cell_id % 7 <> 0) SELECT coalesce(geology_unit, 'nan') AS geology_unit, {_SUMS}, {_SHARE} AS fraction_total_power FROM obs LEFT JOIN fu ON c2 = cell_id GROUP BY 1")
-def power_by_unit(s, d):
-    fm = gridding.base_grid(s, COARSE).filter("cell_id % 7 <> 0").withColumn("_k", F.col("cell_id") % 400)
-    fm = fm.join(_t(s, d, "part").select(F.col("p_partkey").alias("_k"), F.col("p_type").alias("geology_unit")), "_k")
-    return _money(rates.power_by_unit(fm, power_cells(s, d)))
-
-
 @query(
     f"WITH {_power_sql()}, fu AS (SELECT cell_id AS c2, p_type AS geology_unit FROM cells LEFT JOIN part ON p_partkey = cell_id % (SELECT count(*) FROM part)) "
     f"SELECT coalesce(geology_unit, 'nan') AS geology_unit, {_SUMS}, {_SHARE} AS fraction_total_power FROM obs LEFT JOIN fu ON c2 = cell_id GROUP BY 1"
 )
-def power_by_unit_all_cells(s, d):
+def power_by_unit(s, d):
     """All cells, with units from all rows of the parts."""
     parts = _t(s, d, "part")
     units = parts.select(F.col("p_partkey").alias("_k"), F.col("p_type").alias("geology_unit"))
@@ -361,20 +353,17 @@ _HIST = "least(CAST(floor((longitude + 180.0::DOUBLE) / 10.0::DOUBLE) AS BIGINT)
 
 
 @query(
-    f"WITH {SUP}, n AS (SELECT count(*) AS n FROM sup), bins AS (SELECT bin FROM range(36) t(bin)), ob AS (SELECT {_HIST} AS bin, count(*) AS c FROM sup GROUP BY 1), "
-    f"dr AS (SELECT rep, {_DRAW} % n AS id FROM range(40) a(rep), n, range((SELECT n FROM n)) b(i)), bc AS (SELECT rep, {_HIST} AS bin, count(*) AS c FROM dr JOIN sup USING (id) GROUP BY 1, 2), "
-    "fl AS (SELECT rep, bin, coalesce(c, 0) AS c FROM range(40) a(rep) CROSS JOIN bins LEFT JOIN bc USING (rep, bin)), ci AS (SELECT bin, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi FROM fl GROUP BY bin) "
+    f"WITH {SUP}, sq AS (SELECT row_number() OVER (ORDER BY longitude) - 1 AS id, longitude FROM sup), n AS (SELECT count(*) AS n FROM sup), bins AS (SELECT bin FROM range(36) t(bin)), ob AS (SELECT {_HIST} AS bin, count(*) AS c FROM sup GROUP BY 1), "
+    f"dr AS (SELECT rep, {_DRAW} % n AS id FROM range(1000) a(rep), n, range((SELECT n FROM n)) b(i)), bc AS (SELECT rep, {_HIST} AS bin, count(*) AS c FROM dr JOIN sq USING (id) GROUP BY 1, 2), "
+    "fl AS (SELECT rep, bin, coalesce(c, 0) AS c FROM range(1000) a(rep) CROSS JOIN bins LEFT JOIN bc USING (rep, bin)), ci AS (SELECT bin, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi FROM fl GROUP BY bin) "
     f"SELECT CAST(bin AS INTEGER) AS bin, coalesce(c, 0) AS count, -175.0::DOUBLE + bin * 10 AS bin_centre, {_r('lo')} AS ci_lo, {_r('hi')} AS ci_hi FROM bins LEFT JOIN ob USING (bin) JOIN ci USING (bin)"
 )
 def longitude_histogram(s, d):
-    pts = suppliers(s, d).select("longitude", F.col("id").alias("row_seq"))
-    observed = ranking.histogram(pts, "longitude", *asymmetry.LON_BINS)
-    drawn = resample.with_replacement(pts, 40)
-    limits = ranking.quantiles(ranking.histogram(drawn, "longitude", *asymmetry.LON_BINS, by=("rep",)), ["bin"], "count", {"ci_lo": 0.025, "ci_hi": 0.975})
-    return rounded(observed.join(limits, "bin").select("bin", "count", "bin_centre", "ci_lo", "ci_hi"))
+    out = asymmetry.histogram_limits(suppliers(s, d), "longitude", asymmetry.LON_BINS, 1000)
+    return rounded(out.select("bin", "count", "bin_centre", "ci_lo", "ci_hi"))
 
 
-_RAD = "r AS (SELECT 250.0::DOUBLE * (k + 1) AS radius_km FROM range(10) t(k))"
+_RAD = "r AS (SELECT 50.0::DOUBLE * (k + 1) AS radius_km FROM range(50) t(k))"
 _AREA = "(4.0::DOUBLE * pi() * 1821.6::DOUBLE * 1821.6::DOUBLE)"
 _CSR = "(2.0::DOUBLE * pi() * 1821.6::DOUBLE * 1821.6::DOUBLE * (1.0 - cos(radius_km / 1821.6::DOUBLE)))"
 _KSQL = f"{SUP}, {_RAD}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM sup), dd AS (SELECT a.id AS i, {_DIST} AS d FROM sup a, sup b WHERE a.id <> b.id), k AS (SELECT radius_km, (SELECT count(*) FROM dd WHERE d <= radius_km) / n * ({_AREA} / n) AS kv FROM r, n)"
@@ -382,44 +371,44 @@ _KSQL = f"{SUP}, {_RAD}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM sup), d
 
 @query(f"WITH {_KSQL} SELECT radius_km, {_r('kv', 2)} AS k_observed, {_r(_CSR, 2)} AS k_csr FROM k")
 def ripley_k(s, d):
-    return rounded(clustering.ripley_k(suppliers(s, d), RADII), 2)
+    return rounded(clustering.ripley_k(suppliers(s, d)), 2)
 
 
 @query(
-    f"WITH {_KSQL}, w AS (SELECT *, lag(kv) OVER o AS p, lead(kv) OVER o AS q FROM k WINDOW o AS (ORDER BY radius_km)), g AS (SELECT radius_km, CASE WHEN p IS NULL THEN (q - kv) / 250 WHEN q IS NULL THEN (kv - p) / 250 ELSE (q - p) / 500 END AS s FROM w) "
+    f"WITH {_KSQL}, w AS (SELECT *, lag(kv) OVER o AS p, lead(kv) OVER o AS q FROM k WINDOW o AS (ORDER BY radius_km)), g AS (SELECT radius_km, CASE WHEN p IS NULL THEN (q - kv) / 50 WHEN q IS NULL THEN (kv - p) / 50 ELSE (q - p) / 100 END AS s FROM w) "
     f"SELECT radius_km, {_r('s / (2.0 * pi() * 1821.6::DOUBLE * sin(radius_km / 1821.6::DOUBLE))')} AS g_observed FROM g"
 )
 def pair_correlation(s, d):
-    return rounded(clustering.pair_correlation(clustering.ripley_k(suppliers(s, d), RADII)).select("radius_km", "g_observed"))
+    return rounded(clustering.pair_correlation(clustering.ripley_k(suppliers(s, d))).select("radius_km", "g_observed"))
 
 
 @query(f"WITH {_KSQL}, nn AS (SELECT i, min(d) AS d FROM dd GROUP BY i) SELECT radius_km, {_r('(SELECT count(*) FROM nn WHERE d <= radius_km) / n')} AS nn_cdf_observed, {_r(f'1 - exp(-(n / {_AREA}) * {_CSR})')} AS nn_cdf_csr FROM r, n")
 def nearest_neighbour_cdf(s, d):
-    return rounded(clustering.nearest_neighbour_cdf(suppliers(s, d), RADII))
+    return rounded(clustering.nearest_neighbour_cdf(suppliers(s, d)))
 
 
-_SIMS = "sp AS (SELECT rep, id, degrees(asin(2.0 * (('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1.0)) AS latitude, 360.0 * (('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE) - 180.0 AS longitude FROM (SELECT rep, id, md5('42:' || rep || ':' || id) AS h FROM range(20) a(rep), range(60) b(id)))"
+_SIMS = "sp AS (SELECT rep, id, degrees(asin(2.0 * (('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1.0)) AS latitude, 360.0 * (('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE) - 180.0 AS longitude FROM (SELECT rep, id, md5('42:' || rep || ':' || id) AS h FROM range(199) a(rep), range((SELECT count(*) FROM supplier)) b(id)))"
 
 
 @query(
-    f"WITH {_SIMS}, {_RAD}, dd AS (SELECT a.rep, {_DIST} AS d FROM sp a JOIN sp b ON a.rep = b.rep AND a.id <> b.id), k AS (SELECT rep, radius_km, (SELECT count(*) FROM dd WHERE dd.rep = z.rep AND d <= radius_km) / 60.0::DOUBLE * ({_AREA} / 60) AS kv FROM range(20) z(rep), r) "
+    f"WITH {_SIMS}, {_RAD}, dd AS (SELECT a.rep, {_DIST} AS d FROM sp a JOIN sp b ON a.rep = b.rep AND a.id <> b.id), k AS (SELECT rep, radius_km, (SELECT count(*) FROM dd WHERE dd.rep = z.rep AND d <= radius_km) / n * ({_AREA} / n) AS kv FROM range(199) z(rep), r, (SELECT CAST(count(*) AS DOUBLE) AS n FROM supplier)) "
     f"SELECT radius_km, {_r('quantile_cont(kv, 0.025)', 2)} AS k_env_lo, {_r('quantile_cont(kv, 0.975)', 2)} AS k_env_hi FROM k GROUP BY radius_km"
 )
 def csr_envelope(s, d):
-    return rounded(clustering.csr_envelope(s, 60, RADII, sims=20), 2)
+    return rounded(clustering.csr_envelope(s, _t(s, d, "supplier").count()), 2)
 
 
 @query(
     f"WITH {SUP}, m AS (SELECT CAST(count(*) AS DOUBLE) AS n, var_samp(longitude) AS xx, var_samp(latitude) AS yy, covar_samp(longitude, latitude) AS xy FROM sup), c AS (SELECT n, xx * pow(n, -1.0 / 3.0) AS a, xy * pow(n, -1.0 / 3.0) AS b, yy * pow(n, -1.0 / 3.0) AS c FROM m), "
-    "nodes AS (SELECT -180.0::DOUBLE + i * 5.0 AS x, -90.0::DOUBLE + j * 5.0 AS y FROM range(73) t(i), range(37) u(j)) "
+    "nodes AS (SELECT -180.0::DOUBLE + i * 0.25 AS x, -90.0::DOUBLE + j * 0.25 AS y FROM range(1441) t(i), range(721) u(j)) "
     "SELECT x AS longitude, y AS latitude, round(sum(exp(-0.5::DOUBLE * (c * (x - longitude) * (x - longitude) - 2.0 * b * (x - longitude) * (y - latitude) + a * (y - latitude) * (y - latitude)) / (a * c - b * b))) / (max(n) * 2.0 * pi() * sqrt(max(a * c - b * b))) * 1e6, 6) + 0.0::DOUBLE AS density_ppm FROM nodes, sup, c GROUP BY x, y"
 )
 def kernel_density(s, d):
-    k = clustering.kernel_density(suppliers(s, d), 5.0)
+    k = clustering.kernel_density(suppliers(s, d))
     return k.select("longitude", "latitude", (F.round(F.col("density") * 1e6, 6) + F.lit(0.0)).alias("density_ppm"))
 
 
-@query(ORACLES["kernel_density"])
+@query(ORACLES["kernel_density"].replace("i * 0.25", "i * 5.0").replace("j * 0.25", "j * 5.0").replace("range(1441)", "range(73)").replace("range(721)", "range(37)"))
 def kernel_density_blocked(s, d):
     k = clustering.kernel_density(suppliers(s, d), 5.0, broadcast_rows=0)
     return k.select("longitude", "latitude", (F.round(F.col("density") * 1e6, 6) + F.lit(0.0)).alias("density_ppm"))
@@ -464,38 +453,34 @@ def hypotheses_compared(s, d):
     return rounded(hypotheses.compare(unit_cells(s, d)), 4)
 
 
-_KEEP = "kp(f, keep) AS (SELECT f, greatest(1, CAST(round_even(f * (SELECT count(*) FROM sup), 0) AS BIGINT)) FROM (VALUES (0.9::DOUBLE), (0.5::DOUBLE)) t(f))"
+_KEEP = "kp(f, keep) AS (SELECT f, greatest(1, CAST(round_even(f * (SELECT count(*) FROM sup), 0) AS BIGINT)) FROM (VALUES (0.9::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE)) t(f))"
 
 
 @query(
-    f"WITH {SUP}, {_KEEP}, rk AS (SELECT f, keep, rep, id, longitude, latitude, row_number() OVER (PARTITION BY f, rep ORDER BY md5('42:' || f || ':' || rep || ':' || id), id) AS k FROM kp, range(10) r(rep), sup) "
+    f"WITH {SUP}, {_KEEP}, rk AS (SELECT f, keep, rep, id, longitude, latitude, row_number() OVER (PARTITION BY f, rep ORDER BY md5('42:' || f || ':' || rep || ':' || id), id) AS k FROM kp, range(100) r(rep), sup) "
     "SELECT f AS fraction_retained, rep, CAST(count(*) AS BIGINT) AS kept, CAST(sum(CAST(latitude > 0 AS INTEGER)) AS BIGINT) AS north FROM rk WHERE k <= keep GROUP BY 1, 2"
 )
 def jackknife_samples(s, d):
     pts = suppliers(s, d).select("longitude", "latitude", F.col("id").alias("row_seq"))
-    kept = resample.without_replacement(pts, (0.9, 0.5), 10)
+    kept = resample.without_replacement(pts, (0.9, 0.75, 0.5), 100)
     return kept.groupBy("fraction_retained", "rep").agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("latitude") > 0).cast("long")).alias("north"))
 
 
 @query(
     f"WITH {_labelled_sql()}, cl AS (SELECT {_cell_sql(COARSE, 'lon_centre', 'lat_centre', False)} AS ck, coalesce(geology_unit, 'nan') AS unit FROM fm), sz AS (SELECT unit, count(*) AS n FROM cl GROUP BY 1), "
-    f"dr AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pts) AS id FROM range(20) a(rep), range((SELECT count(*) FROM pts)) b(i)), hc AS (SELECT DISTINCT rep, {_cell_sql(COARSE, clip=False)} AS ck FROM dr JOIN pts USING (id)), "
-    "hu AS (SELECT rep, unit, count(*) AS h FROM hc JOIN cl USING (ck) GROUP BY 1, 2), al AS (SELECT rep, unit, n, coalesce(h, 0) AS h FROM range(20) a(rep) CROSS JOIN sz LEFT JOIN hu USING (rep, unit)), "
+    f"pq AS (SELECT row_number() OVER (ORDER BY longitude, latitude) - 1 AS id, longitude, latitude FROM pts), dr AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pts) AS id FROM range(500) a(rep), range((SELECT count(*) FROM pts)) b(i)), hc AS (SELECT DISTINCT rep, {_cell_sql(COARSE, clip=False)} AS ck FROM dr JOIN pq USING (id)), "
+    "ob AS (SELECT unit, h / nullif(n * (sum(h) OVER () / sum(n) OVER ()), 0) AS er FROM (SELECT coalesce(geology_unit, 'nan') AS unit, count(*) AS n, sum(has_hotspot) AS h FROM fm GROUP BY 1)), "
+    "hu AS (SELECT rep, unit, count(*) AS h FROM hc JOIN cl USING (ck) GROUP BY 1, 2), al AS (SELECT rep, unit, n, coalesce(h, 0) AS h FROM range(500) a(rep) CROSS JOIN sz LEFT JOIN hu USING (rep, unit)), "
     "rt AS (SELECT rep, unit, h / nullif(n * (sum(h) OVER (PARTITION BY rep) / sum(n) OVER (PARTITION BY rep)), 0) AS ratio FROM al) "
-    f"SELECT unit, {_r('quantile_cont(ratio, 0.025)')} AS boot_lo, {_r('quantile_cont(ratio, 0.975)')} AS boot_hi, {_r('avg(ratio)')} AS boot_mean, {_r('stddev_pop(ratio)')} AS boot_std FROM rt GROUP BY 1"
+    f"SELECT unit, {_r('any_value(er)')} AS enrichment_ratio, {_r('quantile_cont(ratio, 0.025)')} AS boot_lo, {_r('quantile_cont(ratio, 0.975)')} AS boot_hi, {_r('avg(ratio)')} AS boot_mean, {_r('stddev_pop(ratio)')} AS boot_std FROM rt JOIN ob USING (unit) GROUP BY 1"
 )
 def bootstrap_enrichment(s, d):
-    pts = customers(s, d).select("longitude", "latitude", F.col("id").alias("row_seq"))
-    fm = unit_cells(s, d)
-    drawn = resample.with_replacement(pts, 20)
-    per = rates.enrichment_of_counts(resample._unit_hits(fm, drawn, ("rep",), "geology_unit", COARSE), ("rep",))
-    out = per.groupBy("unit").agg(F.percentile("enrichment_ratio", 0.025).alias("boot_lo"), F.percentile("enrichment_ratio", 0.975).alias("boot_hi"), F.avg("enrichment_ratio").alias("boot_mean"), F.stddev_pop("enrichment_ratio").alias("boot_std"))
-    return rounded(out)
+    return rounded(resample.bootstrap_enrichment(unit_cells(s, d), customers(s, d), grid=COARSE))
 
 
 @query()
 def stability(s, d):
-    return resample.jackknife(unit_cells(s, d), suppliers(s, d), (0.9, 0.5), 10, grid=COARSE)
+    return resample.jackknife(unit_cells(s, d), suppliers(s, d), grid=COARSE)
 
 
 # --- ranks, quantiles, histograms -----------------------------------------------------------------------------------
@@ -544,6 +529,24 @@ def null_report(s, d):
     return features.null_report(_t(s, d, "customer"))
 
 
+_NUMERIC = ("c_custkey", "c_nationkey", "c_acctbal")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, max({c})::DOUBLE AS max FROM customer"
+        for c in _NUMERIC
+    )
+)
+def described(s, d):
+    return rounded(features.describe(_t(s, d, "customer"), list(_NUMERIC)))
+
+
+@query("SELECT p_brand, count(*) AS count, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 6) AS share FROM part GROUP BY 1")
+def brand_counts(s, d):
+    return rounded(features.value_counts(_t(s, d, "part"), "p_brand"))
+
+
 # --- models ---------------------------------------------------------------------------------------------------------
 
 _SC = "sc AS (SELECT doc_id, lang, n_chars / (n_chars + 1000.0::DOUBLE) AS score, quality FROM documents JOIN labels USING (doc_id))"

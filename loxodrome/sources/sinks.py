@@ -8,6 +8,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a table inside a JSON result; larger ones raise.
+MAX_JSON_ROWS = 10_000
+
+
 def parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -22,7 +26,10 @@ def csv(df: DataFrame, path: str, single: bool = False) -> str:
 
 def _plain(v):
     if isinstance(v, DataFrame):
-        return [_plain(r.asDict(recursive=True)) for r in v.limit(10_000).collect()]
+        rows = v.limit(MAX_JSON_ROWS + 1).collect()
+        if len(rows) > MAX_JSON_ROWS:
+            raise ValueError(f"a table of more than {MAX_JSON_ROWS} rows doesn't go into one JSON file; write it as Parquet")
+        return [_plain(r.asDict(recursive=True)) for r in rows]
     if isinstance(v, dict):
         return {str(k): _plain(x) for k, x in v.items()}
     if isinstance(v, list | tuple):
@@ -34,15 +41,27 @@ def _plain(v):
 
 def json_file(spark: SparkSession, value: dict, path: str) -> str:
     """A nested result as indented JSON, written through Spark's file system; NaN becomes null."""
-    text = json.dumps(_plain(value), indent=2, ensure_ascii=False, default=str)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(conf).create(p, True)
+    return text_file(spark, json.dumps(_plain(value), indent=2, ensure_ascii=False, default=str), path)
+
+
+def text_file(spark: SparkSession, text: str, path: str) -> str:
+    """One file, through Spark's file system, so that it may lie wherever tables do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
     return path
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def suite(tables: dict[str, DataFrame], folder: str) -> list[str]:
     """Each table of a suite as a CSV of its own."""
     return [csv(df, f"{folder}/{name}.csv", single=True) for name, df in tables.items()]

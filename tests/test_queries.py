@@ -47,5 +47,5 @@ def test_power_by_unit_uses_all_cells_and_parts(spark, tmp_path):
     for r in core.power_cells(spark, str(tmp_path)).filter("power_count > 0").select("cell_id", "power_count").collect():
         unit = "nan" if r.cell_id % parts == 7 else f"type{r.cell_id % parts}"
         want[unit] = want.get(unit, 0) + r.power_count
-    got = {r.geology_unit: r.power_count for r in core.QUERIES["power_by_unit_all_cells"](spark, str(tmp_path)).collect()}
+    got = {r.geology_unit: r.power_count for r in core.QUERIES["power_by_unit"](spark, str(tmp_path)).collect()}
     assert got == want and "nan" in want and any(u != "nan" and int(u[4:]) >= 400 for u in want)

@@ -50,8 +50,8 @@ BINS = 256  # of the sketch, a byte each
 CROWD = 0.7
 #: Up to so many ids are sent to all tasks to pick documents by; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Shingles that weigh as much as a row when blocks are cut.
-HEAVY = 8192
+#: Shingles that weigh as much as a row when blocks are cut: a block of 2048 has some 2 ** 20 shingles at most, or is one document.
+HEAVY = 512
 #: Partners that one copy of a set serves.
 SHARED = 256
 
@@ -207,7 +207,7 @@ def _first_pass(placed: DataFrame, least: float, ratio: float, limit: int, work:
     while True:
         cells = F.ceil(F.col("size") / limit).cast("long")
         own = F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(3)), cells))
-        d = rows.select(own.alias("cell"), "id", "n", "sketch", "node", cells.alias("cells"), F.xxhash64("id").alias("order"))
+        d = rows.select(own.alias("cell"), "id", "n", "sketch", "node", cells.alias("cells"), F.xxhash64("node", "id").alias("order"))
         d = d.repartition("cell").sortWithinPartitions("cell", "order", "id").drop("order")
         out = work.save(map_batches(d, run, "a long, b long, n long, sketch binary, node long, size long"), "pass1")
         pairs = out.filter("a is not null").select("a", "b")
@@ -299,40 +299,59 @@ def _suspects(cells: DataFrame, least: float, ratio: float) -> DataFrame:
             n, comp = (t.column(i).to_numpy() for i in (2, 4))
             sketch = _matrix(t.column(3))
             left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
-            node, seats = t.column(7)[0].as_py(), [np.array(x, np.int64) for x in t.column(8).to_pylist()]
+            node, seats = t.column(7)[0].as_py(), t.column(8).combine_chunks()
+            # the rows of each earlier node
+            flat, owner = seats.flatten().to_numpy(), np.repeat(np.arange(len(t)), seats.value_lengths().to_numpy(zero_copy_only=False))
+            early = flat < node
+            flat, owner = flat[early], owner[early]
+            order = np.argsort(flat, kind="stable")
+            values, number = np.unique(flat, return_inverse=True)
+            members = np.split(owner[order], np.searchsorted(flat[order], values)[1:]) if len(values) else []
+            own = np.split(number, np.searchsorted(owner, np.arange(1, len(t))))
             same, marked = bool(len(left) and len(right) and left[0] == right[0]), np.zeros(len(n), bool)
             for x in left.tolist():
-                y = _allowed(x, right, same, comp, n, sketch, least, ratio)
-                earlier = seats[x][seats[x] < node]
-                if len(y) and len(earlier):
-                    flat = np.isin(np.concatenate([seats[k] for k in y.tolist()]), earlier)
-                    sizes = np.fromiter((len(seats[k]) for k in y.tolist()), np.int64, len(y))
-                    y = y[np.add.reduceat(flat, np.cumsum(sizes) - sizes, dtype=np.int64) == 0]
+                # two marked rows have nothing more to tell
+                y = _allowed(x, right[~marked[right]] if marked[x] else right, same, comp, n, sketch, least, ratio)
+                if len(y) and len(own[x]):
+                    told = np.zeros(len(n), bool)
+                    for e in own[x].tolist():
+                        told[members[e]] = True
+                    y = y[~told[y]]
                 if len(y):
                     marked[y] = marked[x] = True
             if marked.any():
-                yield from t.select(list(range(7))).take(np.nonzero(marked)[0]).combine_chunks().to_batches()
+                yield from t.select([0, 1, 2, 4, 5, 6]).take(np.nonzero(marked)[0]).combine_chunks().to_batches()
 
-    kinds = "cell long, id long, n long, sketch binary, component long, left boolean, right boolean"
+    kinds = "cell long, id long, n long, component long, left boolean, right boolean"
     return map_batches(cells.repartition("cell").sortWithinPartitions("cell"), run, kinds)
 
 
-def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, least: float, ratio: float) -> DataFrame:
-    """Links on full sets that join the components of each cell; what a cell has joined already isn't compared again."""
+def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, ratio: float) -> DataFrame:
+    """Links on full sets that join the components of each cell; what a cell has joined already isn't compared again.
+
+    A row's intersections with all others of the cell are counted at once, by lists of the rows that have a shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 0):
-            ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 4))
-            comp, sketch = comp.copy(), _matrix(t.column(3))
-            left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (5, 6))
-            flat, at = _bytes_of(t.column(7), "<u8")
+            ids, n, comp = (t.column(i).to_numpy() for i in (1, 2, 3))
+            comp = comp.copy()
+            left, right = (np.nonzero(t.column(i).to_numpy())[0] for i in (4, 5))
+            flat, at = _bytes_of(t.column(6), "<u8")
+            values, number = np.unique(flat, return_inverse=True)
+            owners = np.repeat(np.arange(len(t)), n)[np.argsort(number, kind="stable")]
+            sizes = np.bincount(number, minlength=len(values))
+            starts = np.cumsum(sizes) - sizes
             same, u, v = bool(len(left) and len(right) and left[0] == right[0]), [], []
             for x in left.tolist():
-                y = _allowed(x, right, same, comp, n, sketch, least, ratio)
+                y = right[right > x] if same else right
+                y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= ratio * np.maximum(n[y], n[x]))]
                 if not len(y):
                     continue
-                own = flat[at[x] : at[x + 1]]
-                both = np.fromiter((np.count_nonzero(_among(flat[at[k] : at[k + 1]], own)) for k in y.tolist()), np.int64, len(y))
+                own = number[at[x] : at[x + 1]]
+                many = sizes[own]
+                rows = owners[np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)]
+                both = np.bincount(rows, minlength=len(n))[y]
                 for k in y[100 * both >= threshold * (n[x] + n[y] - both)].tolist():
                     if comp[k] != comp[x]:
                         u.append(ids[x])
@@ -341,7 +360,7 @@ def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, least:
             if u:
                 yield _pairs(np.array(u), np.array(v), ("u", "v"))
 
-    rows = suspects.join(sets, "id").select("cell", "id", "n", "sketch", "component", "left", "right", "set")
+    rows = suspects.join(sets, "id").select("cell", "id", "n", "component", "left", "right", "set")
     return map_batches(rows.repartition("cell").sortWithinPartitions("cell"), run, "u long, v long")
 
 
@@ -381,7 +400,7 @@ class _Found:
         self.links = component.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
         self.more = bool(suspects.limit(1).count())
         if self.more:
-            found = work.save(_spanning_links(suspects, sets_of(suspects.select("id")), threshold, least, ratio), "links2")
+            found = work.save(_spanning_links(suspects, sets_of(suspects.select("id")), threshold, ratio), "links2")
             self.links = self.links.unionByName(found)
         self.component = component
 
@@ -393,7 +412,7 @@ class _Found:
 
 
 def near_duplicates(
-    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 256, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 2048, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept for every row. ``threshold``: percent."""
     f = _Found(df, False, k, threshold, trees, depth, limit, block, margin, id_col, text_col)
@@ -414,7 +433,7 @@ def near_duplicates(
 
 
 def near_groups(
-    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 256, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = 5, threshold: int = 80, trees: int = 10, depth: int = 8, limit: int = 512, block: int = 2048, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, text_hash, group for every row that has words: rows of one group are near copies of one another's."""
     f = _Found(df, True, k, threshold, trees, depth, limit, block, margin, id_col, text_col)

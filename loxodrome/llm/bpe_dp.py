@@ -32,7 +32,7 @@ class Vocabulary:
     node, longest first.
     """
 
-    def __init__(self, ranks: dict, priority: dict | None = None, limit: int = 200_000):
+    def __init__(self, ranks: dict, priority: dict | None = None, limit: int = 100_000):
         self.ranks = ranks
         self._of_id = priority or {r: r for r in ranks.values()}
         self._of_token = {t: self._of_id[r] for t, r in ranks.items()} if priority else ranks
@@ -235,7 +235,7 @@ class SideBySide:
     The automaton's steps and the validity of pairs are looked up in tables that grow as new ones are met.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         self.vocabulary, self._limit = vocabulary, limit
         ends = vocabulary.ends
         self._at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ends), np.int64, len(ends)))])

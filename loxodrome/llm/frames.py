@@ -34,8 +34,14 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
+
+
+def _trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -56,11 +62,13 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     if conf.get(_BATCH_KEY, None) is None:
         conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
-    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        return run(batches)
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
+        yield from run(batches)
+        _trim()
 
-    return df.mapInArrow(run if keeps else released, schema)
+    return df.mapInArrow(settled, schema)
 
 
 def per_slice(

@@ -280,8 +280,8 @@ def _cells(rows: DataFrame, block: int, work: Workspace) -> DataFrame:
     up = F.when(F.col("isfew"), F.transform(F.sequence(F.col("own"), F.col("nf") + F.col("nm") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))))
     down = F.when((~F.col("isfew")) | (F.col("own") > 0), F.transform(F.sequence(F.lit(0), F.least(F.col("own"), F.col("nf")) - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
     none = F.array().cast("array<struct<i:int,j:int>>")
-    d = d.select("node", "id", "n", "sketch", "component", "nodes", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
-    return d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "sketch", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node", "nodes")
+    d = d.select("node", "id", "n", "component", "own", F.explode(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("meet"))
+    return d.select(F.xxhash64("node", "meet.i", "meet.j").alias("cell"), "id", "n", "component", (F.col("own") == F.col("meet.i")).alias("left"), (F.col("own") == F.col("meet.j")).alias("right"), "node")
 
 
 def _allowed(x: int, right: np.ndarray, same: bool, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float, ratio: float) -> np.ndarray:
@@ -395,8 +395,12 @@ class _Found:
         component = work.save(connected_components(links, work), "components1")
         # a pair that meets in several nodes is compared in each, but told by the least of them only
         seats = placed.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-        marked = placed.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).join(seats, "id")
-        suspects = work.save(_suspects(_cells(marked, block, work), least, ratio), "suspects")
+        marked = placed.select("node", "id", "n").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # most nodes have one component by now; only what is left takes its sketch along
+        cells = work.save(_cells(marked, block, work), "cells")
+        left = cells.join(seats, "id").join(classes.select("id", "sketch"), "id")
+        left = left.select("cell", "id", "n", "sketch", "component", "left", "right", "node", "nodes")
+        suspects = work.save(_suspects(left, least, ratio), "suspects")
         self.links = component.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
         self.more = bool(suspects.limit(1).count())
         if self.more:

@@ -53,7 +53,7 @@ class ByteBpe:
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self._together = SideBySide(self.vocabulary)
-        self._memo = Memo(self._learn, "<u4", limit=64 << 20)
+        self._memo = Memo(self._learn, "<u4", limit=40 << 20)
         marks, found = [chr(c) for c in range(128) if KIND[c] == PUNCTUATION], self.pattern.findall
         self._apart = all(found(a + p) == [a, p] and found(p + a) == [p, a] for a in "a1" for p in marks)
         # tokens that merges never make; only as a whole match are they found
@@ -203,4 +203,4 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
 
         return work
 
-    return per_slice(narrow(df, id_col, text_col), schema, text_col, make, 4 * SLICE_BYTES, keeps=True)
+    return per_slice(narrow(df, id_col, text_col), schema, text_col, make, 2 * SLICE_BYTES, keeps=True)

@@ -5,11 +5,12 @@ spellings) and its SHA-256 looked up, by a hash join, among the digests of known
 Entire texts are compared: the document as a whole and, as texts of their own, its lines, so that a short notice
 is found wherever it stands. Only DataFrame functions are used.
 
-The table of known texts is a parameter of the code and holds some dozens of rows, far below
-:data:`MAX_KNOWN`, which is checked before it is broadcast.
+A text is canonicalised once, and its lines are looked up in its own row: those that are as long as some known text
+are digested. The known texts (:data:`KNOWN` in full, :data:`DIGESTS` of longer ones) are parameters; they may be
+:data:`MAX_KNOWN` at most, which is checked before they go to all tasks.
 
 Defined cases: a null or empty text has the digest of the empty text and no licence; every row is kept, repeated
-ones too (rows with one id share their lines' licences); other columns are ignored.
+ones too, and judged by its own text, whatever its id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,22 @@ EQUIVALENT = (
     ("per cent", "percent"),
 )
 MAX_KNOWN = 10_000
+#: Licences of whole files too long to be kept here: name, length and SHA-256 of the canonical form of the published text.
+DIGESTS = (
+    ("Apache-2.0", 9706, "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("Artistic-1.0-Perl", 5683, "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", 19510, "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3", 21879, "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", 17053, "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", 33277, "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("LGPL-2.0", 23937, "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", 25024, "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22340, "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", 14272, "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+)
 
 _AS_IS = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
@@ -84,6 +101,43 @@ _ZLIB = (
     "product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be "
     "misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn "
+    "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+    "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE "
+    "IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR "
+    "A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more "
+    "information, please refer to <https://unlicense.org>"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+    "by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the "
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the "
+    "Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies "
+    "of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+    "machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS "
+    "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a "
+    "copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software "
+    "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the "
+    "License for the specific language governing permissions and limitations under the License."
+)
+#: Licences by identifier, with the names that one-line notices have for them.
+SPDX = {
+    "MIT": ("MIT License",), "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"), "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License",), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",), "BSL-1.0": ("Boost Software License, Version 1.0",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GPL-2.0"), "GPL-3.0": ("GNU General Public License, version 3", "GPL-3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",), "LGPL-3.0": ("GNU Lesser General Public License, version 3",), "AGPL-3.0": ("GNU Affero General Public License, version 3",),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "MPL-2.0"), "EPL-2.0": ("Eclipse Public License 2.0",), "CC0-1.0": ("CC0 1.0",), "CC-BY-4.0": ("CC BY 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",), "CC-BY-NC-4.0": ("CC BY-NC 4.0",), "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+}
 #: Known texts: (licence, whole text or notice). Notices are those in common use.
 KNOWN = (
     ("MIT", _MIT + _AS_IS),
@@ -97,58 +151,67 @@ KNOWN = (
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _AUTHOR),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
+    ("Apache-2.0", _APACHE_NOTICE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    *((spdx, f"SPDX-License-Identifier: {spdx}{end}") for spdx in SPDX for end in ("", "-only", "-or-later")),
+    *((spdx, f"{said} under {the}{name}.") for spdx, names in SPDX.items() for name in names for said in ("Licensed", "Released") for the in ("", "the ")),
 )
 
 
-def stripped(text: Column) -> Column:
-    """Lower case, without copyright lines, punctuation as spaces; line ends stay."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")
-
-
-def squeezed(text: Column) -> Column:
-    """White space runs as one space, none at the ends; equivalent spellings as one."""
-    t = F.trim(F.regexp_replace(text, r"[ \n]+", " "))
-    for a, b in EQUIVALENT:
+def _spelt(t: Column, pairs=EQUIVALENT) -> Column:
+    for a, b in pairs:
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``digest, license``; one row for each canonical text."""
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} known texts; more than {MAX_KNOWN} aren't broadcast")
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.groupBy(F.sha2(squeezed(stripped(F.col("text"))), 256).alias("digest")).agg(F.min("license").alias("license"))
+def canonical_lines(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with ``out`` for the text: the canonical forms of its lines that aren't empty.
+
+    Lower case, without copyright lines, runs of punctuation and blanks as one space, equivalent spellings as one. Each
+    step is a column of its own, so that what several parts of the next one need is computed once.
+    """
+    rest = [c for c in df.columns if c != text_col]
+    d = df.select(*rest, F.translate(F.coalesce(text_col, F.lit("")), UPPER, LOWER).alias(out))
+    d = d.select(*rest, out, (F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("\u00a9")) | F.contains(out, F.lit("all rights reserved"))).alias("_noted"))
+    d = d.select(*rest, F.regexp_replace(F.when(F.col("_noted"), F.regexp_replace(out, COPYRIGHT_LINE, "\n")).otherwise(F.col(out)), PUNCTUATION, " ").alias(out))
+    lines = F.transform(F.split(_spelt(F.col(out)), "\n", -1), lambda x: F.trim(x))
+    return d.select(*rest, F.filter(lines, lambda x: x != "").alias(out))
+
+
+def canonical(lines: Column) -> Column:
+    """The canonical form of the whole text: spellings of several words may stand on two lines."""
+    return _spelt(F.array_join(lines, " "), [(a, b) for a, b in EQUIVALENT if " " in a])
+
+
+def known_texts(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> dict[str, tuple[str, int]]:
+    """The licence and the length of each known canonical text, by its digest; of one digest the least licence."""
+    if len(known) + len(digests) > MAX_KNOWN:
+        raise ValueError(f"{len(known) + len(digests)} known texts; more than {MAX_KNOWN} don't go to all tasks")
+    rows = canonical_lines(spark.createDataFrame(list(known), "license string, text string"), "text", "lines").select("license", canonical(F.col("lines")).alias("t"))
+    found = [(r["digest"], r["license"], r["n"]) for r in rows.select(F.sha2("t", 256).alias("digest"), "license", F.char_length("t").alias("n")).collect()]
+    out: dict[str, tuple[str, int]] = {}
+    for digest, license_, n in found + [(d, name, n) for name, n, d in digests]:
+        out[digest] = min((license_, n), out.get(digest, (license_, n)))
+    return out
 
 
-def license_scan(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(df: DataFrame, known=KNOWN, digests=DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, text_digest, text_license (null: not known as a whole), line_licenses (distinct, sorted, comma-joined)."""
-    digests = F.broadcast(known_digests(df.sparkSession, known))
-    base = narrow(df, id_col, text_col).select(id_col, stripped(F.col(text_col)).alias("_base"))
-    lines = base.select(id_col, F.explode(F.split("_base", "\n")).alias("_line")).filter(F.col("_line").rlike("[^ ]"))
-    lines = lines.select(id_col, F.sha2(squeezed(F.col("_line")), 256).alias("digest")).join(digests, "digest")
-    found = lines.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
-    whole = base.select(id_col, F.sha2(squeezed(F.col("_base")), 256).alias("text_digest"))
-    whole = whole.join(digests.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
-    found = found.withColumnRenamed(id_col, "_id")
-    return whole.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, "text_digest", "text_license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
-
-
-def oracle_sql(known=KNOWN) -> str:
-    """The same in DuckDB SQL, over a view named ``documents``."""
+    table = known_texts(df.sparkSession, known, digests)
+    names = F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*[F.lit(name) for name, _ in table.values()]))
+    d = canonical_lines(narrow(df, id_col, text_col), text_col, "_lines")
+    short = F.filter("_lines", lambda x: F.char_length(x).isin(sorted({n for _, n in table.values()})))
+    found = F.filter(F.transform(short, lambda x: F.element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
+    d = d.select(id_col, F.sha2(canonical(F.col("_lines")), 256).alias("text_digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("line_licenses"))
+    rows = df.sparkSession.createDataFrame([(k, name) for k, (name, _) in table.items()], "text_digest string, text_license string")
+    return d.join(F.broadcast(rows), "text_digest", "left").select(id_col, "text_digest", "text_license", "line_licenses")
+
+
+def oracle_sql(known=KNOWN, digests=DIGESTS) -> str:
+    """The same in DuckDB SQL, over a view named ``documents`` whose ids are distinct."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def base(c: str) -> str:
@@ -162,9 +225,10 @@ def oracle_sql(known=KNOWN) -> str:
         return t
 
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known)
+    more = ", ".join(f"({quote(a)}, {quote(d)})" for a, _, d in digests)
     return f"""
-WITH known(license, text) AS (VALUES {values}),
-digests AS (SELECT sha256({tight(base("text"))}) AS digest, min(license) AS license FROM known GROUP BY 1),
+WITH known(license, text) AS (VALUES {values}), more(license, digest) AS (VALUES {more}),
+digests AS (SELECT digest, min(license) AS license FROM (SELECT sha256({tight(base("text"))}) AS digest, license FROM known UNION ALL SELECT digest, license FROM more) GROUP BY 1),
 base AS (SELECT doc_id, {base("text")} AS b FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line FROM base),
 found AS (

@@ -2,7 +2,8 @@
 
 A document is the set of its distinct ``k``-word shingles. Documents with equal sets (by a 128-bit digest and the
 size) form a class, and one row stands for it from then on. Every class carries minwise tokens (the least values of
-its set under seeded hashes) and a one-permutation sketch.
+its set under seeded hashes; 64 bits where they are a tree's root, 32 where they part a node) and a one-permutation sketch
+of half a byte a bin: values that agree by chance raise an estimate, so that no link is lost by it.
 
 Each of ``trees`` independent trees sends a class down one chosen minwise token; nodes with more than ``limit``
 classes branch again, by two further tokens chosen by the node, down to ``depth`` levels. Two sets with similarity J
@@ -45,7 +46,7 @@ from loxodrome.llm.text_arrays import SPACED, mix, shingle_sets, words_of
 from loxodrome.llm.workspace import Workspace
 
 TOKENS = 32  # minwise tokens of a class
-BINS = 256  # of the sketch, a byte each
+BINS = 256  # of the sketch, half a byte each
 #: A node with this share of its parent's classes is a crowd.
 CROWD = 0.7
 #: Up to so many ids are sent to all tasks to pick documents by; beyond, documents are joined by a shuffle.
@@ -67,25 +68,30 @@ def miss_probability(j: float, trees: int, depth: int) -> float:
 
 
 def sketch_miss(j: float, least: float) -> float:
-    """That a pair of similarity ``j`` has a sketch estimate below ``least``, if its bins are independent and all used."""
+    """A bound of the chance that a pair of similarity ``j`` has a sketch estimate below ``least``, if its bins are independent and all used."""
     return sum(math.exp(math.lgamma(BINS + 1) - math.lgamma(k + 1) - math.lgamma(BINS - k + 1) + k * math.log(j) + (BINS - k) * math.log1p(-j)) for k in range(math.ceil(least * BINS)))
 
 
-def _sketches(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, n, d1, d2, tokens, sketch`` of every row; h: a hash of the text; d1, d2: a digest of the set."""
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, each = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * each), pa.array(values.ravel()))
+
+
+def _sketches(df: DataFrame, k: int, trees: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, n, d1, d2, roots, tokens, sketch`` of every row; h: a hash of the text; d1, d2: a digest of the set."""
 
     def make():
         def work(rows: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
             n, d1, d2, tokens, sketch = _sketch(texts, k)
-            flat = pa.array(tokens.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), flat)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(n), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
-            arrays = [rows.column(0), rows.column(1), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, raw]
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n", "d1", "d2", "tokens", "sketch"])
+            roots, parts = _lists(tokens.view(np.int64)[:, :trees]), _lists((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            halves = sketch[:, 0::2] << np.uint8(4) | sketch[:, 1::2]
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(n), [None, pa.py_buffer(halves.tobytes())]).cast(pa.binary())
+            arrays = [rows.column(0), rows.column(1), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), roots, parts, raw]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n", "d1", "d2", "roots", "tokens", "sketch"])
 
         return work
 
-    return per_slice(_hashed(df, id_col, text_col), "id long, h long, n long, d1 long, d2 long, tokens array<long>, sketch binary", "text", make)
+    return per_slice(_hashed(df, id_col, text_col), "id long, h long, n long, d1 long, d2 long, roots array<long>, tokens array<int>, sketch binary", "text", make)
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +115,7 @@ def _sketch(texts: pa.Array, k: int):
         row, bin_ = np.repeat(np.arange(len(n)), n), (hashes >> np.uint64(56)).astype(np.int64)
         head = np.ones(len(hashes), bool)
         head[1:] = (row[1:] != row[:-1]) | (bin_[1:] != bin_[:-1])
-        sketch[row[head], bin_[head]] = ((hashes[head] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        sketch[row[head], bin_[head]] = ((hashes[head] >> np.uint64(40)) % np.uint64(15) + np.uint64(1)).astype(np.uint8)
     return n, d1, d2, tokens, sketch
 
 
@@ -134,7 +140,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, k: int, work: Workspace, id_col
 
 def _nodes(classes: DataFrame, trees: int, depth: int, limit: int, work: Workspace) -> DataFrame:
     """``node, id, size`` of all nodes with two classes or more that branch no further."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("tokens", t + 1)))
+    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("roots", t + 1)))
     rows = classes.select("id", F.explode(roots).alias("node"), F.lit(1 << 62).alias("parent"))
     out = None
     for level in range(1, depth + 1):
@@ -173,7 +179,10 @@ def _bytes_of(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return _bytes_of(column, "u1")[0].reshape(-1, BINS)
+    halves = _bytes_of(column, "u1")[0].reshape(-1, BINS // 2)
+    out = np.empty((len(halves), BINS), np.uint8)
+    out[:, 0::2], out[:, 1::2] = halves >> 4, halves & 15
+    return out
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
@@ -373,7 +382,7 @@ class _Found:
         self.work = work = Workspace(df.sparkSession)
         least, ratio = threshold / 100 - margin, threshold / 100
         # a row's number is written with it, so it never changes
-        sketches = work.save(_sketches(df, k, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        sketches = work.save(_sketches(df, k, trees, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
         digest = ["n", "d1", "d2"]
         sound = (F.col("n") > 0) if nulls else (F.col("n") > 0) & F.col("id").isNotNull()
         stands = work.save(sketches.filter(sound).groupBy(*digest).agg(F.min("id").alias("rep"), F.min("row").alias("class")), "stands")
@@ -381,7 +390,7 @@ class _Found:
         rows = sketches.select("id", "h", "row", *digest).join(stands.select(*digest, "class"), digest, "left")
         self.rows = work.save(rows.select("id", "h", "n", "row", F.when(sound, F.col("class")).alias("class")), "rows")
         self.classes = stands.select(F.col("class").alias("id"), "rep")
-        first = sketches.select("row", F.col("id").alias("rid"), F.col("h").alias("rh"), "n", "tokens", "sketch")
+        first = sketches.select("row", F.col("id").alias("rid"), F.col("h").alias("rh"), "n", "roots", "tokens", "sketch")
         classes = work.save(first.join(stands.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "id"), "classes")
         work.drop(sketches)
         repeated = bool(self.rows.groupBy("id", "h").count().filter("count > 1").limit(1).count())

@@ -94,6 +94,11 @@ def _sketches(df: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
     return per_slice(_hashed(df, id_col, text_col), "id long, h long, n long, d1 long, d2 long, roots array<long>, tokens array<int>, sketch binary", "text", make)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, sent to all tasks if they are few, so that the texts or sets that they are joined to stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = narrow(df, id_col, text_col)
     return d.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -131,7 +136,7 @@ def _full_sets(df: DataFrame, wanted: DataFrame, k: int, work: Workspace, id_col
 
         return work_
 
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    picked = _small(wanted)
     docs = _hashed(df, id_col, text_col).withColumnRenamed("id", "own")
     docs = docs.join(picked, docs["own"].eqNullSafe(picked["rid"]) & (docs["h"] == picked["rh"])).select(picked["id"], "text")
     sets = work.save(per_slice(docs, "id long, set binary", "text", make), "sets")
@@ -256,7 +261,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, work: Workspac
     others = pairs.join(per, "a").select(cell(F.pmod(F.xxhash64("b"), F.col("cells"))).alias("cell"), F.col("b").alias("id"), F.lit(False).alias("first"))
     firsts = per.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("c"))
     firsts = firsts.select(cell(F.col("c")).alias("cell"), F.col("a").alias("id"), F.lit(True).alias("first"))
-    rows = others.unionByName(firsts).join(sets, "id").select("cell", "id", "first", "set")
+    seats = _small(work.save(others.unionByName(firsts), "seats"))
+    rows = sets.join(seats, "id").select("cell", "id", "first", "set")
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("first").desc(), "id")
     return map_batches(rows, run, "u long, v long")
 
@@ -369,7 +375,7 @@ def _spanning_links(suspects: DataFrame, sets: DataFrame, threshold: int, ratio:
             if u:
                 yield _pairs(np.array(u), np.array(v), ("u", "v"))
 
-    rows = suspects.join(sets, "id").select("cell", "id", "n", "component", "left", "right", "set")
+    rows = sets.join(_small(suspects), "id").select("cell", "id", "n", "component", "left", "right", "set")
     return map_batches(rows.repartition("cell").sortWithinPartitions("cell"), run, "u long, v long")
 
 
@@ -467,7 +473,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     d = groups.join(first, "group").withColumn("stays", key.eqNullSafe(F.col("first")))
     gone = work.save(d.filter(~F.col("stays")).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
     same = lambda t: df[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(df[text_col]) == t["_hash"])
-    kept = df.join(gone, same(gone), "left_anti")
+    few = _small(gone)
+    kept = df.join(few, same(few), "left_anti")
     copies = work.save(d.filter("stays").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).count().filter("count > 1").drop("count"), "copies")
     if not copies.limit(1).count():
         return kept

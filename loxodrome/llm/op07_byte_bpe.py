@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loxodrome.llm.bpe_dp import PrefixTable, SideBySide, Vocabulary, encode
-from loxodrome.llm.frames import SLICE_BYTES, narrow, per_slice, resident
+from loxodrome.llm.frames import narrow, per_slice, resident
 from loxodrome.llm.memo import Memo, Ragged, pieces
 from loxodrome.llm.text_arrays import KIND, OTHER, PUNCTUATION, byte_class, column_bytes
 
@@ -203,4 +203,4 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
 
         return work
 
-    return per_slice(narrow(df, id_col, text_col), schema, text_col, make, 2 * SLICE_BYTES, keeps=True)
+    return per_slice(narrow(df, id_col, text_col), schema, text_col, make, keeps=True)

@@ -234,7 +234,9 @@ def test_minhash(spark, limit, block):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out} == {(i, len(sets[i]), root[i], root[i] == i) for i in ids}
 
 
-def test_minhash_ids_with_several_texts(spark):
+@pytest.mark.parametrize("few", [500_000, -1])  # ids are broadcast, or shuffled
+def test_minhash_ids_with_several_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(op03_minhash, "BROADCAST_IDS", few)
     rng = random.Random(3)
     say = lambda: [rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(100)]
     a, b, c, other = say(), say(), say(), say()

@@ -140,9 +140,12 @@ def _newton_sums(rows: DataFrame, todo: dict, d: int) -> dict[int, np.ndarray]:
 
 
 def probability(columns: list[str], model: dict) -> Column:
-    """The model's probability; unknown values count as 0 before scaling only if the caller filled them so."""
+    """The model's probability; unknown values count as 0 before scaling only if the caller filled them so.
+
+    The log odds are rounded to nine digits: rows that the model can't tell apart tie, whatever the order of the sums.
+    """
     z = sum((F.lit(float(b)) * v for b, v in zip(model["coef"], _scaled(columns, model), strict=True)), F.lit(model["intercept"]))
-    return 1.0 / (1.0 + F.exp(-z))
+    return 1.0 / (1.0 + F.exp(-F.round(z, 9)))
 
 
 def fit_linear(df: DataFrame, columns: list[str], target: str, groups: list[Column], alpha: float = 1.0, kind: str = "ridge", l1_ratio: float = 0.2) -> list[dict]:
@@ -325,12 +328,13 @@ def leakage_audit(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", c
     rows, df = [], df.select(label, *columns).cache()
     filled = ranking.median_filled(df, columns)
     model = fit_logistic(filled.select(label, *columns), columns, label, [F.lit(True)])[0]
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.expr(f"try_cast(`{c}` as double)").alias("x")) for c in columns])
+    known = df.select(F.inline(pairs), F.col(label).cast("double").alias("y")).filter("x is not null and not isnan(x) and y is not null")
+    sums = {r["feature"]: r for r in known.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("k"), F.corr("x", "y").alias("r")).collect()}
+    usable = {c for c, r in sums.items() if r["n"] >= 2 and r["k"] >= 2}
+    rhos = {r["feature"]: r["rho"] for r in ranking.spearman(known.filter(F.col("feature").isin(*usable)), "x", "y", by=("feature",)).collect()} if usable else {}
     for c, b in zip(columns, model["coef"], strict=True):  # a few features
-        d = df.select(F.expr(f"try_cast(`{c}` as double)").alias("x"), F.col(label).cast("double").alias("y")).filter("x is not null and not isnan(x) and y is not null")
-        s = d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("k"), F.corr("x", "y").alias("r")).first()
-        usable = s["n"] >= 2 and s["k"] >= 2
-        r = s["r"] if usable else None
-        rho = ranking.spearman(d, "x", "y").first()["rho"] if usable else None
+        r, rho = (sums[c]["r"], rhos[c]) if c in usable else (None, None)
         why = ["target-derived by construction"] * (c in TARGET_DERIVED)
         why += [f"|r|={abs(r):.2f} ≥ {corr_limit}"] * (r is not None and abs(r) >= corr_limit)
         why += [f"|coef|={abs(b):.2f} ≥ {coef_limit}"] * bool(abs(b) >= coef_limit)
@@ -341,16 +345,28 @@ def leakage_audit(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", c
 
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> dict:
-    """R², RMSE, MAE and rank correlation with its p-value, each from one pass."""
-    d = df.select(F.col(y).alias("y"), F.col(p).alias("p"))
+    """R², RMSE, MAE and rank correlation with its p-value."""
+    m = _regression_metrics(df, y, p)[()]
+    return {k: v for k, v in m.items() if k != "n"}
+
+
+def _regression_metrics(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ()) -> dict[tuple, dict]:
+    """The metrics of each group, all groups in the same passes."""
+    d = df.select(*by, F.col(y).alias("y"), F.col(p).alias("p"))
     e = F.col("y") - F.col("p")
-    s = d.agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("y").alias("v")).first()
-    if not s["n"]:
-        return dict.fromkeys(("r2", "rmse", "mae", "spearman", "spearman_p"), math.nan)
-    rho = ranking.spearman(d, "y", "p", buckets=16).first()["rho"] if s["n"] > 1 else None
-    rho = math.nan if rho is None else rho
-    r2 = math.nan if s["n"] < 2 else (1.0 - s["mse"] / s["v"] if s["v"] else (1.0 if s["mse"] == 0 else 0.0))
-    return {"r2": r2, "rmse": math.sqrt(s["mse"]), "mae": s["mae"], "spearman": rho, "spearman_p": special.correlation_p(rho, s["n"])}
+    sums = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("y").alias("v")).collect()
+    key = lambda r: tuple(r[c] for c in by)
+    rhos = {key(r): r["rho"] for r in ranking.spearman(d, "y", "p", buckets=16, by=by).collect()} if any(s["n"] > 1 for s in sums) else {}
+    out = {}
+    for s in sums:
+        if not s["n"]:
+            out[key(s)] = {"n": 0} | dict.fromkeys(("r2", "rmse", "mae", "spearman", "spearman_p"), math.nan)
+            continue
+        rho = rhos.get(key(s)) if s["n"] > 1 else None
+        rho = math.nan if rho is None else rho
+        r2 = math.nan if s["n"] < 2 else (1.0 - s["mse"] / s["v"] if s["v"] else (1.0 if s["mse"] == 0 else 0.0))
+        out[key(s)] = {"n": s["n"], "r2": r2, "rmse": math.sqrt(s["mse"]), "mae": s["mae"], "spearman": rho, "spearman_p": special.correlation_p(rho, s["n"])}
+    return out
 
 
 _POWER = ("cell_id", "power_count", "primary_power_gw", "mean_power_gw", "sum_power_gw", "log_primary_power")
@@ -380,13 +396,13 @@ def power_regression(fm: DataFrame, power: DataFrame, columns=None, model_type:
         p = F.when(here, linear(columns, m)) if p is None else p.when(here, linear(columns, m))
     out = d.withColumn("predicted_log_power", p).filter("predicted_log_power is not null").withColumnRenamed("log_primary_power", "observed_log_power")
     out = out.withColumn("residual_log_power", F.col("observed_log_power") - F.col("predicted_log_power")).cache()
-    sizes = {r["fold"]: r["count"] for r in out.groupBy("fold").count().collect()}
-    if not sizes:
+    found = {k: m for (k,), m in _regression_metrics(out, "observed_log_power", "predicted_log_power", ("fold",)).items()}
+    if not found:
         raise ValueError("spatial folds gave no residuals")
     folds = []
-    for k in sorted(sizes):
-        m = regression_metrics(out.filter(F.col("fold") == k), "observed_log_power", "predicted_log_power")
-        folds.append(m | {"fold": k, "lat_band": band_label(*cv.bands[k][:2]), "n_train": int(models[k]["n"]), "n_test": sizes[k]})
+    for k in sorted(found):
+        n_test = found[k].pop("n")
+        folds.append(found[k] | {"fold": k, "lat_band": band_label(*cv.bands[k][:2]), "n_train": int(models[k]["n"]), "n_test": n_test})
     summary = {}
     for key in ("r2", "rmse", "mae", "spearman"):
         v = [f[key] for f in folds if math.isfinite(f[key])]

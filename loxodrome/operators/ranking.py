@@ -26,18 +26,21 @@ def running(df: DataFrame, key: str, sums: dict[str, str], buckets: int = 64, by
     return d.drop("_r", "_g_r", *[f"_g_{c}" for c in by], *[f"_b_{c}" for c in sums])
 
 
-def midranks(df: DataFrame, column: str, out: str, buckets: int = 64) -> DataFrame:
-    """Average ranks, from 1; null stays null. Equal values are counted first and ranked once."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counts, "_v", {"_c": "_before"}, buckets).select("_v", (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranked, F.col(column).cast("double") == F.col("_v"), "left").drop("_v")
-
-
-def spearman(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
-    """One row: ``n`` and the rank correlation of the rows where both are known."""
-    both = df.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = midranks(midranks(both, x, "_rx", buckets), y, "_ry", buckets)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+def midranks(df: DataFrame, column: str, out: str, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Average ranks, from 1 (in each group); null stays null. Equal values are counted first and ranked once."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts, "_v", {"_c": "_before"}, buckets, by).select(*[F.col(c).alias(f"_k_{c}") for c in by], "_v", (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
+    same = F.col(column).cast("double") == F.col("_v")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(ranked, same, "left").drop("_v", *[f"_k_{c}" for c in by])
+
+
+def spearman(df: DataFrame, x: str, y: str, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (a group): ``n`` and the rank correlation of the rows where both are known."""
+    both = df.select(*by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = midranks(midranks(both, x, "_rx", buckets, by), y, "_ry", buckets, by)
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -218,7 +218,10 @@ def nearest_hotspot_bucketed(s, d):
     return rounded(out.select("cell_id", "dist_nearest_hotspot_km"), 4)
 
 
-@query(f"WITH {_grid_sql(MIDDLE)} SELECT cell_id, {_r('least(' + ', '.join(_haversine_sql('lat_centre', 'lon_centre', f'{a}::DOUBLE', f'{b}::DOUBLE') for a, b in ((0.0, 0.0), (0.0, 180.0), (90.0, 0.0), (-90.0, 0.0))) + ')', 4)} AS dist_tidal_stress_max_km FROM cells")
+_STRESS = "least(" + ", ".join(_haversine_sql("lat_centre", "lon_centre", f"{a}::DOUBLE", f"{b}::DOUBLE") for a, b in ((0.0, 0.0), (0.0, 180.0), (90.0, 0.0), (-90.0, 0.0))) + ")"
+
+
+@query(f"WITH {_grid_sql(MIDDLE)} SELECT cell_id, {_r(_STRESS, 4)} AS dist_tidal_stress_max_km FROM cells")
 def stress_distance(s, d):
     return rounded(neighbours.distance_to_stress_maxima(gridding.base_grid(s, MIDDLE)).select("cell_id", "dist_tidal_stress_max_km"), 4)
 
@@ -478,9 +481,30 @@ def bootstrap_enrichment(s, d):
     return rounded(resample.bootstrap_enrichment(unit_cells(s, d), customers(s, d), grid=COARSE))
 
 
-@query()
+_SHORT_SIDES = " UNION ALL ".join(
+    f"SELECT f, rep, 'binomial_{name}' AS metric, CAST(sum(CAST({a} AS INTEGER)) AS BIGINT) AS k, CAST(sum(CAST({a} OR {b} AS INTEGER)) AS BIGINT) AS n FROM kt GROUP BY 1, 2"
+    for name, a, b in (
+        ("sub_jovian_vs_anti", "(abs(longitude) < 90)", "(abs(longitude) >= 90)"),
+        ("leading_vs_trailing", "(longitude > 0 AND longitude <= 180)", "(longitude <= 0 AND longitude > -180)"),
+        ("northern_vs_southern", "(latitude > 0)", "(latitude <= 0)"),
+    )
+)
+
+
+@query(
+    f"WITH {_labelled_sql()}, {SUP}, {_KEEP}, sq AS (SELECT row_number() OVER (ORDER BY longitude, latitude) - 1 AS id, longitude, latitude FROM sup), "
+    "rk AS (SELECT f, keep, rep, longitude, latitude, row_number() OVER (PARTITION BY f, rep ORDER BY md5('42:' || f || ':' || rep || ':' || id), id) AS k FROM kp, range(100) r(rep), sq), kt AS (SELECT f, rep, longitude, latitude FROM rk WHERE k <= keep), "
+    f"cl AS (SELECT {_cell_sql(COARSE, 'lon_centre', 'lat_centre', False)} AS ck, coalesce(geology_unit, 'nan') AS unit FROM fm), sz AS (SELECT unit, count(*) AS n FROM cl GROUP BY 1), "
+    f"hc AS (SELECT DISTINCT f, rep, {_cell_sql(COARSE, clip=False)} AS ck FROM kt), hu AS (SELECT f, rep, unit, count(*) AS h FROM hc JOIN cl USING (ck) GROUP BY 1, 2, 3), "
+    "al AS (SELECT f, rep, unit, n, coalesce(h, 0) AS h FROM (SELECT f FROM kp) CROSS JOIN range(100) a(rep) CROSS JOIN sz LEFT JOIN hu USING (f, rep, unit)), "
+    "ex AS (SELECT *, sum(h) OVER w / sum(n) OVER w * n AS e, count(*) OVER w AS units FROM al WINDOW w AS (PARTITION BY f, rep)), x AS (SELECT *, coalesce((h - e) * (h - e) / nullif(e, 0), 0.0) AS x FROM ex), "
+    f"sg AS (SELECT f, unit, CAST(sum(CAST(least(1.0, ({_chi2_sql('x')}) * units) < 0.05 AS INTEGER)) AS BIGINT) AS hits FROM x GROUP BY 1, 2), "
+    f"sd AS ({_SHORT_SIDES}), bp AS (SELECT f, metric, {_binomial_sql('k', 'n')} AS p FROM sd), bt AS (SELECT f, metric, count(*) AS n, CAST(sum(CAST(p < 0.05 AS INTEGER)) AS BIGINT) AS s, quantile_cont(p, 0.5) AS m FROM bp WHERE p IS NOT NULL GROUP BY 1, 2) "
+    f"SELECT f AS fraction_retained, 'enrichment_' || unit AS metric, {_r('hits / 100.0::DOUBLE')} AS survival_rate, printf('%d/100 replicates Bonferroni-sig.', hits) AS summary FROM sg "
+    f"UNION ALL SELECT f, metric, {_r('s / CAST(n AS DOUBLE)')}, printf('p < 0.05 in %d/%d replicates. Median p = %.3f.', s, n, m) FROM bt"
+)
 def stability(s, d):
-    return resample.jackknife(unit_cells(s, d), suppliers(s, d), grid=COARSE)
+    return rounded(resample.jackknife(unit_cells(s, d), suppliers(s, d), grid=COARSE))
 
 
 # --- ranks, quantiles, histograms -----------------------------------------------------------------------------------
@@ -552,19 +576,31 @@ def brand_counts(s, d):
 _SC = "sc AS (SELECT doc_id, lang, n_chars / (n_chars + 1000.0::DOUBLE) AS score, quality FROM documents JOIN labels USING (doc_id))"
 
 
-@query(
-    f"WITH {_SC}, r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS mr FROM sc), a AS (SELECT lang, sum(quality) AS p, count(*) AS n, sum(CASE WHEN quality = 1 THEN mr END) AS s FROM r GROUP BY 1), "
-    "g AS (SELECT lang, score, sum(quality) AS tp, count(*) AS c FROM sc GROUP BY 1, 2), w AS (SELECT *, sum(tp) OVER o AS ctp, sum(c) OVER o AS cc, sum(tp) OVER (PARTITION BY lang) AS p FROM g WINDOW o AS (PARTITION BY lang ORDER BY score DESC)), ap AS (SELECT lang, sum(tp / p::DOUBLE * ctp / cc) AS v FROM w GROUP BY 1) "
-    "SELECT lang, CASE WHEN p > 0 AND n > p THEN round((s - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p))::DOUBLE, 6) END AS auc_roc, CASE WHEN p > 0 AND n > p THEN round(v, 6) END AS pr_auc FROM a JOIN ap USING (lang)"
-)
+def _ranking_sql(source: str, by: str, y: str) -> str:
+    """``rm``: areas under both curves for each group; null for a single class."""
+    return (
+        f"r AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1) / 2.0::DOUBLE AS mr FROM {source}), a AS (SELECT {by}, sum({y}) AS p, count(*) AS n, sum(CASE WHEN {y} = 1 THEN mr END) AS s FROM r GROUP BY 1), "
+        f"g AS (SELECT {by}, score, sum({y}) AS tp, count(*) AS c FROM {source} GROUP BY 1, 2), w AS (SELECT *, sum(tp) OVER o AS ctp, sum(c) OVER o AS cc, sum(tp) OVER (PARTITION BY {by}) AS p FROM g WINDOW o AS (PARTITION BY {by} ORDER BY score DESC)), ap AS (SELECT {by}, sum(tp / nullif(p, 0)::DOUBLE * ctp / cc) AS v FROM w GROUP BY 1), "
+        f"rm AS (SELECT {by}, CASE WHEN p > 0 AND n > p THEN round((s - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p))::DOUBLE, 6) END AS auc_roc, CASE WHEN p > 0 AND n > p THEN round(v, 6) END AS pr_auc FROM a JOIN ap USING ({by}))"
+    )
+
+
+def _class_sql(source: str, by: str, y: str, said: str) -> str:
+    """``cm``: counts and scores of each group at the threshold ``said``."""
+    count = ", ".join(f"CAST(sum(CAST({hit} AND {y} = {label} AS INTEGER)) AS DOUBLE) AS {name}" for name, hit, label in (("tp", said, 1), ("fp", said, 0), ("fn", f"NOT ({said})", 1), ("tn", f"NOT ({said})", 0)))
+    return (
+        f"c AS (SELECT {by}, {count}, avg((score - {y}) * (score - {y})) AS b FROM {source} GROUP BY 1), "
+        f"cm AS (SELECT {by}, CAST(tp + fp + fn + tn AS BIGINT) AS n_test, CAST(tp + fn AS BIGINT) AS n_positive_test, {_r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {_r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS recall, {_r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1, {_r('b')} AS brier, "
+        f"{_r('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc FROM c)"
+    )
+
+
+@query(f"WITH {_SC}, {_ranking_sql('sc', 'lang', 'quality')} SELECT * FROM rm")
 def ranking_metrics(s, d):
     return rounded(models.ranking_metrics(scored(s, d), "score", "quality", "lang"))
 
 
-@query(
-    f"WITH {_SC}, c AS (SELECT lang, CAST(sum(CAST(score >= 0.5 AND quality = 1 AS INTEGER)) AS DOUBLE) AS tp, CAST(sum(CAST(score >= 0.5 AND quality = 0 AS INTEGER)) AS DOUBLE) AS fp, CAST(sum(CAST(score < 0.5 AND quality = 1 AS INTEGER)) AS DOUBLE) AS fn, CAST(sum(CAST(score < 0.5 AND quality = 0 AS INTEGER)) AS DOUBLE) AS tn, avg((score - quality) * (score - quality)) AS b FROM sc GROUP BY 1) "
-    f"SELECT lang, CAST(tp + fp + fn + tn AS BIGINT) AS n_test, CAST(tp + fn AS BIGINT) AS n_positive_test, {_r('coalesce(tp / nullif(tp + fp, 0), 0)')} AS precision, {_r('coalesce(tp / nullif(tp + fn, 0), 0)')} AS recall, {_r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS f1, {_r('b')} AS brier, {_r('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc FROM c"
-)
+@query(f"WITH {_SC}, {_class_sql('sc', 'lang', 'quality', 'score >= 0.5')} SELECT * FROM cm")
 def class_metrics(s, d):
     return rounded(models.class_metrics(scored(s, d), "score", "quality", "lang", inclusive=True))
 
@@ -605,38 +641,89 @@ def matrix(s, d, grid: Grid = COARSE) -> DataFrame:
     return features.feature_matrix(s, suppliers(s, d), _boxes(s, d), grid=grid)
 
 
+_UNITS_IN_BOXES = "un AS (SELECT cell_id, coalesce((SELECT arg_min(u, k) FROM bx WHERE lon_centre > x0 AND lon_centre < x1 AND lat_centre > y0 AND lat_centre < y1), 'UNKNOWN') AS geology_unit FROM cells)"
+_NEAREST = f"nn AS (SELECT cell_id, min({_haversine_sql('lat_centre', 'lon_centre', 'latitude', 'longitude')}) AS dn FROM cells, sup GROUP BY 1)"
+_MATRIX = (
+    f"{SUP}, {_BOXES}, {_grid_sql(COARSE)}, per AS (SELECT {_cell_sql(COARSE)} AS cell_id, count(*) AS c FROM sup GROUP BY 1), {_UNITS_IN_BOXES}, {_NEAREST}, "
+    f"fx AS (SELECT cell_id, CASE WHEN lat_centre < -45 THEN 0 WHEN lat_centre < 0 THEN 1 WHEN lat_centre < 45 THEN 2 ELSE 3 END AS fold, CAST(coalesce(c, 0) > 0 AS INTEGER) AS y, {_SQL_PATTERNS['synthetic_proxy']} AS x1, "
+    f"CAST(dense_rank() OVER (ORDER BY geology_unit) - 1 AS DOUBLE) AS x2, dn AS x3, {_STRESS} AS x4 FROM cells LEFT JOIN per USING (cell_id) JOIN un USING (cell_id) JOIN nn USING (cell_id))"
+)
+
+
+def _logistic_sql(d: int = 4, steps: int = 40) -> str:
+    """``mo``: for each fold (and ``n`` folds: all rows) the balanced, penalised model of ``fx``, by Newton steps; ``st`` has its scales."""
+    x, b = range(1, d + 1), range(d + 1)
+    z = " + ".join(f"b{i} * z{i}" for i in b)
+    state = ", ".join(f"b{i}" for i in b)
+    tail = lambda i, j: " + 1.0::DOUBLE" if i == j and i else " + 1e-12::DOUBLE" if i == j else ""
+    sums = [f"sum(w * p * (1 - p) * z{i} * z{j}){tail(i, j)} AS a{i}{j}" for i in b for j in range(i, d + 1)] + [f"sum(w * (p - y) * z{i}){f' + b{i}' if i else ''} AS g{i}" for i in b]
+    system = f"SELECT k, step, {state}, {', '.join(sums)} FROM (SELECT nw.*, y, w, {', '.join(f'z{i}' for i in b)}, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({z}, 700.0), -700.0))) AS p FROM nw JOIN tr USING (k) WHERE step < {steps}) GROUP BY k, step, {state}"
+    for q in range(d):  # elimination of one unknown after the other
+        kept = [f"a{i}{j}" for i in range(q + 1) for j in range(i, d + 1)] + [f"g{i}" for i in range(q + 1)]
+        less = [f"a{i}{j} - a{q}{i} * a{q}{j} / a{q}{q} AS a{i}{j}" for i in range(q + 1, d + 1) for j in range(i, d + 1)] + [f"g{i} - a{q}{i} * g{q} / a{q}{q} AS g{i}" for i in range(q + 1, d + 1)]
+        system = f"SELECT k, step, {state}, {', '.join(kept + less)} FROM ({system})"
+    for i in reversed(b):
+        done = "".join(f" - a{i}{j} * e{j}" for j in range(i + 1, d + 1))
+        system = f"SELECT *, (g{i}{done}) / a{i}{i} AS e{i} FROM ({system})"
+    return (
+        f"st AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS pos, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}' for i in x)} FROM range(5) t(k) JOIN fx ON fold <> k GROUP BY k), "
+        f"tr AS (SELECT k, y, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w, 1.0::DOUBLE AS z0, {', '.join(f'(x{i} - m{i}) / s{i} AS z{i}' for i in x)} FROM st JOIN fx ON fold <> k), "
+        f"nw AS (SELECT k, 0 AS step, {', '.join(f'0.0::DOUBLE AS b{i}' for i in b)} FROM st UNION ALL SELECT k, step + 1, {', '.join(f'b{i} - e{i}' for i in b)} FROM ({system})), mo AS (SELECT * FROM nw WHERE step = {steps})"
+    )
+
+
+_FITTED = f"WITH RECURSIVE {_MATRIX}, {_logistic_sql()}"
+_OUT_OF_FOLD = f"pr AS (SELECT fold, y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-round(b0 + {' + '.join(f'b{i} * (x{i} - m{i}) / s{i}' for i in range(1, 5))}, 9))) AS score FROM fx JOIN mo ON mo.k = fold JOIN st ON st.k = fold)"
+_ORIGINS = (("tidal_heating_flux", "analytical proxy (not observed)"), ("geology_encoded", "observed / external"), ("dist_nearest_hotspot_km", "target-derived (from hotspot catalogue)"), ("dist_tidal_stress_max_km", "analytical proxy (not observed)"))
+
+
 @query()
 def ablation(s, d):
     return models.ablation(matrix(s, d))
 
 
-@query()
+@query(
+    f"{_FITTED}, mr AS (SELECT *, {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r{c}' for c in ('x1', 'x2', 'x3', 'x4', 'y'))} FROM fx), "
+    f"cr AS (SELECT {', '.join(f'corr(x{i}, y) AS p{i}, corr(rx{i}, ry) AS q{i}' for i in range(1, 5))} FROM mr), "
+    f"lv AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, '{o}' AS derivation_source, p{i} AS r, q{i} AS rho, b{i} AS b, {i == 3} AS made FROM cr, mo WHERE k = 4" for i, (n, o) in enumerate(_ORIGINS, 1))}) "
+    "SELECT feature, derivation_source, round(r, 4) + 0.0 AS pearson_r, round(rho, 4) + 0.0 AS spearman_r, round(b, 4) + 0.0 AS lr_coef, round(abs(b), 4) AS abs_coef, made OR abs(r) >= 0.6 OR abs(b) >= 5 AS suspected_leakage, "
+    "concat_ws('; ', CASE WHEN made THEN 'target-derived by construction' END, CASE WHEN abs(r) >= 0.6 THEN printf('|r|=%.2f ≥ 0.6', abs(r)) END, CASE WHEN abs(b) >= 5 THEN printf('|coef|=%.2f ≥ 5.0', abs(b)) END) AS flag_reason FROM lv"
+)
 def leakage_audit(s, d):
-    return models.leakage_audit(matrix(s, d))
+    return rounded(models.leakage_audit(matrix(s, d)), 4)
 
 
-@query()
+@query(f"{_FITTED}, {_OUT_OF_FOLD}, {_class_sql('pr', 'fold', 'y', 'score > 0.5')}, {_ranking_sql('pr', 'fold', 'y')} SELECT * FROM cm LEFT JOIN rm USING (fold)")
 def trained_folds(s, d):
-    return models.train(matrix(s, d))[1]
+    return rounded(models.train(matrix(s, d))[1])
 
 
-@query()
+_BOTH = "n_positive_test > 0 AND n_positive_test < n_test"
+
+
+@query(f"{_FITTED}, {_OUT_OF_FOLD}, {_class_sql('pr', 'fold', 'y', 'score >= 0.5')} SELECT fold, CASE WHEN {_BOTH} THEN brier END AS brier, CASE WHEN {_BOTH} THEN mcc END AS mcc, CASE WHEN NOT ({_BOTH}) THEN 'single-class test fold' END AS note FROM cm")
 def validation_scores(s, d):
-    return models.validate(matrix(s, d))["scores"]
+    return rounded(models.validate(matrix(s, d))["scores"])
 
 
-@query()
+@query(
+    f"WITH {_MATRIX}, {_power_sql().replace(_grid_sql(COARSE) + ', ', '')}, rg AS (SELECT cell_id, fold, log_primary_power AS t, x1, x2, x4 AS x3 FROM obs JOIN fx USING (cell_id)), "
+    "ms AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, avg(t) AS mt, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}, covar_pop(x{i}, t) AS c{i}" for i in (1, 2, 3)) + ", corr(x1, x2) AS r12, corr(x1, x3) AS r13, corr(x2, x3) AS r23 FROM range(4) f(k) JOIN rg ON fold <> k GROUP BY k), "
+    "gm AS (SELECT *, n + 1 AS a, n * r12 AS u, n * r13 AS v, n * r23 AS w, n * c1 / s1 AS y1, n * c2 / s2 AS y2, n * c3 / s3 AS y3 FROM ms), dt AS (SELECT *, a * a * a + 2 * u * v * w - a * (u * u + v * v + w * w) AS det FROM gm), "
+    "bt AS (SELECT *, ((a * a - w * w) * y1 + (v * w - a * u) * y2 + (u * w - a * v) * y3) / det AS b1, ((v * w - a * u) * y1 + (a * a - v * v) * y2 + (u * v - a * w) * y3) / det AS b2, ((u * w - a * v) * y1 + (u * v - a * w) * y2 + (a * a - u * u) * y3) / det AS b3 FROM dt), "
+    "pd AS (SELECT fold, cell_id, t, mt + " + " + ".join(f"b{i} * (x{i} - m{i}) / s{i}" for i in (1, 2, 3)) + " AS p FROM rg JOIN bt ON k = fold) "
+    f"SELECT fold, cell_id, {_r('t')} AS observed_log_power, {_r('p')} AS predicted_log_power, {_r('t - p')} AS residual_log_power FROM pd"
+)
 def power_regression(s, d):
     out = models.power_regression(matrix(s, d), power_cells(s, d))["residuals"]
-    return out.select("fold", "cell_id", "observed_log_power", "predicted_log_power", "residual_log_power")
+    return rounded(out.select("fold", "cell_id", "observed_log_power", "predicted_log_power", "residual_log_power"))
 
 
 # --- plans and scenes -----------------------------------------------------------------------------------------------
 
 
 @query(
-    f"WITH {SUP}, {_BOXES}, {_grid_sql(COARSE)}, per AS (SELECT {_cell_sql(COARSE)} AS cell_id, count(*) AS c FROM sup GROUP BY 1), un AS (SELECT cell_id, coalesce((SELECT arg_min(u, k) FROM bx WHERE lon_centre > x0 AND lon_centre < x1 AND lat_centre > y0 AND lat_centre < y1), 'UNKNOWN') AS geology_unit FROM cells), "
-    f"nn AS (SELECT cell_id, min({_haversine_sql('lat_centre', 'lon_centre', 'latitude', 'longitude')}) AS dn FROM cells, sup GROUP BY 1) "
+    f"WITH {SUP}, {_BOXES}, {_grid_sql(COARSE)}, per AS (SELECT {_cell_sql(COARSE)} AS cell_id, count(*) AS c FROM sup GROUP BY 1), {_UNITS_IN_BOXES}, {_NEAREST} "
     f"SELECT cell_id, coalesce(c, 0) AS hotspot_count, {_r(_SQL_PATTERNS['synthetic_proxy'])} AS tidal_heating_flux, geology_unit, CAST(dense_rank() OVER (ORDER BY geology_unit) - 1 AS INTEGER) AS geology_encoded, {_r('dn', 4)} AS dist_nearest_hotspot_km FROM cells LEFT JOIN per USING (cell_id) JOIN un USING (cell_id) JOIN nn USING (cell_id)"
 )
 def feature_matrix(s, d):

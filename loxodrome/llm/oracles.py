@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loxodrome.llm import op10_licenses
+from loxodrome.llm import op10_licenses, op12_filter_audit, op13_line_dedup
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = "reach(u, v) AS (SELECT id, id FROM ids UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v), comp AS (SELECT u AS id, min(v) AS component_id FROM reach GROUP BY u)"
@@ -70,4 +70,6 @@ ORACLES = {
     "op4_decontamination": DECONTAMINATION,
     "op9_chat": CHAT,
     "op10_licenses": op10_licenses.oracle_sql(),
+    "op12_filter_audit": op12_filter_audit.ORACLE,
+    "op13_line_dedup": op13_line_dedup.ORACLE,
 }

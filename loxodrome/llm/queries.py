@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op04_decontamination, op05_sharding, op06_token_files, op07_byte_bpe, op08_toxicity, op09_chat, op10_licenses, oracles
+from loxodrome.llm import op01_ego_join, op02_token_counts, op03_minhash, op04_decontamination, op05_sharding, op06_token_files, op07_byte_bpe, op08_toxicity, op09_chat, op10_licenses, op11_alignment, op12_filter_audit, op13_line_dedup, oracles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_licenses_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_alignment.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_line_dedup.drop_lines(_table(spark, sf_dir, "documents"), shortest=40, documents=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity_scores,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses_scan,
+    "op11_alignment": op11_alignment_figures,
+    "op12_filter_audit": op12_filter_audit_report,
+    "op13_line_dedup": op13_line_dedup_digest,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

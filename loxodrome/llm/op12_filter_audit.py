@@ -70,7 +70,9 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"), F.unhex(F.md5(text.cast("binary"))).alias("digest")
     )
     rows = work.save(read, "masks")
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    # written, so that both sides of the join are plain shuffles, whose large partitions can be split
+    firsts = work.save(firsts.drop("copies"), "firsts")
     known = narrow(labels, id_col, "quality", "toxic").filter(F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     whole = rows.join(firsts, "digest", "left").join(known, "id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loxodrome.config import Grid
@@ -67,10 +67,21 @@ def assign_power(cells: DataFrame, points: DataFrame, grid: Grid = Grid(), order
     return out.na.fill(fill).withColumn("log_primary_power", F.log1p("primary_power_gw"))
 
 
+def unit_codes(df: DataFrame, unit: str, out: str) -> DataFrame:
+    """The dictionary: each name that occurs, with its number from 0 in the order of names. Null has none.
+
+    Names are numbered within ranges of equal beginnings, side by side, and ranges by how many names stand before them.
+    """
+    names = df.select(F.col(unit).alias("_name")).filter("_name is not null").distinct().withColumn("_range", F.substring(F.col("_name").cast("string"), 1, 4))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not names
+    offsets = names.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_name")) - 1
+    return names.withColumn("_inside", inside).join(offsets, "_range").select("_name", (F.col("_before") + F.col("_inside")).cast("int").alias(out))
+
+
 def encode_units(df: DataFrame, unit: str = "geology_unit", out: str = "geology_encoded") -> DataFrame:
-    """Units numbered from 0 in the order of their names. Only distinct names are sorted."""
-    names = df.select(unit).distinct().agg(F.array_sort(F.collect_set(unit)).alias("_names"))
-    return df.crossJoin(F.broadcast(names)).withColumn(out, (F.array_position("_names", F.col(unit)) - 1).cast("int")).drop("_names")
+    """Units numbered from 0 in the order of their names, by a join with their dictionary."""
+    return df.join(unit_codes(df, unit, out), F.col(unit) == F.col("_name"), "left").drop("_name")
 
 
 def onehot_units(df: DataFrame, unit: str = "geology_unit", prefix: str = "geology_") -> DataFrame:

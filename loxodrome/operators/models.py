@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from loxodrome.config import ANALYTICAL, COEFFICIENT_LIMIT, CORRELATION_LIMIT, CV_BANDS, FEATURES, SEED, TARGET_DERIVED
 from loxodrome.functions import geo, special
 from loxodrome.functions.checks import require_columns
+from loxodrome.functions.shared import saved
 from loxodrome.operators import ranking, resample
 from loxodrome.operators.rates import band_label
 from loxodrome.sources import sinks
@@ -73,67 +75,98 @@ def _conditions(folds: int) -> list[Column]:
     return [F.col("fold") != k for k in range(folds)] + [F.lit(True)]
 
 
+class Design(NamedTuple):
+    """A logistic model to be fitted: which columns, which label, and the number of the condition that its rows meet."""
+
+    columns: tuple[str, ...]
+    label: str
+    group: int
+
+
 def fit_logistic(df: DataFrame, columns: list[str], label: str, groups: list[Column], c: float = 1.0, balanced: bool = True, steps: int = 60, tol: float = 1e-10) -> list[dict]:
-    """L2-penalised logistic regressions on standardised columns, one for each condition of ``groups``.
+    """One model for each condition of ``groups``, by :func:`fit_designs`."""
+    return fit_designs(df, [Design(tuple(columns), label, k) for k in range(len(groups))], groups, c, balanced, steps, tol)
+
+
+def fit_designs(df: DataFrame, designs: list[Design], groups: list[Column], c: float = 1.0, balanced: bool = True, steps: int = 60, tol: float = 1e-10) -> list[dict]:
+    """L2-penalised logistic regressions on standardised columns, all of them in the same passes over the rows.
 
     Minimises C times the weighted log loss plus half the squared coefficients; the intercept is free. Newton's
-    method with halved steps where the loss would rise. Classes weigh the same with ``balanced``.
+    method with halved steps where the loss would rise; a pass serves every model that hasn't settled, whatever its columns,
+    label and rows. Classes weigh the same with ``balanced``. A model of a single class stays at 0.
     """
-    d, n_groups = len(columns), len(groups)
-    rows = df.select(*[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(columns)], F.col(label).cast("double").alias("y"), *[g.alias(f"g{k}") for k, g in enumerate(groups)]).cache()
-    inside = [F.col(f"g{k}") for k in range(n_groups)]
-    models = _moments(rows, [f"x{i}" for i in range(d)], inside)
-    counts = rows.agg(*[F.sum(F.when(g, F.col("y"))).alias(str(k)) for k, g in enumerate(inside)]).first()
-    for k, m in enumerate(models):
-        pos = counts[str(k)] or 0
-        m |= {"beta": np.zeros(d + 1), "pos": pos, "done": not 0 < pos < m["n"], "loss": math.inf, "tried": np.zeros(d + 1), "size": 1.0}
-        m["w"] = (m["n"] / (2.0 * pos), m["n"] / (2.0 * (m["n"] - pos))) if balanced and 0 < pos < m["n"] else (1.0, 1.0)
-    lower = np.tril_indices(d + 1)
-    for _ in range(steps):
-        todo = {k: (m["mean"], m["std"], m["tried"], m["w"]) for k, m in enumerate(models) if not m["done"]}
-        if not todo:
-            break
-        sums = _newton_sums(rows, todo, d)
-        for k in todo:
-            m, v = models[k], sums[k]
-            penalty = m["tried"].copy()
-            penalty[0] = 0.0
-            loss = c * v[0] + 0.5 * penalty @ penalty
-            if loss > m["loss"] + 1e-12 and m["size"] > 1e-6:
-                m["size"] /= 2  # back towards the last good point
-                m["tried"] = m["beta"] + m["size"] * m["step"]
-                continue
-            m["beta"], m["loss"] = m["tried"], loss
-            hessian = np.zeros((d + 1, d + 1))
-            hessian[lower] = c * v[d + 2 :]
-            hessian = hessian + np.tril(hessian, -1).T + np.diag([1e-12, *[1.0] * d])
-            m["step"], m["size"] = -np.linalg.solve(hessian, c * v[1 : d + 2] + penalty), 1.0
-            m["done"] = bool(np.abs(m["step"]).max() < tol)
-            m["tried"] = m["beta"] + m["step"]
-    rows.unpersist()
+    names, labels = (list(dict.fromkeys(x)) for x in ([c for d in designs for c in d.columns], [d.label for d in designs]))
+    parts = [F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names)] + [F.col(x).cast("double").alias(f"y{i}") for i, x in enumerate(labels)]
+    rows = df.select(*parts, *[g.alias(f"g{k}") for k, g in enumerate(groups)]).cache()
+    try:
+        inside = [F.col(f"g{k}") for k in range(len(groups))]
+        moments = _moments(rows, [f"x{i}" for i in range(len(names))], inside)
+        counts = rows.agg(*[F.sum(F.when(g, F.col(f"y{i}"))).alias(f"{k}_{i}") for k, g in enumerate(inside) for i in range(len(labels))]).first()
+        models = []
+        for d in designs:
+            at, m = [names.index(x) for x in d.columns], moments[d.group]
+            pos, size = counts[f"{d.group}_{labels.index(d.label)}"] or 0, len(at) + 1
+            w = (m["n"] / (2.0 * pos), m["n"] / (2.0 * (m["n"] - pos))) if balanced and 0 < pos < m["n"] else (1.0, 1.0)
+            start = {"beta": np.zeros(size), "tried": np.zeros(size), "size": 1.0, "loss": math.inf, "done": not 0 < pos < m["n"], "w": w}
+            models.append(start | {"at": at, "label": labels.index(d.label), "group": d.group, "n": m["n"], "mean": m["mean"][at], "std": m["std"][at]})
+        for _ in range(steps):
+            todo = {k: m for k, m in enumerate(models) if not m["done"]}
+            if not todo:
+                break
+            for k, sums in _newton_sums(rows, todo, moments, len(names), len(labels)).items():
+                _newton_step(models[k], sums, c, tol)
+    finally:
+        rows.unpersist()
     return [{"mean": m["mean"], "std": m["std"], "intercept": float(m["beta"][0]), "coef": m["beta"][1:], "n": m["n"]} for m in models]
 
 
-def _newton_sums(rows: DataFrame, todo: dict, d: int) -> dict[int, np.ndarray]:
+def _newton_step(m: dict, sums: np.ndarray, c: float, tol: float) -> None:
+    """Take the step that was tried, or go back half of it, by the sums of loss, gradient and Hessian at the tried point."""
+    size = len(m["beta"])
+    penalty = m["tried"].copy()
+    penalty[0] = 0.0
+    loss = c * sums[0] + 0.5 * penalty @ penalty
+    if loss > m["loss"] + 1e-12 * max(1.0, abs(loss)) and m["size"] > 1e-6:
+        m["size"] /= 2  # back towards the last good point
+        m["tried"] = m["beta"] + m["size"] * m["step"]
+        return
+    m["beta"], m["loss"] = m["tried"], loss
+    hessian = np.zeros((size, size))
+    hessian[np.tril_indices(size)] = c * sums[size + 1 :]
+    hessian = hessian + np.tril(hessian, -1).T + np.diag([1e-12, *[1.0] * (size - 1)])
+    m["step"], m["size"] = -np.linalg.solve(hessian, c * sums[1 : size + 1] + penalty), 1.0
+    m["done"] = bool(np.abs(m["step"]).max() < tol)
+    m["tried"] = m["beta"] + m["step"]
+
+
+def _newton_sums(rows: DataFrame, todo: dict[int, dict], moments: list[dict], n_columns: int, n_labels: int) -> dict[int, np.ndarray]:
     """Loss, gradient and lower half of the Hessian of each model: a partial sum a task, added up by Spark."""
-    size = 1 + (d + 1) + (d + 1) * (d + 2) // 2
+    asked = {k: (m["at"], m["label"], m["group"], m["tried"], m["w"]) for k, m in todo.items()}
+    scales = {m["group"]: (moments[m["group"]]["mean"], moments[m["group"]]["std"]) for m in todo.values()}
 
     def run(batches):
-        total = {k: np.zeros(size) for k in todo}
-        lower = np.tril_indices(d + 1)
+        total = {k: 0.0 for k in asked}
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for k, (mean, std, beta, (w1, w0)) in todo.items():
-                mask = columns[d + 1 + k].astype(bool)
-                x = np.column_stack([np.ones(mask.sum()), *[(columns[i][mask] - mean[i]) / std[i] for i in range(d)]])
-                y, z = columns[d][mask], x @ beta
-                p, w = 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.where(y == 1, w1, w0)
-                hessian = (x * (w * p * (1 - p))[:, None]).T @ x
-                total[k] += np.concatenate([[(w * (np.logaddexp(0, z) - y * z)).sum()], x.T @ (w * (p - y)), hessian[lower]])
-        k = np.repeat(list(total), size)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.tile(np.arange(size), len(total))), pa.array(np.concatenate(list(total.values())))], names=["k", "i", "v"])
-
-    out = {k: np.zeros(size) for k in todo}
+            x, y = np.column_stack([np.ones(batch.num_rows), *columns[:n_columns]]), columns[n_columns : n_columns + n_labels]
+            for g, (mean, std) in scales.items():
+                mask = columns[n_columns + n_labels + g].astype(bool)
+                scaled = x[mask]
+                scaled[:, 1:] = (scaled[:, 1:] - mean) / std
+                for k, (at, label, group, beta, (w1, w0)) in asked.items():
+                    if group != g:
+                        continue
+                    own, t = scaled[:, [0, *(i + 1 for i in at)]], y[label][mask]
+                    z = own @ beta
+                    p, w = 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.where(t == 1, w1, w0)
+                    hessian = (own * (w * p * (1 - p))[:, None]).T @ own
+                    total[k] = total[k] + np.concatenate([[(w * (np.logaddexp(0, z) - t * z)).sum()], own.T @ (w * (p - t)), hessian[np.tril_indices(len(beta))]])
+        known = {k: v for k, v in total.items() if not np.isscalar(v)}
+        if known:
+            k, i = np.concatenate([np.full(len(v), k) for k, v in known.items()]), np.concatenate([np.arange(len(v)) for v in known.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(np.concatenate(list(known.values())))], names=["k", "i", "v"])
+
+    out = {k: np.zeros(1 + (n := len(m["beta"])) + n * (n + 1) // 2) for k, m in todo.items()}
     for r in rows.mapInArrow(run, "k long, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         out[r["k"]][r["i"]] = r["v"]
     return out
@@ -274,13 +307,16 @@ def train(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", cv: Latit
     """
     columns = list(columns)
     require_columns(df, [*columns, label, "lat_centre"], "feature matrix")
-    bad = df.filter(sum(((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int") for c in columns), F.lit(0)) > 0)
+    held = saved(df.select(*dict.fromkeys([*columns, label, "lat_centre"])))
+    bad = held.filter(sum(((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int") for c in columns), F.lit(0)) > 0)
     if bad.limit(1).count():
         raise ValueError("features hold unknown values")
-    rows, models = cross_validated(df, columns, label, cv)
+    rows, models = cross_validated(held, columns, label, cv)
     final = models[-1] | {"columns": columns}
     audit = sorted(((c, float(b), abs(b) >= COEFFICIENT_LIMIT) for c, b in zip(columns, final["coef"], strict=True)), key=lambda r: -r[1])
-    return final, fold_metrics(rows, label=label), audit
+    metrics = fold_metrics(rows, label=label)
+    metrics = df.sparkSession.createDataFrame(metrics.collect(), metrics.schema)  # a row for each fold
+    return final, metrics, audit
 
 
 def validate(df: DataFrame, columns=FEATURES, label: str = "has_hotspot", cv: LatitudeBands | None = None) -> dict[str, DataFrame]:
@@ -302,18 +338,40 @@ def feature_sets(columns=FEATURES) -> dict[str, list[str]]:
 _SUMMED = ("precision", "recall", "f1", "auc_roc", "pr_auc")
 
 
-def ablation(df: DataFrame, sets: dict[str, list[str]] | None = None, label: str = "has_hotspot", key: str = "cell_id", seed: int = SEED) -> DataFrame:
-    """``feature_set`` with each metric's mean and population deviation over folds. ``null`` learns shuffled labels."""
-    out = None
-    sets = sets or feature_sets()
+def ablation_folds(df: DataFrame, sets: dict[str, list[str]] | None = None, label: str = "has_hotspot", key: str = "cell_id", seed: int = SEED, cv: LatitudeBands | None = None) -> DataFrame:
+    """``feature_set, fold`` with the metrics of each test fold. ``null`` learns shuffled labels.
+
+    The models of all sets and folds are fitted in one loop, and all their metrics come from the same passes.
+    """
+    cv, sets = cv or LatitudeBands(), sets or feature_sets()
     used = sorted({c for s in sets.values() for c in s})
-    filled = ranking.median_filled(df.select(*dict.fromkeys([key, label, "lat_centre", *used])).cache(), used).cache()
-    for name, columns in sets.items():
-        d = resample.permuted(filled, label, key, seed) if name == "null" else filled
-        rows, _ = cross_validated(d, columns, label)
-        m = fold_metrics(rows, label=label)
-        one = m.agg(*[f(c).alias(f"{c}_{n}") for c in _SUMMED for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).withColumn("feature_set", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    d, shuffled = saved(cv.assign(df.select(*dict.fromkeys([key, label, "lat_centre", *used])))), f"{label}_shuffled"
+    if "null" in sets:
+        d = saved(resample.permuted(d.withColumn(shuffled, F.col(label)), shuffled, key, seed))
+    filled = ranking.median_filled(d, used)
+    label_of = {n: shuffled if n == "null" else label for n in sets}
+    designs = [Design(tuple(c), label_of[n], k) for n, c in sets.items() for k in range(cv.n_splits)]
+    models = fit_designs(filled, designs, _conditions(cv.n_splits)[:-1])
+    scored = []
+    for i, (name, columns) in enumerate(sets.items()):
+        p = F.lit(None).cast("double")
+        for k in range(cv.n_splits):
+            p = F.when(F.col("fold") == k, probability(columns, models[i * cv.n_splits + k])).otherwise(p)
+        scored.append(F.struct(F.lit(i * cv.n_splits).alias("set"), F.col(label_of[name]).cast("int").alias("y"), p.alias("p")))
+    rows = filled.filter("fold >= 0").select("fold", F.inline(F.array(*scored)))
+    rows = saved(rows.select((F.col("set") + F.col("fold")).alias("model"), "y", "p"))
+    found = fold_metrics(rows, "p", "y", "model").collect()  # a row for each set and fold
+    names = list(sets)
+    measures = [c for c in found[0].asDict() if c != "model"] if found else [*_SUMMED]
+    table = [(names[r["model"] // cv.n_splits], r["model"] % cv.n_splits, *[r[c] for c in measures]) for r in found]
+    kinds = ", ".join(f"{c} {'long' if c.startswith('n_') else 'double'}" for c in measures)
+    return df.sparkSession.createDataFrame(table, f"feature_set string, fold int, {kinds}")
+
+
+def ablation(df: DataFrame, sets: dict[str, list[str]] | None = None, label: str = "has_hotspot", key: str = "cell_id", seed: int = SEED, cv: LatitudeBands | None = None) -> DataFrame:
+    """``feature_set`` with each metric's mean and population deviation over folds, without those that a fold doesn't have."""
+    folds = ablation_folds(df, sets, label, key, seed, cv)
+    out = folds.groupBy("feature_set").agg(*[f(c).alias(f"{c}_{n}") for c in _SUMMED for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return out.withColumns({"is_leaky_baseline": F.col("feature_set") == "all", "is_null_sanity_check": F.col("feature_set") == "null"})
 
 

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 def running(df: DataFrame, key: str, sums: dict[str, str], buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
     """Totals of ``sums[column]`` over all rows (of the same ``by``) with a smaller ``key``, as columns named by the values.
 
-    Keys must be distinct. They are cut into ranges at approximate quantiles: a row's total is that of the ranges
-    before its own plus the rows before it in its range, so the ordered windows run side by side.
+    Keys must be distinct. Each group's keys are cut into ranges at quantiles of a sketch of its own, so that a group of a narrow
+    range is dealt out as any other: a row's total is that of the ranges before its own plus the rows before it in its range.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001))) if buckets > 1 else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    d = df.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+    own = [F.col(c).alias(f"_k_{c}") for c in by]
+    sketch = F.percentile_approx(F.col(key), [i / buckets for i in range(1, buckets)], 10_000) if buckets > 1 else F.array().cast("array<double>")
+    cuts = df.groupBy(*by).agg(F.array_distinct(sketch).alias("_cuts")).select(*own, "_cuts")
+    met = F.lit(True)
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    d = df.join(cuts, met) if by else df.crossJoin(F.broadcast(cuts))  # without groups it is one row
+    d = d.withColumn("_r", F.size(F.filter("_cuts", lambda b: b < F.col(key)))).drop("_cuts", *[f"_k_{c}" for c in by])
     total = d.groupBy(*by, "_r").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
     total = total.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_r").alias("_g_r"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
@@ -72,8 +77,12 @@ def quantiles(df: DataFrame, by: list[str], column: str, named: dict[str, float]
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and NaN become the column's exact median over all rows."""
     plain = df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
-    medians = plain.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    return plain.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in columns})
+    unknown = plain.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in columns]).first()
+    gaps = [c for c in columns if unknown[c]]
+    if not gaps:
+        return plain
+    medians = plain.agg(*[F.percentile(c, 0.5).alias(c) for c in gaps]).first()
+    return plain.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in gaps})
 
 
 def gradient(df: DataFrame, x: str, y: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loxodrome.config import Grid
+from loxodrome.functions.shared import saved
 from loxodrome.operators import neighbours
 from loxodrome.operators.grid import assign_points, base_grid, encode_units
 from loxodrome.sources.tables import add_flux, synthetic_flux
@@ -18,7 +19,7 @@ def feature_matrix(spark: SparkSession, points: DataFrame, polygons: DataFrame |
     if polygons is None:
         d = d.withColumns({"geology_unit": F.lit("UNKNOWN"), "geology_encoded": F.lit(0)})
     else:
-        d = encode_units(neighbours.assign_polygons(d, polygons, unit))
+        d = encode_units(saved(neighbours.assign_polygons(d, polygons, unit)))  # read twice: for its names and for its rows
     return neighbours.distance_to_stress_maxima(neighbours.nearest_great_circle(d, points))
 
 

@@ -643,21 +643,29 @@ def matrix(s, d, grid: Grid = COARSE) -> DataFrame:
 
 _UNITS_IN_BOXES = "un AS (SELECT cell_id, coalesce((SELECT arg_min(u, k) FROM bx WHERE lon_centre > x0 AND lon_centre < x1 AND lat_centre > y0 AND lat_centre < y1), 'UNKNOWN') AS geology_unit FROM cells)"
 _NEAREST = f"nn AS (SELECT cell_id, min({_haversine_sql('lat_centre', 'lon_centre', 'latitude', 'longitude')}) AS dn FROM cells, sup GROUP BY 1)"
-_MATRIX = (
-    f"{SUP}, {_BOXES}, {_grid_sql(COARSE)}, per AS (SELECT {_cell_sql(COARSE)} AS cell_id, count(*) AS c FROM sup GROUP BY 1), {_UNITS_IN_BOXES}, {_NEAREST}, "
+
+
+def _matrix_sql(g: Grid = COARSE) -> str:
+    return f"{SUP}, {_BOXES}, {_grid_sql(g)}, per AS (SELECT {_cell_sql(g)} AS cell_id, count(*) AS c FROM sup GROUP BY 1), {_UNITS_IN_BOXES}, {_NEAREST}, {_FX}"
+
+
+_FX = (
     f"fx AS (SELECT cell_id, CASE WHEN lat_centre < -45 THEN 0 WHEN lat_centre < 0 THEN 1 WHEN lat_centre < 45 THEN 2 ELSE 3 END AS fold, CAST(coalesce(c, 0) > 0 AS INTEGER) AS y, {_SQL_PATTERNS['synthetic_proxy']} AS x1, "
     f"CAST(dense_rank() OVER (ORDER BY geology_unit) - 1 AS DOUBLE) AS x2, dn AS x3, {_STRESS} AS x4 FROM cells LEFT JOIN per USING (cell_id) JOIN un USING (cell_id) JOIN nn USING (cell_id))"
 )
+_MATRIX = _matrix_sql()
 
 
-def _logistic_sql(d: int = 4, steps: int = 40) -> str:
-    """``mo``: for each fold (and ``n`` folds: all rows) the balanced, penalised model of ``fx``, by Newton steps; ``st`` has its scales."""
+def _logistic_sql(columns: tuple[int, ...] = (1, 2, 3, 4), y: str = "y", tag: str = "", steps: int = 40) -> str:
+    """``mo``: for each fold (and 4: all rows) the balanced, penalised model of ``fx``, by Newton steps; ``st`` has its scales."""
+    d = len(columns)
     x, b = range(1, d + 1), range(d + 1)
+    st, tr, nw, mo = (f"{n}{tag}" for n in ("st", "tr", "nw", "mo"))
     z = " + ".join(f"b{i} * z{i}" for i in b)
     state = ", ".join(f"b{i}" for i in b)
     tail = lambda i, j: " + 1.0::DOUBLE" if i == j and i else " + 1e-12::DOUBLE" if i == j else ""
     sums = [f"sum(w * p * (1 - p) * z{i} * z{j}){tail(i, j)} AS a{i}{j}" for i in b for j in range(i, d + 1)] + [f"sum(w * (p - y) * z{i}){f' + b{i}' if i else ''} AS g{i}" for i in b]
-    system = f"SELECT k, step, {state}, {', '.join(sums)} FROM (SELECT nw.*, y, w, {', '.join(f'z{i}' for i in b)}, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({z}, 700.0), -700.0))) AS p FROM nw JOIN tr USING (k) WHERE step < {steps}) GROUP BY k, step, {state}"
+    system = f"SELECT k, step, {state}, {', '.join(sums)} FROM (SELECT {nw}.*, y, w, {', '.join(f'z{i}' for i in b)}, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({z}, 700.0), -700.0))) AS p FROM {nw} JOIN {tr} USING (k) WHERE step < {steps}) GROUP BY k, step, {state}"
     for q in range(d):  # elimination of one unknown after the other
         kept = [f"a{i}{j}" for i in range(q + 1) for j in range(i, d + 1)] + [f"g{i}" for i in range(q + 1)]
         less = [f"a{i}{j} - a{q}{i} * a{q}{j} / a{q}{q} AS a{i}{j}" for i in range(q + 1, d + 1) for j in range(i, d + 1)] + [f"g{i} - a{q}{i} * g{q} / a{q}{q} AS g{i}" for i in range(q + 1, d + 1)]
@@ -666,20 +674,45 @@ def _logistic_sql(d: int = 4, steps: int = 40) -> str:
         done = "".join(f" - a{i}{j} * e{j}" for j in range(i + 1, d + 1))
         system = f"SELECT *, (g{i}{done}) / a{i}{i} AS e{i} FROM ({system})"
     return (
-        f"st AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS pos, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}' for i in x)} FROM range(5) t(k) JOIN fx ON fold <> k GROUP BY k), "
-        f"tr AS (SELECT k, y, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w, 1.0::DOUBLE AS z0, {', '.join(f'(x{i} - m{i}) / s{i} AS z{i}' for i in x)} FROM st JOIN fx ON fold <> k), "
-        f"nw AS (SELECT k, 0 AS step, {', '.join(f'0.0::DOUBLE AS b{i}' for i in b)} FROM st UNION ALL SELECT k, step + 1, {', '.join(f'b{i} - e{i}' for i in b)} FROM ({system})), mo AS (SELECT * FROM nw WHERE step = {steps})"
+        f"{st} AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, CAST(sum({y}) AS DOUBLE) AS pos, {', '.join(f'avg(x{c}) AS m{i}, stddev_pop(x{c}) AS s{i}' for i, c in enumerate(columns, 1))} FROM range(5) t(k) JOIN fx ON fold <> k GROUP BY k), "
+        f"{tr} AS (SELECT k, {y} AS y, CASE WHEN {y} = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w, 1.0::DOUBLE AS z0, {', '.join(f'(x{c} - m{i}) / s{i} AS z{i}' for i, c in enumerate(columns, 1))} FROM {st} JOIN fx ON fold <> k), "
+        f"{nw} AS (SELECT k, 0 AS step, {', '.join(f'0.0::DOUBLE AS b{i}' for i in b)} FROM {st} UNION ALL SELECT k, step + 1, {', '.join(f'b{i} - e{i}' for i in b)} FROM ({system})), {mo} AS (SELECT * FROM {nw} WHERE step = {steps})"
     )
 
 
+def _scored_sql(columns: tuple[int, ...] = (1, 2, 3, 4), y: str = "y", tag: str = "") -> str:
+    """Rows of the test folds with their score."""
+    z = " + ".join(f"b{i} * (x{c} - m{i}) / s{i}" for i, c in enumerate(columns, 1))
+    return f"SELECT fold, {y} AS y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-round(b0 + {z}, 9))) AS score FROM fx JOIN mo{tag} AS mo ON mo.k = fold JOIN st{tag} AS st ON st.k = fold"
+
+
 _FITTED = f"WITH RECURSIVE {_MATRIX}, {_logistic_sql()}"
-_OUT_OF_FOLD = f"pr AS (SELECT fold, y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-round(b0 + {' + '.join(f'b{i} * (x{i} - m{i}) / s{i}' for i in range(1, 5))}, 9))) AS score FROM fx JOIN mo ON mo.k = fold JOIN st ON st.k = fold)"
+_OUT_OF_FOLD = f"pr AS ({_scored_sql()})"
 _ORIGINS = (("tidal_heating_flux", "analytical proxy (not observed)"), ("geology_encoded", "observed / external"), ("dist_nearest_hotspot_km", "target-derived (from hotspot catalogue)"), ("dist_tidal_stress_max_km", "analytical proxy (not observed)"))
 
 
-@query()
+#: The sets by the numbers of their columns, and their label.
+_SETS = {"all": ((1, 2, 3, 4), "y"), "no_leakage": ((1, 2, 4), "y"), "geology_only": ((2,), "y"), "tidal_only": ((1,), "y"), "null": ((1, 2, 4), "ys")}
+_ABLATION = (
+    f"WITH RECURSIVE {_matrix_sql(Grid()).replace('fx AS (', 'fz AS (')}, va AS (SELECT y AS ys, row_number() OVER (ORDER BY md5('42:a:' || cell_id), cell_id) AS place FROM fz), pl AS (SELECT cell_id, row_number() OVER (ORDER BY md5('42:b:' || cell_id), cell_id) AS place FROM fz), "
+    f"fx AS (SELECT fz.*, ys FROM fz JOIN pl USING (cell_id) JOIN va USING (place)), {', '.join(_logistic_sql(c, y, f'_{n}', 25) for n, (c, y) in _SETS.items())}, "
+    f"pr AS ({' UNION ALL '.join(f"SELECT '{n}:' || fold AS m, y, score FROM ({_scored_sql(c, y, f'_{n}')})" for n, (c, y) in _SETS.items())}), {_class_sql('pr', 'm', 'y', 'score > 0.5')}, {_ranking_sql('pr', 'm', 'y')}, "
+    "ev AS (SELECT string_split(m, ':')[1] AS feature_set, CAST(string_split(m, ':')[2] AS INTEGER) AS fold, * EXCLUDE (m) FROM cm LEFT JOIN rm USING (m)) "
+)
+_MEASURES = ("precision", "recall", "f1", "auc_roc", "pr_auc")
+
+
+@query(
+    f"{_ABLATION} SELECT feature_set, {', '.join(f'round({f}({c}), 4) + 0.0 AS {c}_{n}' for c in _MEASURES for n, f in (('mean', 'avg'), ('std', 'stddev_pop')))}, feature_set = 'all' AS is_leaky_baseline, feature_set = 'null' AS is_null_sanity_check FROM ev GROUP BY 1"
+)
 def ablation(s, d):
-    return models.ablation(matrix(s, d))
+    """At the reference size of 64,800 cells."""
+    return rounded(models.ablation(matrix(s, d, Grid())), 4)
+
+
+@query(f"{_ABLATION} SELECT * FROM ev")
+def ablation_by_fold(s, d):
+    return rounded(models.ablation_folds(matrix(s, d, Grid())))
 
 
 @query(

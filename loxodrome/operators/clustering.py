@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.config import BROADCAST_ROWS, RADIUS_KM, SEED
 from loxodrome.functions import stats
+from loxodrome.functions.shared import saved
 from loxodrome.operators import neighbours, ranking, resample
 
 #: Radii in km: 50 steps from 50 to 2500.
@@ -119,32 +123,135 @@ def spatial_stats(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM,
     return table, {"n_points": n, "n_sims": sims, "sphere_radius_km": radius, "clustered_at_small_radii": clustered}
 
 
-def kernel_density(points: DataFrame, resolution: float = 0.25, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+class KernelTiles(NamedTuple):
+    """How densities are expanded: terms in each direction, width of tiles and reach in units where the kernel is exp(-d^2)."""
+
+    terms: int = 20
+    width: float = 0.5
+    reach: float = 6.5
+
+    def error(self) -> float:
+        """A bound of a point's error, relative to the kernel's greatest value: of both truncated series, and of tiles beyond reach.
+
+        The kernel's derivatives are at most 1.09 * 2^(n/2) * sqrt(n!), and (m + n)! is at most 2^(m+n) m! n!; so in one
+        direction the terms left out are at most a tail times a whole sum of width^n / sqrt(n!).
+        """
+        terms = [self.width**n / math.sqrt(math.factorial(n)) for n in range(120)]
+        one = 2 * 1.09 * sum(terms[self.terms :]) * sum(terms)
+        return one * (2 + one) + math.exp(-self.reach * self.reach)
+
+
+def kernel_density(points: DataFrame, resolution: float = 0.25, exact: bool = False, tiles: KernelTiles = KernelTiles()) -> DataFrame:
     """``longitude, latitude, density`` at nodes from edge to edge, both included: Gaussian kernels, Scott's width.
 
-    Equal points are counted first. Few distinct points are broadcast; more come in blocks, and each node adds up
-    what the blocks give.
+    Points are summed to moments of tiles of half a kernel's width or so; each tile of nodes turns the moments of the tiles within reach into one
+    polynomial, which its nodes evaluate. Work grows with points plus nodes, not with their product, and the error of
+    a density is at most ``tiles.error()`` times the greatest value of a single point's kernel. With ``exact``, every node meets every point.
     """
-    spark = points.sparkSession
     p = points.select(F.col("longitude").cast("double").alias("x"), F.col("latitude").cast("double").alias("y")).dropna()
     m = p.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy")).first()
     if m["n"] < 2 or m["xx"] * m["yy"] - m["xy"] ** 2 <= 0:
         raise ValueError("kernel density needs points that don't lie on a line")
     scott = m["n"] ** (-1.0 / 3.0)  # the square of n ** (-1 / 6), for two dimensions
-    a, b, c = m["xx"] * scott, m["xy"] * scott, m["yy"] * scott
+    spread = m["xx"] * scott, m["xy"] * scott, m["yy"] * scott
+    scale = 1.0 / (m["n"] * 2.0 * math.pi * math.sqrt(spread[0] * spread[2] - spread[1] ** 2))
+    sums = _exact_sums(p, spread, resolution) if exact else _tiled_sums(p, spread, resolution, tiles)
+    return sums.select("longitude", "latitude", (F.col("s") * scale).alias("density"))
+
+
+def _exact_sums(p: DataFrame, spread: tuple[float, float, float], resolution: float) -> DataFrame:
+    """Every node adds up blocks of 2,000 distinct points, which it meets one after another."""
+    a, b, c = spread
     det = a * c - b * b
     n_x, n_y = round(360 / resolution) + 1, round(180 / resolution) + 1
-    nodes = spark.range(n_x * n_y).select((F.lit(-180.0) + (F.col("id") % n_x) * F.lit(resolution)).alias("longitude"), (F.lit(-90.0) + F.floor(F.col("id") / n_x) * F.lit(resolution)).alias("latitude"))
+    nodes = p.sparkSession.range(n_x * n_y).select((F.lit(-180.0) + (F.col("id") % n_x) * F.lit(resolution)).alias("longitude"), (F.lit(-90.0) + F.floor(F.col("id") / n_x) * F.lit(resolution)).alias("latitude"))
     weights = p.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
     def kernel(x, y):
         u, v = F.col("longitude") - x, F.col("latitude") - y
         return F.exp(-0.5 * (c * u * u - 2.0 * b * u * v + a * v * v) / det)
 
-    if neighbours._small(weights, broadcast_rows):
-        d = nodes.join(F.broadcast(weights)).groupBy("longitude", "latitude").agg(F.sum(F.col("w") * kernel(F.col("x"), F.col("y"))).alias("s"))
-    else:
-        blocks = weights.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(-(-weights.count() // 2000))).alias("block")).agg(F.collect_list(F.struct("x", "y", "w")).alias("ps"))
-        part = F.aggregate("ps", F.lit(0.0), lambda s, q: s + q["w"] * kernel(q["x"], q["y"]))
-        d = nodes.crossJoin(blocks).withColumn("s", part).groupBy("longitude", "latitude").agg(F.sum("s").alias("s"))
-    return d.select("longitude", "latitude", (F.col("s") / (m["n"] * 2.0 * math.pi * math.sqrt(det))).alias("density"))
+    blocks = weights.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(-(-weights.count() // 2000))).alias("block")).agg(F.collect_list(F.struct("x", "y", "w")).alias("ps"))
+    part = F.aggregate("ps", F.lit(0.0), lambda s, q: s + q["w"] * kernel(q["x"], q["y"]))
+    return nodes.crossJoin(blocks).withColumn("s", part).groupBy("longitude", "latitude").agg(F.sum("s").alias("s"))
+
+
+def tile_moments(p: DataFrame, to_tiles, tiles: KernelTiles) -> DataFrame:
+    """``i, j, m``: of each tile with points the sums of a^k b^l / (k! l!), row by row, a and b being distances from its centre."""
+    n, width = tiles.terms, tiles.width
+
+    def run(batches):
+        for batch in batches:
+            s, t = to_tiles(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            i, j = np.floor(s / width).astype(np.int64), np.floor(t / width).astype(np.int64)
+            order = np.lexsort((j, i))
+            i, j, s, t = i[order], j[order], s[order], t[order]
+            first = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[0]
+            one, two = (_powers(x - (k + 0.5) * width, n) for x, k in ((s, i), (t, j)))
+            for at, end in zip(first.tolist(), [*first[1:].tolist(), len(i)], strict=True):
+                m = (one[at:end].T @ two[at:end]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n, i[at])), pa.array(np.full(n * n, j[at])), pa.array(np.arange(n * n)), pa.array(m)], names=["i", "j", "k", "v"])
+
+    sums = p.select("x", "y").mapInArrow(run, "i long, j long, k long, v double").groupBy("i", "j", "k").agg(F.sum("v").alias("v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"])  # terms squared
+    return sums.groupBy("i", "j").agg(listed.alias("m"))
+
+
+def _powers(x: np.ndarray, n: int) -> np.ndarray:
+    """x^k / k! for k below n, a row for each x."""
+    return np.cumprod(np.concatenate([np.ones((len(x), 1)), x[:, None] / np.arange(1, n)[None]], axis=1), axis=1)
+
+
+def _hermite(x: np.ndarray, n: int) -> np.ndarray:
+    """For each x the matrix of exp(-x^2) H_{k+l}(x), k and l below n."""
+    h = np.empty((2 * n, len(x)))
+    h[0] = np.exp(-x * x)
+    h[1] = 2 * x * h[0]
+    for k in range(1, 2 * n - 1):
+        h[k + 1] = 2 * x * h[k] - 2 * k * h[k - 1]
+    return h[np.add.outer(np.arange(n), np.arange(n))].transpose(2, 0, 1)
+
+
+def _tiled_sums(p: DataFrame, spread: tuple[float, float, float], resolution: float, tiles: KernelTiles) -> DataFrame:
+    a, b, c = spread
+    one, lean = math.sqrt(2 * a), b / a
+    two, n, width = math.sqrt(2 * (c - b * lean)), tiles.terms, tiles.width
+    to_tiles = lambda x, y: (x / one, (y - lean * x) / two)  # noqa: E731  here the kernel is exp(-d^2)
+    known = saved(tile_moments(p, to_tiles, tiles)).select(F.col("i").alias("_i"), F.col("j").alias("_j"), "m")
+    corners = [to_tiles(x, y) for x in (-180.0, 180.0) for y in (-90.0, 90.0)]
+    (i0, i1), (j0, j1) = ((math.floor(min(v) / width), math.floor(max(v) / width)) for v in zip(*corners, strict=True))
+    n_j = j1 - j0 + 1
+    here = p.sparkSession.range((i1 - i0 + 1) * n_j).select((F.floor(F.col("id") / n_j) + i0).alias("i"), (F.col("id") % n_j + j0).alias("j"))
+    far = math.ceil(tiles.reach / width) + 1
+    near = [(u, v) for u in range(-far, far + 1) for v in range(-far, far + 1) if math.hypot(max(abs(u) - 1, 0), max(abs(v) - 1, 0)) * width <= tiles.reach]
+    steps = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in near])
+    around = here.withColumn("_s", F.explode(steps)).select("i", "j", (F.col("i") + F.col("_s.u")).alias("_i"), (F.col("j") + F.col("_s.v")).alias("_j"))
+    # a tile of nodes comes even if no point is within reach
+    met = around.join(known, ["_i", "_j"]).unionByName(here.withColumns({"_i": F.lit(None).cast("long"), "_j": F.lit(None).cast("long"), "m": F.lit(None).cast("array<double>")}))
+    sign = (-1.0) ** np.arange(n)
+    n_x, n_y = round(360 / resolution) + 1, round(180 / resolution) + 1
+
+    def nodes_of(i: int, j: int) -> tuple[np.ndarray, ...]:
+        """The nodes whose place lies in a tile: those of the box around it are looked at."""
+        x = np.array([i, i + 1]) * width * one
+        y = np.add.outer(np.array([j, j + 1]) * width * two, lean * x)
+        k = np.arange(max(0, math.floor((x.min() + 180) / resolution) - 1), min(n_x - 1, math.ceil((x.max() + 180) / resolution) + 1) + 1)
+        r = np.arange(max(0, math.floor((y.min() + 90) / resolution) - 1), min(n_y - 1, math.ceil((y.max() + 90) / resolution) + 1) + 1)
+        lon, lat = (v.ravel() for v in np.meshgrid(-180.0 + k * resolution, -90.0 + r * resolution))
+        s, t = to_tiles(lon, lat)
+        own = (np.floor(s / width) == i) & (np.floor(t / width) == j)
+        return lon[own], lat[own], s[own], t[own]
+
+    def evaluated(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lon, lat, s, t = nodes_of(i, j)
+        rows = table.filter(pc.is_valid(table.column("m")))
+        total = np.zeros(len(lon))
+        if len(lon) and rows.num_rows:
+            m = pc.list_flatten(rows.column("m")).to_numpy().reshape(-1, n, n)
+            h, g = (_hermite((k - rows.column(c).to_numpy()) * width, n) for k, c in ((i, "_i"), (j, "_j")))
+            series = (h.transpose(0, 2, 1) @ m @ g).sum(axis=0) * np.outer(sign, sign)
+            total = ((_powers(s - (i + 0.5) * width, n) @ series) * _powers(t - (j + 0.5) * width, n)).sum(axis=1)
+        return pa.table({"longitude": lon, "latitude": lat, "s": total})
+
+    return met.groupBy("i", "j").applyInArrow(evaluated, "longitude double, latitude double, s double")

@@ -413,7 +413,7 @@ def kernel_density(s, d):
 
 @query(ORACLES["kernel_density"].replace("i * 0.25", "i * 5.0").replace("j * 0.25", "j * 5.0").replace("range(1441)", "range(73)").replace("range(721)", "range(37)"))
 def kernel_density_blocked(s, d):
-    k = clustering.kernel_density(suppliers(s, d), 5.0, broadcast_rows=0)
+    k = clustering.kernel_density(suppliers(s, d), 5.0, exact=True)
     return k.select("longitude", "latitude", (F.round(F.col("density") * 1e6, 6) + F.lit(0.0)).alias("density_ppm"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loxodrome.config import BROADCAST_ROWS, RADIUS_KM, SEED
 from loxodrome.functions import stats
 from loxodrome.functions.shared import saved
-from loxodrome.operators import neighbours, ranking, resample
+from loxodrome.operators import neighbours, pair_tree, ranking, resample
 
 #: Radii in km: 50 steps from 50 to 2500.
 RADII_KM = tuple(50.0 * (i + 1) for i in range(50))
@@ -27,7 +27,7 @@ def _identified(points: DataFrame) -> DataFrame:
 def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys, radius_km, pairs``: ordered pairs up to each radius. Each pair is counted once, at its least radius.
 
-    Up to ``broadcast_rows`` points of one key are met as blocks, whose tasks return counts; more meet by cubes.
+    Up to ``broadcast_rows`` points of one key are met as blocks, whose tasks return counts; more are counted by a descent over cubes.
     """
     steps = F.array(*[F.lit(float(r)) for r in radii])
     most = _most(points, keys)
@@ -42,9 +42,7 @@ def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), r
 
         counts = neighbours.in_blocks(points, keys, most, work, "radius_km double, c long").groupBy(*keys, "radius_km").agg(F.sum("c").alias("c"))
     else:
-        d = neighbours.pairs_within(points, max(radii), keys, radius=radius)
-        first = F.array_min(F.filter(steps, lambda r: r >= F.col("d")))
-        counts = d.groupBy(*keys, first.alias("radius_km")).agg(F.count(F.lit(1)).alias("c"))
+        counts = pair_tree.tree_counts(points, radii, keys, radius)
     every = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
     every = every.select(*keys, F.explode(steps).alias("radius_km"))
     mine = counts.withColumnRenamed("radius_km", "_r")
@@ -64,14 +62,14 @@ def _area(radius: float) -> float:
     return 4.0 * math.pi * radius * radius
 
 
-def ripley_k(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM) -> DataFrame:
+def ripley_k(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``radius_km, k_observed, k_csr``."""
-    p = _identified(points).cache()
+    p = saved(_identified(points))
     n = p.count()
     if n < 2:
         raise ValueError("Ripley's K needs at least 2 points")
     k = F.col("pairs") / float(n) * (_area(radius) / n)
-    return pair_counts(p, radii, radius=radius).select("radius_km", k.alias("k_observed"), stats.csr_k("radius_km", radius).alias("k_csr"))
+    return pair_counts(p, radii, radius=radius, broadcast_rows=broadcast_rows).select("radius_km", k.alias("k_observed"), stats.csr_k("radius_km", radius).alias("k_csr"))
 
 
 def pair_correlation(k: DataFrame, radius: float = RADIUS_KM) -> DataFrame:
@@ -83,7 +81,7 @@ def pair_correlation(k: DataFrame, radius: float = RADIUS_KM) -> DataFrame:
 
 def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``radius_km, nn_cdf_observed, nn_cdf_csr``."""
-    p = _identified(points).cache()
+    p = saved(_identified(points))
     n = p.count()
     if n <= broadcast_rows:
 

@@ -377,6 +377,12 @@ def ripley_k(s, d):
     return rounded(clustering.ripley_k(suppliers(s, d)), 2)
 
 
+@query(f"WITH {_KSQL.replace(SUP, PTS).replace('FROM sup', 'FROM pts').replace('sup b', 'pts b')} SELECT radius_km, {_r('kv', 2)} AS k_observed, {_r(_CSR, 2)} AS k_csr FROM k")
+def ripley_k_tree(s, d):
+    """More points, by the descent over cubes."""
+    return rounded(clustering.ripley_k(customers(s, d), broadcast_rows=0), 2)
+
+
 @query(
     f"WITH {_KSQL}, w AS (SELECT *, lag(kv) OVER o AS p, lead(kv) OVER o AS q FROM k WINDOW o AS (ORDER BY radius_km)), g AS (SELECT radius_km, CASE WHEN p IS NULL THEN (q - kv) / 50 WHEN q IS NULL THEN (kv - p) / 50 ELSE (q - p) / 100 END AS s FROM w) "
     f"SELECT radius_km, {_r('s / (2.0 * pi() * 1821.6::DOUBLE * sin(radius_km / 1821.6::DOUBLE))')} AS g_observed FROM g"

@@ -478,8 +478,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     copies = work.save(d.filter("stays").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).count().filter("count > 1").drop("count"), "copies")
     if not copies.limit(1).count():
         return kept
-    # rows equal in id and text: the one whose other columns have the least digest
-    rows = df.join(copies, same(copies), "left_semi").withColumns({"_id": df[id_col], "_hash": F.xxhash64(df[text_col])})
-    row = F.struct(*[F.col(c) for c in df.columns])
-    one = rows.groupBy("_id", "_hash").agg(F.min_by(row, F.xxhash64(*df.columns)).alias("_row")).select("_row.*")
+    # rows equal in id and text: the one whose columns have the least digest; it is packed whole, so no name of its own is touched
+    own = [df[c] for c in df.columns]
+    rows = df.join(copies, same(copies), "left_semi").select(df[id_col].alias("_id"), F.xxhash64(df[text_col]).alias("_hash"), F.struct(*own).alias("_row"), F.xxhash64(*own).alias("_order"))
+    one = rows.groupBy("_id", "_hash").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
     return kept.join(copies, same(copies), "left_anti").select(*df.columns).unionByName(one)

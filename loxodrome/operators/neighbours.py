@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loxodrome.config import BROADCAST_ROWS, RADIUS_KM, STRESS_MAXIMA
 from loxodrome.functions import geo
 from loxodrome.functions.checks import require_columns
+from loxodrome.functions.shared import saved
 
 
 def _small(df: DataFrame, limit: int) -> bool:
@@ -154,11 +155,32 @@ def nearest_planar(cells: DataFrame, source: DataFrame, value: str, out: str | N
     return cells.join(exact.unionByName(found), "cell_id", "left").withColumn(out, F.col("_v")).drop("_v")
 
 
+def polygon_tiles(polygons: DataFrame, bucket: float) -> DataFrame:
+    """Tiles ``_tx, _ty`` that a polygon covers, wholly or in part: ``_unit, _seq, _whole, _edges``.
+
+    Edges are dealt to the strips of latitude that they reach, as only those can cross a ray of that strip. A tile that no
+    edge of its strip reaches lies inside or outside as a whole, which its centre tells; tiles outside are left out, and
+    only tiles with an edge carry their strip's edges for the tests of points.
+    """
+    tile = lambda v: F.floor(v / bucket).cast("int")
+    spans = lambda a, b: F.sequence(tile(F.least(a, b)), tile(F.greatest(a, b)))
+    e = polygons.select("_unit", "_seq", F.explode("_edges").alias("e"))
+    e = e.withColumn("_ty", F.explode(spans(F.col("e.y1"), F.col("e.y2"))))
+    strips = e.groupBy("_seq", "_ty").agg(F.first("_unit").alias("_unit"), F.collect_list("e").alias("_edges"))
+    reached = F.array_distinct(F.flatten(F.transform("_edges", lambda x: spans(x["x1"], x["x2"]))))
+    strips = strips.withColumn("_reached", reached)
+    tiles = strips.withColumn("_tx", F.explode(F.sequence(F.array_min("_reached"), F.array_max("_reached"))))
+    tiles = tiles.withColumn("_whole", ~F.array_contains("_reached", F.col("_tx")))
+    centre = geo.within((F.col("_tx") + 0.5) * bucket, (F.col("_ty") + 0.5) * bucket, F.col("_edges"))
+    kept = tiles.filter(~F.col("_whole") | centre)
+    return kept.select("_tx", "_ty", "_unit", "_seq", "_whole", F.when(~F.col("_whole"), F.col("_edges")).alias("_edges"))
+
+
 def assign_polygons(cells: DataFrame, polygons: DataFrame, unit: str = "unit_name", out: str = "geology_unit", bucket: float = 10.0, broadcast_rows: int = 2_000) -> DataFrame:
     """Cells with the unit of the first polygon (by ``polygon_seq``) that holds their centre, else ``UNKNOWN``.
 
     Polygons have ``rings``: array<array<struct<x, y>>>. Few polygons are broadcast; many meet the cells through the
-    buckets that their bounding boxes touch.
+    tiles of ``bucket`` degrees that they cover (:func:`polygon_tiles`): only cells of tiles that an edge reaches are tested, by the edges of their strip.
     """
     require_columns(polygons, (unit, "rings"), "polygons")
     seq = F.col("polygon_seq") if "polygon_seq" in polygons.columns else F.xxhash64(F.to_json("rings"))
@@ -169,11 +191,11 @@ def assign_polygons(cells: DataFrame, polygons: DataFrame, unit: str = "unit_nam
     inside_box = F.col("lon_centre").between(F.col("_x0"), F.col("_x1")) & F.col("lat_centre").between(F.col("_y0"), F.col("_y1"))
     c = cells.select("cell_id", "lon_centre", "lat_centre")
     if _small(polygons, broadcast_rows):
-        met = c.join(F.broadcast(p), inside_box)
+        met = c.join(F.broadcast(p), inside_box).filter(geo.within("lon_centre", "lat_centre", F.col("_edges")))
     else:
         tile = lambda v: F.floor(v / bucket).cast("int")
-        tiles = p.withColumn("_tx", F.explode(F.sequence(tile(F.col("_x0")), tile(F.col("_x1"))))).withColumn("_ty", F.explode(F.sequence(tile(F.col("_y0")), tile(F.col("_y1")))))
-        met = c.withColumns({"_tx": tile(F.col("lon_centre")), "_ty": tile(F.col("lat_centre"))}).join(tiles, ["_tx", "_ty"]).filter(inside_box)
-    met = met.filter(geo.within("lon_centre", "lat_centre", F.col("_edges")))
+        tiles = saved(polygon_tiles(p.select("_unit", "_seq", "_edges"), bucket))
+        met = c.withColumns({"_tx": tile(F.col("lon_centre")), "_ty": tile(F.col("lat_centre"))}).join(tiles, ["_tx", "_ty"])
+        met = met.filter(F.col("_whole") | geo.within("lon_centre", "lat_centre", F.col("_edges")))
     first = met.groupBy("cell_id").agg(F.min_by("_unit", "_seq").alias(out))
     return cells.join(first, "cell_id", "left").withColumn(out, F.coalesce(F.col(out).cast("string"), F.lit("UNKNOWN")))

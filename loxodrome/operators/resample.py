@@ -8,21 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loxodrome.config import SEED, Grid
 from loxodrome.functions import stats
+from loxodrome.functions.shared import saved
 from loxodrome.operators import asymmetry, rates
 from loxodrome.operators.grid import cell_of
 
 
-def numbered(points: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Rows with ``row_seq`` from 0 in the order of all (or the named) columns.
+def numbered(points: DataFrame, order: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """Rows with ``row_seq`` from 0 in the order of all (or the named) columns, nulls first.
 
-    A catalogue to be resampled is small: its replicates are many times its size.
+    Rows are numbered side by side within ranges of the first column (at quantiles of numbers, by the beginnings of anything
+    else), and ranges by how many rows stand before them.
     """
     if "row_seq" in points.columns:
         return points
-    return points.withColumn("row_seq", (F.row_number().over(Window.orderBy(*(order or points.columns))) - 1).cast("long"))
+    order = order or points.columns
+    first = F.col(order[0])
+    if isinstance(points.schema[order[0]].dataType, NumericType):
+        cuts = points.agg(F.coalesce(F.percentile_approx(first.cast("double"), [i / ranges for i in range(1, ranges)], 10_000), F.array().cast("array<double>")).alias("_cuts"))
+        below = F.size(F.filter("_cuts", lambda c: c < first.cast("double")))
+        d = points.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(first.isNotNull(), below)).drop("_cuts")  # one row
+    else:
+        d = points.withColumn("_range", F.substring(first.cast("string"), 1, 4))
+    sizes = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # over ranges, not rows
+    offsets = sizes.select(F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    d = d.withColumn("_inside", inside).join(offsets, F.col("_range").eqNullSafe(F.col("_of")))
+    return d.withColumn("row_seq", (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_of", "_before", "_inside")
 
 
 def draws(spark: SparkSession, n: int, replicates: int, seed: int = SEED, size: int | None = None) -> DataFrame:
@@ -37,13 +53,13 @@ def draws(spark: SparkSession, n: int, replicates: int, seed: int = SEED, size:
 
 def with_replacement(points: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """All resamples of the points, marked by ``rep``."""
-    rows = numbered(points).cache()
+    rows = saved(numbered(points))
     return draws(points.sparkSession, rows.count(), replicates, seed).join(rows, "row_seq").drop("row_seq", "draw")
 
 
 def without_replacement(points: DataFrame, fractions: tuple[float, ...], replicates: int, seed: int = SEED) -> DataFrame:
     """For each fraction and replicate the max(1, round(fraction * n)) rows of least hash."""
-    rows = numbered(points).cache()
+    rows = saved(numbered(points))
     n = rows.count()
     keep = points.sparkSession.createDataFrame([(float(f), max(1, round(f * n))) for f in fractions], "fraction_retained double, keep long")
     reps = points.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(keep))

@@ -146,3 +146,54 @@ def test_running_totals_of_narrow_and_single_groups(spark):
     got = {(r.g, r.k): r.before for r in d.collect()}
     assert len(got) == len(rows)
     assert all(got[g, k] == sum(m for h, j, m in rows if h == g and j < k) for g, k, _ in rows[:60] + rows[480:560] + rows[-3:])
+
+
+def star(cx, cy, spikes, far, near, turn=0.0):
+    points = []
+    for k in range(2 * spikes):
+        r, a = (far if k % 2 else near), turn + math.pi * k / spikes
+        points.append((cx + r * math.cos(a), cy + 0.5 * r * math.sin(a)))
+    return points
+
+
+def polygons_of(spark):
+    layers = [("wide", [star(0, 0, 40, 150, 90)]), ("holed", [star(-60, 10, 9, 60, 30), [(-75.0, 0.0), (-45.0, 0.0), (-45.0, 20.0), (-75.0, 20.0)]]), ("box", [[(20.0, -30.0), (100.0, -30.0), (100.0, 30.0), (20.0, 30.0)]]), ("sliver", [[(-170.0, 79.0), (170.0, 80.0), (-170.0, 80.5)]])]
+    rows = [(n, i, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for i, (n, rings) in enumerate(layers)]
+    return spark.createDataFrame(rows, "unit_name string, polygon_seq long, rings array<array<struct<x: double, y: double>>>")
+
+
+@pytest.mark.parametrize("bucket", [2.5, 10.0, 400.0])
+def test_polygons_by_tiles(spark, bucket):
+    rng = random.Random(4)
+    cells = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(3000)] + [(9000 + i, 20.0 + 10 * i, -30.0 + 10 * i) for i in range(7)] + [(9100, 100.0, 0.0), (9101, -45.0, 10.0)]
+    c = spark.createDataFrame(cells, "cell_id long, lon_centre double, lat_centre double")
+    few = neighbours.assign_polygons(c, polygons_of(spark)).select("cell_id", "geology_unit")
+    many = neighbours.assign_polygons(c, polygons_of(spark), bucket=bucket, broadcast_rows=0).select("cell_id", "geology_unit")
+    want = dict(map(tuple, few.collect()))
+    assert dict(map(tuple, many.collect())) == want and set(want.values()) == {"wide", "holed", "box", "sliver", "UNKNOWN"}
+
+
+def test_most_tiles_of_large_polygons_need_no_edge(spark):
+    from loxodrome.functions import geo
+
+    p = polygons_of(spark).select(F.col("unit_name").alias("_unit"), F.col("polygon_seq").alias("_seq"), F.flatten(F.transform("rings", geo.ring_edges)).alias("_edges"))
+    tiles = neighbours.polygon_tiles(p, 2.5).filter("_unit = 'box'")
+    r = tiles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_whole").cast("int")).alias("whole"), F.max(F.size("_edges")).alias("most")).first()
+    assert r.whole > 0.85 * r.n and r.most <= 3
+    wide = neighbours.polygon_tiles(p, 2.5).filter("_unit = 'wide'").agg(F.avg(F.when(~F.col("_whole"), F.size("_edges"))).alias("e"), F.avg(F.col("_whole").cast("int")).alias("w")).first()
+    assert wide.e < 20 and wide.w > 0.3  # of 80 edges; the spikes are narrow
+
+
+@pytest.mark.parametrize("order", [None, ["s", "v"], ["v", "s"]])
+def test_numbered_in_ranges(spark, order):
+    from loxodrome.operators import resample
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1.5, -2.0, float(rng.randrange(100))]), rng.choice([None, "", "abcd", "abcde", f"x{rng.random()}"])) for _ in range(400)]
+    got = resample.numbered(spark.createDataFrame(rows, "v double, s string").repartition(7), order).collect()
+    key = lambda x: (x is not None, x if x is not None else 0)
+    by = order or ["v", "s"]
+    put = sorted(got, key=lambda r: r.row_seq)
+    assert [r.row_seq for r in put] == list(range(400))
+    assert put == sorted(put, key=lambda r: [(x is not None, str(x) if c == "s" else (x or 0.0)) for c, x in ((c, r[c]) for c in by)]) and key(None) < key(1)
+    assert resample.numbered(spark.createDataFrame([], "v double, s string"), order).count() == 0

@@ -446,14 +446,15 @@ def power_regression(fm: DataFrame, power: DataFrame, columns=None, model_type:
     if not d.limit(1).count():
         raise ValueError("no cells with power and features")
     cv = cv or LatitudeBands()
-    d = cv.assign(ranking.median_filled(d, columns)).cache()
+    d = saved(cv.assign(ranking.median_filled(d, columns)))
     models = fit_linear(d, columns, "log_primary_power", _conditions(cv.n_splits)[:-1], alpha, model_type)
     p = None
     for k, m in enumerate(models):
         here = (F.col("fold") == k) & F.lit(m["n"] > 0)
         p = F.when(here, linear(columns, m)) if p is None else p.when(here, linear(columns, m))
     out = d.withColumn("predicted_log_power", p).filter("predicted_log_power is not null").withColumnRenamed("log_primary_power", "observed_log_power")
-    out = out.withColumn("residual_log_power", F.col("observed_log_power") - F.col("predicted_log_power")).cache()
+    out = out.withColumn("residual_log_power", F.col("observed_log_power") - F.col("predicted_log_power"))
+    out = saved(out)  # every figure reads it
     found = {k: m for (k,), m in _regression_metrics(out, "observed_log_power", "predicted_log_power", ("fold",)).items()}
     if not found:
         raise ValueError("spatial folds gave no residuals")

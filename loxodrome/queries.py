@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.config import Grid
 from loxodrome.functions import geo, stats
+from loxodrome.functions.shared import saved
 from loxodrome.operators import asymmetry, clustering, hypotheses, models, neighbours, ranking, rates, resample
 from loxodrome.operators import grid as gridding
 from loxodrome.plans import features, scenes
@@ -745,19 +746,48 @@ def validation_scores(s, d):
     return rounded(models.validate(matrix(s, d))["scores"])
 
 
-@query(
+_REGRESSED = (
     f"WITH {_MATRIX}, {_power_sql().replace(_grid_sql(COARSE) + ', ', '')}, rg AS (SELECT cell_id, fold, log_primary_power AS t, x1, x2, x4 AS x3 FROM obs JOIN fx USING (cell_id)), "
     "ms AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, avg(t) AS mt, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}, covar_pop(x{i}, t) AS c{i}" for i in (1, 2, 3)) + ", corr(x1, x2) AS r12, corr(x1, x3) AS r13, corr(x2, x3) AS r23 FROM range(4) f(k) JOIN rg ON fold <> k GROUP BY k), "
     "gm AS (SELECT *, n + 1 AS a, n * r12 AS u, n * r13 AS v, n * r23 AS w, n * c1 / s1 AS y1, n * c2 / s2 AS y2, n * c3 / s3 AS y3 FROM ms), dt AS (SELECT *, a * a * a + 2 * u * v * w - a * (u * u + v * v + w * w) AS det FROM gm), "
     "bt AS (SELECT *, ((a * a - w * w) * y1 + (v * w - a * u) * y2 + (u * w - a * v) * y3) / det AS b1, ((v * w - a * u) * y1 + (a * a - v * v) * y2 + (u * v - a * w) * y3) / det AS b2, ((u * w - a * v) * y1 + (u * v - a * w) * y2 + (a * a - u * u) * y3) / det AS b3 FROM dt), "
     "pd AS (SELECT fold, cell_id, t, mt + " + " + ".join(f"b{i} * (x{i} - m{i}) / s{i}" for i in (1, 2, 3)) + " AS p FROM rg JOIN bt ON k = fold) "
-    f"SELECT fold, cell_id, {_r('t')} AS observed_log_power, {_r('p')} AS predicted_log_power, {_r('t - p')} AS residual_log_power FROM pd"
 )
+
+
+@query(f"{_REGRESSED} SELECT fold, cell_id, {_r('t')} AS observed_log_power, {_r('p')} AS predicted_log_power, {_r('t - p')} AS residual_log_power FROM pd")
 def power_regression(s, d):
     out = models.power_regression(matrix(s, d), power_cells(s, d))["residuals"]
     return rounded(out.select("fold", "cell_id", "observed_log_power", "predicted_log_power", "residual_log_power"))
 
 
+@query(
+    f"{_REGRESSED}, rk AS (SELECT fold, t, p, rank() OVER (PARTITION BY fold ORDER BY t) + (count(*) OVER (PARTITION BY fold, t) - 1) / 2.0::DOUBLE AS rt, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0::DOUBLE AS rp FROM pd) "
+    f"SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_test, {_r('1 - avg((t - p) * (t - p)) / var_pop(t)', 4)} AS r2, {_r('sqrt(avg((t - p) * (t - p)))', 4)} AS rmse, {_r('avg(abs(t - p))', 4)} AS mae, {_r('corr(rt, rp)', 3)} AS spearman FROM rk GROUP BY fold"
+)
+def power_regression_folds(s, d):
+    """How well each band is told by the others."""
+    found = models.power_regression(matrix(s, d), power_cells(s, d))["folds"]
+    rows = [(f["fold"], int(f["n_test"]), f["r2"], f["rmse"], f["mae"], f["spearman"]) for f in found]  # a row for each band
+    out = s.createDataFrame(rows, "fold int, n_test long, r2 double, rmse double, mae double, spearman double")
+    return rounded(out.withColumn("spearman", F.round("spearman", 3)), 4)
+
+
+@query(
+    f"{_REGRESSED} SELECT count(*) AS n, {_r('1 - avg((t - p) * (t - p)) / var_pop(t)', 4)} AS r2, {_r('sqrt(avg((t - p) * (t - p)))', 4)} AS rmse, {_r('avg(abs(t - p))', 4)} AS mae FROM pd"
+)
+def power_regression_overall(s, d):
+    found = models.power_regression(matrix(s, d), power_cells(s, d))
+    m = found["overall_oof"]
+    return rounded(s.createDataFrame([(found["n_observed_power_cells"], m["r2"], m["rmse"], m["mae"])], "n long, r2 double, rmse double, mae double"), 4)
+
+
+@query(f"WITH {_power_sql()}, {_BANDS} SELECT i AS fold, lat_band, count(cell_id) AS n_cells, count(cell_id) * 100.0::DOUBLE / (SELECT count(*) FROM obs) AS pct FROM b LEFT JOIN obs ON lat_centre >= lo AND lat_centre < hi GROUP BY 1, 2")
+def observed_folds_described(s, d):
+    """Bands of the cells that hold power, from the table."""
+    return models.LatitudeBands().describe(saved(power_cells(s, d).filter("power_count > 0")))
+
+
 # --- plans and scenes -----------------------------------------------------------------------------------------------
 
 

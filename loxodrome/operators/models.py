@@ -239,10 +239,10 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: str) -> DataFrame
         F.first("p").alias("p"),
         F.first("n").alias("n"),
         F.sum(F.col("tp") * (F.col("below") + (F.col("c") + 1) / 2.0)).alias("rank_sum"),
-        F.sum(F.col("tp") / F.col("p") * tp_above / above).alias("pr_auc"),
+        F.sum(F.col("tp") / F.nullif("p", F.lit(0)) * tp_above / above).alias("pr_auc"),
     )
     neg = F.col("n") - F.col("p")
-    auc = (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * neg)
+    auc = (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * neg, F.lit(0))
     both = (F.col("p") > 0) & (neg > 0)
     return d.select(F.col("g").alias(by), F.when(both, auc).alias("auc_roc"), F.when(both, F.col("pr_auc")).alias("pr_auc"))
 

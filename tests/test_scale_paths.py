@@ -197,3 +197,10 @@ def test_numbered_in_ranges(spark, order):
     assert [r.row_seq for r in put] == list(range(400))
     assert put == sorted(put, key=lambda r: [(x is not None, str(x) if c == "s" else (x or 0.0)) for c, x in ((c, r[c]) for c in by)]) and key(None) < key(1)
     assert resample.numbered(spark.createDataFrame([], "v double, s string"), order).count() == 0
+
+
+def test_folds_of_a_single_class_have_no_curves(spark):
+    d = spark.createDataFrame([(i, -80.0 + i, float(i), int(i == 3)) for i in range(160)], "cell_id long, lat_centre double, p double, has_hotspot int")
+    folds = {(r.feature_set, r.fold): r for r in models.ablation_folds(d, {"one": ["p"]}).collect()}
+    assert folds["one", 0].auc_roc is not None and all(folds["one", k].auc_roc is None and folds["one", k].pr_auc is None for k in (1, 2, 3))
+    assert models.ablation(d, {"one": ["p"]}).first().auc_roc_mean == folds["one", 0].auc_roc

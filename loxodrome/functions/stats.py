@@ -45,12 +45,6 @@ def csr_k(r, radius: float = RADIUS_KM) -> Column:
     return F.lit(2.0 * math.pi * radius * radius) * (1.0 - F.cos(_c(r) / radius))
 
 
-def hash_draw(seed: int, n: int, *parts) -> Column:
-    """A reproducible draw from 0 to n - 1, the same in any engine that has md5."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(n).cast("long")
-
-
 # Closed forms of dissipation patterns over latitude (phi) and longitude (lam), in radians.
 PATTERNS = {
     "asthenosphere": lambda phi, lam: F.pow(F.cos(phi), 2.0) * (1.0 + 2.0 * F.pow(F.cos(lam), 2.0)) / 3.0,

@@ -54,8 +54,11 @@ def histogram_limits(points: DataFrame, column: str, bins: tuple[float, float, i
     observed = ranking.histogram(points, column, *bins)
     if n_boot < 1:
         return observed.withColumns({"ci_lo": F.lit(None).cast("double"), "ci_hi": F.lit(None).cast("double")})
-    drawn = resample.with_replacement(points.select(column), n_boot, seed)
-    limits = ranking.quantiles(ranking.histogram(drawn, column, *bins, by=("rep",)), ["bin"], "count", {"ci_lo": 0.025, "ci_hi": 0.975})
+    weights = points.groupBy(ranking.bin_of(column, *bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # null: outside
+    drawn = resample.multinomial(weights, "bin", "n", n_boot, seed)
+    every = observed.select("bin").crossJoin(points.sparkSession.range(n_boot).withColumnRenamed("id", "rep"))  # bins by replicates
+    filled = every.join(drawn, ["rep", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    limits = ranking.quantiles_of_few(filled, ["bin"], "count", {"ci_lo": 0.025, "ci_hi": 0.975})
     return observed.join(limits, "bin", "left").orderBy("bin")
 
 

@@ -109,7 +109,7 @@ def csr_envelope(spark, n: int, radii=RADII_KM, radius: float = RADIUS_KM, sims:
     """``radius_km, k_env_lo, k_env_hi``: 2.5 and 97.5 percentiles of K over simulations, which are a key of one join."""
     p = resample.sphere_points(spark, n, sims, seed)
     k = pair_counts(p, radii, ("rep",), radius).withColumn("k", F.col("pairs") / float(n) * (_area(radius) / n))
-    return ranking.quantiles(k, ["radius_km"], "k", {"k_env_lo": 0.025, "k_env_hi": 0.975})
+    return ranking.quantiles_of_few(k, ["radius_km"], "k", {"k_env_lo": 0.025, "k_env_hi": 0.975})
 
 
 def spatial_stats(points: DataFrame, radii=RADII_KM, radius: float = RADIUS_KM, sims: int = 199, seed: int = SEED) -> tuple[DataFrame, dict]:

@@ -273,7 +273,8 @@ def fold_metrics(df: DataFrame, score: str = "probability", label: str = "has_ho
 
 def calibration(df: DataFrame, score: str, label: str, by: str, bins: int = 10) -> DataFrame:
     """Per group and quantile bin: mean score and share of positives. Equal edges make one bin; empty bins are left out."""
-    edges = df.groupBy(by).agg(F.array_distinct(F.percentile(score, [i / bins for i in range(bins + 1)])).alias("_e"))
+    named = {f"_e{i}": i / bins for i in range(bins + 1)}
+    edges = ranking.quantiles(df, [by], score, named).select(by, F.array_distinct(F.array(*named)).alias("_e"))
     d = df.join(F.broadcast(edges), by)  # a row for each group
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     d = d.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(score))))

@@ -48,10 +48,16 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int = 64, by: tuple[str, ..
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
+def bin_of(column: str, lo: float, hi: float, bins: int) -> Column:
+    """The number of the equal bin that holds a value, the last one closed; null outside."""
+    width = (hi - lo) / bins
+    return F.when(F.col(column).between(lo, hi), F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int"))
+
+
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts in equal bins, half-open but for the last; what lies outside is dropped, empty bins are kept."""
     width = (hi - lo) / bins
-    i = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
+    i = bin_of(column, lo, hi, bins)
     counts = df.filter(F.col(column).between(lo, hi)).groupBy(*by, i.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     all_bins = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -70,7 +76,32 @@ def data_range_histogram(df: DataFrame, column: str, bins: int, by: tuple[str, .
 
 
 def quantiles(df: DataFrame, by: list[str], column: str, named: dict[str, float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles of groups."""
+    """Exact, linearly interpolated quantiles of groups, by selection; null for groups without values.
+
+    Distinct values are counted and placed by :func:`running`, so a group of any size is spread over its ranges. Of all values
+    only the two around each quantile are kept.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.groupBy(*by).agg(F.count(column).alias("_n")).select(*[F.col(c).alias(f"_s_{c}") for c in by], "_n")
+    ranked = running(counts, "_v", {"_c": "_before"}, by=tuple(by))
+    met = F.lit(True)
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    placed = ranked.join(sizes, met) if by else ranked.crossJoin(F.broadcast(sizes))  # without groups it is one row
+    around = {}
+    for i, q in enumerate(named.values()):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+        around |= {f"_lo{i}": F.max(F.when(holds(F.floor(at)), F.col("_v"))), f"_hi{i}": F.max(F.when(holds(F.ceil(at)), F.col("_v")))}
+    found = placed.groupBy(*by).agg(*[f.alias(n) for n, f in around.items()])
+    d = sizes.join(found, met, "left") if by else sizes.crossJoin(F.broadcast(found))
+    part = lambda q: F.lit(float(q)) * (F.col("_n") - 1) - F.floor(F.lit(float(q)) * (F.col("_n") - 1))
+    value = lambda i, q: F.col(f"_lo{i}") * (1.0 - part(q)) + F.col(f"_hi{i}") * part(q)
+    return d.select(*[F.col(f"_s_{c}").alias(c) for c in by], *[value(i, q).alias(n) for i, (n, q) in enumerate(named.items())])
+
+
+def quantiles_of_few(df: DataFrame, by: list[str], column: str, named: dict[str, float]) -> DataFrame:
+    """As :func:`quantiles`, for groups of a bounded size, such as a figure's replicates: a group's values meet in one task."""
     return df.groupBy(*by).agg(*[F.percentile(column, q).alias(n) for n, q in named.items()])
 
 
@@ -81,7 +112,7 @@ def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     gaps = [c for c in columns if unknown[c]]
     if not gaps:
         return plain
-    medians = plain.agg(*[F.percentile(c, 0.5).alias(c) for c in gaps]).first()
+    medians = {c: quantiles(plain.select(c), [], c, {"m": 0.5}).first()["m"] for c in gaps}
     return plain.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in gaps})
 
 

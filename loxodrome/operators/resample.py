@@ -1,11 +1,18 @@
 """Replicates of a point table: bootstrap, jackknife, permutations, random points on the sphere.
 
 Draws are md5 hashes of (seed, replicate, draw), so tasks may be repeated and other engines can check them. A
-replicate is a key, not a copy: rows meet their draws by an equi-join on the row's number.
+replicate is a key, not a copy. Resamples with replacement are drawn as counts of cells or bins (:func:`multinomial`), so their
+cost follows the number of cells, not of rows; those without are cut at a hash that is found from counts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -41,32 +48,103 @@ def numbered(points: DataFrame, order: list[str] | None = None, ranges: int = 64
     return d.withColumn("row_seq", (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_of", "_before", "_inside")
 
 
-def draws(spark: SparkSession, n: int, replicates: int, seed: int = SEED, size: int | None = None) -> DataFrame:
-    """``rep, draw, row_seq``: ``size`` draws with replacement from n rows in each replicate."""
-    size = n if size is None else size
-    reps = spark.range(replicates).withColumnRenamed("id", "rep")
-    if not n or not size:
-        return reps.limit(0).select("rep", F.lit(0).cast("long").alias("draw"), F.lit(0).cast("long").alias("row_seq"))
-    each = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("draw"))
-    return each.withColumn("row_seq", stats.hash_draw(seed, n, "rep", "draw"))
-
-
-def with_replacement(points: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """All resamples of the points, marked by ``rep``."""
-    rows = saved(numbered(points))
-    return draws(points.sparkSession, rows.count(), replicates, seed).join(rows, "row_seq").drop("row_seq", "draw")
+#: Children of a node of the tree of counts, and hexadecimal digits of a hash that uniform draws take.
+FAN, DIGITS = 256, 13
+
+
+def uniform(seed: int, rep: int, level: int, child: int) -> float:
+    """A reproducible draw from [0, 1), the same in any engine that has md5."""
+    return int(hashlib.md5(f"{seed}:{rep}:{level}:{child}".encode()).hexdigest()[:DIGITS], 16) / 16.0**DIGITS
+
+
+def binomial_inverse(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """The least k with P(X <= k) > u for X binomial of n and p: summed from where the lower tail is below 1e-16."""
+    if p <= 0.0 or p >= 1.0 or not len(n):
+        return n.copy() if p >= 1.0 else np.zeros_like(n)
+    mean, reach = n * p, 9.0 * np.sqrt(n * p * (1.0 - p)) + 25.0
+    low = np.maximum(np.floor(mean - reach), 0.0)
+    out = np.zeros_like(n)
+    width = int(np.max(np.minimum(np.ceil(mean + reach), n) - low)) + 1
+    at = np.array([math.lgamma(a + 1.0) - math.lgamma(b + 1.0) - math.lgamma(a - b + 1.0) if b else 0.0 for a, b in zip(n.tolist(), low.tolist(), strict=True)])
+    log_mass = at + low * math.log(p) + (n - low) * math.log1p(-p)
+    step = max(1, (1 << 20) // width)  # rows of a block of bounded size
+    for i in range(0, len(n), step):
+        s = slice(i, i + step)
+        k = low[s, None] + np.arange(width - 1)
+        left = np.maximum(n[s, None] - k, 0.0)
+        with np.errstate(divide="ignore"):
+            ratios = np.log(left) - np.log(k + 1.0) + (math.log(p) - math.log1p(-p))
+        logs = log_mass[s, None] + np.concatenate([np.zeros((len(k), 1)), np.cumsum(ratios, axis=1)], axis=1)
+        below = np.cumsum(np.exp(logs), axis=1) <= u[s, None]
+        out[s] = np.minimum(low[s] + below.sum(axis=1), n[s]).astype(n.dtype)
+    return out
+
+
+def _deal(seed: int, level: int):
+    """Tasks that deal each node's counts to its children, one child after the other: what is left is binomial in its share."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left = np.array(batch.column("counts")[row].as_py(), dtype=np.int64)
+                children, weights = batch.column("children")[row].as_py(), batch.column("weights")[row].as_py()
+                rest, dealt = sum(weights), []
+                for child, weight in zip(children, weights, strict=True):
+                    some = np.flatnonzero(left)
+                    u = np.array([uniform(seed, r, level, child) for r in some.tolist()])
+                    got = np.zeros_like(left)
+                    got[some] = binomial_inverse(left[some], 1.0 if weight >= rest else weight / rest, u)
+                    dealt.append(got)
+                    left, rest = left - got, rest - weight
+                yield pa.RecordBatch.from_arrays([pa.array(children, pa.int64()), pa.array([d.tolist() for d in dealt], pa.list_(pa.int64()))], names=["node", "counts"])
+
+    return deal
+
+
+def multinomial(weights: DataFrame, key: str, weight: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """``rep, <key>, count``: how often each key is drawn when as many draws as all weights are made, in proportion to them.
+
+    ``weights`` has a row for each key, its weight a whole number; null is a key. Keys are the leaves of a tree of nodes of
+    ``FAN`` children, at least two levels deep. From its root on, every node's number of draws is split among its children by
+    binomial draws from md5 of (seed, replicate, level, child): the same as drawing one by one, at the cost of the keys. A
+    node's numbers in all replicates are one row. Keys that aren't drawn have no row; no weights give no rows.
+    """
+    leaves = saved(numbered(weights.filter(F.col(weight) > 0).select(key, F.col(weight).cast("long").alias("_w")), [key]))
+    nodes, tree, wide = leaves.select(F.col("row_seq").alias("child"), "_w"), [], leaves.count()
+    while len(tree) < 2 or wide > 1:
+        up = nodes.groupBy(F.floor(F.col("child") / FAN).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("child", "_w"))).alias("_c"), F.sum("_w").alias("_w"))
+        tree.append(up.select("node", F.col("_c.child").alias("children"), F.col("_c._w").alias("weights"), "_w"))
+        nodes, wide = up.select(F.col("node").alias("child"), "_w"), -(-wide // FAN)
+    counts = tree[-1].select("node", F.array_repeat("_w", replicates).alias("counts"))
+    for level in range(len(tree) - 1, -1, -1):
+        counts = tree[level].select("node", "children", "weights").join(counts, "node").mapInArrow(_deal(seed, level), "node long, counts array<long>")
+    each = counts.select(F.col("node").alias("row_seq"), F.posexplode("counts").alias("rep", "count")).filter("count > 0")
+    return each.join(leaves, "row_seq").select(F.col("rep").cast("long").alias("rep"), key, "count")
 
 
 def without_replacement(points: DataFrame, fractions: tuple[float, ...], replicates: int, seed: int = SEED) -> DataFrame:
-    """For each fraction and replicate the max(1, round(fraction * n)) rows of least hash."""
+    """For each fraction and replicate the max(1, round(fraction * n)) rows of least hash, ties by the row's number.
+
+    Counts of the hashes' first three digits tell in which of their 4096 ranges each replicate is cut. Rows of lower ranges stay
+    without being sorted or shuffled; only those of the range that is cut are ranked.
+    """
     rows = saved(numbered(points))
     n = rows.count()
-    keep = points.sparkSession.createDataFrame([(float(f), max(1, round(f * n))) for f in fractions], "fraction_retained double, keep long")
-    reps = points.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(keep))
-    d = reps.crossJoin(F.broadcast(rows.select("row_seq"))) if n <= 100_000 else reps.join(rows.select("row_seq"))
+    spark = points.sparkSession
+    keys = ["fraction_retained", "rep"]
+    wanted = spark.createDataFrame([(float(f), max(1, round(f * n))) for f in fractions], "fraction_retained double, keep long")
+    each = rows.withColumn("fraction_retained", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    each = each.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fraction_retained").cast("string"), F.col("rep").cast("string"), F.col("row_seq").cast("string")).cast("binary"))
-    rank = F.row_number().over(Window.partitionBy("fraction_retained", "rep").orderBy(h, "row_seq"))
-    return d.withColumn("_rank", rank).filter("_rank <= keep").drop("_rank", "keep").join(rows, "row_seq")
+    each = each.withColumn("_hash", h).withColumn("_range", F.substring("_hash", 1, 3))
+    sizes = each.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ranges
+    cut = sizes.withColumn("_before", before).join(F.broadcast(wanted), "fraction_retained").filter("_before < keep and _before + _n >= keep")
+    cut = saved(cut.select(*keys, F.col("_range").alias("_cut"), (F.col("keep") - F.col("_before")).alias("_room")))  # a row for each replicate
+    met = each.join(F.broadcast(cut), keys).filter("_range <= _cut")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "row_seq"))
+    split = met.filter("_range = _cut").withColumn("_rank", rank).filter("_rank <= _room").drop("_rank")
+    return met.filter("_range < _cut").unionByName(split).drop("_hash", "_range", "_cut", "_room")
 
 
 def permuted(df: DataFrame, column: str, key: str, seed: int = SEED) -> DataFrame:
@@ -99,14 +177,14 @@ def sphere_points(spark: SparkSession, n: int, replicates: int, seed: int = SEED
 
 
 def _unit_hits(fm: DataFrame, drawn: DataFrame, keys: tuple[str, ...], unit: str, grid: Grid) -> DataFrame:
-    """Per replicate and unit: all its cells, and the distinct cells that hold a drawn point.
+    """Per replicate and unit: all its cells, and the distinct cells (``cell_key``) that hold a drawn point.
 
     Only points move between replicates, so the grid is counted once and never copied.
     """
     u = F.coalesce(F.col(unit).cast("string"), F.lit("nan")).alias("unit")
     cells = fm.select(cell_of("lon_centre", "lat_centre", grid, clip=False).alias("cell_key"), u)
     sizes = cells.groupBy("unit").agg(F.count(F.lit(1)).alias("n_cells"))
-    hit = drawn.withColumn("cell_key", cell_of("longitude", "latitude", grid, clip=False)).select(*keys, "cell_key").distinct()
+    hit = drawn.select(*keys, "cell_key").distinct()
     hits = hit.join(cells, "cell_key").groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("n_hotspots"))
     every = drawn.select(*keys).distinct().crossJoin(F.broadcast(sizes))  # units are few
     return every.join(hits, [*keys, "unit"], "left").na.fill(0, ["n_hotspots"])
@@ -115,7 +193,8 @@ def _unit_hits(fm: DataFrame, drawn: DataFrame, keys: tuple[str, ...], unit: str
 def bootstrap_enrichment(fm: DataFrame, points: DataFrame, n_boot: int = 500, seed: int = SEED, unit: str = "geology_unit", label: str = "has_hotspot", grid: Grid = Grid()) -> DataFrame:
     """Per unit the observed ratio with 95 % limits, mean and deviation over resampled catalogues."""
     observed = rates.enrichment(fm, unit, label).select("unit", "enrichment_ratio")
-    drawn = with_replacement(points.select("longitude", "latitude"), n_boot, seed)
+    per_cell = points.groupBy(cell_of("longitude", "latitude", grid, clip=False).alias("cell_key")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = multinomial(per_cell, "cell_key", "n", n_boot, seed)
     per = rates.enrichment_of_counts(_unit_hits(fm, drawn, ("rep",), unit, grid), ("rep",))
     boot = per.groupBy("unit").agg(
         F.percentile("enrichment_ratio", 0.025).alias("boot_lo"),
@@ -133,7 +212,8 @@ def jackknife(fm: DataFrame, points: DataFrame, fractions=(0.9, 0.75, 0.5), repl
     """How often each claim survives random deletion: ``fraction_retained, metric, survival_rate, summary``."""
     keys = ("fraction_retained", "rep")
     kept = without_replacement(points.select("longitude", "latitude"), fractions, replicates, seed)
-    per = rates.enrichment_of_counts(_unit_hits(fm, kept, keys, unit, grid), keys)
+    hit = kept.withColumn("cell_key", cell_of("longitude", "latitude", grid, clip=False))
+    per = rates.enrichment_of_counts(_unit_hits(fm, hit, keys, unit, grid), keys)
     hits = per.groupBy("fraction_retained", "unit").agg(F.sum(F.coalesce("significant", F.lit(False)).cast("int")).alias("hits"))
     units = hits.select(
         "fraction_retained",

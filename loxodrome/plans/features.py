@@ -30,12 +30,13 @@ def null_report(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, count, mean, std, min, q25, q50, q75, max`` of numeric columns, exact, in one pass."""
-    of = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, **{f"q{p}": (lambda c, p=p: F.percentile(c, p / 100)) for p in (25, 50, 75)}, "max": F.max}
-    x = [F.col(c).cast("double") for c in columns]
-    r = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(x) for n, f in of.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in of]) for i, c in enumerate(columns)])
-    return r.select(F.inline(rows))
+    """``column, count, mean, std, min, q25, q50, q75, max`` of numeric columns, exact: one pass for all columns, quartiles by selection."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])
+    long = df.select(F.inline(each))
+    of = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    sums = long.groupBy("column").agg(*[f("_x").alias(n) for n, f in of.items()])
+    quartiles = ranking.quantiles(long, ["column"], "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return sums.join(quartiles, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -352,14 +352,38 @@ def asymmetry_tests(s, d):
     return rounded(asymmetry.tested(asymmetry.side_counts(customers(s, d))))
 
 
-_DRAW = "('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT"
+def _multinomial_sql(source: str, key: str, weight: str, reps: int) -> str:
+    """``mn``: ``rep, key, c`` drawn by the same tree of nodes of 256 children, for up to 65,536 keys; needs WITH RECURSIVE."""
+    u = "('0x' || substr(md5('42:' || rep || ':' || lv || ':' || tr.child), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    reach = "(9.0::DOUBLE * sqrt(n * p * (1 - p)) + 25)"
+    mass = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(greatest(1 - p, 1e-300::DOUBLE)))"
+    below = f"list_reduce([{{'c': {mass}, 'k': CAST(0 AS BIGINT)}} FOR j IN range(lo, hi + 1)], lambda a, b: {{'c': a.c + b.c, 'k': a.k + CAST(a.c <= u AS BIGINT)}})"
+
+    def draw(state: str, on: str, keep: str) -> str:
+        shares = f"SELECT {keep}, tr.i, tr.child, left_n AS n, w, rest, w / CAST(rest AS DOUBLE) AS p, {u} AS u FROM {state} AS st JOIN tr ON {on} AND tr.i = st.i + 1 WHERE left_n > 0"
+        bounds = f"SELECT *, CAST(greatest(floor(n * p - {reach}), 0) AS BIGINT) AS lo, CAST(least(ceil(n * p + {reach}), n) AS BIGINT) AS hi FROM ({shares})"
+        return f"SELECT *, CASE WHEN w >= rest THEN n ELSE least(n, lo + f.k + CAST(f.c <= u AS BIGINT)) END AS k FROM (SELECT *, {below} AS f FROM ({bounds}))"
+
+    after = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return (
+        f"lf AS (SELECT {key} AS key, CAST({weight} AS BIGINT) AS w, row_number() OVER (ORDER BY {key} NULLS FIRST) - 1 AS pos FROM {source} WHERE {weight} > 0), "
+        "nd AS (SELECT pos // 256 AS node, CAST(sum(w) AS BIGINT) AS w FROM lf GROUP BY 1), "
+        f"tr AS (SELECT 1 AS lv, CAST(0 AS BIGINT) AS parent, node AS child, node AS i, w, CAST(sum(w) OVER (ORDER BY node {after}) AS BIGINT) AS rest FROM nd "
+        f"UNION ALL SELECT 0, pos // 256, pos, pos % 256, w, CAST(sum(w) OVER (PARTITION BY pos // 256 ORDER BY pos {after}) AS BIGINT) FROM lf), "
+        f"d1 AS (SELECT rep, CAST(-1 AS BIGINT) AS i, (SELECT CAST(sum(w) AS BIGINT) FROM lf) AS left_n, CAST(0 AS BIGINT) AS k FROM range({reps}) a(rep) UNION ALL SELECT rep, i, n - k, k FROM ({draw('d1', 'lv = 1', 'rep')})), "
+        "d0 AS (SELECT rep, i AS parent, CAST(-1 AS BIGINT) AS i, k AS left_n, CAST(-1 AS BIGINT) AS child, CAST(0 AS BIGINT) AS k FROM d1 WHERE i >= 0 AND k > 0 "
+        f"UNION ALL SELECT rep, parent, i, n - k, child, k FROM ({draw('d0', 'lv = 0 AND tr.parent = st.parent', 'rep, st.parent')})), "
+        "mn AS (SELECT rep, key, k AS c FROM d0 JOIN lf ON pos = child WHERE k > 0)"
+    )
+
+
 _HIST = "least(CAST(floor((longitude + 180.0::DOUBLE) / 10.0::DOUBLE) AS BIGINT), 35)"
 
 
 @query(
-    f"WITH {SUP}, sq AS (SELECT row_number() OVER (ORDER BY longitude) - 1 AS id, longitude FROM sup), n AS (SELECT count(*) AS n FROM sup), bins AS (SELECT bin FROM range(36) t(bin)), ob AS (SELECT {_HIST} AS bin, count(*) AS c FROM sup GROUP BY 1), "
-    f"dr AS (SELECT rep, {_DRAW} % n AS id FROM range(1000) a(rep), n, range((SELECT n FROM n)) b(i)), bc AS (SELECT rep, {_HIST} AS bin, count(*) AS c FROM dr JOIN sq USING (id) GROUP BY 1, 2), "
-    "fl AS (SELECT rep, bin, coalesce(c, 0) AS c FROM range(1000) a(rep) CROSS JOIN bins LEFT JOIN bc USING (rep, bin)), ci AS (SELECT bin, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi FROM fl GROUP BY bin) "
+    f"WITH RECURSIVE {SUP}, bins AS (SELECT bin FROM range(36) t(bin)), ob AS (SELECT {_HIST} AS bin, count(*) AS c FROM sup GROUP BY 1), {_multinomial_sql('ob', 'bin', 'c', 1000)}, "
+    "fl AS (SELECT a.rep, bins.bin, coalesce(mn.c, 0) AS c FROM range(1000) a(rep) CROSS JOIN bins LEFT JOIN mn ON mn.rep = a.rep AND mn.key = bins.bin), "
+    "ci AS (SELECT bin, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi FROM fl GROUP BY bin) "
     f"SELECT CAST(bin AS INTEGER) AS bin, coalesce(c, 0) AS count, -175.0::DOUBLE + bin * 10 AS bin_centre, {_r('lo')} AS ci_lo, {_r('hi')} AS ci_hi FROM bins LEFT JOIN ob USING (bin) JOIN ci USING (bin)"
 )
 def longitude_histogram(s, d):
@@ -477,8 +501,8 @@ def jackknife_samples(s, d):
 
 
 @query(
-    f"WITH {_labelled_sql()}, cl AS (SELECT {_cell_sql(COARSE, 'lon_centre', 'lat_centre', False)} AS ck, coalesce(geology_unit, 'nan') AS unit FROM fm), sz AS (SELECT unit, count(*) AS n FROM cl GROUP BY 1), "
-    f"pq AS (SELECT row_number() OVER (ORDER BY longitude, latitude) - 1 AS id, longitude, latitude FROM pts), dr AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pts) AS id FROM range(500) a(rep), range((SELECT count(*) FROM pts)) b(i)), hc AS (SELECT DISTINCT rep, {_cell_sql(COARSE, clip=False)} AS ck FROM dr JOIN pq USING (id)), "
+    f"WITH RECURSIVE {_labelled_sql()}, cl AS (SELECT {_cell_sql(COARSE, 'lon_centre', 'lat_centre', False)} AS ck, coalesce(geology_unit, 'nan') AS unit FROM fm), sz AS (SELECT unit, count(*) AS n FROM cl GROUP BY 1), "
+    f"pc AS (SELECT {_cell_sql(COARSE, clip=False)} AS ck, count(*) AS c FROM pts GROUP BY 1), {_multinomial_sql('pc', 'ck', 'c', 500)}, hc AS (SELECT rep, key AS ck FROM mn), "
     "ob AS (SELECT unit, h / nullif(n * (sum(h) OVER () / sum(n) OVER ()), 0) AS er FROM (SELECT coalesce(geology_unit, 'nan') AS unit, count(*) AS n, sum(has_hotspot) AS h FROM fm GROUP BY 1)), "
     "hu AS (SELECT rep, unit, count(*) AS h FROM hc JOIN cl USING (ck) GROUP BY 1, 2), al AS (SELECT rep, unit, n, coalesce(h, 0) AS h FROM range(500) a(rep) CROSS JOIN sz LEFT JOIN hu USING (rep, unit)), "
     "rt AS (SELECT rep, unit, h / nullif(n * (sum(h) OVER (PARTITION BY rep) / sum(n) OVER (PARTITION BY rep)), 0) AS ratio FROM al) "

@@ -1,14 +1,17 @@
 """The ways that are taken for many points, against brute force, with how much they look at."""
 
+import bisect
+import hashlib
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loxodrome.operators import clustering, models, neighbours, pair_tree, ranking
+from loxodrome.operators import clustering, models, neighbours, pair_tree, ranking, resample
 
 
 def scattered(n, seed=0, clustered=0.3):
@@ -204,3 +207,90 @@ def test_folds_of_a_single_class_have_no_curves(spark):
     folds = {(r.feature_set, r.fold): r for r in models.ablation_folds(d, {"one": ["p"]}).collect()}
     assert folds["one", 0].auc_roc is not None and all(folds["one", k].auc_roc is None and folds["one", k].pr_auc is None for k in (1, 2, 3))
     assert models.ablation(d, {"one": ["p"]}).first().auc_roc_mean == folds["one", 0].auc_roc
+
+
+# --- resamples as counts --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "p"), [(1, 0.5), (7, 0.01), (40, 0.5), (40, 0.999), (900, 0.3), (3000, 0.7)])
+def test_binomial_draws_invert_the_distribution(n, p):
+    exact, total = [], Fraction(0)
+    share = Fraction(p)
+    for k in range(n + 1):
+        total += math.comb(n, k) * share**k * (1 - share) ** (n - k)
+        exact.append(float(total))
+    u = np.random.default_rng(5).random(200)
+    got = resample.binomial_inverse(np.full(200, n, dtype=np.int64), p, u)
+    assert got.tolist() == [min(bisect.bisect_right(exact, x), n) for x in u.tolist()]
+
+
+def test_binomial_draws_of_certain_and_no_shares():
+    n, u = np.array([0, 3, 9], dtype=np.int64), np.array([0.1, 0.5, 0.999999])
+    assert resample.binomial_inverse(n, 1.0, u).tolist() == [0, 3, 9] and resample.binomial_inverse(n, 0.0, u).tolist() == [0, 0, 0]
+    assert resample.binomial_inverse(n[:0], 0.5, u[:0]).tolist() == []
+
+
+def test_multinomial_counts(spark):
+    weights = {None: 3, "hot": 4000, **{f"k{i:04d}": 1 + i % 4 for i in range(700)}}  # more keys than a node has children
+    df = spark.createDataFrame(list(weights.items()), "key string, w long")
+    n, reps = sum(weights.values()), 60
+    rows = [(r["rep"], r["key"], r["count"]) for r in resample.multinomial(df, "key", "w", reps).collect()]
+    assert len({r[:2] for r in rows}) == len(rows) and all(c > 0 for *_, c in rows)
+    per_rep = Counter()
+    mean = Counter()
+    for rep, key, c in rows:
+        per_rep[rep] += c
+        mean[key] += c / reps
+    assert per_rep == {r: n for r in range(reps)} and set(mean) <= set(weights)
+    for key, w in weights.items():
+        assert abs(mean[key] - w) < 5 * math.sqrt(w / reps), key
+    hot = [c for _, key, c in rows if key == "hot"]
+    share = weights["hot"] / n
+    assert 0.5 < np.var(hot) / (n * share * (1 - share)) < 1.7
+    again = [(r["rep"], r["key"], r["count"]) for r in resample.multinomial(df.repartition(7), "key", "w", reps).collect()]
+    assert set(again) == set(rows)
+
+
+def test_multinomial_of_nothing_and_of_one_key(spark):
+    empty = spark.createDataFrame([], "key long, w long")
+    assert resample.multinomial(empty, "key", "w", 3).count() == 0
+    one = spark.createDataFrame([(7, 5), (8, 0)], "key long, w long")
+    assert sorted(tuple(r) for r in resample.multinomial(one, "key", "w", 3).collect()) == [(0, 7, 5), (1, 7, 5), (2, 7, 5)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 5000])
+def test_jackknife_rows_are_those_of_least_hash(spark, n):
+    points = spark.range(n).select((F.col("id") * 0.01).alias("longitude"), F.col("id").alias("row_seq"))
+    got = defaultdict(set)
+    for r in resample.without_replacement(points, (0.9, 0.25), 2).collect():
+        assert r["row_seq"] not in got[r["fraction_retained"], r["rep"]]
+        got[r["fraction_retained"], r["rep"]].add(r["row_seq"])
+    want = {}
+    for f in (0.9, 0.25) if n else ():
+        for rep in range(2):
+            order = sorted(range(n), key=lambda i: (hashlib.md5(f"42:{f}:{rep}:{i}".encode()).hexdigest(), i))
+            want[f, rep] = set(order[: max(1, round(f * n))])
+    assert got == want
+
+
+# --- quantiles by selection -----------------------------------------------------------------------------------------
+
+
+def test_quantiles_by_selection(spark):
+    rng = random.Random(4)
+    groups = {"hot": [round(rng.gauss(0, 1), 3) for _ in range(20_000)], "narrow": [1e6 + rng.random() for _ in range(500)], "ties": [2.0] * 300 + [3.0], "one": [5.0], None: [1.0, 2.0], "unknown": [None, None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    named = {"least": 0.0, "lo": 0.025, "mid": 0.5, "hi": 0.975, "most": 1.0}
+    got = {r["g"]: r for r in ranking.quantiles(df, ["g"], "v", named).collect()}
+    assert set(got) == set(groups) and all(got["unknown"][n] is None for n in named)
+    for g, vs in groups.items():
+        if g != "unknown":
+            assert [got[g][n] for n in named] == pytest.approx(np.quantile(vs, list(named.values())).tolist(), rel=1e-12)
+    whole = ranking.quantiles(df, [], "v", named).first()
+    assert [whole[n] for n in named] == pytest.approx(np.quantile([v for vs in groups.values() for v in vs if v is not None], list(named.values())).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert ranking.quantiles(empty, ["g"], "v", {"mid": 0.5}).count() == 0
+    assert ranking.quantiles(empty, [], "v", {"mid": 0.5}).first()["mid"] is None

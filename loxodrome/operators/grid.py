@@ -90,6 +90,16 @@ def onehot_units(df: DataFrame, unit: str = "geology_unit", prefix: str = "geolo
     return df.withColumns({f"{prefix}{u}": F.when(F.col(unit) == u, 1).otherwise(0) for u in names})
 
 
+def onehot_vectors(df: DataFrame, unit: str = "geology_unit", out: str = "geology") -> DataFrame:
+    """One-hot codes as sparse vectors: ``<out>_index`` (null for no unit) and ``<out>_size``, the number of units.
+
+    Names stay in their dictionary, which is joined; no name becomes a column or goes to the driver.
+    """
+    codes = unit_codes(df, unit, f"{out}_index")
+    size = codes.agg(F.count(F.lit(1)).cast("int").alias(f"{out}_size"))  # one row
+    return df.join(codes, F.col(unit) == F.col("_name"), "left").drop("_name").crossJoin(F.broadcast(size))
+
+
 def normalised(values: Column, lat: Column, over) -> Column:
     """Values over their mean weighted by the cosine of latitude, within a window."""
     w = F.cos(F.radians(lat))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.config import Grid
 from loxodrome.functions.shared import saved
-from loxodrome.operators import neighbours
+from loxodrome.operators import neighbours, ranking
 from loxodrome.operators.grid import assign_points, base_grid, encode_units
 from loxodrome.sources.tables import add_flux, synthetic_flux
 
@@ -36,7 +36,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     of = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     sums = long.groupBy("column").agg(*[f("_x").alias(n) for n, f in of.items()])
     quartiles = ranking.quantiles(long, ["column"], "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return sums.join(quartiles, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # columns of an empty table too
+    found = every.join(sums, "column", "left").join(quartiles, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return found.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

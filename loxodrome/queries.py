@@ -163,11 +163,24 @@ _ENRICHMENT_SELECT = (
 # --- grids and points -----------------------------------------------------------------------------------------------
 
 
+def held(s: SparkSession, d: str, points: DataFrame, grid: Grid = COARSE) -> DataFrame:
+    """Cells that hold points of the table, with how many."""
+    counts = points.groupBy(gridding.cell_of("longitude", "latitude", grid).alias("cell_id")).agg(F.count(F.lit(1)).alias("n_points"))
+    return gridding.base_grid(s, grid).join(counts, "cell_id")
+
+
+def _held_sql(points: str, g: Grid = COARSE) -> str:
+    """``held`` from ``pts`` or ``ord``."""
+    return f"{_grid_sql(g)}, hn AS (SELECT {_cell_sql(g)} AS cell_id, count(*) AS n_points FROM {points} GROUP BY 1), held AS (SELECT * FROM cells JOIN hn USING (cell_id))"
+
+
 @query(
-    f"WITH {_grid_sql(Grid())} SELECT cell_id, lon_centre, lat_centre, lon_centre - 0.5 AS lon_min, lon_centre + 0.5 AS lon_max, lat_centre - 0.5 AS lat_min, lat_centre + 0.5 AS lat_max FROM cells"
+    f"WITH {ORD}, {_held_sql('ord', Grid())} SELECT cell_id, lon_centre, lat_centre, lon_centre - 0.5 AS lon_min, lon_centre + 0.5 AS lon_max, lat_centre - 0.5 AS lat_min, lat_centre + 0.5 AS lat_max, coalesce(n_points, 0) AS n_points FROM cells LEFT JOIN hn USING (cell_id)"
 )
 def base_grid(s, d):
-    return gridding.base_grid(s)
+    """All cells, with how many orders fall into each."""
+    counts = held(s, d, orders(s, d), Grid()).select("cell_id", "n_points")
+    return gridding.base_grid(s).join(counts, "cell_id", "left").na.fill(0, ["n_points"])
 
 
 @query(
@@ -196,6 +209,11 @@ def units_encoded(s, d):
     return gridding.encode_units(_t(s, d, "part").select("p_partkey", "p_type"), "p_type", "code")
 
 
+@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS type_index, (SELECT CAST(count(DISTINCT p_type) AS INTEGER) FROM part) AS type_size FROM part")
+def units_onehot_sparse(s, d):
+    return gridding.onehot_vectors(_t(s, d, "part").select("p_partkey", "p_type"), "p_type", "type").select("p_partkey", "type_index", "type_size")
+
+
 @query("SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS is_F, CAST(o_orderstatus = 'O' AS INTEGER) AS is_O, CAST(o_orderstatus = 'P' AS INTEGER) AS is_P FROM orders")
 def units_onehot(s, d):
     out = gridding.onehot_units(_t(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "is_")
@@ -222,9 +240,10 @@ def nearest_hotspot_bucketed(s, d):
 _STRESS = "least(" + ", ".join(_haversine_sql("lat_centre", "lon_centre", f"{a}::DOUBLE", f"{b}::DOUBLE") for a, b in ((0.0, 0.0), (0.0, 180.0), (90.0, 0.0), (-90.0, 0.0))) + ")"
 
 
-@query(f"WITH {_grid_sql(MIDDLE)} SELECT cell_id, {_r(_STRESS, 4)} AS dist_tidal_stress_max_km FROM cells")
+@query(f"WITH {ORD} SELECT name, {_r(_STRESS.replace('lat_centre', 'latitude').replace('lon_centre', 'longitude'), 4)} AS dist_tidal_stress_max_km FROM ord")
 def stress_distance(s, d):
-    return rounded(neighbours.distance_to_stress_maxima(gridding.base_grid(s, MIDDLE)).select("cell_id", "dist_tidal_stress_max_km"), 4)
+    points = orders(s, d).withColumnsRenamed({"latitude": "lat_centre", "longitude": "lon_centre"})
+    return rounded(neighbours.distance_to_stress_maxima(points).select("name", "dist_tidal_stress_max_km"), 4)
 
 
 _PLANAR = f"WITH {SUP}, {_grid_sql(COARSE)}, m AS (SELECT cell_id, value, row_number() OVER (PARTITION BY cell_id ORDER BY (lon_centre - longitude) * (lon_centre - longitude) + (lat_centre - latitude) * (lat_centre - latitude), latitude, longitude, value) AS k FROM cells, sup) SELECT cell_id, value AS tidal_heating_flux FROM m WHERE k = 1"
@@ -339,6 +358,25 @@ def outlier_sensitivity(s, d):
     return _money(rates.outlier_sensitivity(power_cells(s, d)))
 
 
+_SUITE = {
+    "latitude": ("power_by_latitude", "lat_band", "sum_power_gw", "fraction_total_power"),
+    "geology": ("power_by_unit", "geology_unit", "sum_power_gw", "fraction_total_power"),
+    "outlier_sensitivity": ("outlier_sensitivity", "removed_top_n_cells", "sum_power_gw", "polar_fraction_total_power"),
+    "polar_sensitivity": ("polar_sensitivity", "polar_threshold_abs_lat", "polar_sum_power_gw", "polar_fraction_total_power"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, CAST({key} AS VARCHAR) AS key, {total} AS sum_power_gw, {share} AS share FROM ({ORACLES[name]})" for part, (name, key, total, share) in _SUITE.items()))
+def power_suite(s, d):
+    """Keys, sums and shares of all four tables of the suite."""
+    parts = _t(s, d, "part")
+    units = parts.select(F.col("p_partkey").alias("_k"), F.col("p_type").alias("geology_unit"))
+    fm = gridding.base_grid(s, COARSE).withColumn("_k", F.col("cell_id") % parts.count()).join(units, "_k", "left")
+    suite = rates.power_suite(fm, saved(power_cells(s, d)))
+    tables_ = [suite[part].select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.round(total, 2).alias("sum_power_gw"), (F.round(share, 6) + F.lit(0.0)).alias("share")) for part, (_, key, total, share) in _SUITE.items()]
+    return tables_[0].unionByName(tables_[1]).unionByName(tables_[2]).unionByName(tables_[3])
+
+
 # --- point statistics -----------------------------------------------------------------------------------------------
 
 _SIDES = " UNION ALL ".join(
@@ -448,6 +486,16 @@ def kernel_density_blocked(s, d):
     return k.select("longitude", "latitude", (F.round(F.col("density") * 1e6, 6) + F.lit(0.0)).alias("density_ppm"))
 
 
+@query(
+    f"SELECT * FROM ({ORACLES['ripley_k']}) JOIN ({ORACLES['pair_correlation']}) USING (radius_km) JOIN ({ORACLES['nearest_neighbour_cdf']}) USING (radius_km) JOIN ({ORACLES['csr_envelope']}) USING (radius_km)"
+)
+def spatial_stats(s, d):
+    """All curves of one catalogue in one table."""
+    table, _ = clustering.spatial_stats(suppliers(s, d))
+    digits = {c: 2 for c in ("k_observed", "k_csr", "k_env_lo", "k_env_hi")}
+    return table.select("radius_km", *[(F.round(c, digits.get(c, 6)) + F.lit(0.0)).alias(c) for c in table.columns if c != "radius_km"])
+
+
 # --- patterns and resampling ----------------------------------------------------------------------------------------
 
 _PHI, _LAM = "radians(lat_centre)", "radians(lon_centre)"
@@ -466,9 +514,10 @@ def _pattern_sql(source: str) -> str:
     return f"raw AS (SELECT *, {raw} FROM {source}), pat AS (SELECT *, {unit} FROM raw)"
 
 
-@query(f"WITH {_grid_sql(COARSE)}, {_pattern_sql('cells')} SELECT cell_id, " + ", ".join(f"{_r(f'tidal_template_{n}')} AS tidal_template_{n}" for n in _SQL_PATTERNS) + " FROM pat")
+@query(f"WITH {ORD}, {_held_sql('ord')}, {_pattern_sql('held')} SELECT cell_id, " + ", ".join(f"{_r(f'tidal_template_{n}')} AS tidal_template_{n}" for n in _SQL_PATTERNS) + " FROM pat")
 def patterns(s, d):
-    out = hypotheses.attach_patterns(gridding.base_grid(s, COARSE))
+    """Patterns of mean 1 over the cells that hold orders."""
+    out = hypotheses.attach_patterns(held(s, d, orders(s, d)))
     return rounded(out.select("cell_id", *[f"tidal_template_{n}" for n in stats.PATTERNS]))
 
 
@@ -538,6 +587,12 @@ def stability(s, d):
     return rounded(resample.jackknife(unit_cells(s, d), suppliers(s, d), grid=COARSE))
 
 
+@query(f"""SELECT metric, {', '.join(f'max(CASE WHEN fraction_retained = {f} THEN survival_rate END) AS retained_{round(100 * f)}' for f in (0.9, 0.75, 0.5))} FROM ({ORACLES['stability']}) GROUP BY metric""")
+def survival_by_fraction(s, d):
+    found = resample.jackknife(unit_cells(s, d), suppliers(s, d), grid=COARSE)
+    return rounded(scenes.survival_table(found, (0.9, 0.75, 0.5)).select("metric", *[F.col(f"`{f}`").alias(f"retained_{round(100 * f)}") for f in (0.9, 0.75, 0.5)]))
+
+
 # --- ranks, quantiles, histograms -----------------------------------------------------------------------------------
 
 
@@ -652,9 +707,10 @@ def precision_recall(s, d):
     return rounded(models.precision_recall(scored(s, d), "score", "quality", "lang"))
 
 
-@query(f"WITH {_grid_sql(COARSE)}, {_BANDS} SELECT i AS fold, lat_band, count(cell_id) AS n_cells, count(cell_id) * 100.0::DOUBLE / {COARSE.n_cells} AS pct FROM b LEFT JOIN cells ON lat_centre >= lo AND lat_centre < hi GROUP BY 1, 2")
+@query(f"WITH {PTS}, {_held_sql('pts')}, {_BANDS} SELECT i AS fold, lat_band, count(cell_id) AS n_cells, count(cell_id) * 100.0::DOUBLE / (SELECT count(*) FROM held) AS pct FROM b LEFT JOIN held ON lat_centre >= lo AND lat_centre < hi GROUP BY 1, 2")
 def folds_described(s, d):
-    return models.LatitudeBands().describe(gridding.base_grid(s, COARSE))
+    """Bands of the cells that hold customers."""
+    return models.LatitudeBands().describe(saved(held(s, d, customers(s, d))))
 
 
 @query(
@@ -843,9 +899,9 @@ def viewer_payload(s, d):
     return rounded(scenes.viewer_payload(scenes.viewer_points(power_cells(s, d), top_10=True), top_10=True))
 
 
-@query(f"WITH {_power_sql()} SELECT count(*) AS visible_hotspots, {_r('sum(sum_power_gw)', 2)} AS visible_power_gw, {_r('max(primary_power_gw)', 2)} AS strongest_power_gw, {_r('sum(CASE WHEN abs(lat_centre) >= 60 THEN sum_power_gw ELSE 0.0 END) / sum(sum_power_gw)', 2)} AS polar_fraction FROM obs")
+@query(f"WITH {_power_sql()} SELECT count(*) AS visible_hotspots, (SELECT power_names FROM obs o ORDER BY o.primary_power_gw DESC, cell_id LIMIT 1) AS strongest_name, {_r('sum(sum_power_gw)', 2)} AS visible_power_gw, {_r('max(primary_power_gw)', 2)} AS strongest_power_gw, {_r('sum(CASE WHEN abs(lat_centre) >= 60 THEN sum_power_gw ELSE 0.0 END) / sum(sum_power_gw)', 2)} AS polar_fraction FROM obs")
 def insights(s, d):
-    return rounded(scenes.insights(scenes.power_points(power_cells(s, d))).drop("strongest_name"), 2)
+    return rounded(scenes.insights(scenes.power_points(power_cells(s, d))), 2)
 
 
 @query(f"WITH {_power_sql()}, l AS (SELECT *, ln(1 + primary_power_gw) AS lg FROM obs) SELECT cell_id, {_r('3.2 + 10.8 * (lg - min(lg) OVER ()) / (max(lg) OVER () - min(lg) OVER ())')} AS size, {_r('lg')} AS color FROM l")
@@ -860,9 +916,19 @@ _NATURAL = (
 )
 
 
-@query(f"WITH {_grid_sql(COARSE)}, v AS (SELECT cell_id, {_NATURAL} AS s FROM cells) SELECT cell_id, {_r('(s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())')} AS surface FROM v")
+@query(f"WITH {_power_sql()}, v AS (SELECT lat_centre, log_primary_power AS v, row_number() OVER (PARTITION BY lat_centre ORDER BY lon_centre) AS i FROM pw) SELECT lat_centre, count(*) AS n_values, {_r('sum(i * v)', 4)} AS placed_sum FROM v GROUP BY 1")
+def intensity_raster(s, d):
+    """The intensity surface as rows of a raster; each value counts by its place."""
+    power = saved(power_cells(s, d))
+    rows = scenes.rows_by_latitude(scenes.surface(power, "thermal_intensity", power))
+    placed = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("lat_centre", F.size("values").cast("long").alias("n_values"), (F.round(placed, 4) + F.lit(0.0)).alias("placed_sum"))
+
+
+@query(f"WITH {PTS}, {_held_sql('pts')}, v AS (SELECT cell_id, {_NATURAL} AS s FROM held) SELECT cell_id, {_r('(s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())')} AS surface FROM v")
 def natural_surface(s, d):
-    return rounded(scenes.natural_surface(gridding.base_grid(s, COARSE)).select("cell_id", "surface"))
+    """The field over the cells that hold customers."""
+    return rounded(scenes.natural_surface(held(s, d, customers(s, d))).select("cell_id", "surface"))
 
 
 @query(f"WITH {_labelled_sql()} SELECT cell_id, {_r('cos(radians(lat_centre)) * cos(radians(lon_centre))')} AS x, {_r('cos(radians(lat_centre)) * sin(radians(lon_centre))')} AS y, {_r('sin(radians(lat_centre))')} AS z, CASE WHEN cell_id % 20 IN (1, 2) THEN CAST(cell_id % 20 AS DOUBLE) ELSE 16.0::DOUBLE END AS value FROM fm")

@@ -18,13 +18,15 @@ one they fold (the last wins); unknown kinds raise; empty tables give no rows; o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loxodrome.llm.frames import narrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
+#: Characters of a streamed delta, and how far the sequences of two turns' first events lie apart.
+PIECE, EVENTS = 512, 1 << 20
 
 
 def escape(c: Column) -> Column:
@@ -45,6 +47,27 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("&#10;"), F.lit("\n")))
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """The events by which a chat's rows (``conv_id, turn, role, text``) came about; :func:`reconstruct` folds them into the rows.
+
+    An assistant's turn is drafted, regenerated, then streamed by deltas of ``PIECE`` characters; any other is drafted and
+    edited. Drafts are a text's first piece, so a fold that misses an event shows. Rows of one conversation and turn are
+    messages of their own, in the order of role and text, repeated ones too; a null turn comes before all others.
+    """
+    t = narrow(turns, "conv_id", "turn", "role", "text")
+    t = t.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    first = F.coalesce(F.col("turn").cast("long") * EVENTS, F.lit(-(1 << 62)))
+    t = t.withColumns({"message_id": F.struct("turn", place.alias("place")), "first": first, "pieces": F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))})
+    event = lambda at, kind, text: F.struct(F.lit(at).cast("long").alias("at"), F.lit(kind).alias("kind"), text.alias("text"))
+    draft = event(0, "message", F.coalesce(F.get("pieces", F.lit(0)), F.lit("")))
+    deltas = F.transform("pieces", lambda p, i: F.struct((i + 2).cast("long").alias("at"), F.lit("delta").alias("kind"), p.alias("text")))
+    spoken = F.concat(F.array(draft, event(1, "regenerate", F.lit(""))), deltas)
+    log = F.when(F.col("role") == "assistant", spoken).otherwise(F.array(draft, event(1, "edit", F.col("text"))))
+    each = t.select("conv_id", "message_id", "role", "first", F.explode(log).alias("e"))
+    return each.select("conv_id", (F.col("first") + F.col("e.at")).alias("seq"), F.col("e.kind").alias("kind"), "message_id", "role", F.col("e.text").alias("text"))
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages: ``conv_id, seq, message_id, role, text``, one row each."""
     e = narrow(events, "conv_id", "seq", "kind", "message_id", "role", "text")
@@ -61,7 +84,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     kept = F.slice("log", F.col("at") + 1, F.size("log"))
     named = F.struct(
         F.col("log")[0]["seq"].alias("seq"),
-        F.coalesce(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r != "")[0], F.lit("")).alias("role"),
+        F.coalesce(F.get(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r != ""), F.lit(0)), F.lit("")).alias("role"),
         F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"),
     )
     each = F.transform("log", lambda x: F.struct(x["seq"].alias("seq"), x["role"].alias("role"), x["text"].alias("text")))

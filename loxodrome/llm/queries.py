@@ -54,8 +54,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
     log = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    events = log.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message_id"), "role", "text")
-    return op09_chat.digest(op09_chat.render(op09_chat.reconstruct(events)))
+    return op09_chat.digest(op09_chat.render(op09_chat.reconstruct(op09_chat.streamed(log)), run=512 * op09_chat.EVENTS))
 
 
 def op10_licenses_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def bootstrap_enrichment(fm: DataFrame, points: DataFrame, n_boot: int = 500, se
     """Per unit the observed ratio with 95 % limits, mean and deviation over resampled catalogues."""
     observed = rates.enrichment(fm, unit, label).select("unit", "enrichment_ratio")
     per_cell = points.groupBy(cell_of("longitude", "latitude", grid, clip=False).alias("cell_key")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = multinomial(per_cell, "cell_key", "n", n_boot, seed)
+    drawn = saved(multinomial(per_cell, "cell_key", "n", n_boot, seed))  # read twice
     per = rates.enrichment_of_counts(_unit_hits(fm, drawn, ("rep",), unit, grid), ("rep",))
     boot = per.groupBy("unit").agg(
         F.percentile("enrichment_ratio", 0.025).alias("boot_lo"),

@@ -115,9 +115,11 @@ def multinomial(weights: DataFrame, key: str, weight: str, replicates: int, seed
         up = nodes.groupBy(F.floor(F.col("child") / FAN).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("child", "_w"))).alias("_c"), F.sum("_w").alias("_w"))
         tree.append(up.select("node", F.col("_c.child").alias("children"), F.col("_c._w").alias("weights"), "_w"))
         nodes, wide = up.select(F.col("node").alias("child"), "_w"), -(-wide // FAN)
+    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = tree[-1].select("node", F.array_repeat("_w", replicates).alias("counts"))
     for level in range(len(tree) - 1, -1, -1):
-        counts = tree[level].select("node", "children", "weights").join(counts, "node").mapInArrow(_deal(seed, level), "node long, counts array<long>")
+        todo = tree[level].select("node", "children", "weights").join(counts, "node").repartition(tasks, "node")  # few small rows of much work each
+        counts = todo.mapInArrow(_deal(seed, level), "node long, counts array<long>")
     each = counts.select(F.col("node").alias("row_seq"), F.posexplode("counts").alias("rep", "count")).filter("count > 0")
     return each.join(leaves, "row_seq").select(F.col("rep").cast("long").alias("rep"), key, "count")
 

@@ -27,22 +27,10 @@ def _identified(points: DataFrame) -> DataFrame:
 def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys, radius_km, pairs``: ordered pairs up to each radius. Each pair is counted once, at its least radius.
 
-    Up to ``broadcast_rows`` points of one key are met as blocks, whose tasks return counts; more are counted by a descent over cubes.
+    Points of a key meet in one task up to ``broadcast_rows``; more are cut into blocks, of which each pair is a task.
     """
     steps = F.array(*[F.lit(float(r)) for r in radii])
-    most = _most(points, keys)
-    if most <= broadcast_rows:
-        edges = np.sort(np.array(radii, float))
-
-        def work(i, lat1, lon1, j, lat2, lon2, same):
-            d = neighbours.haversine_matrix(lat1, lon1, lat2, lon2, radius)
-            d = d[np.triu_indices(len(i), 1)] if same else d.ravel()
-            c = 2 * np.bincount(np.searchsorted(edges, d, "left"), minlength=len(edges) + 1)[:-1]
-            return {"radius_km": edges[c > 0], "c": c[c > 0]}
-
-        counts = neighbours.in_blocks(points, keys, most, work, "radius_km double, c long").groupBy(*keys, "radius_km").agg(F.sum("c").alias("c"))
-    else:
-        counts = pair_tree.tree_counts(points, radii, keys, radius)
+    counts = pair_tree.tree_counts(points, radii, keys, radius, parts=pair_tree.parts_of(_most(points, keys), broadcast_rows))
     every = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
     every = every.select(*keys, F.explode(steps).alias("radius_km"))
     mine = counts.withColumnRenamed("radius_km", "_r")

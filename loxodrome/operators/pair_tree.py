@@ -1,11 +1,12 @@
-"""Counts of pairs by distance, by a descent over pairs of cubes.
+"""Counts of pairs by distance, by pairs of leaves of trees.
 
-Points of the unit sphere lie in cubes, which halve from level to level. Two cubes all of whose points are apart by
-more than one radius and at most the next are counted as a whole: their numbers of points are multiplied, and no pair is looked at. Only cubes
-that a radius goes through are split, and small ones are compared point by point. The pairs compared so grow with the
-points times the share of cubes that a radius cuts, which shrinks as cubes do: slower than the square of the points.
+Points are dealt to blocks that lie close together, and a task meets one pair of blocks. It cuts each into leaves of
+a few hundred points. Two leaves all of whose points are apart by more than one radius and at most the next are counted
+as a whole: their numbers of points are multiplied, and no pair is looked at; leaves beyond the last radius are passed over. Only
+leaves that a radius goes through are compared, by the cosines of all their pairs at once and the radii that lie between the
+least and the greatest. Cosines are of single precision; those that can't be told from a radius's are decided by the distance itself.
 
-A level is two joins of the open pairs with the cubes of the next; all tables of a level are written before it goes on.
+Tasks hold two blocks and give counts. What is shuffled are the points, once for each block of their key.
 """
 
 from __future__ import annotations
@@ -21,118 +22,172 @@ from pyspark.sql import functions as F
 from loxodrome.config import RADIUS_KM
 from loxodrome.functions import geo
 from loxodrome.functions.shared import saved
-from loxodrome.operators.neighbours import haversine_matrix
+from loxodrome.operators.neighbours import haversine_of
 
-#: Levels of cubes: 2 units of length are cut into 2 ** level parts. Pairs of cubes still open at the last are compared.
-FIRST, LAST = 3, 20
-#: Pairs of cubes with at most so many pairs of points are compared point by point.
+#: Blocks of a key whose points no single task should meet, and the most points of a block.
+PARTS, BLOCK = 24, 1 << 19
+#: Leaves of two such sizes have at most so many pairs of points.
 LEAF = 1 << 16
 #: Distances this close to a radius are left to the comparison of points.
 _SLACK = 1e-9
+#: More than single precision may do to the cosine of two unit vectors (3e-7) and to a radius's (6e-8).
+_BLUR = 4e-7
 
 
-def _cell(level: int) -> Column:
-    """A cube's number at a level, from its three indices at the last level."""
-    parts = [F.shiftright(f"i{k}", LAST - level) for k in "xyz"]
-    return F.shiftleft(parts[0], 2 * LAST).bitwiseOR(F.shiftleft(parts[1], LAST)).bitwiseOR(parts[2])
+def parts_of(most: int, whole: int) -> int:
+    """How many blocks a key of ``most`` points is cut into; up to ``whole`` it is one."""
+    return 1 if most <= whole else max(-(-most // BLOCK), min(PARTS, -(-most // 1024)) if whole < BLOCK else 1)
 
 
-def _placed(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Distinct places with the number of points there, and their cubes' indices."""
+def _near(bits: int = 10) -> Column:
+    """A number that is close for close points: the bits of three coordinates in turn, then those of a hash."""
+    ints = [F.least(F.greatest(F.floor((c + 1.0) * float(1 << (bits - 1))), F.lit(0)), F.lit((1 << bits) - 1)).cast("long") for c in geo.xyz("lon", "lat")]
+    turns = [F.shiftleft(F.shiftright(v, b).bitwiseAND(F.lit(1).cast("long")), 3 * b + k + 20) for b in range(bits) for k, v in enumerate(ints)]
+    return reduce(lambda x, y: x.bitwiseOR(y), turns, F.xxhash64("lat", "lon").bitwiseAND(F.lit((1 << 20) - 1).cast("long")))
+
+
+def _blocks(points: DataFrame, keys: tuple[str, ...], parts: int) -> DataFrame:
+    """``keys, lat, lon, w, own``: places, how many points are there, and their block."""
     lat, lon = F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")
-    p = points.select(*keys, lat, lon).groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("w"))
-    p = p.withColumns(dict(zip("xyz", geo.xyz("lon", "lat"), strict=True)))
-    top = (1 << LAST) - 1
-    return p.withColumns({f"i{k}": F.least(F.greatest(F.floor((F.col(k) + 1.0) * float(1 << (LAST - 1))), F.lit(0)), F.lit(top)).cast("long") for k in "xyz"})
-
-
-def _nodes(p: DataFrame, keys: tuple[str, ...], level: int) -> DataFrame:
-    """Cubes with points: how many there are, how many pairs share a place, and the box around them."""
-    box = [f(k).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    d = p.withColumns({"cell": _cell(level), "parent": _cell(level - 1)})
-    return d.groupBy(*keys, "cell", "parent").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q"), *box)
-
-
-def _side(nodes: DataFrame, side: str, keys: tuple[str, ...]) -> DataFrame:
-    return nodes.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c not in keys])
-
-
-def _band(chords: list[float], d: Column) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, chords)), lambda e: e < d))
-
-
-def _judged(pairs: DataFrame, chords: list[float]) -> DataFrame:
-    """Pairs of cubes with the first radius that could hold a pair of their points, ``low``, and the last, ``high``."""
-    apart = [F.greatest(F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.lit(0.0)) for k in "xyz"]
-    across = [F.greatest(F.col(f"a_hi{k}") - F.col(f"b_lo{k}"), F.col(f"b_hi{k}") - F.col(f"a_lo{k}")) for k in "xyz"]
-    least, most = (F.sqrt(reduce(lambda x, y: x + y, (v * v for v in d))) for d in (apart, across))
-    return pairs.withColumns({"low": _band(chords, least - _SLACK), "high": _band(chords, most + _SLACK)})
-
-
-def _compared(open_: DataFrame, p: DataFrame, keys: tuple[str, ...], level: int, edges: np.ndarray, radius: float) -> DataFrame:
-    """``keys, band, c``: the pairs of points of pairs of cubes. Cubes' points are gathered only for cubes that are asked for."""
-    asked = open_.select(*keys, F.col("a_cell").alias("cell")).unionByName(open_.select(*keys, F.col("b_cell").alias("cell"))).distinct()
-    lists = p.withColumn("cell", _cell(level)).join(asked, [*keys, "cell"]).groupBy(*keys, "cell").agg(F.collect_list(F.struct("lat", "lon", "w")).alias("ps"))
-    lists = saved(lists)
-    met = open_.select(*keys, "a_cell", "b_cell")
-    for side in "ab":
-        met = met.join(lists.select(*keys, F.col("cell").alias(f"{side}_cell"), F.col("ps").alias(side)), [*keys, f"{side}_cell"])
-
-    def run(batches):
-        for batch in batches:
-            at = {c: i for i, c in enumerate(batch.schema.names)}
-            same = pa.compute.equal(batch.column(at["a_cell"]), batch.column(at["b_cell"])).to_numpy(zero_copy_only=False)
-            counts = np.zeros((batch.num_rows, len(edges) + 1), np.int64)
-            for row in range(batch.num_rows):
-                one, two = (batch.column(at[s])[row].values for s in "ab")
-                (lat1, lon1, w1), (lat2, lon2, w2) = ([s.field(k).to_numpy() for k in range(3)] for s in (one, two))
-                for lo in range(0, len(w1), 1024):
-                    for lo2 in range(0, len(w2), 1024):
-                        d = haversine_matrix(lat1[lo : lo + 1024], lon1[lo : lo + 1024], lat2[lo2 : lo2 + 1024], lon2[lo2 : lo2 + 1024], radius)
-                        w = np.outer(w1[lo : lo + 1024], w2[lo2 : lo2 + 1024])
-                        if same[row]:
-                            w = np.where(np.add.outer(np.arange(lo, lo + len(w)), -np.arange(lo2, lo2 + w.shape[1])) < 0, w, 0)  # each pair once
-                        counts[row] += 2 * np.bincount(np.searchsorted(edges, d.ravel(), "left"), w.ravel(), len(edges) + 1).astype(np.int64)
-            rows, bands = np.nonzero(counts[:, :-1])
-            taken = [batch.column(at[k]).take(pa.array(rows)) for k in keys]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(bands.astype(np.int32)), pa.array(counts[rows, bands])], names=[*keys, "band", "c"])
-
-    kinds = ", ".join([f"{k} {p.schema[k].dataType.simpleString()}" for k in keys] + ["band int, c long"])
-    return met.mapInArrow(run, kinds)
-
-
-def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, leaf: int = LEAF, watch: list | None = None) -> DataFrame:
+    p = points.select(*keys, lat, lon).dropna(subset=["lat", "lon"])
+    if parts == 1:
+        return p.withColumns({"w": F.lit(1).cast("long"), "own": F.lit(0)})
+    p = saved(p.groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("w")).withColumn("_near", _near()))
+    cuts = p.groupBy(*keys).agg(F.percentile_approx("_near", [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    d = p.join(F.broadcast(cuts), list(keys)) if keys else p.crossJoin(F.broadcast(cuts))  # a row for each key
+    return d.withColumn("own", F.size(F.filter("_cuts", lambda c: c < F.col("_near")))).drop("_cuts", "_near")
+
+
+def _leaves(xyz: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of points in which leaves of ``size`` follow each other, and where they begin: halved along the longest side."""
+    order, starts, todo = np.arange(len(xyz)), [], [(0, len(xyz))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= size:
+            starts.append(lo)
+            continue
+        own = xyz[order[lo:hi]]
+        middle = -(-(hi - lo) // size) // 2 * size
+        order[lo:hi] = order[lo:hi][np.argpartition(own[:, np.ptp(own, axis=0).argmax()], middle)]
+        todo += [(lo, lo + middle), (lo + middle, hi)]
+    return order, np.sort(np.array([*starts, len(xyz)]))
+
+
+class _Tree:
+    """A block's points in the order of leaves, with the box and the ball around each leaf."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, w: np.ndarray, size: int):
+        a, b = np.radians(lat), np.radians(lon)
+        xyz = np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+        order, self.at = _leaves(xyz, size)
+        xyz, self.lat, self.lon, self.w = xyz[order], lat[order], lon[order], w[order]
+        self.plain = bool((w == 1).all())
+        self.single = xyz.astype(np.float32)
+        first = self.at[:-1]
+        self.n = np.add.reduceat(self.w, first)
+        self.squares = np.add.reduceat(self.w * self.w, first)
+        self.low, self.high = np.minimum.reduceat(xyz, first), np.maximum.reduceat(xyz, first)
+        self.centre = (self.low + self.high) / 2
+        away = np.sqrt(((xyz - np.repeat(self.centre, np.diff(self.at), axis=0)) ** 2).sum(axis=1))
+        self.ball = np.maximum.reduceat(away, first)
+
+
+def _spans(one: _Tree, leaf: int, two: _Tree, chords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a leaf and all of another tree, the first radius that could hold a pair of their points, and the last."""
+    apart = np.maximum(np.maximum(one.low[leaf] - two.high, two.low - one.high[leaf]), 0.0)
+    across = np.maximum(one.high[leaf] - two.low, two.high - one.low[leaf])
+    between = np.sqrt(((one.centre[leaf] - two.centre) ** 2).sum(axis=1))
+    balls = one.ball[leaf] + two.ball
+    least = np.maximum(np.sqrt((apart**2).sum(axis=1)), between - balls)
+    most = np.minimum(np.sqrt((across**2).sum(axis=1)), between + balls)
+    return np.searchsorted(chords, least - _SLACK, "left"), np.searchsorted(chords, most + _SLACK, "left")
+
+
+def _within(one: _Tree, i: slice, two: _Tree, j: slice, u: np.ndarray, mask: np.ndarray, cosine: float, edge: float, radius: float) -> int:
+    """How many pairs of two leaves (counted by their weights) are up to ``edge`` apart."""
+    sure = np.count_nonzero(np.greater_equal(u, np.float32(cosine + _BLUR), out=mask))
+    found = sure if one.plain and two.plain else int(one.w[i] @ (mask @ two.w[j]))
+    if sure == np.count_nonzero(np.greater_equal(u, np.float32(cosine - _BLUR), out=mask)):
+        return found
+    a, b = np.divmod(np.flatnonzero(mask & (u < np.float32(cosine + _BLUR))), u.shape[1])
+    a, b = a + i.start, b + j.start
+    hit = haversine_of(one.lat[a], one.lon[a], two.lat[b], two.lon[b], radius) <= edge
+    return found + int((one.w[a] * two.w[b])[hit].sum())
+
+
+def _met(one: _Tree, two: _Tree, edges: np.ndarray, chords: np.ndarray, radius: float) -> tuple[np.ndarray, int]:
+    """Ordered pairs of places in each band, the last being beyond all radii, and how many pairs were compared."""
+    same, last = one is two, len(edges)
+    counts, compared = np.zeros(last + 1, np.int64), 0
+    cosines = np.cos(np.minimum(edges / radius, math.pi))
+    size = int(max(np.diff(one.at).max(), np.diff(two.at).max()))
+    room_u, room_mask = np.empty(size * size, np.float32), np.empty(size * size, bool)
+    if same:
+        counts[0] += int((one.w * (one.w - 1)).sum())
+    for leaf in range(len(one.n)):
+        low, high = _spans(one, leaf, two, chords)
+        if same:
+            low[:leaf], high[:leaf] = last, last  # met before, from the other side
+        whole = np.flatnonzero((low == high) & (low < last))
+        twice = np.where(same & (whole == leaf), 1, 2)
+        less = np.where(same & (whole == leaf), one.squares[leaf], 0)
+        np.add.at(counts, low[whole], twice * one.n[leaf] * two.n[whole] - less)
+        i = slice(int(one.at[leaf]), int(one.at[leaf + 1]))
+        left = one.single[i]
+        for other in np.flatnonzero((low < high) & (low < last)).tolist():
+            j = slice(int(two.at[other]), int(two.at[other + 1]))
+            shape = i.stop - i.start, j.stop - j.start
+            u, mask = (r[: shape[0] * shape[1]].reshape(shape) for r in (room_u, room_mask))
+            np.matmul(left, two.single[j].T, out=u)
+            compared += u.size
+            # only radii between the least and the greatest of the cosines cut the two
+            k0 = max(int(low[other]), int(np.searchsorted(-cosines, -(float(u.max()) + _BLUR), "left")))
+            k1 = min(int(high[other]), int(np.searchsorted(-cosines, -(float(u.min()) - _BLUR), "right")))
+            upto, total = 0, int(one.n[leaf] * two.n[other])
+            own = same and other == leaf
+            for k in range(k0, min(k1, last)):
+                c = _within(one, i, two, j, u, mask, cosines[k], edges[k], radius)
+                counts[k] += (c - upto) * (1 if own else 2)
+                upto = c
+            end = max(k0, min(k1, last))
+            counts[end] += (total - upto) * (1 if own else 2)
+            if own:  # a place isn't its own neighbour; its cosine is the greatest there is
+                counts[k0] -= int(one.squares[leaf])
+    return counts, compared
+
+
+def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, leaf: int = LEAF, watch: list | None = None, parts: int = PARTS) -> DataFrame:
     """``keys, radius_km, c``: ordered pairs of points at each radius of which it is the least that holds them.
 
-    ``watch`` gets, for each level, how many pairs of cubes were met and how many pairs of points were compared.
+    ``watch`` gets how many pairs of points were compared.
     """
     edges = np.sort(np.array(radii, float))
-    chords = [2.0 * math.sin(min(e / radius, math.pi) / 2.0) if e < math.pi * radius else 3.0 for e in edges.tolist()]
-    p = saved(_placed(points.dropna(subset=["latitude", "longitude"]), keys))
-    found = [p.groupBy(*keys).agg(F.sum(F.col("w") * (F.col("w") - 1)).alias("c")).select(*keys, F.lit(0).alias("band"), "c")]
-    nodes = saved(_nodes(p, keys, FIRST))
-    first = _side(nodes, "a", keys)
-    second = _side(nodes, "b", keys)  # a few hundred cubes of each key
-    pairs = first.join(second, list(keys)) if keys else first.crossJoin(second)
-    pairs = pairs.filter("a_cell <= b_cell")
-    for level in range(FIRST, LAST + 1):
-        judged = saved(_judged(pairs, chords))
-        size = F.col("a_n") * F.col("b_n")
-        both = F.when(F.col("a_cell") == F.col("b_cell"), size - F.col("a_q")).otherwise(2 * size)
-        found.append(judged.filter(f"low = high and low < {len(chords)}").groupBy(*keys, F.col("low").alias("band")).agg(F.sum(both).alias("c")))
-        undecided = judged.filter(f"low < high and low < {len(chords)}")
-        small = undecided if level == LAST else undecided.filter(size <= leaf)
-        stats = judged.agg(F.count(F.lit(1)).alias("met"), F.sum(F.when((F.col("low") < F.col("high")) & (F.col("low") < len(chords)), 1).otherwise(0)).alias("cut")).first()
-        left = undecided.filter(size > leaf).limit(1).count() if level < LAST else 0
-        if watch is not None:
-            watch.append((level, stats["met"], small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]))
-        if stats["cut"]:
-            found.append(_compared(small, p, keys, level, edges, radius))
-        if not left:
-            break
-        nodes = saved(_nodes(p, keys, level + 1))
-        rest = undecided.filter(size > leaf).select(*keys, F.col("a_cell").alias("a_parent"), F.col("b_cell").alias("b_parent"))
-        pairs = rest.join(_side(nodes, "a", keys), [*keys, "a_parent"]).join(_side(nodes, "b", keys), [*keys, "b_parent"]).filter("a_parent <> b_parent or a_cell <= b_cell")
-    total = reduce(lambda x, y: x.unionByName(y), found).groupBy(*keys, "band").agg(F.sum("c").alias("c")).filter("c > 0")
+    chords = np.array([2.0 * math.sin(e / radius / 2.0) if e < math.pi * radius else 3.0 for e in edges.tolist()])
+    size = math.isqrt(leaf)
+    meet = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b")))
+    d = _blocks(points, keys, parts)
+    d = d.withColumns({"a": F.lit(0), "b": F.lit(0)}) if parts == 1 else d.withColumn("_m", F.explode(meet)).select(*keys, "lat", "lon", "w", "own", F.col("_m.a").alias("a"), F.col("_m.b").alias("b"))
+    # few rows of much work each: their number of tasks is given, as sizes say nothing of it
+    tasks = max(parts * (parts + 1) // 2, 4 * PARTS if keys else 1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {k: points.schema[k].dataType.simpleString() for k in keys}
+
+    def run(t: pa.Table) -> pa.Table:
+        lat, lon, w, own, a, b = (t.column(c).to_numpy() for c in ("lat", "lon", "w", "own", "a", "b"))
+        trees = {}
+        for side in {int(a[0]), int(b[0])}:
+            mine = own == side
+            trees[side] = _Tree(lat[mine], lon[mine], w[mine], size) if mine.any() else None
+        one, two = trees[int(a[0])], trees[int(b[0])]
+        counts, compared = _met(one, two, edges, chords, radius) if one is not None and two is not None else (np.zeros(len(edges) + 1, np.int64), 0)
+        counts[-1] = compared
+        bands = np.flatnonzero(counts)
+        key = {k: pa.array([t.column(k)[0].as_py()] * len(bands), t.schema.field(k).type) for k in keys}
+        return pa.table(key | {"band": pa.array(bands.astype(np.int32)), "c": pa.array(counts[bands])})
+
+    schema = ", ".join([*[f"{k} {v}" for k, v in kinds.items()], "band int, c long"])
+    met = d.repartition(tasks, *keys, "a", "b").groupBy(*keys, "a", "b").applyInArrow(run, schema)
+    total = saved(met.groupBy(*keys, "band").agg(F.sum("c").alias("c")))
+    if watch is not None:
+        watch.append((total.filter(F.col("band") == len(edges)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0],))
     at = F.element_at(F.array(*[F.lit(e) for e in edges.tolist()]), F.col("band") + 1)
-    return total.select(*keys, at.alias("radius_km"), "c")
+    return total.filter((F.col("band") < len(edges)) & (F.col("c") > 0)).select(*keys, at.alias("radius_km"), "c")

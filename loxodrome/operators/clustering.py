@@ -94,9 +94,9 @@ def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RAD
 
 
 def csr_envelope(spark, n: int, radii=RADII_KM, radius: float = RADIUS_KM, sims: int = 199, seed: int = SEED) -> DataFrame:
-    """``radius_km, k_env_lo, k_env_hi``: 2.5 and 97.5 percentiles of K over simulations, which are a key of one join."""
+    """``radius_km, k_env_lo, k_env_hi``: 2.5 and 97.5 percentiles of K over simulations, which are keys, each a task's."""
     p = resample.sphere_points(spark, n, sims, seed)
-    k = pair_counts(p, radii, ("rep",), radius).withColumn("k", F.col("pairs") / float(n) * (_area(radius) / n))
+    k = pair_counts(p, radii, ("rep",), radius, pair_tree.BLOCK).withColumn("k", F.col("pairs") / float(n) * (_area(radius) / n))
     return ranking.quantiles_of_few(k, ["radius_km"], "k", {"k_env_lo": 0.025, "k_env_hi": 0.975})
 
 

@@ -310,3 +310,14 @@ def test_pairs_of_leaves_on_radii_and_copies(spark):
             for r in sorted(steps):
                 total += got.get(r, 0)
                 assert total == want[r]
+
+
+def test_simulations_are_counted_without_tables_of_levels(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(pair_tree, "saved", lambda df: written.append(df.columns) or df)
+    k = clustering.csr_envelope(spark, 300, (100.0, 900.0), sims=3).collect()
+    assert len(k) == 2 and written == [["rep", "band", "c"]]  # counts, never pairs of cubes
+    lat, lon = ([r[c] for r in resample.sphere_points(spark, 300, 1).collect()] for c in ("latitude", "longitude"))
+    n = brute(np.array(lat), np.array(lon), (900.0,))[900.0]
+    own = clustering.pair_counts(resample.sphere_points(spark, 300, 1), (900.0,), ("rep",)).first()
+    assert own.pairs == n

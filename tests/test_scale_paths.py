@@ -321,3 +321,14 @@ def test_simulations_are_counted_without_tables_of_levels(spark, monkeypatch):
     n = brute(np.array(lat), np.array(lon), (900.0,))[900.0]
     own = clustering.pair_counts(resample.sphere_points(spark, 300, 1), (900.0,), ("rep",)).first()
     assert own.pairs == n
+
+
+def test_leakage_of_a_label_or_feature_that_is_constant(spark):
+    d = spark.createDataFrame([(float(i), 2.0, float(i % 7), 1, int(i % 3 == 0)) for i in range(40)], "a double, b double, c double, all int, some int")
+    one = {r.feature: r for r in models.leakage_audit(d, ["a", "b", "c"], "all").collect()}
+    assert all(math.isnan(r.pearson_r) and math.isnan(r.spearman_r) and abs(r.lr_coef) < 1e-9 for r in one.values())
+    assert all(r.suspected_leakage and r.flag_reason == "|r|=nan ≥ 0.6" for r in one.values())
+    two = {r.feature: r for r in models.leakage_audit(d, ["a", "b", "c"], "some").collect()}
+    assert math.isnan(two["b"].pearson_r) and two["b"].suspected_leakage and not two["c"].suspected_leakage
+    x = np.array([(i, int(i % 3 == 0)) for i in range(40)], float)
+    assert two["a"].pearson_r == pytest.approx(np.corrcoef(x.T)[0, 1])

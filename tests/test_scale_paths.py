@@ -332,3 +332,12 @@ def test_leakage_of_a_label_or_feature_that_is_constant(spark):
     assert math.isnan(two["b"].pearson_r) and two["b"].suspected_leakage and not two["c"].suspected_leakage
     x = np.array([(i, int(i % 3 == 0)) for i in range(40)], float)
     assert two["a"].pearson_r == pytest.approx(np.corrcoef(x.T)[0, 1])
+
+
+def test_models_of_a_single_class_are_certain_of_it(spark):
+    d = spark.createDataFrame([(float(i), 1, 0) for i in range(30)], "a double, all int, none int")
+    for label, p in (("all", 1.0), ("none", 0.0)):
+        m = models.fit_logistic(d, ["a"], label, [F.lit(True), F.col("a") < 0])
+        got = d.withColumn("p", models.probability(["a"], m[0])).agg(F.min("p"), F.max("p")).first()
+        assert got[0] == pytest.approx(p, abs=1e-15) and got[1] == pytest.approx(p, abs=1e-15)
+        assert m[1]["n"] == 0 and m[1]["intercept"] == 0.0  # without rows nothing is known

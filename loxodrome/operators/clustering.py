@@ -82,11 +82,11 @@ def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RAD
             return {"i": np.concatenate([i, j]), "d": np.concatenate([d.min(axis=1), d.min(axis=0)])}
 
         kind = p.schema["id"].dataType.simpleString()
-        near = neighbours.in_blocks(p, (), n, work, f"i {kind}, d double").groupBy("i").agg(F.min("d").alias("d")).filter(F.col("d") <= max(radii))
+        near = neighbours.in_blocks(p, (), n, work, f"i {kind}, d double").groupBy("i").agg(F.min("d").alias("d")).filter(F.col("d") <= max(radii)).withColumn("c", F.lit(1).cast("long"))
     else:
-        near = neighbours.pairs_within(p, max(radii), radius=radius).groupBy("i").agg(F.min("d").alias("d"))
+        near = neighbours.nearest_other(p, max(radii), radius)
     steps = F.array(*[F.lit(float(r)) for r in radii])
-    counts = near.select(F.explode(F.filter(steps, lambda r: r >= F.col("d"))).alias("radius_km")).groupBy("radius_km").agg(F.count(F.lit(1)).alias("c"))
+    counts = near.select("c", F.explode(F.filter(steps, lambda r: r >= F.col("d"))).alias("radius_km")).groupBy("radius_km").agg(F.sum("c").alias("c"))
     every = p.sparkSession.range(1).select(F.explode(steps).alias("radius_km"))
     d = every.join(counts, "radius_km", "left").na.fill(0, ["c"])
     csr = 1.0 - F.exp(-(n / _area(radius)) * stats.csr_k("radius_km", radius))

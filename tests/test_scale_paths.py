@@ -341,3 +341,16 @@ def test_models_of_a_single_class_are_certain_of_it(spark):
         got = d.withColumn("p", models.probability(["a"], m[0])).agg(F.min("p"), F.max("p")).first()
         assert got[0] == pytest.approx(p, abs=1e-15) and got[1] == pytest.approx(p, abs=1e-15)
         assert m[1]["n"] == 0 and m[1]["intercept"] == 0.0  # without rows nothing is known
+
+
+def test_nearest_others_of_many_points_meet_few(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "pairs_within", lambda *a, **k: pytest.fail("all pairs are met"))
+    lat, lon = scattered(900, 9)
+    lat[:5], lon[:5] = lat[5:10], lon[5:10]
+    lat[10:12], lon[10:12] = [90.0, -90.0], [0.0, 50.0]
+    lat[12:20], lon[12:20] = 40.0 + np.arange(8) * 1e-7, -100.0  # close together, far closer than the others
+    radii = (1e-5, 5.0, 60.0, 200.0)
+    d = neighbours.haversine_matrix(lat, lon, lat, lon)
+    np.fill_diagonal(d, np.inf)
+    got = {r.radius_km: r.nn_cdf_observed for r in clustering.nearest_neighbour_cdf(frame(spark, lat, lon), radii, broadcast_rows=0).collect()}
+    assert got == {r: pytest.approx((d.min(axis=1) <= r).mean()) for r in radii}

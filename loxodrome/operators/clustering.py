@@ -146,20 +146,30 @@ def kernel_density(points: DataFrame, resolution: float = 0.25, exact: bool = Fa
 
 
 def _exact_sums(p: DataFrame, spread: tuple[float, float, float], resolution: float) -> DataFrame:
-    """Every node adds up blocks of 2,000 distinct points, which it meets one after another."""
+    """Every node meets every distinct point. A task adds up its own points at all nodes, in blocks of 256 nodes and 2,000 points."""
     a, b, c = spread
     det = a * c - b * b
     n_x, n_y = round(360 / resolution) + 1, round(180 / resolution) + 1
-    nodes = p.sparkSession.range(n_x * n_y).select((F.lit(-180.0) + (F.col("id") % n_x) * F.lit(resolution)).alias("longitude"), (F.lit(-90.0) + F.floor(F.col("id") / n_x) * F.lit(resolution)).alias("latitude"))
-    weights = p.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    weights = saved(p.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    # a task for some thousand points: their bytes say little of the work
+    tasks = max(1, min(-(-weights.count() // 2000), int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    def kernel(x, y):
-        u, v = F.col("longitude") - x, F.col("latitude") - y
-        return F.exp(-0.5 * (c * u * u - 2.0 * b * u * v + a * v * v) / det)
-
-    blocks = weights.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(-(-weights.count() // 2000))).alias("block")).agg(F.collect_list(F.struct("x", "y", "w")).alias("ps"))
-    part = F.aggregate("ps", F.lit(0.0), lambda s, q: s + q["w"] * kernel(q["x"], q["y"]))
-    return nodes.crossJoin(blocks).withColumn("s", part).groupBy("longitude", "latitude").agg(F.sum("s").alias("s"))
+    def run(batches):
+        total = np.zeros(n_x * n_y)
+        for batch in batches:
+            x, y, w = (batch.column(k).to_numpy() for k in range(3))
+            for at in range(0, len(total), 256):
+                i = np.arange(at, min(at + 256, len(total)))
+                lon, lat = -180.0 + (i % n_x) * resolution, -90.0 + (i // n_x) * resolution
+                for k in range(0, len(x), 2000):
+                    u, v = lon[:, None] - x[None, k : k + 2000], lat[:, None] - y[None, k : k + 2000]
+                    total[i] += np.exp(-0.5 * (c * u * u - 2.0 * b * u * v + a * v * v) / det) @ w[k : k + 2000]
+        for at in range(0, len(total), 10_000):
+            part = total[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["id", "s"])
+
+    sums = weights.repartition(tasks, "x", "y").mapInArrow(run, "id long, s double").groupBy("id").agg(F.sum("s").alias("s"))
+    return sums.select((F.lit(-180.0) + (F.col("id") % n_x) * F.lit(resolution)).alias("longitude"), (F.lit(-90.0) + F.floor(F.col("id") / n_x) * F.lit(resolution)).alias("latitude"), "s")
 
 
 def tile_moments(p: DataFrame, to_tiles, tiles: KernelTiles) -> DataFrame:

@@ -354,3 +354,17 @@ def test_nearest_others_of_many_points_meet_few(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     got = {r.radius_km: r.nn_cdf_observed for r in clustering.nearest_neighbour_cdf(frame(spark, lat, lon), radii, broadcast_rows=0).collect()}
     assert got == {r: pytest.approx((d.min(axis=1) <= r).mean()) for r in radii}
+
+
+def test_exact_density_is_dealt_to_tasks(spark):
+    lat, lon = scattered(4500, 3)
+    k = clustering.kernel_density(frame(spark, lat, lon), 30.0, exact=True)
+    plan = k._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    cov = np.cov(np.stack([lon, lat])) * len(lat) ** (-1 / 3)
+    inv, scale = np.linalg.inv(cov), 1 / (len(lat) * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
+    rows = k.collect()
+    assert len(rows) == 13 * 7
+    for r in rows:
+        v = np.stack([r.longitude - lon, r.latitude - lat])
+        assert r.density == pytest.approx(np.exp(-0.5 * (v * (inv @ v)).sum(axis=0)).sum() * scale, rel=1e-9, abs=1e-18)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -29,10 +30,13 @@ def pair_counts(points: DataFrame, radii=RADII_KM, keys: tuple[str, ...] = (), r
 
     Points of a key meet in one task up to ``broadcast_rows``; more are cut into blocks, of which each pair is a task.
     """
-    steps = F.array(*[F.lit(float(r)) for r in radii])
     counts = pair_tree.tree_counts(points, radii, keys, radius, parts=pair_tree.parts_of(_most(points, keys), broadcast_rows))
-    every = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
-    every = every.select(*keys, F.explode(steps).alias("radius_km"))
+    return _summed(points.select(*keys).distinct() if keys else points.sparkSession.range(1).select(), counts, radii, keys)
+
+
+def _summed(every: DataFrame, counts: DataFrame, radii, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, radius_km, pairs``: counts at their least radius summed up to each, with zeros for the keys of ``every`` that have none."""
+    every = every.select(*keys, F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius_km"))
     mine = counts.withColumnRenamed("radius_km", "_r")
     met = every.join(mine, list(keys)) if keys else every.join(F.broadcast(mine))  # a row for each radius
     summed = met.filter(F.col("_r") <= F.col("radius_km")).groupBy(*keys, "radius_km").agg(F.sum("c").alias("pairs"))
@@ -94,9 +98,9 @@ def nearest_neighbour_cdf(points: DataFrame, radii=RADII_KM, radius: float = RAD
 
 
 def csr_envelope(spark, n: int, radii=RADII_KM, radius: float = RADIUS_KM, sims: int = 199, seed: int = SEED) -> DataFrame:
-    """``radius_km, k_env_lo, k_env_hi``: 2.5 and 97.5 percentiles of K over simulations, which are keys, each a task's."""
-    p = resample.sphere_points(spark, n, sims, seed)
-    k = pair_counts(p, radii, ("rep",), radius, pair_tree.BLOCK).withColumn("k", F.col("pairs") / float(n) * (_area(radius) / n))
+    """``radius_km, k_env_lo, k_env_hi``: 2.5 and 97.5 percentiles of K over simulations, which tasks draw and count, so that only counts are shuffled."""
+    counts = pair_tree.drawn_counts(spark, n, sims, partial(resample.sphere_block, seed=seed), radii, radius)
+    k = _summed(spark.range(sims).withColumnRenamed("id", "rep"), counts, radii, ("rep",)).withColumn("k", F.col("pairs") / float(n) * (_area(radius) / n))
     return ranking.quantiles_of_few(k, ["radius_km"], "k", {"k_env_lo": 0.025, "k_env_hi": 0.975})
 
 

@@ -1,35 +1,36 @@
-"""Counts of pairs by distance, by pairs of leaves of trees.
+"""Counts of pairs by distance, by leaves of trees.
 
-Points are dealt to blocks that lie close together, and a task meets one pair of blocks. It cuts each into leaves of
-a few hundred points. Two leaves all of whose points are apart by more than one radius and at most the next are counted
-as a whole: their numbers of points are multiplied, and no pair is looked at; leaves beyond the last radius are passed over. Only
-leaves that a radius goes through are compared, by the cosines of all their pairs at once and the radii that lie between the
-least and the greatest. Cosines are of single precision; those that can't be told from a radius's are decided by the distance itself.
+Points are dealt to blocks that lie close together, and a task meets one pair of blocks. It cuts the first into leaves of
+some 32 points and puts the second's points in order of their distance from a leaf's centre. For each radius, points nearer than it by the
+width of the leaf are within it of all the leaf's points, and are counted as a whole; those beyond it by as much are passed over. Only the
+points between are compared, by the cosines of all their pairs at once. Cosines are of single precision; those that
+can't be told from the radius's are decided by the distance itself.
 
-Tasks hold two blocks and give counts. What is shuffled are the points, once for each block of their key.
+Tasks hold two blocks and give counts. What is shuffled are the points, once for each block of their key; simulated points are drawn where they are counted.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loxodrome.config import RADIUS_KM
 from loxodrome.functions import geo
 from loxodrome.functions.shared import saved
-from loxodrome.operators.neighbours import haversine_of
+from loxodrome.operators.neighbours import haversine_matrix, haversine_of
 
 #: Blocks of a key whose points no single task should meet, and the most points of a block.
 PARTS, BLOCK = 24, 1 << 19
-#: Leaves of two such sizes have at most so many pairs of points.
-LEAF = 1 << 16
-#: Distances this close to a radius are left to the comparison of points.
-_SLACK = 1e-9
+#: Two leaves have at most so many pairs of points.
+LEAF = 1 << 10
+#: Pairs that are compared at once: their cosines stay in a core's cache.
+_ROOM = 1 << 16
 #: More than single precision may do to the cosine of two unit vectors (3e-7) and to a radius's (6e-8).
 _BLUR = 4e-7
 
@@ -74,7 +75,7 @@ def _leaves(xyz: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tree:
-    """A block's points in the order of leaves, with the box and the ball around each leaf."""
+    """A block's points in the order of leaves, with the centre of each leaf and the angle that its points are within."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, w: np.ndarray, size: int):
         a, b = np.radians(lat), np.radians(lon)
@@ -85,75 +86,93 @@ class _Tree:
         self.single = xyz.astype(np.float32)
         first = self.at[:-1]
         self.n = np.add.reduceat(self.w, first)
-        self.squares = np.add.reduceat(self.w * self.w, first)
-        self.low, self.high = np.minimum.reduceat(xyz, first), np.maximum.reduceat(xyz, first)
-        self.centre = (self.low + self.high) / 2
-        away = np.sqrt(((xyz - np.repeat(self.centre, np.diff(self.at), axis=0)) ** 2).sum(axis=1))
-        self.ball = np.maximum.reduceat(away, first)
-
-
-def _spans(one: _Tree, leaf: int, two: _Tree, chords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a leaf and all of another tree, the first radius that could hold a pair of their points, and the last."""
-    apart = np.maximum(np.maximum(one.low[leaf] - two.high, two.low - one.high[leaf]), 0.0)
-    across = np.maximum(one.high[leaf] - two.low, two.high - one.low[leaf])
-    between = np.sqrt(((one.centre[leaf] - two.centre) ** 2).sum(axis=1))
-    balls = one.ball[leaf] + two.ball
-    least = np.maximum(np.sqrt((apart**2).sum(axis=1)), between - balls)
-    most = np.minimum(np.sqrt((across**2).sum(axis=1)), between + balls)
-    return np.searchsorted(chords, least - _SLACK, "left"), np.searchsorted(chords, most + _SLACK, "left")
-
-
-def _within(one: _Tree, i: slice, two: _Tree, j: slice, u: np.ndarray, mask: np.ndarray, cosine: float, edge: float, radius: float) -> int:
-    """How many pairs of two leaves (counted by their weights) are up to ``edge`` apart."""
-    sure = np.count_nonzero(np.greater_equal(u, np.float32(cosine + _BLUR), out=mask))
-    found = sure if one.plain and two.plain else int(one.w[i] @ (mask @ two.w[j]))
-    if sure == np.count_nonzero(np.greater_equal(u, np.float32(cosine - _BLUR), out=mask)):
-        return found
-    a, b = np.divmod(np.flatnonzero(mask & (u < np.float32(cosine + _BLUR))), u.shape[1])
-    a, b = a + i.start, b + j.start
-    hit = haversine_of(one.lat[a], one.lon[a], two.lat[b], two.lon[b], radius) <= edge
-    return found + int((one.w[a] * two.w[b])[hit].sum())
-
-
-def _met(one: _Tree, two: _Tree, edges: np.ndarray, chords: np.ndarray, radius: float) -> tuple[np.ndarray, int]:
-    """Ordered pairs of places in each band, the last being beyond all radii, and how many pairs were compared."""
-    same, last = one is two, len(edges)
-    counts, compared = np.zeros(last + 1, np.int64), 0
-    cosines = np.cos(np.minimum(edges / radius, math.pi))
-    size = int(max(np.diff(one.at).max(), np.diff(two.at).max()))
-    room_u, room_mask = np.empty(size * size, np.float32), np.empty(size * size, bool)
-    if same:
-        counts[0] += int((one.w * (one.w - 1)).sum())
+        centre = np.add.reduceat(xyz, first)
+        length = np.sqrt((centre**2).sum(axis=1))[:, None]
+        centre = np.where(length > 1e-3, centre / np.maximum(length, 1e-3), xyz[first])  # points all around have no centre
+        away = np.sqrt(((xyz - np.repeat(centre, np.diff(self.at), axis=0)) ** 2).sum(axis=1))
+        self.angle = 2.0 * np.arcsin(np.minimum(np.maximum.reduceat(away, first) / 2.0, 1.0)) + 1e-9
+        self.centre = centre.astype(np.float32)
+
+
+def _in_leaf(tree: _Tree, i: slice, edges: np.ndarray, radius: float) -> np.ndarray:
+    """Ordered pairs of a leaf's own points up to each radius. Points of one place are at 0, a point isn't its own neighbour."""
+    d = haversine_matrix(tree.lat[i], tree.lon[i], tree.lat[i], tree.lon[i], radius)
+    pairs = np.outer(tree.w[i], tree.w[i])
+    np.fill_diagonal(pairs, tree.w[i] * (tree.w[i] - 1))
+    band = np.searchsorted(edges, d.ravel(), "left")
+    counts = np.zeros(len(edges) + 1, np.int64)
+    np.add.at(counts, band, pairs.ravel())
+    return np.cumsum(counts[:-1])
+
+
+def _met(one: _Tree, two: _Tree, edges: np.ndarray, radius: float) -> tuple[np.ndarray, int]:
+    """Ordered pairs of points up to each radius, and how many pairs were compared."""
+    same = one is two
+    within, compared = np.zeros(len(edges), np.int64), 0
+    angles = np.minimum(edges / radius, math.pi)
+    cosines = np.cos(angles)
+    room_u, room_sure, room_not = np.empty(_ROOM, np.float32), np.empty(_ROOM, bool), np.empty(_ROOM, bool)
     for leaf in range(len(one.n)):
-        low, high = _spans(one, leaf, two, chords)
-        if same:
-            low[:leaf], high[:leaf] = last, last  # met before, from the other side
-        whole = np.flatnonzero((low == high) & (low < last))
-        twice = np.where(same & (whole == leaf), 1, 2)
-        less = np.where(same & (whole == leaf), one.squares[leaf], 0)
-        np.add.at(counts, low[whole], twice * one.n[leaf] * two.n[whole] - less)
         i = slice(int(one.at[leaf]), int(one.at[leaf + 1]))
-        left = one.single[i]
-        for other in np.flatnonzero((low < high) & (low < last)).tolist():
-            j = slice(int(two.at[other]), int(two.at[other + 1]))
-            shape = i.stop - i.start, j.stop - j.start
-            u, mask = (r[: shape[0] * shape[1]].reshape(shape) for r in (room_u, room_mask))
-            np.matmul(left, two.single[j].T, out=u)
-            compared += u.size
-            # only radii between the least and the greatest of the cosines cut the two
-            k0 = max(int(low[other]), int(np.searchsorted(-cosines, -(float(u.max()) + _BLUR), "left")))
-            k1 = min(int(high[other]), int(np.searchsorted(-cosines, -(float(u.min()) - _BLUR), "right")))
-            upto, total = 0, int(one.n[leaf] * two.n[other])
-            own = same and other == leaf
-            for k in range(k0, min(k1, last)):
-                c = _within(one, i, two, j, u, mask, cosines[k], edges[k], radius)
-                counts[k] += (c - upto) * (1 if own else 2)
-                upto = c
-            end = max(k0, min(k1, last))
-            counts[end] += (total - upto) * (1 if own else 2)
-            if own:  # a place isn't its own neighbour; its cosine is the greatest there is
-                counts[k0] -= int(one.squares[leaf])
-    return counts, compared
+        if same:
+            within += _in_leaf(one, i, edges, radius)
+        start = i.stop if same else 0  # leaves before have met this one
+        # points from the nearest to the centre on; cosines are negative, so that they rise
+        less = two.single[start:] @ -one.centre[leaf]
+        width = one.angle[leaf]
+        inner = np.where(angles > width, -np.cos(angles - width) - _BLUR, -2.0)
+        inner[edges >= math.pi * radius] = 2.0
+        outer = np.where(angles + width < math.pi, -np.cos(np.minimum(angles + width, math.pi)) + _BLUR, 2.0)
+        near = np.flatnonzero(less <= np.float32(outer[-1]))
+        less = less[near]
+        order = np.argsort(less)
+        less, near = less[order], near[order] + start
+        upto = np.searchsorted(less, inner.astype(np.float32), "right")
+        end = np.searchsorted(less, outer.astype(np.float32), "right")
+        sums = upto if two.plain else np.concatenate([[0], np.cumsum(two.w[near])])[upto]
+        found = one.n[leaf] * sums
+        left, right = one.single[i], two.single[near]
+        step = max(1, _ROOM // len(left))
+        doubt, n_doubt = [], 0
+
+        def decided(doubt=doubt, found=found, near=near, i=i):
+            k, a, b = (np.concatenate(x) for x in zip(*doubt, strict=True))
+            a, b = a + i.start, near[b]
+            hit = haversine_of(one.lat[a], one.lon[a], two.lat[b], two.lon[b], radius) <= edges[k]
+            np.add.at(found, k[hit], (one.w[a] * two.w[b])[hit])
+            doubt.clear()
+
+        for k in np.flatnonzero(end > upto).tolist():
+            for at in range(int(upto[k]), int(end[k]), step):
+                to = min(at + step, int(end[k]))
+                shape = len(left), to - at
+                u, sure, maybe = (r[: shape[0] * shape[1]].reshape(shape) for r in (room_u, room_sure, room_not))
+                np.matmul(left, right[at:to].T, out=u)
+                compared += u.size
+                n_sure = np.count_nonzero(np.greater_equal(u, np.float32(cosines[k] + _BLUR), out=sure))
+                found[k] += n_sure if one.plain and two.plain else int(one.w[i] @ (sure @ two.w[near[at:to]]))
+                if n_sure < np.count_nonzero(np.greater_equal(u, np.float32(cosines[k] - _BLUR), out=maybe)):
+                    a, b = np.divmod(np.flatnonzero(np.not_equal(sure, maybe, out=maybe)), shape[1])
+                    doubt.append((np.full(len(a), k), a, b + at))
+                    n_doubt += len(a)
+                    if n_doubt > 1 << 18:
+                        decided()
+                        n_doubt = 0
+        if doubt:
+            decided()
+        within += 2 * found
+    return within, compared
+
+
+def _by_band(one: _Tree, two: _Tree, edges: np.ndarray, radius: float) -> np.ndarray:
+    """Ordered pairs at each radius of which it is the least that holds them, and at last how many pairs were compared."""
+    within, compared = _met(one, two, edges, radius)
+    return np.append(np.diff(within, prepend=0), compared)
+
+
+def _at_radii(total: DataFrame, edges: np.ndarray, keys: tuple[str, ...]) -> DataFrame:
+    at = F.element_at(F.array(*[F.lit(e) for e in edges.tolist()]), F.col("band") + 1)
+    return total.filter((F.col("band") < len(edges)) & (F.col("c") > 0)).select(*keys, at.alias("radius_km"), "c")
 
 
 def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: float = RADIUS_KM, leaf: int = LEAF, watch: list | None = None, parts: int = PARTS) -> DataFrame:
@@ -162,7 +181,6 @@ def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: fl
     ``watch`` gets how many pairs of points were compared.
     """
     edges = np.sort(np.array(radii, float))
-    chords = np.array([2.0 * math.sin(e / radius / 2.0) if e < math.pi * radius else 3.0 for e in edges.tolist()])
     size = math.isqrt(leaf)
     meet = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b")))
     d = _blocks(points, keys, parts)
@@ -178,8 +196,7 @@ def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: fl
             mine = own == side
             trees[side] = _Tree(lat[mine], lon[mine], w[mine], size) if mine.any() else None
         one, two = trees[int(a[0])], trees[int(b[0])]
-        counts, compared = _met(one, two, edges, chords, radius) if one is not None and two is not None else (np.zeros(len(edges) + 1, np.int64), 0)
-        counts[-1] = compared
+        counts = _by_band(one, two, edges, radius) if one is not None and two is not None else np.zeros(len(edges) + 1, np.int64)
         bands = np.flatnonzero(counts)
         key = {k: pa.array([t.column(k)[0].as_py()] * len(bands), t.schema.field(k).type) for k in keys}
         return pa.table(key | {"band": pa.array(bands.astype(np.int32)), "c": pa.array(counts[bands])})
@@ -189,5 +206,33 @@ def tree_counts(points: DataFrame, radii, keys: tuple[str, ...] = (), radius: fl
     total = saved(met.groupBy(*keys, "band").agg(F.sum("c").alias("c")))
     if watch is not None:
         watch.append((total.filter(F.col("band") == len(edges)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0],))
-    at = F.element_at(F.array(*[F.lit(e) for e in edges.tolist()]), F.col("band") + 1)
-    return total.filter((F.col("band") < len(edges)) & (F.col("c") > 0)).select(*keys, at.alias("radius_km"), "c")
+    return _at_radii(total, edges, keys)
+
+
+def drawn_counts(spark: SparkSession, n: int, reps: int, draw: Callable, radii, radius: float = RADIUS_KM, block: int = BLOCK) -> DataFrame:
+    """``rep, radius_km, c``: as :func:`tree_counts`, for ``n`` points a replicate that tasks draw themselves; no point is shuffled.
+
+    ``draw(rep, first, end)`` gives latitudes and longitudes of the points of these numbers. A task meets two blocks of at most ``block``.
+    """
+    edges = np.sort(np.array(radii, float))
+    size, blocks = math.isqrt(LEAF), max(1, -(-n // block))
+    pairs = blocks * (blocks + 1) // 2
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rep, b = divmod(i, pairs)
+                a = 0
+                while b >= blocks - a:  # the pairs (0, 0), (0, 1), ..., (1, 1), (1, 2), ...
+                    b, a = b - (blocks - a), a + 1
+                trees = {}
+                for side in {a, a + b}:
+                    lat, lon = draw(rep, side * n // blocks, (side + 1) * n // blocks)
+                    trees[side] = _Tree(lat, lon, np.ones(len(lat), np.int64), size)
+                counts = _by_band(trees[a], trees[a + b], edges, radius)
+                bands = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bands), rep)), pa.array(bands.astype(np.int32)), pa.array(counts[bands])], names=["rep", "band", "c"])
+
+    tasks = min(reps * pairs, 10_000) if n else 1
+    met = spark.range(0, reps * pairs if n else 0, 1, tasks).mapInArrow(run, "rep long, band int, c long")
+    return _at_radii(saved(met.groupBy("rep", "band").agg(F.sum("c").alias("c"))), edges, ("rep",))

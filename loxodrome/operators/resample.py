@@ -178,6 +178,13 @@ def sphere_points(spark: SparkSession, n: int, replicates: int, seed: int = SEED
     return d.select("rep", "id", F.degrees(F.asin(2.0 * part(1) - 1.0)).alias("latitude"), (360.0 * part(9) - 180.0).alias("longitude"))
 
 
+def sphere_block(rep: int, first: int, end: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes of the points ``first`` to ``end`` of a replicate of :func:`sphere_points`, for tasks that draw their own."""
+    drawn = b"".join(hashlib.md5(b"%d:%d:%d" % (seed, rep, i)).digest()[:8] for i in range(first, end))
+    u = np.frombuffer(drawn, ">u4").reshape(-1, 2) / 4294967296.0
+    return np.degrees(np.arcsin(2.0 * u[:, 0] - 1.0)), 360.0 * u[:, 1] - 180.0
+
+
 def _unit_hits(fm: DataFrame, drawn: DataFrame, keys: tuple[str, ...], unit: str, grid: Grid) -> DataFrame:
     """Per replicate and unit: all its cells, and the distinct cells (``cell_key``) that hold a drawn point.
 

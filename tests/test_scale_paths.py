@@ -368,3 +368,28 @@ def test_exact_density_is_dealt_to_tasks(spark):
     for r in rows:
         v = np.stack([r.longitude - lon, r.latitude - lat])
         assert r.density == pytest.approx(np.exp(-0.5 * (v * (inv @ v)).sum(axis=0)).sum() * scale, rel=1e-9, abs=1e-18)
+
+
+def test_simulated_points_are_drawn_where_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(resample, "sphere_points", lambda *a, **k: pytest.fail("points are made to be shuffled"))
+    n, sims, radii = 240, 5, (150.0, 600.0, 2000.0)
+    draws = [resample.sphere_block(r, 0, n) for r in range(sims)]
+    k = np.array([[brute(*p, radii)[x] for x in radii] for p in draws]) * (4 * math.pi * 1821.6**2) / n**2
+    for r in clustering.csr_envelope(spark, n, radii, sims=sims).collect():
+        own = k[:, radii.index(r.radius_km)]
+        assert (r.k_env_lo, r.k_env_hi) == pytest.approx(tuple(np.quantile(own, (0.025, 0.975))), rel=1e-12)
+    for block in (240, 100, 7):  # more blocks are met in pairs, each once
+        got = Counter()
+        for r in pair_tree.drawn_counts(spark, n, sims, resample.sphere_block, radii, block=block).collect():
+            for x in radii:
+                got[r.rep, x] += r.c if r.radius_km <= x else 0
+        assert got == {(i, x): c for i, p in enumerate(draws) for x, c in brute(*p, radii).items()}
+
+
+def test_drawn_blocks_are_the_points_of_the_table(spark):
+    for seed in (42, 7):
+        rows = resample.sphere_points(spark, 50, 3, seed).collect()
+        for rep in range(3):
+            own = sorted((r for r in rows if r.rep == rep), key=lambda r: r.id)
+            lat, lon = resample.sphere_block(rep, 10, 50, seed)
+            assert lat.tolist() == pytest.approx([r.latitude for r in own[10:]], rel=1e-14) and lon.tolist() == [r.longitude for r in own[10:]]

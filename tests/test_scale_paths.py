@@ -393,3 +393,22 @@ def test_drawn_blocks_are_the_points_of_the_table(spark):
             own = sorted((r for r in rows if r.rep == rep), key=lambda r: r.id)
             lat, lon = resample.sphere_block(rep, 10, 50, seed)
             assert lat.tolist() == pytest.approx([r.latitude for r in own[10:]], rel=1e-14) and lon.tolist() == [r.longitude for r in own[10:]]
+
+
+@pytest.mark.parametrize("r_max", [0.0, 40.0, 1500.0, 1e9])
+def test_pairs_within_meet_as_blocks(spark, r_max):
+    lat, lon = scattered(300, 5)
+    lat[:40], lon[:40] = 5.0, 5.0  # more in one place than a block holds
+    lat[40:43], lon[40:43] = [90, 90, -90], [0, 77, 0]
+    rep = [i % 2 for i in range(300)]
+    points = frame(spark, lat, lon, rep=rep)
+    out = neighbours.pairs_within(points, r_max, ("rep",), block=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "asin" not in plan.lower()  # pairs are met as matrices, not as rows of a join
+    d = neighbours.haversine_matrix(lat, lon, lat, lon)
+    want = {(i, j): d[i, j] for i in range(300) for j in range(300) if i != j and rep[i] == rep[j] and d[i, j] <= r_max}
+    rows = out.collect()
+    assert len(rows) == len(want) and all(r.rep == rep[r.i] and r.d == pytest.approx(want[r.i, r.j], abs=1e-9) for r in rows)
+    names = points.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "latitude", F.when(F.col("id") != 299, F.col("longitude")).alias("longitude"))
+    got = {(r.i, r.j) for r in neighbours.pairs_within(names, min(r_max, 1500.0)).collect()}  # names as ids, a point without a place
+    assert got == {(f"p{i}", f"p{j}") for i in range(299) for j in range(299) if i != j and d[i, j] <= min(r_max, 1500.0)}
